@@ -57,3 +57,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join with a ``right`` side that has one row a key: its rows are repeated per salt, so that a hot key of ``left``
+    is dealt over ``salts`` tasks."""
+    from pyspark.sql import functions as F
+
+    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in left.dtypes if kind in ("bigint", "int", "string")]), F.lit(salts)).cast("int"))
+    copies = right.withColumn("__salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
+    return spread.join(copies, [on, "__salt"], how).drop("__salt")
