@@ -30,7 +30,7 @@ ORACLE_SQL = None
 
 WINDOW, END_TOKEN = 4096, 2
 #: Tokens that a task holds before it packs them; cached words before the cache starts anew.
-GROUP_TOKENS, CACHED_WORDS = 1 << 23, 600_000
+GROUP_TOKENS, CACHED_WORDS = 1 << 21, 500_000
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -116,26 +116,27 @@ class WordTokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.starts, self.lengths = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.keys, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # sorted hashes, and which word
+        self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.tokens, self.n_tokens = np.zeros(8192, dtype=np.uint32), 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        if len(self.place) + len(words) > CACHED_WORDS:
-            self._clear()
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        first = len(self.place)
-        while len(self.starts) < first + len(words):
-            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
-        flat = np.fromiter((t for ids in found for t in ids), dtype=np.uint32)
-        while len(self.tokens) < self.n_tokens + len(flat):
-            self.tokens = np.concatenate((self.tokens, np.zeros_like(self.tokens)))
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        self.tokens[self.n_tokens : self.n_tokens + len(flat)] = flat
-        self.starts[first : first + len(words)] = self.n_tokens + np.cumsum(sizes) - sizes
-        self.lengths[first : first + len(words)] = sizes
-        self.n_tokens += len(flat)
-        self.place.update(zip(hashes, range(first, first + len(words)), strict=True))
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Adds words; ``hashes`` are in order and new."""
+        sizes, first = [], self.n_tokens
+        for k in range(0, len(words), 2048):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(words[k : k + 2048], add_special_tokens=False)]
+            flat = np.fromiter((t for ids in found for t in ids), dtype=np.uint32)
+            if len(self.tokens) < self.n_tokens + len(flat):
+                self.tokens = np.concatenate((self.tokens, np.zeros(max(len(self.tokens) >> 1, len(flat)), dtype=np.uint32)))
+            self.tokens[self.n_tokens : self.n_tokens + len(flat)] = flat
+            self.n_tokens += len(flat)
+            sizes += map(len, found)
+        lengths = np.array(sizes, dtype=np.int64)
+        at = np.searchsorted(self.keys, hashes)
+        self.place = np.insert(self.place, at, len(self.starts) + np.arange(len(hashes)))
+        self.keys = np.insert(self.keys, at, hashes)
+        self.starts = np.concatenate((self.starts, first + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, without special tokens being added."""
@@ -145,15 +146,14 @@ class WordTokens:
             return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
         starts, ends, hashes, at = _text.words(data, bounds, lower=True, marks_apart=True)
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.place]
-        if new:
-            if len(self.place) + len(new) > CACHED_WORDS:
-                self._clear()
-                new = range(len(keys))
-            spans = [(int(starts[first[k]]), int(ends[first[k]])) for k in new]
-            self._learn([keys[k] for k in new], [whole[a:b].lower().decode() for a, b in spans])
-        place = np.fromiter((self.place[h] for h in keys), dtype=np.int64, count=len(keys))[inverse]
+        new = ~np.isin(unique, self.keys, assume_unique=True)
+        if len(self.keys) + int(new.sum()) > CACHED_WORDS:
+            self._clear()
+            new[:] = True
+        if new.any():
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            self._learn(unique[new], [whole[a:b].lower().decode() for a, b in spans])
+        place = self.place[np.searchsorted(self.keys, unique)][inverse]
         sizes, begins = self.lengths[place], self.starts[place]
         ends_at = np.cumsum(sizes)
         flat = self.tokens[np.repeat(begins - (ends_at - sizes), sizes) + np.arange(int(ends_at[-1]) if len(ends_at) else 0)]
