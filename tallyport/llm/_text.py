@@ -20,6 +20,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+_NO_LETTER = ~_LETTER
+_NO_LETTER[128:] = False
 _MARK = np.zeros(256, dtype=bool)
 _MARK[list(b".,;:!?*#%$&|()[]{}<>\"'/+=-_@~^`\\")] = True
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
@@ -71,16 +73,17 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, bounds: np.ndarray, lower: bool, marks_apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, bounds: np.ndarray, lower: bool, marks_apart: bool = False, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each word, and the n + 1 places in these where the texts' words start and end.
 
-    ``marks_apart``: an ASCII mark that follows an ASCII letter begins a word of its own.
+    ``marks_apart``: an ASCII mark that follows an ASCII letter begins a word of its own.  ``letters_only``: all ASCII
+    characters but letters count as white space.
     """
     n = len(data)
     if not n:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, np.zeros(0, dtype=np.uint64), np.zeros(len(bounds), dtype=np.int64)
-    inside = np.concatenate(([False], ~_SPACE[data], [False]))
+    inside = np.concatenate(([False], ~(_NO_LETTER if letters_only else _SPACE)[data], [False]))
     begins = inside[1:-1] & ~inside[:-2]
     stops = inside[1:-1] & ~inside[2:]
     edges = bounds[1:-1]  # a text may end in a word and the next begin with one
@@ -98,6 +101,32 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool, marks_apart: bool =
     return starts, ends, hashes, np.searchsorted(starts, bounds)
 
 
+class Known:
+    """A bounded map from 64-bit hashes to small values, as two sorted arrays."""
+
+    def __init__(self, kind: type, most: int) -> None:
+        self.kind, self.most = kind, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=self.kind)
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of these distinct hashes are not known; all, if they would not fit: then the map begins anew."""
+        new = ~np.isin(hashes, self.keys, assume_unique=True)
+        if len(self.keys) + int(new.sum()) > self.most:
+            self.clear()
+            new[:] = True
+        return new
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.values = np.insert(self.keys, at, hashes), np.insert(self.values, at, values)
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        return self.values[np.searchsorted(self.keys, hashes)]
+
+
 def shingles(hashes: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of ``width`` words of each text, and the text of each; a shorter text is one window."""
     counts = np.diff(at)
