@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tallyport.llm import op2_quality, op3_html, op4_chat, op5_packing, op7_near_dedup, op8_toxicity, op9_warc, op10_quality_rules
+from tallyport.llm import op2_quality, op3_html, op4_chat, op5_packing, op6_decontamination, op7_near_dedup, op8_toxicity, op9_warc, op10_quality_rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (op2_quality, op3_html, op4_chat, op5_packing, op7_near_dedup, op8_toxicity, op9_warc, op10_quality_rules):
+for module in (op2_quality, op3_html, op4_chat, op5_packing, op6_decontamination, op7_near_dedup, op8_toxicity, op9_warc, op10_quality_rules):
     QUERIES[module.NAME] = module.query
     if module.ORACLE_SQL:
         ORACLES[module.NAME] = module.ORACLE_SQL
