@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from tallyport.llm import op2_quality, op3_html, op4_chat, op5_packing, op6_decontamination, op7_near_dedup, op8_toxicity, op9_warc, op10_quality_rules
+from tallyport.llm import (
+    op1_licenses,
+    op2_quality,
+    op3_html,
+    op4_chat,
+    op5_packing,
+    op6_decontamination,
+    op7_near_dedup,
+    op8_toxicity,
+    op9_warc,
+    op10_quality_rules,
+)
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+MODULES = (op1_licenses, op2_quality, op3_html, op4_chat, op5_packing, op6_decontamination, op7_near_dedup, op8_toxicity, op9_warc, op10_quality_rules)
+QUERIES: dict = {m.NAME: m.query for m in MODULES}
 
-for module in (op2_quality, op3_html, op4_chat, op5_packing, op6_decontamination, op7_near_dedup, op8_toxicity, op9_warc, op10_quality_rules):
-    QUERIES[module.NAME] = module.query
-    if module.ORACLE_SQL:
-        ORACLES[module.NAME] = module.ORACLE_SQL
+
+def oracles() -> dict[str, str]:
+    """The DuckDB SQL of those that have it; the licence model is trained for it when it is first asked for."""
+    return {op1_licenses.NAME: op1_licenses.oracle()} | {m.NAME: m.ORACLE_SQL for m in MODULES if getattr(m, "ORACLE_SQL", None)}
