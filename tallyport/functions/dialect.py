@@ -137,7 +137,7 @@ class Duck(Spark):
         return f"try_strptime({text}, '%Y-%m-%dT%H:%M:%S.%gZ')"
 
     def plus_ms(self, ts: str, ms: str) -> str:
-        return f"({ts} + ({ms}) * INTERVAL 1 MILLISECOND)"
+        return f"({ts} + to_milliseconds({ms}))"
 
     def from_ms(self, ms: str) -> str:
         return f"make_timestamp(({ms}) * 1000)"

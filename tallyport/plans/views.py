@@ -94,7 +94,7 @@ def nas_sessions_raw(d):
 
 @view("derivatives")
 def derivatives(d):
-    return """SELECT l.doc_id AS manifest_id, concat('d', l.doc_id % 40) AS derivative_id, CAST(row_number() OVER (PARTITION BY l.doc_id % 500 ORDER BY l.doc_id) - 1 AS BIGINT) AS position, l.doc_id % 500 AS group_id,
+    return """SELECT l.doc_id AS manifest_id, concat('d', CAST(floor(l.doc_id / 100) AS BIGINT) % 3) AS derivative_id, CAST(row_number() OVER (PARTITION BY l.doc_id % 100 ORDER BY l.doc_id) - 1 AS BIGINT) AS position, l.doc_id % 100 AS group_id,
     CASE WHEN l.doc_id % 31 = 0 THEN 'movie' WHEN l.doc_id % 3 = 0 THEN 'tile' ELSE 'preview' END AS kind, CASE WHEN l.doc_id % 29 = 0 THEN 'done' WHEN l.toxic = 1 THEN 'failed' WHEN l.quality = 1 THEN 'created' ELSE 'planned' END AS status,
     CASE WHEN l.doc_id % 37 = 0 THEN NULL ELSE 'original' END AS source, l.doc_id - CASE WHEN l.doc_id % 41 = 0 THEN 1 ELSE 0 END AS source_manifest_id, CASE WHEN l.doc_id % 43 = 0 THEN 1 ELSE d.n_chars END AS source_bytes, d.n_chars AS manifest_bytes,
     CASE l.doc_id % 8 WHEN 0 THEN concat('s3://b/', l.doc_id, '?X-Amz-Date=1') WHEN 1 THEN concat('c:\\dir', l.doc_id) WHEN 2 THEN '../up' WHEN 3 THEN concat('design=', l.doc_id) ELSE concat('nas/', l.doc_id) END AS location_hint,
@@ -116,3 +116,10 @@ def remote_states(d):
 def file_plan(d):
     """Chunks of 1000 characters of each file."""
     return f"SELECT file_id, chunk_index, chunk_index * 1000 AS start_char, CAST(1000 AS BIGINT) AS size_chars FROM (SELECT file_id, CAST(length(content) AS BIGINT) AS n FROM {{files}}) f {d.rows(d.div('n + 999', '1000') + ' - 1', 'chunk_index')}"
+
+
+@view("tiff_headers")
+def tiff_headers(d):
+    """First 16 bytes of image files, as hexadecimal digits: both byte orders, classic and big, and damaged ones."""
+    return """SELECT p_partkey AS image_id, CASE p_partkey % 7 WHEN 0 THEN '49492a0008000000ffffffffffffffff' WHEN 1 THEN '4d4d002a00000010ffffffffffffffff' WHEN 2 THEN '49492b00080000001000000000000000' WHEN 3 THEN '4d4d002b000800000000000000000100'
+    WHEN 4 THEN '49492b00040000001000000000000000' WHEN 5 THEN '4d4d2a0000000010ffffffffffffffff' ELSE '89504e470d0a1a0a0000000d49484452' END AS head FROM {part}"""
