@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyport.functions.dialect import DUCK, SPARK, Spark
+from tallyport.functions.workers import reachable
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 Sql = Callable[[Spark], str]
@@ -84,7 +85,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFram
     known = {} if known is None else known
     if name not in known:
         if name in TABLES:
-            known[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            known[name] = reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
         else:
             sql = VIEWS[name](SPARK)
             known[name] = _run(spark, sql, {x: frame(spark, sf_dir, x, known) for x in dict.fromkeys(_NAME.findall(sql))})

@@ -17,7 +17,7 @@ CHUNK = 8 << 20
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Path, size, time of change and digest of each file; for files that fit one cell (2 GiB)."""
+    """Path, size, time of change and digest of each file that is not empty (Spark lists no empty files); for files that fit one cell (2 GiB)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     return files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("sha256"))

@@ -20,7 +20,8 @@ STATE = "status string, last long, events long"
 def session_status(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Status of each session after each batch of ``events (session_id, event_id, event_time, type)``.
 
-    Events that come twice within ``late`` count once; an older event never takes back what a newer one said.
+    Events that come twice within ``late`` count once; an older event never takes back what a newer one
+    said, but a terminal one counts however late it comes.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -28,8 +29,9 @@ def session_status(events: DataFrame, late: str = "10 minutes") -> DataFrame:
         for batch in batches:
             for row in batch.sort_values("event_id").itertuples():
                 seen += 1
-                if status not in TERMINAL and row.event_id > last:
-                    status, last = STATUS.get(row.type, "uploading"), row.event_id
+                now = STATUS.get(row.type, "uploading")
+                if status not in TERMINAL and (now in TERMINAL or row.event_id > last):
+                    status, last = now, max(last, row.event_id)
         state.update((status, int(last), int(seen)))
         yield pd.DataFrame({"session_id": [key[0]], "status": [status], "events": [seen]})
 
