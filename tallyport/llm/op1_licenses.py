@@ -240,7 +240,7 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 def scan_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each line with a licence word: ``row, doc_id, place``, its ``family`` (or unknown or none) and its ``lead``; and a row without place per other document."""
     spark, m = docs.sparkSession, model()
-    found = paragraphs(docs, text)
+    found = _session.materialize(paragraphs(docs, text), "op1")  # one scan, and row numbers that stay
     weights = F.broadcast(_rows(spark, m["weights"], "gram, class, weight"))
     templates = F.broadcast(_rows(spark, template_grams(), "family, template, gram, pairs"))
     each = found.select("row", "doc_id", "place", F.explode_outer("grams").alias("gram"))
