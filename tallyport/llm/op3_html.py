@@ -70,7 +70,9 @@ BY_WORD = {
 }
 _WORDS = {word: _BIT[flag] for flag, words in BY_WORD.items() for word in words.split()}
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|$)|<[!?][^>]*>?", re.S)
+# Possessive, so that broken markup is never tried in more than one way.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<!--(?:[^-]++|-(?!->))*+(?:-->|\Z)|<[!?][^>]*+>", re.S)
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PIECES = re.compile(r"[^a-z]+")
 
@@ -123,6 +125,9 @@ def blocks(page: str) -> list[Block]:
         links -= tag == "a"
         unseen -= tag in UNSEEN
 
+    if "<!--" not in page[page.rfind(">") + 1 :]:  # a tag that the page breaks off in is no text
+        cut = _UNFINISHED.search(page, page.rfind(">") + 1)
+        page = page[: cut.start()] if cut else page
     end = len(page)
     while at < end:
         m = _TAG.search(page, at)
