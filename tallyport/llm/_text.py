@@ -5,6 +5,7 @@ A word is ``[^\\x20\\x09-\\x0D]+``.  The hash of a word depends on its bytes alo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer text makes one larger chunk.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -61,6 +62,16 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             end = max(start + 1, int(np.searchsorted(sizes, done + CHUNK, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    release()
+
+
+def release() -> None:
+    """Gives memory that is no longer used back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not on this platform
+        pass
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ ORACLE_SQL = None
 
 WINDOW, END_TOKEN = 4096, 2
 #: Tokens that a task holds before it packs them; cached words before the cache starts anew.
-GROUP_TOKENS, CACHED_WORDS = 1 << 21, 500_000
+GROUP_TOKENS, CACHED_WORDS = 1 << 21, 250_000
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
