@@ -220,6 +220,10 @@ def generated(rng: random.Random) -> tuple[str, list[bool]]:
         truth.append(content)
         return text
 
+    if rng.random() < 0.08:  # nothing but the text, with little or no markup
+        text = say(prose(1, 4), True)
+        return rng.choice([text, f"<p>{text}", f"<html><body>{text}</body></html>", f"<html><body><div><p>{text}</p></div></body></html>"]), truth
+
     def wrap(tag: str, names: list[str], inner: str) -> str:
         style = rng.random()
         if style < 0.4 and tag:

@@ -1,0 +1,68 @@
+"""Quality (2) and toxicity (8): held-out accuracy, odd rows, and that held-out labels are not used."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyport.llm import op2_quality, op8_toxicity
+
+CASES = [(op2_quality, "quality", 0.95), (op8_toxicity, "toxic", 0.92)]
+
+
+@pytest.fixture(scope="module")
+def sf(data):
+    return data.replace("sf0.001", "sf0.01")
+
+
+@pytest.mark.parametrize(("module", "label", "least"), CASES)
+def test_held_out_accuracy(spark, sf, module, label, least):
+    got = module.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert len(got) > 50 and sum(r.predicted == r[label] for r in got) >= least * len(got)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+@pytest.mark.parametrize(("module", "label", "least"), CASES)
+def test_held_out_labels_are_not_used(spark, data, folder, module, label, least):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    turned = labels.withColumn(label, F.when(held, 1 - F.col(label)).otherwise(F.col(label)).cast("int"))
+    path = folder(documents=spark.read.parquet(f"{data}/documents.parquet"), labels=turned)
+    scores = [sorted((r.doc_id, r.score) for r in module.query(spark, p).collect()) for p in (data, path)]
+    assert scores[0] == scores[1]
+
+
+@pytest.mark.parametrize("label", ["quality", "toxic"])
+def test_odd_rows(spark, odd, empty, data, label):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    if label == "quality":
+        odd, empty = odd.withColumn("n_chars", F.lit(None).cast("long")), empty.withColumn("n_chars", F.lit(1))
+        model, score = op2_quality.fit(docs, labels), op2_quality.score
+    else:
+        model, score = op8_toxicity.fit(docs, labels), op8_toxicity.score
+    got = score(odd, model).select("row.*", F.col("score").alias("p")).collect()
+    assert len(got) == odd.count() and all(0 <= r.p <= 1 for r in got)
+    assert len({r.p for r in got if r.doc_id == 7}) == 1 and len({r.p for r in got if r.doc_id in (1, 2)}) == 1
+    assert score(empty, model).count() == 0
+
+
+@pytest.mark.parametrize(("module", "label", "least"), CASES)
+def test_without_labels(spark, data, folder, module, label, least):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    path = folder(documents=docs, labels=labels.filter("false"))
+    assert {r.score for r in module.query(spark, path).collect()} == {0.0}
+
+
+def test_filter_keeps_columns(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("score", F.lit("x")).withColumn("row", F.lit(2))
+    out = op8_toxicity.filter_documents(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    assert out.columns == docs.columns and 0 < out.count() < docs.count()
+
+
+def test_machine_is_the_pairwise_sum():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    w, v = rng.normal(size=20), rng.normal(size=(20, 4))
+    at, x = rng.choice(20, 7, replace=False), rng.normal(size=7)
+    got = op2_quality.machine(np.zeros(7, dtype=int), at, x, 1, 0.3, w, v)[0][0]
+    want = 0.3 + w[at] @ x + sum(v[at[i]] @ v[at[j]] * x[i] * x[j] for i in range(7) for j in range(i))
+    assert got == pytest.approx(want)
