@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,8 +66,8 @@ def located(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts, and where each text's words start and end."""
-    data, bounds = _text.raw(texts)
-    _, _, hashes, at = _text.words(data, bounds, lower=True, letters_only=True)
+    data, bounds = _text.raw(pc.utf8_lower(texts.cast(pa.large_string())))
+    _, _, hashes, at = _text.words(data, bounds, lower=False, letters_only=True)
     return hashes, at
 
 
