@@ -68,10 +68,10 @@ def derivative_build(d):
     return f"SELECT concat('preview-', f.file_id) AS derivative_id, 'preview' AS kind, CASE WHEN x.status = 'failed' THEN 'failed' ELSE 'planned' END AS status, 'original' AS source, f.file_id AS manifest_id, f.size_bytes, coalesce(nullif(f.media_type, ''), 'application/octet-stream') AS media_type, {d.sha('f.content')} AS checksum FROM {{files}} f JOIN {{derivatives}} x ON x.manifest_id = f.file_id"
 
 
-@operator("derivative_upsert")
+@operator("derivative_upsert", bind={"new": "new_derivatives"})
 def derivative_upsert(d):
     """Derivatives of each group after new ones came: same ids are replaced in place, others are added behind."""
-    new = "(SELECT group_id, concat('d', (manifest_id + 1) % 5) AS derivative_id, max(position) AS position FROM {derivatives} WHERE manifest_id % 5 = 0 GROUP BY group_id, concat('d', (manifest_id + 1) % 5))"
+    new = "(SELECT group_id, derivative_id, max(position) AS position FROM {new} GROUP BY group_id, derivative_id)"
     old = "(SELECT group_id, derivative_id, min(position) AS position FROM {derivatives} GROUP BY group_id, derivative_id)"
     return f"SELECT coalesce(o.group_id, n.group_id) AS group_id, coalesce(o.derivative_id, n.derivative_id) AS derivative_id, coalesce(o.position, 100000 + n.position) AS position, n.derivative_id IS NOT NULL AS changed FROM {old} o FULL OUTER JOIN {new} n ON o.group_id = n.group_id AND o.derivative_id = n.derivative_id"
 

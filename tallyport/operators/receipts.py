@@ -103,7 +103,7 @@ def hydrate_snapshot(d):
 @operator("hydrate_legacy", bind={"ranges": "record_ranges"})
 def hydrate_legacy(d):
     """Receipts made up for the ranges of records that were stored without any."""
-    return f"SELECT x.manifest_id, x.chunk_index, p.end_byte - p.start_byte AS size_bytes FROM (SELECT r.manifest_id, chunk_index FROM (SELECT r.* FROM {{ranges}} r WHERE r.manifest_id % 4 = 0) r {d.between('r.start_index', 'r.end_index', 'chunk_index')}) x JOIN {{plan}} p ON p.manifest_id = x.manifest_id AND p.chunk_index = x.chunk_index"
+    return f"SELECT x.manifest_id, x.chunk_index, p.end_byte - p.start_byte AS size_bytes FROM (SELECT r.manifest_id, chunk_index FROM (SELECT g.* FROM {{ranges}} g JOIN {{resume_records}} s ON s.manifest_id = g.manifest_id WHERE s.schema_version = 'v0.1') r {d.between('r.start_index', 'r.end_index', 'chunk_index')}) x JOIN {{plan}} p ON p.manifest_id = x.manifest_id AND p.chunk_index = x.chunk_index"
 
 
 @operator("resume_checkpoint")

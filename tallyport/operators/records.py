@@ -43,7 +43,7 @@ def tus_metadata(d):
 @operator("header_list", bind={"pages": "pages"})
 def header_list(d):
     """The trimmed, non-empty entries of a comma-separated header."""
-    return f"SELECT page_id, {d.tokens('url_list')} AS entries FROM (SELECT page_id, concat(' creation, ,', substring(url, 1, 20), ' ,termination,') AS url_list FROM {{pages}}) t"
+    return f"SELECT page_id, {d.tokens('url_list')} AS entries FROM (SELECT page_id, concat(' creation, ,', url, ' ,termination,') AS url_list FROM {{pages}}) t"
 
 
 @operator("progress")

@@ -85,13 +85,12 @@ def resume_list(d):
     return f"SELECT entry, k, CASE WHEN k IS NULL THEN 'resume.record_invalid' ELSE 'ok' END AS verdict FROM (SELECT {key} AS entry, {d.try_long(d.json(stored, 'k'))} AS k FROM {{events}}) t WHERE entry LIKE 'resume:%'"
 
 
-@operator("resume_upsert")
+@operator("resume_upsert", bind={"changes": "resume_changes"})
 def resume_upsert(d):
     """The store after a batch of puts and deletes: the last change of a key wins, other records stay."""
-    change = "(SELECT concat('resume_', l_orderkey) AS record_id, l_shipdate AS changed_at, l_linenumber AS line, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 'paused' END AS status FROM {lineitem} WHERE l_partkey % 20 = 0)"
-    last = f"(SELECT record_id, status FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY changed_at DESC, line DESC, l_partkey DESC, l_suppkey DESC) AS place FROM {change} c) q WHERE place = 1)"
+    last = "(SELECT record_id, status FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY position DESC) AS place FROM {changes} c) q WHERE place = 1)"
     anti = "LEFT ANTI" if d.name == "spark" else "ANTI"
-    return f"SELECT record_id, status FROM (SELECT record_id, status FROM {{resume_records}}) r {anti} JOIN {last} l ON l.record_id = r.record_id UNION ALL SELECT record_id, status FROM {last} l WHERE status IS NOT NULL".replace("SELECT record_id, status FROM (SELECT record_id, status FROM {resume_records}) r", "SELECT r.record_id, r.status FROM (SELECT record_id, status FROM {resume_records}) r", 1)
+    return f"SELECT r.record_id, r.status FROM {{resume_records}} r {anti} JOIN {last} l ON l.record_id = r.record_id UNION ALL SELECT record_id, status FROM {last} l WHERE status IS NOT NULL"
 
 
 @operator("transport_merge", bind={"log": "receipts"})

@@ -59,6 +59,13 @@ def resume_records(d):
     LEFT JOIN (SELECT r.manifest_id, CAST(sum(least((r.end_index + 1) * m.chunk_size, m.total_bytes) - r.start_index * m.chunk_size) AS BIGINT) AS bytes, coalesce(max(CASE WHEN r.start_index = 0 THEN r.end_index + 1 END), 0) AS next_index FROM {{record_ranges}} r JOIN {{manifests}} m ON r.manifest_id = m.manifest_id GROUP BY r.manifest_id) p ON p.manifest_id = m.manifest_id"""
 
 
+@view("resume_changes")
+def resume_changes(d):
+    """Puts (with a status) and deletes (without one) of records, in the order of each record's positions."""
+    return """SELECT concat('resume_', l_orderkey) AS record_id, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 'paused' END AS status,
+    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS BIGINT) AS position FROM {lineitem}"""
+
+
 @view("candidates")
 def candidates(d):
     """The file that is offered for each record: sometimes another one, or planned with other chunks."""
@@ -102,6 +109,12 @@ def derivatives(d):
     CASE WHEN l.doc_id % 3 = 0 THEN CAST(256 - 256 * (l.doc_id % 2) AS BIGINT) END AS tile_width, l.doc_id % 4 AS levels, CAST(4096 AS BIGINT) AS level_width FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id""".replace("c:\\dir", "c:\\\\dir" if d.name == "spark" else "c:\\dir")
 
 
+@view("new_derivatives")
+def new_derivatives(d):
+    """What each derivative is offered as next: some ids its group has, others are new to it."""
+    return "SELECT group_id, concat('d', (manifest_id + 1) % 5) AS derivative_id, position FROM {derivatives}"
+
+
 @view("samples")
 def samples(d):
     return "SELECT ps.p_partkey AS image_id, ps.p_size AS bits, ps.p_name AS software FROM {part} ps"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tallyport.functions.workers import reachable
 from tallyport.plans.registry import _ORACLES, QUERIES, frame
 
 CHUNK = 8 << 20
@@ -106,4 +107,4 @@ def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["chunked_sha256"] = _chunked
 _ORACLES["chunked_sha256"] = lambda: "SELECT doc_id AS file_id, sha256(text) AS sha256, strlen(text)::BIGINT AS size_bytes FROM documents WHERE text <> ''"
-QUERIES["scan_files"] = lambda spark, sf_dir: scan_files(spark, f"{sf_dir}/region.parquet")
+QUERIES["scan_files"] = lambda spark, sf_dir: scan_files(reachable(spark), sf_dir)

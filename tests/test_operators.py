@@ -63,6 +63,35 @@ def test_next_chunk_and_remaining(spark):
     assert sorted(r.chunk_index for r in run("remaining_chunks", spark, plan=plan, **frames).collect()) == [2, 3]
 
 
+def test_upserts_take_every_change(spark):
+    records = spark.createDataFrame([(f"r{k}", "active") for k in range(4)], "record_id string, status string")
+    changes = spark.createDataFrame([("r0", 0, "paused"), ("r0", 1, None), ("r1", 1, "paused"), ("r1", 0, None), ("r9", 0, "paused")], "record_id string, position long, status string")
+    assert sorted(tuple(r) for r in run("resume_upsert", spark, resume_records=records, changes=changes).collect()) == [("r1", "paused"), ("r2", "active"), ("r3", "active"), ("r9", "paused")]
+    old = spark.createDataFrame([(1, "d0", 0), (1, "d1", 1)], "group_id long, derivative_id string, position long")
+    new = spark.createDataFrame([(1, "d1", 0), (1, "d4", 1), (2, "d0", 2)], "group_id long, derivative_id string, position long")
+    got = sorted((r.group_id, r.derivative_id, r.position < 100, r.changed) for r in run("derivative_upsert", spark, derivatives=old, new=new).collect())
+    assert got == [(1, "d0", True, False), (1, "d1", True, True), (1, "d4", False, True), (2, "d0", False, True)]
+
+
+def test_change_feeds_cover_their_tables(spark, data):
+    assert registry.frame(spark, data, "resume_changes").count() == registry.frame(spark, data, "lineitem").count()
+    assert registry.frame(spark, data, "new_derivatives").count() == registry.frame(spark, data, "derivatives").count()
+
+
+def test_legacy_receipts_follow_the_schema_version(spark):
+    versions = {1: "v0.1", 4: "v9", 5: "v0.2", 8: "v0.1"}
+    records = spark.createDataFrame(list(versions.items()), "manifest_id long, schema_version string")
+    ranges = spark.createDataFrame([(k, 0, 1) for k in versions], "manifest_id long, start_index long, end_index long")
+    plan = run("plan_chunks", spark, manifests=manifests(spark, [(k, 2 * 262144, 262144) for k in versions])).selectExpr("manifest_id", "chunk_index", "chunk_index * 262144 AS start_byte", "(chunk_index + 1) * 262144 AS end_byte")
+    got = run("hydrate_legacy", spark, ranges=ranges, resume_records=records, plan=plan).collect()
+    assert sorted((r.manifest_id, r.chunk_index) for r in got) == [(1, 0), (1, 1), (8, 0), (8, 1)]
+
+
+def test_header_list_reads_the_whole_text(spark):
+    pages = spark.createDataFrame([(1, "a-text-of-more-than-20-characters , second")], "page_id long, url string")
+    assert run("header_list", spark, pages=pages).collect()[0].entries == "creation|a-text-of-more-than-20-characters|second|termination"
+
+
 def test_digests(spark):
     files = spark.createDataFrame([(1, "a.tif", 3, "image/tiff", 5, "abc"), (2, "b", 0, "", None, "")], "file_id long, name string, size_bytes long, media_type string, last_modified long, content string")
     got = {r.file_id: r.sha256 for r in run("file_sha256", spark, files=files).collect()}

@@ -24,6 +24,13 @@ def test_scan_and_chunks(spark, tmp_path):
     assert got == {n: (want[n], len(d)) for n, d in content.items() if d}
 
 
+def test_scan_query_reads_the_whole_folder(spark, data):
+    files = [os.path.join(folder, name) for folder, _, names in os.walk(data) for name in names]
+    want = {os.path.relpath(f, data): hashlib.sha256(open(f, "rb").read()).hexdigest() for f in files if os.path.getsize(f) and not os.path.basename(f).startswith(("_", "."))}
+    got = {r.path.split(f"{data}/")[1]: r.sha256 for r in registry.QUERIES["scan_files"](spark, data).collect()}
+    assert got == want and len(want) > 5
+
+
 def test_staged_sink(spark, tmp_path):
     spark.dataSource.register(StagedFileSink)
     rows = spark.createDataFrame([("s1", 1, b"world"), ("s1", 0, b"hello "), ("s2", 0, b"x")], "session string, chunk_index long, body binary")
