@@ -10,7 +10,8 @@
 Neither stage lists pairs.  A bucket or family is walked breadth first: a member is compared, in numpy, with those not yet
 reached, and only the tie between a member and its root is emitted.  Buckets and families beyond a block are split into
 blocks, and each pair of blocks is a task's group, so that no group is unbounded; the ties are then contracted
-(:mod:`._components`).  A pair at the threshold shares no band with a probability of 7e-9.
+(:mod:`._components`).  A pair at the threshold of 85 % shares no band with a probability of 7e-9, one
+at 80 % with 3e-6.
 
 Edge cases: a text without words, or null, has an empty set, is linked with nothing and is kept; fewer than five words
 are one shingle; rows that repeat an id are nodes by their sets, and have one component each; ties go to the smallest
@@ -34,7 +35,7 @@ ORACLE_SQL = None
 
 #: Similarity in per cent at which documents are linked by the contract; bands, and rows of each.
 PERCENT, BANDS, ROWS = 85, 32, 5
-#: How far below the threshold an estimate may be for a pair to be looked at: five standard errors of the estimate.
+#: How far below the contract's threshold an estimate may be for a pair to be looked at: five standard errors of the estimate.
 MARGIN = 0.145
 #: Members of a bucket, and bytes of the sets of a family, that one group of a task holds of either block.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
@@ -102,6 +103,12 @@ def estimate(equal_share: np.ndarray) -> np.ndarray:
     return (equal_share - chance) / (1 - chance)
 
 
+def margin(percent: int) -> float:
+    """Five standard errors of an estimate at the threshold, at least ``MARGIN``."""
+    equal = percent / 100 + (1 - percent / 100) / 256
+    return max(MARGIN, 5 * (equal * (1 - equal) / (BANDS * ROWS)) ** 0.5 / (1 - 1 / 256))
+
+
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document; node, signature and bands are null where the set is empty."""
 
@@ -216,7 +223,7 @@ def families(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = buckets.filter("members = 2").select("a", "b").distinct().select(F.xxhash64("a", "b").alias("key"), F.lit(2).cast("long").alias("members"), F.explode(F.array("a", "b")).alias("node"))
     many = keys.join(buckets.filter("members > 2").select("key", "members"), "key").select("key", "members", "node")
     members = pairs.unionByName(many).join(nodes.select("node", "signature"), "node")
-    ties = _grouped(members, "key", "signature", "members", BLOCK, lambda values: tied_by_signature(values, percent / 100 - MARGIN))
+    ties = _grouped(members, "key", "signature", "members", BLOCK, lambda values: tied_by_signature(values, percent / 100 - margin(percent)))
     found = _components.components(ties)
     _session.discard(buckets)
     return found

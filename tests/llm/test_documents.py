@@ -191,6 +191,22 @@ def test_deduplicate(spark, odd, empty):
     assert op7_near_dedup.deduplicate(empty).count() == 0 and op7_near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_deduplicate_at_80_per_cent(spark):
+    rng, rows = random.Random(80), []
+    for k in range(40):
+        words = [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(150)]
+        rows.append((2 * k, " ".join(words)))
+        for at in range(20, 140, 120 // (1 + k % 5)):
+            words[at] = "edited"
+        rows.append((2 * k + 1, " ".join(words)))
+    want = {p: sorted(int(i) for i, _, least in plain_components(rows, p) if i == least) for p in (80, 85)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert want[80] != want[85]
+    for percent, kept in want.items():
+        assert sorted(r.doc_id for r in op7_near_dedup.deduplicate(df, percent=percent).collect()) == kept
+    assert op7_near_dedup.margin(85) == op7_near_dedup.MARGIN and 0.158 < op7_near_dedup.margin(80) < 0.16
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(2)
     errors = []
