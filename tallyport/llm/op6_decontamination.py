@@ -10,15 +10,18 @@ Test items are a stated query set: they are taken in blocks of at most ``BLOCK_W
 tasks whole, so that documents are neither shuffled nor joined, however common a window may be.  A task holds one batch of
 documents and the block.
 
-Words are runs of letters, in lower case; marks and digits are dropped.  Edge cases: null and empty texts have no windows;
-items of fewer than ``LEAST_WORDS`` words are not searched for, since they would be met by chance; without items, nothing
-leaks; repeated documents and repeated items are reported as often as they occur; other columns pass through
+Words are runs of letters, in lower case; marks and digits are dropped.  Items of fewer than ``LEAST_WORDS`` words are
+searched for exactly: all their tokens in a row, which are words and numbers, and single characters of scripts without
+spaces (:class:`Exact`).  Edge cases: null and empty texts have no windows; items of fewer than ``LEAST_TOKENS`` tokens are
+not searched for; without items, nothing leaks; repeated documents and repeated items are reported as often as they occur; other columns pass through
 :func:`decontaminate` in a struct.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,10 @@ ORACLE_SQL = None
 
 #: Words of a seed; seeds of an item: this many at least, and this share of its windows; words of an item at least.
 SEED, LEAST_SEEDS, SEED_SHARE, LEAST_WORDS = 3, 24, 0.6, 8
+#: Tokens of an item that is searched for exactly, at least; as many as a window has.
+LEAST_TOKENS = SEED
+#: First and last characters of scripts without spaces between words.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1980, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3000, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
 #: The share of an item's own score that a leak reaches, and the scores of an alignment.
 LEAST_SCORE, MATCH, MISMATCH, GAP = 0.6, 2, -1, -1
 #: Words of a passage beyond what the item covers, on either side, and windows of a block of items.
@@ -64,9 +71,13 @@ def located(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, stop - back, stop
 
 
+def _lower(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts.cast(pa.large_string()))
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts, and where each text's words start and end."""
-    data, bounds = _text.raw(pc.utf8_lower(texts.cast(pa.large_string())))
+    data, bounds = _text.raw(_lower(texts))
     _, _, hashes, at = _text.words(data, bounds, lower=False, letters_only=True)
     return hashes, at
 
@@ -97,11 +108,98 @@ class Lookup:
         return likely[sure], at[sure]
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """By character: 0 ends a token, 1 is part of one, 2 is one by itself."""
+    kinds = np.zeros(0x110000, dtype=np.uint8)
+    kinds[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LMN"]] = 1
+    for first, last in UNSPACED:
+        kinds[first : last + 1] *= 2
+    return kinds
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First character, the one behind the last, and hash of each token of lower-case texts, and where each text's tokens start and end."""
+    texts = pc.fill_null(texts, "")
+    bounds = np.concatenate(([0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    letters = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+    kinds = _kinds()[letters]
+    part = kinds == 1
+    edge = np.zeros(len(letters) + 1, dtype=bool)  # a text begins
+    edge[bounds] = True
+    before, after = np.concatenate(([False], part[:-1])), np.concatenate((part[1:], [False]))
+    starts = np.flatnonzero((kinds == 2) | part & (~before | edge[:-1]))
+    ends = np.flatnonzero((kinds == 2) | part & (~after | edge[1:])) + 1
+    up, down = _text._powers(len(letters) + 1)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_text.mix(letters.astype(np.uint64) + np.uint64(1)) * up[: len(letters)], dtype=np.uint64)))
+    return starts, ends, _text.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(starts, bounds)
+
+
+def _runs(hashes: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of runs of tokens."""
+    up, down = _text._powers(len(hashes) + 1)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
+    return _text.mix((sums[place + length] - sums[place]) * down[place] + length.astype(np.uint64))
+
+
+class Exact:
+    """Short items: texts that hold all tokens of one in a row.
+
+    The first window of an item is looked up; where a text has it, runs of the lengths of the items that begin so are compared.
+    """
+
+    def __init__(self, texts: list[str]) -> None:
+        _, _, hashes, at = tokens_of(_lower(pa.array(texts, type=pa.string())))
+        length = np.diff(at)
+        kept = np.flatnonzero(length >= LEAST_TOKENS)
+        at, length = at[:-1][kept], length[kept]
+        whole = _runs(hashes, at, length)
+        self.items: dict[int, list[int]] = {}
+        for k, h in zip(kept.tolist(), whole.tolist(), strict=True):
+            self.items.setdefault(h, []).append(k)
+        first = _runs(hashes, at, np.full(len(at), LEAST_TOKENS))
+        self.first, self.whole = Lookup(first), Lookup(whole)
+        pairs = np.unique(np.stack((np.searchsorted(self.first.values, first), length), axis=1), axis=0)
+        self.length = pairs[:, 1]
+        self.starts, self.stops = (np.searchsorted(pairs[:, 0], np.arange(len(self.first.values)), side=s) for s in ("left", "right"))
+
+    def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
+        """Text, item, score (1), first and last place in words, for the first copy of an item in each text."""
+        if not self.items:
+            return
+        lower = _lower(texts)
+        starts, ends, hashes, at = tokens_of(lower)
+        place = np.arange(max(0, len(hashes) - LEAST_TOKENS + 1))
+        hit, which = self.first.hits(_runs(hashes, place, np.full(len(place), LEAST_TOKENS)))
+        many = self.stops[which] - self.starts[which]
+        length = self.length[np.repeat(self.starts[which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        place = np.repeat(place[hit], many)
+        text = np.searchsorted(at, place, side="right") - 1
+        inside = place + length <= at[text + 1]
+        place, length, text = place[inside], length[inside], text[inside]
+        value = _runs(hashes, place, length)
+        sure, _ = self.whole.hits(value)
+        begins = np.concatenate(([0], np.cumsum(pc.utf8_length(pc.fill_null(lower, "")).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        seen = set()
+        for k in sure.tolist():
+            t, h = int(text[k]), int(value[k])
+            if (t, h) in seen:
+                continue
+            seen.add((t, h))
+            body = lower[t].as_py()
+            first, stop = (int(x - begins[t]) for x in (starts[place[k]], ends[place[k] + length[k] - 1]))
+            _, words = words_of(pa.array([body[:first], body[first:stop]], type=pa.string()))
+            for item in self.items[h]:
+                yield t, item, 1.0, int(words[1]), int(words[2])
+
+
 class Seeds:
-    """A block of items with their seeds: leaks of a batch of documents."""
+    """A block of items with their seeds, and of short items: leaks of a batch of documents."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], counts: dict[int, int]) -> None:
-        self.items = items
+    def __init__(self, items: list[tuple[int, np.ndarray]], counts: dict[int, int], short: list[tuple[int, str]] | None = None) -> None:
+        self.items, short = items, short or []
+        self.ids = [i for i, _ in items] + [i for i, _ in short]
+        self.exact = Exact([t for _, t in short])
         seed, item, place = [], [], []
         for k, (_, hashes) in enumerate(items):
             own, at = windows(hashes, np.array([0, len(hashes)]))
@@ -118,7 +216,9 @@ class Seeds:
         self.stops = np.searchsorted(values[order], self.lookup.values, side="right")
 
     def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
-        """Text, item, score as a share, first and last place, for each leak."""
+        """Text, item (a place in ``ids``), score as a share, first and last place, for each leak."""
+        for t, k, *rest in self.exact.leaks(texts):
+            yield t, len(self.items) + k, *rest
         hashes, at = words_of(texts)
         value, place = windows(hashes, at)
         hit, which = self.lookup.hits(value)
@@ -163,7 +263,10 @@ def blocks(docs: DataFrame, items: DataFrame, text: str) -> Iterator[Seeds]:
         taken = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
         hashes, at = words_of(pa.array([t for _, t in taken], type=pa.string()))
         kept = [(i, hashes[a:b].copy()) for (i, _), a, b in zip(taken, at[:-1], at[1:], strict=True) if b - a >= LEAST_WORDS]
+        short = [x for x, n in zip(taken, np.diff(at), strict=True) if n < LEAST_WORDS]
         if not kept:
+            if short:
+                yield Seeds([], {}, short)
             continue
         lookup = Lookup(np.concatenate([windows(h, np.array([0, len(h)]))[0] for _, h in kept]))
 
@@ -176,7 +279,7 @@ def blocks(docs: DataFrame, items: DataFrame, text: str) -> Iterator[Seeds]:
 
         partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "seed long, n long")
         counts = {r["seed"] % (1 << 64): r["n"] for r in partial.groupBy("seed").agg(F.sum("n").alias("n")).collect()}
-        yield Seeds(kept, counts)
+        yield Seeds(kept, counts, short)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,7 +291,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         def run(batches: Iterator[pa.RecordBatch], block: Seeds = block) -> Iterator[pa.RecordBatch]:
             for chunk in _text.chunks(batches, "text"):
                 ids = chunk.column("doc_id").to_pylist()
-                found = [(ids[t], block.items[i][0], s, a, b) for t, i, s, a, b in block.leaks(chunk.column("text"))]
+                found = [(ids[t], block.ids[i], s, a, b) for t, i, s, a, b in block.leaks(chunk.column("text"))]
                 if found:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=[x.split()[0] for x in LEAKS.split(", ")])

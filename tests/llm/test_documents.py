@@ -128,6 +128,23 @@ def test_leaks(spark, data, odd, empty):
     assert op6_decontamination.leaks(odd, short).count() == 0
 
 
+def test_short_items_are_found_exactly(spark):
+    items = {1: "Who wrote Faust?", 2: "12 + 7 * 45 = 327, 8", 3: "水の沸点は何度ですか。", 4: "น้ำเดือดที่กี่องศา", 5: "Wie heißt Größe?", 6: "who wrote", 7: "Who wrote Faust, part two?", 8: "who  WROTE faust"}
+    texts = {
+        10: "x. who wrote FAUST? y", 11: "so 12 + 7 * 45 = 327, 8.", 12: "質問:水の沸点は何度ですか。答え", 13: "ถามน้ำเดือดที่กี่องศาตอบ", 14: "a wie HEIẞT größe b", 15: "who wrote fausty", 16: "12 + 7 * 45 = 327, 9", 17: "水の沸点は何",
+        18: "xwho wrote faust", 19: "Who wrote", 20: "faust", 21: None, 22: "", 23: "WIE HEISST GRÖSSE", 24: "Who wrote Faust, part two? Who wrote Faust?", 25: "wie heißt größe",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    test = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = op6_decontamination.leaks(docs, test).collect()
+    want = {(10, 1), (10, 8), (11, 2), (12, 3), (13, 4), (14, 5), (24, 1), (24, 7), (24, 8), (25, 5)}
+    assert len(rows) == len(want) and {(r.doc_id, r.item_id) for r in rows} == want and {r.score for r in rows} == {1.0}
+    assert [(r.start, r.stop) for r in rows if (r.doc_id, r.item_id) == (10, 1)] == [(1, 4)]
+    both = test.unionByName(spark.createDataFrame([(9, "one two three four five six seven eight nine ten eleven")], test.schema))
+    assert len(op6_decontamination.leaks(docs, both).collect()) == len(want)
+    assert {r.doc_id for r in op6_decontamination.decontaminate(docs, both).collect()} == set(texts) - {d for d, _ in want}
+
+
 def shingles(text):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
