@@ -2,8 +2,8 @@
 
 1.  Windows of ``SEED`` words of the test items are counted over all documents; only windows that some item has leave a
     task, as partial counts.  An item's seeds are those of its windows that the corpus has most rarely.
-2.  Where a document has a seed of an item, the passage that the item could cover there is aligned with it by
-    Smith-Waterman over words.
+2.  Where a document has a seed of an item, the passage that the item could cover there, with as many insertions as the
+    score allows, is aligned with it by Smith-Waterman over words; passages that touch are aligned as one.
 3.  A document leaks an item if the best score is at least ``LEAST_SCORE`` of what the item itself would score.
 
 Test items are a stated query set: they are taken in blocks of at most ``BLOCK_WINDOWS`` windows, and each block goes to the
@@ -43,12 +43,17 @@ LEAST_TOKENS = SEED
 UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1980, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3000, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
 #: The share of an item's own score that a leak reaches, and the scores of an alignment.
 LEAST_SCORE, MATCH, MISMATCH, GAP = 0.6, 2, -1, -1
-#: Words of a passage beyond what the item covers, on either side, and windows of a block of items.
+#: Words of a passage beyond what the item covers, on either side, at least (see :func:`slack`), and windows of a block of items.
 SLACK, BLOCK_WINDOWS = 10, 1 << 20
 
 LEAKS = "doc_id long, item_id long, score double, start long, stop long"
 
 
+def slack(n: int) -> int:
+    """How far a leak of an item of ``n`` words may stray from the diagonal of any of its seeds: all that its score can lose, as gaps."""
+    return max(SLACK, 1 + int((1 - LEAST_SCORE) * MATCH * n / -GAP))
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """The best local score of two word sequences, and the place in the passage behind its last word."""
     steps = -GAP * np.arange(len(passage) + 1)
@@ -235,13 +240,13 @@ class Seeds:
         groups = np.append(np.flatnonzero(new), len(text))
         for a, b in zip(groups[:-1], groups[1:], strict=True):
             words, t = self.items[item[a]][1], text[a]
-            least, reach = LEAST_SCORE * MATCH * len(words), len(words) + SLACK
+            least, wide = LEAST_SCORE * MATCH * len(words), slack(len(words))
             best = None
             at_once = a
             for k in range(a + 1, b + 1):
-                if k < b and begin[k] - begin[k - 1] <= SLACK:
+                if k < b and begin[k] - begin[k - 1] <= wide:
                     continue
-                low, high = max(int(at[t]), int(begin[at_once]) - SLACK), min(int(at[t + 1]), int(begin[k - 1]) + reach)
+                low, high = max(int(at[t]), int(begin[at_once]) - wide), min(int(at[t + 1]), int(begin[k - 1]) + len(words) + wide)
                 at_once = k
                 passage = hashes[low:high]
                 if MATCH * np.isin(words, passage).sum() < least:

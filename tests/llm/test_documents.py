@@ -128,6 +128,20 @@ def test_leaks(spark, data, odd, empty):
     assert op6_decontamination.leaks(odd, short).count() == 0
 
 
+def test_leaks_with_long_insertions(spark):
+    item = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    foreign = lambda n: [f"x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
+    around = lambda words: " ".join(foreign(200) + words + foreign(200))
+    texts = {
+        1: around(item[:30] + foreign(30) + item[30:]), 2: around(item[:20] + foreign(24) + item[20:40] + foreign(24) + item[40:]), 3: around(item[:30] + foreign(49) + item[30:]),
+        4: around(item[:20] + item[36:]), 5: around(item[:30] + foreign(48) + item[30:]), 6: around(item[:30]),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in op6_decontamination.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert {k: round(r.score * 120) for k, r in got.items()} == {1: 90, 2: 72, 4: 72, 5: 72}
+    assert (got[1].start, got[1].stop) == (200, 290)
+
+
 def test_short_items_are_found_exactly(spark):
     items = {1: "Who wrote Faust?", 2: "12 + 7 * 45 = 327, 8", 3: "水の沸点は何度ですか。", 4: "น้ำเดือดที่กี่องศา", 5: "Wie heißt Größe?", 6: "who wrote", 7: "Who wrote Faust, part two?", 8: "who  WROTE faust"}
     texts = {
