@@ -84,11 +84,12 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, bounds: np.ndarray, lower: bool, marks_apart: bool = False, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, bounds: np.ndarray, lower: bool, marks_apart: bool = False, letters_only: bool = False, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each word, and the n + 1 places in these where the texts' words start and end.
 
     ``marks_apart``: an ASCII mark that follows an ASCII letter begins a word of its own.  ``letters_only``: all ASCII
-    characters but letters count as white space.
+    characters but letters count as white space.  ``longest``: words of more bytes are cut, at character bounds, into pieces
+    that cover them, each a word of its own.
     """
     n = len(data)
     if not n:
@@ -105,6 +106,8 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool, marks_apart: bool =
         cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
         begins[cut] = stops[cut - 1] = True
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    if longest:
+        starts, ends = _cut(data, starts, ends, longest)
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_OF_BYTE[_LOWER[data] if lower else data] * up[:n], out=sums[1:])
@@ -112,6 +115,23 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool, marks_apart: bool =
     return starts, ends, hashes, np.searchsorted(starts, bounds)
 
 
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words, with those of more than ``longest`` bytes in pieces of at most that; each round cuts one piece off every long word."""
+    long = ends - starts > longest
+    if not long.any():
+        return starts, ends
+    at, stop, breaks = starts[long], ends[long], []
+    while len(at):
+        at = at + longest
+        for _ in range(3):  # a character has at most three bytes behind its first
+            at = at - ((data[at] & 0xC0) == 0x80)
+        breaks.append(at)
+        more = stop - at > longest
+        at, stop = at[more], stop[more]
+    cuts = np.concatenate(breaks)
+    return np.sort(np.concatenate((starts, cuts))), np.sort(np.concatenate((ends, cuts)))
+
+
 class Known:
     """A bounded map from 64-bit hashes to small values, as two sorted arrays."""
 

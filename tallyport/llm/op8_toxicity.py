@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are made from labelled text: one from what toxic documents say and others do not, one from
-ordinary text.  A window is a word in lower case (marks and digits end it).  It is compressed with either dictionary, and
+ordinary text.  A window is a word in lower case (marks and digits end it); a run of more than ``LONGEST`` bytes, as in scripts
+without spaces, is cut into windows that cover all of it.  A window is compressed with either dictionary, and
 the ratio of the two lengths says whose language it is.  A document's windows below each of several ratios are counted,
 and a logistic calibration on labelled rows that the dictionaries have not seen turns the counts into a probability.
 
@@ -45,9 +46,9 @@ STRETCH, LONGEST, KNOWN = 4, 64, 400_000
 def stretched(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The windows of lower-case words, each letter as four bytes keyed by its place, end to end; their offsets and sizes.
 
-    A window keeps the first ``LONGEST`` bytes of a word, which ends with a space.
+    Words end with a space and have at most ``LONGEST`` bytes, since longer ones come in pieces.
     """
-    sizes = np.minimum(ends - starts, LONGEST) + 1
+    sizes = ends - starts + 1
     stops = np.cumsum(sizes)
     at = np.arange(int(stops[-1])) - np.repeat(stops - sizes, sizes)
     letters = np.concatenate((data, [32]))[np.minimum(np.repeat(starts, sizes) + at, len(data))].astype(np.int64)
@@ -95,7 +96,7 @@ class Distance:
         """Per text: windows below each ratio of ``CUTS``, and all windows."""
         data, bounds = _text.raw(texts)
         data = _text._LOWER[data]
-        starts, ends, hashes, at = _text.words(data, bounds, lower=False, letters_only=True)
+        starts, ends, hashes, at = _text.words(data, bounds, lower=False, letters_only=True, longest=LONGEST)
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         new = self.known.missing(unique)
         if new.any():
@@ -118,13 +119,13 @@ def _word_documents(docs: DataFrame) -> DataFrame:
         for chunk in _text.chunks(batches, "text"):
             data, bounds = _text.raw(chunk.column("text"))
             data = _text._LOWER[data]
-            starts, ends, hashes, at = _text.words(data, bounds, lower=False, letters_only=True)
+            starts, ends, hashes, at = _text.words(data, bounds, lower=False, letters_only=True, longest=LONGEST)
             doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
             order = np.lexsort((hashes, doc))
             if not len(order):
                 continue
             keep = order[np.concatenate(([True], (np.diff(doc[order]) != 0) | (hashes[order][1:] != hashes[order][:-1])))]
-            keep = keep[(ends[keep] - starts[keep] >= 3) & (ends[keep] - starts[keep] <= LONGEST)]
+            keep = keep[ends[keep] - starts[keep] >= 3]
             whole = data.tobytes()
             words = pa.array([whole[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)], type=pa.binary()).cast(pa.string())
             labels = chunk.column("label").to_numpy(zero_copy_only=False)[doc[keep]]

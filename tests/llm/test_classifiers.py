@@ -57,6 +57,26 @@ def test_filter_keeps_columns(spark, data):
     assert out.columns == docs.columns and 0 < out.count() < docs.count()
 
 
+def test_long_runs_are_scored_to_their_end():
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyport.llm import _text
+
+    texts = ["水の沸点は何度ですか" * 40, "x" * 200, "short ones", "é" * 33 + " ok " + "a" * 64, "a" * 65 + "é" * 100, "😀" * 50]
+    data, bounds = _text.raw(pa.array(texts))
+    starts, ends, _, at = _text.words(data, bounds, lower=False, letters_only=True, longest=op8_toxicity.LONGEST)
+    assert (ends - starts <= op8_toxicity.LONGEST).all()
+    for k, text in enumerate(texts):
+        pieces = [bytes(data[a:b]).decode() for a, b in zip(starts[at[k] : at[k + 1]], ends[at[k] : at[k + 1]])]
+        assert "".join(pieces) == text.replace(" ", "")
+    words = [f"{a}orrible{b}" for a in "bcdfghklmnprst" for b in ("thing", "person", "stuff")]
+    ordinary = [f"{a}easant{b}" for a in "bcdfghklmnprst" for b in ("walk", "house", "morning")]
+    distance = op8_toxicity.Distance({"toxic": op8_toxicity.dictionary(words), "ordinary": op8_toxicity.dictionary(ordinary)})
+    alone, behind, without = distance.counts(pa.array([words[5], "z" * 64 + words[5], "z" * 64]))
+    assert alone[-2] == 1 and (behind == alone + without).all() and np.array_equal(without[-1:], [1.0])
+
+
 def test_machine_is_the_pairwise_sum():
     import numpy as np
 
