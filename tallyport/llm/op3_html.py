@@ -10,7 +10,7 @@ Pages are independent: there is no shuffle, and a task holds one batch.  Reading
 two smoothness edges per block.
 
 Edge cases: null and empty html, and pages without text, give an empty text; broken or unclosed markup is read as far as it
-goes; character references are decoded, also without their semicolon where HTML allows that; repeated rows are extracted
+goes; a head ends where HTML says so, also without its end tag; character references are decoded, also without their semicolon where HTML allows that; repeated rows are extracted
 each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -42,8 +42,10 @@ ORDER_WEIGHT, SIBLING_WEIGHT, FADE = 1.0, 0.8, 0.5
 # Fixed names of HTML elements and of common classes.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas select textarea button datalist audio video map".split())
+UNSEEN = frozenset("script style noscript template title svg iframe object canvas select textarea button datalist audio video map".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: Start tags that may stand in a head; any other, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements beyond which an end tag or an implied end does not reach.
 SCOPES = frozenset("table ul ol dl article section nav aside div main body header footer form blockquote".split())
@@ -132,6 +134,8 @@ def blocks(page: str) -> list[Block]:
     while at < end:
         m = _TAG.search(page, at)
         stop = m.start() if m else end
+        if stack[-1][0] == "head" and page[at:stop].strip():
+            pop()
         if stop > at and not unseen:
             parts.append(page[at:stop])
             linked += (stop - at) * bool(links)
@@ -152,6 +156,8 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in SCOPES and tag not in SCOPES:
                     break
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop()
         if tag == "br":
             parts.append(" ")
         if tag in BLOCKS:
@@ -166,7 +172,7 @@ def blocks(page: str) -> list[Block]:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if unseen and tag == "body":  # a head that was never closed
+        if unseen and tag == "body":  # something in the head that was never closed
             while len(stack) > 1 and unseen:
                 pop()
         number += 1

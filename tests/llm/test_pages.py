@@ -49,6 +49,22 @@ def test_generated_pages():
     assert wrong <= 0.01 * total
 
 
+def test_head_without_end_tag():
+    text = "The article of this page is long enough to be read as one."
+    heads = ["<head><title>T</title>", "<head><title>T</title><meta charset=utf-8><script>var x = 1</script>", "<head>", "<head><style>p{}</style></head>", "<head class=ad><title>T</title>\n"]
+    for head in heads:
+        for body in (f"<p>{text}", f"<div>{text}</div></head>", text, f"<body><p>{text}</p></body>"):
+            found = op3_html.blocks(f"<!doctype html><html>{head}{body}")
+            assert [b.text for b in found] == [text] and found[0].flags == 0, (head, body)
+    page = f"<html><head><title>T</title><div class=nav>{text}<p>b</head><p>c</div>"
+    assert [(b.text, b.flags) for b in op3_html.blocks(page)][2] == ("c", op3_html.blocks(page)[0].flags)
+
+
+def test_formulas_stay():
+    found = op3_html.blocks("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math>, as we know.</p>")
+    assert [b.text for b in found] == ["Energy is E=mc2, as we know."]
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, None, "<p>"), (4, "u", "<script>never closed"), (5, "u", "<!-- never closed"), (6, "u", "just text, which is long enough to be kept as a text."), (7, "u", "<div" * 2000), (8, "u", "<p>" * 5000 + "deep text, and it goes on." + "</div>" * 9), (9, "u", "a &am b &amp c &#x41; &bogus;")] * 2
     got = op3_html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
