@@ -15,7 +15,7 @@ at 80 % with 3e-6.
 
 Edge cases: a text without words, or null, has an empty set, is linked with nothing and is kept; fewer than five words
 are one shingle; rows that repeat an id are nodes by their sets, and have one component each; ties go to the smallest
-document id; an empty table gives an empty result; other columns pass through :func:`deduplicate` in a struct.
+document id; rows without an id are linked like others, and a component of such rows alone has no id; an empty table gives an empty result; other columns pass through :func:`deduplicate` in a struct.
 """
 
 from __future__ import annotations
@@ -243,7 +243,15 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, family: DataFrame, percent: in
             rows = [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([chunk.column("family"), chunk.column("node"), pa.array(rows, type=pa.binary()), chunk.column("bytes")], names=["family", "node", "shingles", "bytes"]).filter(pa.array(same))
 
-    sets = texts.join(chosen, "doc_id").select("family", "node", "text", "bytes").mapInArrow(run, "family binary, node binary, shingles binary, bytes long")
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _text.chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(digests(*shingle_sets(chunk.column("text"))), type=pa.binary()), chunk.column("text")], names=["node", "text"])
+
+    found = texts.join(chosen, "doc_id").select("family", "node", "text", "bytes")
+    if not nodes.filter("first is null").isEmpty():  # nodes without an id are found by their digest
+        unnamed = texts.filter("doc_id is null").select("text").mapInArrow(signed, "node binary, text string").groupBy("node").agg(F.first("text").alias("text"))
+        found = found.unionByName(unnamed.join(chosen.filter("doc_id is null").drop("doc_id"), "node").select("family", "node", "text", "bytes"))
+    sets = found.mapInArrow(run, "family binary, node binary, shingles binary, bytes long")
     return _grouped(sets, "family", "shingles", "bytes", BLOCK_BYTES, lambda values: tied_by_set([np.frombuffer(v, dtype=np.uint64) for v in values], percent))
 
 

@@ -208,6 +208,17 @@ def test_near_duplicates(spark):
     assert near(spark, rows) == plain_components(rows)
 
 
+def test_near_duplicates_without_ids(spark):
+    word = lambda k, n: [f"w{k}x{j}" for j in range(n)]
+    chain = [" ".join(["edited"] * k + word(1, 150)[k:]) for k in (0, 9, 18)]  # neighbours are near, the ends are not
+    alone = [" ".join(["edited"] * k + word(2, 150)[k:]) for k in (0, 3, 6)]
+    rows = [(1, chain[0]), (None, chain[1]), (2, chain[2]), *((None, t) for t in alone), (None, alone[0]), (None, " ".join(word(3, 50)))]
+    assert near(spark, rows) == plain_components(rows)
+    assert {r[2] for r in near(spark, rows) if r[0] == "2"} == {"1"}
+    left = op7_near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(left) == 3 and sum(r.text in alone for r in left) == 1
+
+
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(op7_near_dedup, "BLOCK", 7)
     monkeypatch.setattr(op7_near_dedup, "BLOCK_BYTES", 9000)
