@@ -1,17 +1,23 @@
 """License scans: a sparse n-gram classifier of paragraphs, confirmed by templates; DataFrame functions only.
 
-A paragraph is a line.  Lines with a licence word are cut into word 1- and 2-grams; a multinomial logistic regression, trained
-on the templates below with words dropped, added and exchanged, gives each class a score.  Its classes are the licence
-families, ``unknown`` (licence language of no known family) and ``none``.  Small weights are set to zero, and what is left is
-rounded to integers after temperature scaling, so that sums are exact.  The best family counts if it leads by ``margin``,
-which is calibrated so that held-out paragraphs of no known family rarely reach it, and if the paragraph contains
-``CONFIRM_PERCENT`` of the 2-grams of one of the family's templates; otherwise the paragraph is ``unknown``.
+A paragraph ends at a blank line, and at the end of a line that ends a sentence; other line ends are white space, so a
+notice that is wrapped over lines is one paragraph.  A paragraph's word 1- and 2-grams are scored by a multinomial logistic
+regression, trained on the templates below with words dropped, added and exchanged.  Its classes are the licence families,
+``unknown`` (licence language of no known family) and ``none``.  Small weights are set to zero, and what is left is rounded
+to integers after temperature scaling, so that sums are exact.  The best family counts if it leads by ``margin``, which is
+calibrated so that held-out paragraphs of no known family rarely reach it, and if the paragraph contains ``CONFIRM_PERCENT``
+of the 2-grams of one of the family's templates (all its grams, if it has fewer than three words); otherwise the paragraph is
+``unknown``.
 
-Per document: the families of its paragraphs, the one with the largest lead, and counts.  The model is a fixed size, whatever
-the input, and is broadcast; the weights meet only the n-grams of lines with a licence word.  The shuffles carry sums.
+Most paragraphs need no scoring: :func:`triggers` derives from the weights a set of words without which no class can reach
+``none``, whatever else a paragraph holds.  It is a bound, not a rule of thumb: the DuckDB oracle scores every paragraph.
+
+Per document: the families of its paragraphs, the one with the largest lead, and counts.  Everything is an expression on the
+document's own row, with the model as constants of the plan: there is no shuffle and no intermediate table.
 
 Edge cases: null and empty texts have no paragraphs (``license`` is ``none``); repeated rows are scanned each; ties go to the
-larger lead, then to the smaller name; an empty table gives an empty result; other columns are ignored.
+larger lead, then to the smaller name; a paragraph of one word has 1-grams only; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import random
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyport.llm import _session
@@ -29,8 +35,8 @@ NAME = "op1_licenses"
 
 #: Share of a template's 2-grams that a paragraph must have.
 CONFIRM_PERCENT = 60
-#: A line without one of these is not licence language.
-ANCHORS = "licen[sc]e|licen[sc]ing|copyright|copyleft|all rights reserved|public domain|permission is hereby granted|redistribution and use|creative commons|spdx|provided .as is|without warrant"
+#: The lead of ``none`` over the other classes before any word is seen, as a logarithm of odds.
+PRIOR = 6.0
 
 # Fixed phrases of well-known licences, by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -38,6 +44,10 @@ TEMPLATES: dict[str, list[str]] = {
         "This program is free software under the terms of the GNU Affero General Public License, version 3.",
         "Licensed under the GNU Affero General Public License v3.0.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "GNU Affero General Public License as published by the Free Software Foundation",
+        "AGPLv3",
+        "GNU AGPL",
+        "AGPL 3.0",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
@@ -45,52 +55,84 @@ TEMPLATES: dict[str, list[str]] = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "This project is released under the Apache 2.0 license.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "released under Apache 2.0",
+        "under Apache-2.0",
+        "Apache Software License",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
         "Licensed under the BSD 3-Clause License.",
         "Released under the BSD license.",
+        "BSD 2-Clause license",
+        "under the BSD terms",
     ],
     "cc-by": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
         "Content is available under the Creative Commons Attribution license.",
+        "available under CC BY 4.0",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC-SA 4.0.",
+        "available under CC BY-NC 4.0",
+        "Creative Commons Attribution-NonCommercial",
     ],
     "cc-by-sa": [
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
         "Text is available under the Creative Commons Attribution-ShareAlike License.",
+        "available under CC BY-SA 4.0",
+        "Creative Commons Attribution-ShareAlike",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "either version 3 of the License, or (at your option) any later version",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "Licensed under the GNU General Public License v2.0 or later.",
         "SPDX-License-Identifier: GPL-2.0-or-later",
         "Released under the GPL license version 3.",
+        "GPLv3",
+        "GPLv2",
+        "GNU GPL",
+        "GPL v3",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-only",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "LGPLv3",
+        "GNU LGPL",
+        "LGPL 2.1",
     ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        'to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "Licensed under the MIT license.",
         "SPDX-License-Identifier: MIT",
         "This project is licensed under the terms of the MIT license.",
+        "distributed under MIT terms",
+        "available under the MIT license",
+        "MIT licensed",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "MPL 2.0",
     ],
     "proprietary": [
         "All rights reserved.",
@@ -102,6 +144,8 @@ TEMPLATES: dict[str, list[str]] = {
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal.",
         "SPDX-License-Identifier: CC0-1.0",
+        "placed in the public domain",
+        "available under CC0 1.0",
     ],
 }
 UNKNOWN = [
@@ -113,6 +157,9 @@ UNKNOWN = [
     "SPDX-License-Identifier: LicenseRef-{0}",
     "Distributed under the {0} Open License {2}.",
     "The {0} may be used under license from {1}.",
+    "Released under the {0} license version {2}.",
+    "Available under the terms of the {0} Public License.",
+    "{0} license, {1}? copyright",
 ]
 NONE = [
     "The driver showed a license to the {0} at the {1}.",
@@ -122,10 +169,21 @@ NONE = [
     "He spoke about licensing music for {0} and {1}.",
     "The debate on copyright and {0} went on for {2} hours.",
     "Poetic licence lets {0} be {1}.",
-    "{0} {1} {0} of the {1} and {0}.",
+    "She reserved a table at the {0} for {1} and all of the {0}.",
+    "You should have received a copy of the {0} with the {1}.",
+    "The {0} is distributed to the public in the {1}, version {2} of it is available.",
+    "The terms of the treaty were published by the {0} foundation, and the public can use the source of the {1}.",
+    "He was released from {0} under the terms of a {1} that applies to any person.",
+    "He went mit dem {0} nach {1}, und mit den {0} und der {1}.",
+    "Das {0} mit der {1} ist mit {2} {0} in der {1}.",
+    "The Apache {0} lived in {1} for {2} years, said the general.",
+    "This is the {0} of the {1} and it is free to use without {0} or {1}.",
+    "Students at MIT in {0} wrote a {1} program and a library of {0}.",
+    "It is a work of {0} in the domain of {1}, by the author of the {0}.",
 ]
 FAMILIES = sorted(TEMPLATES)
 CLASSES = [*FAMILIES, "none", "unknown"]
+_COMMON = "the of and to in a is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do mit und der die das von zu den im ist nicht le la les des et en un une que de el los por con para del se".split()
 
 
 def tokens(text: str) -> list[str]:
@@ -144,16 +202,17 @@ def grams(words: list[str]) -> set[str]:
 
 
 def _variants(rng: random.Random, per_class: int) -> list[tuple[list[str], str]]:
-    """Training paragraphs of all classes."""
+    """Training paragraphs of all classes; of ordinary text the most, with common words in any order."""
     word = lambda: "".join(rng.choice("bcdfghlmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
-    common = "the of and to in a is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do".split()
-    filler = lambda: rng.choice(common) if rng.random() < 0.5 else word()
+    filler = lambda: rng.choice(_COMMON) if rng.random() < 0.5 else word()
     out = []
     for name in CLASSES:
         source = TEMPLATES.get(name) or (UNKNOWN if name == "unknown" else NONE)
-        for k in range(per_class):
+        for k in range(per_class * (4 if name == "none" else 2 if name == "unknown" else 1)):
             text = source[k % len(source)].format(word(), word(), rng.randint(1, 9)) if name in ("unknown", "none") else source[k % len(source)]
             words = tokens(text)
+            if name == "none" and k % 3 == 0:
+                words = [filler() for _ in range(rng.randint(1, 60))]
             if name not in ("unknown", "none") and k >= len(source):
                 dropped = [w for w in words if rng.random() > 0.06]
                 words = dropped if len(dropped) > 1 else words
@@ -165,41 +224,38 @@ def _variants(rng: random.Random, per_class: int) -> list[tuple[list[str], str]]
 
 @lru_cache(maxsize=1)
 def model() -> dict:
-    """Integer weights (thousandths), intercepts and the calibrated margin."""
-    train, check = _variants(random.Random(21), 90), _variants(random.Random(22), 60)
-    counts: dict[str, int] = {}
-    for words, _ in train:
-        for g in grams(words):
-            counts[g] = counts.get(g, 0) + 1
-    vocabulary = sorted(g for g, n in counts.items() if n >= 4)
+    """Integer weights (thousandths), intercepts, the calibrated margin and the trigger words."""
+    train, check = _variants(random.Random(21), 120), _variants(random.Random(22), 60)
+    phrases = [tokens(t.format("", "", "")) for t in (*(t for ts in TEMPLATES.values() for t in ts), *UNKNOWN, *NONE)]
+    vocabulary = sorted(g for g in set().union(*map(grams, phrases)) if not set(g.split()) <= set(_COMMON) and len(g) > 1)
     place = {g: k for k, g in enumerate(vocabulary)}
 
     def matrix(rows: list[tuple[list[str], str]]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.zeros((len(rows), len(vocabulary)))
+        x = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
         for k, (words, _) in enumerate(rows):
             x[k, [place[g] for g in grams(words) if g in place]] = 1
         return x, np.array([CLASSES.index(c) for _, c in rows])
 
     x, y = matrix(train)
-    w, b, target = np.zeros((len(vocabulary), len(CLASSES))), np.zeros(len(CLASSES)), np.eye(len(CLASSES))[y]
-    for _ in range(200):  # proximal gradient steps: those weights that the loss does not need become zero
-        s = x @ w + b
-        p = np.exp(s - s.max(axis=1, keepdims=True))
-        slope = (p / p.sum(axis=1, keepdims=True) - target) / len(y)
+    w, target = np.zeros((len(vocabulary), len(CLASSES)), dtype=np.float32), np.eye(len(CLASSES), dtype=np.float32)[y]
+    b = np.where(np.array(CLASSES) == "none", PRIOR, 0).astype(np.float32)  # a paragraph is ordinary text until its words say otherwise
+    for _ in range(240):  # proximal gradient steps: those weights that the loss does not need become zero
+        p = _softmax(x @ w + b)
+        slope = (p - target) / len(y)
         w -= 4 * x.T @ slope
-        b -= 4 * slope.sum(axis=0)
-        w = np.sign(w) * np.maximum(np.abs(w) - 4 * 2e-5, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - 4 * 6e-5, 0)
     x, y = matrix(check)
     best = min(np.linspace(0.5, 3, 26), key=lambda t: -sum(np.log(_softmax((x @ w + b) / t)[np.arange(len(y)), y])))
     weights, intercepts = np.round(1000 * w / best).astype(int), np.round(1000 * b / best).astype(int)
-    weights[np.abs(weights) < 40] = 0
+    weights[np.abs(weights) < 60] = 0
     s = x @ weights + intercepts
     order = np.sort(s, axis=1)
     lead, top = order[:, -1] - order[:, -2], s.argmax(axis=1)
     wrong = np.sort(lead[(top < len(FAMILIES)) & (y >= len(FAMILIES))])
     margin = int(max(500, 1 + (wrong[int(0.99 * (len(wrong) - 1))] if len(wrong) else 0)))
-    rows = [(g, CLASSES[c], int(weights[k, c])) for k, g in enumerate(vocabulary) for c in np.flatnonzero(weights[k])]
-    return {"weights": rows, "intercepts": dict(zip(CLASSES, map(int, intercepts), strict=True)), "margin": margin}
+    used = np.flatnonzero((weights != 0).any(axis=1))
+    rows = {vocabulary[k]: weights[k].tolist() for k in used}
+    return {"weights": rows, "intercepts": intercepts.tolist(), "margin": margin, "triggers": triggers(rows, intercepts.tolist())}
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
@@ -207,68 +263,126 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def template_grams() -> list[tuple[str, int, str, int]]:
-    """Family, number, 2-gram and the number of 2-grams, of every template."""
+def triggers(weights: dict[str, list[int]], intercepts: list[int]) -> list[str]:
+    """Words of which a paragraph must have one, if any class is to reach the score of ``none``.
+
+    Without any of them, all that a paragraph can add to the lead of a class over ``none`` is the sum of the positive
+    differences of the grams without such a word; that sum stays below the lead of ``none`` in the intercepts.
+    """
+    none = CLASSES.index("none")
+    gain = {g: np.maximum(0, np.array(w) - w[none]) for g, w in weights.items()}
+    behind = intercepts[none] - np.array(intercepts)
+    behind[none] = 1
+    if (behind <= 0).any():
+        raise ValueError("a class is as likely as none without any word")
+    words = sorted({w for g in gain for w in g.split()})
+    chosen: list[str] = []
+    while True:
+        left = {g: v for g, v in gain.items() if not set(g.split()) & set(chosen)}
+        total = sum(left.values(), np.zeros(len(CLASSES), dtype=int))
+        over = total >= behind
+        if not over.any():
+            return sorted(chosen)
+        worth = {w: 0.0 for w in words if w not in chosen}
+        for g, v in left.items():
+            for w in set(g.split()):
+                worth[w] += float((v[over] / behind[over]).sum()) * (0.1 if w in _COMMON else 1)  # rather a rare word
+        chosen.append(max(worth, key=lambda w: (worth[w], w)))
+
+
+def templates() -> list[tuple[str, int, list[str]]]:
+    """Family, number and compared grams of every template."""
     out = []
     for family in FAMILIES:
         for k, text in enumerate(TEMPLATES[family]):
-            pairs = sorted(g for g in grams(tokens(text)) if " " in g)
-            out += [(family, k, g, len(pairs)) for g in pairs]
+            words = tokens(text)
+            out.append((family, k, sorted(g for g in grams(words) if " " in g or len(words) < 3)))
     return out
 
 
-def _values(rows: list[tuple]) -> str:
-    """Rows of letters, digits and numbers as SQL."""
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+#: An end of a sentence at the end of a line, and a blank line; either becomes a record separator.
+_ENDS, _BLANK, _SEPARATOR = r"([.!?;:][)\x22]*)[ \t\r]*\n", r"\n[ \t\r]*\n", "\x1e"
+
 
+def _strings(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{x}'" for x in values) + ")"
 
-def _rows(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    """Literal rows as a table."""
-    return spark.sql(f"SELECT * FROM VALUES {_values(rows)} AS t({names})")
+
+def _by_letter(words: list[str]) -> str:
+    """A pattern of these words, tried by their first letters."""
+    first: dict[str, list[str]] = {}
+    for w in words:
+        first.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(first.items()))
+
+
+def _found(text: Column) -> Column:
+    """An array of the paragraphs with a trigger word, in order: ``place`` and ``grams``."""
+    trigger = rf"(?:^|[^a-z0-9])(?:{_by_letter(model()['triggers'])})(?:[^a-z0-9]|$)"
+    lower = F.lower(text)
+    parts = F.split(F.regexp_replace(F.regexp_replace(lower, _ENDS, "$1" + _SEPARATOR), _BLANK, _SEPARATOR), _SEPARATOR, -1)
+    some = F.filter(F.transform(parts, lambda x, k: F.struct(k.alias("place"), x.alias("line"))), lambda s: s["line"].rlike(trigger))
+    words = F.transform(some, lambda s: F.struct(s["place"].alias("place"), F.regexp_extract_all(s["line"], F.lit("[a-z0-9]+"), F.lit(0)).alias("words")))
+
+    def both(s: Column) -> Column:
+        w = s["words"]
+        pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.struct(s["place"].alias("place"), F.array_distinct(F.concat(w, pairs)).alias("grams"))
+
+    return F.when(lower.rlike(trigger), F.transform(words, both))
+
+
+def _judged(found: Column) -> Column:
+    """``place, family, lead`` of each paragraph."""
+    m = model()
+    weights = "map(" + ", ".join(f"'{g}', array({', '.join(map(str, w))})" for g, w in sorted(m["weights"].items())) + ")"
+    vocabulary, table = F.expr(_strings(sorted(m["weights"]))), F.expr(weights)
+    start = F.expr(f"array({', '.join(map(str, m['intercepts']))})").cast("array<int>")
+    forms = F.expr("array(" + ", ".join(f"named_struct('family', '{f}', 'grams', {_strings(g)})" for f, _, g in templates()) + ")")
+    names = F.expr(_strings(CLASSES))
+
+    def scored(p: Column) -> Column:
+        sums = F.aggregate(F.array_intersect(p["grams"], vocabulary), start, lambda s, g: F.zip_with(s, F.element_at(table, g), lambda a, b: a + b))
+        ranked = F.sort_array(F.transform(sums, lambda s, k: F.struct(s.alias("score"), (-k).alias("order"))), asc=False)
+        return F.struct(p["place"].alias("place"), p["grams"].alias("grams"), ranked.alias("ranked"))
+
+    def named(p: Column) -> Column:
+        best = F.element_at(names, 1 - p["ranked"][0]["order"])
+        return F.struct(p["place"].alias("place"), p["grams"].alias("grams"), best.alias("best"), (p["ranked"][0]["score"] - p["ranked"][1]["score"]).alias("lead"))
+
+    def judged(p: Column) -> Column:
+        holds = F.exists(forms, lambda t: (t["family"] == p["best"]) & (100 * F.size(F.array_intersect(t["grams"], p["grams"])) >= CONFIRM_PERCENT * F.size(t["grams"])))
+        family = F.when(p["best"].isin("none", "unknown"), p["best"]).when((p["lead"] >= m["margin"]) & holds, p["best"]).otherwise("unknown")
+        return F.struct(p["place"].alias("place"), family.alias("family"), p["lead"].cast("long").alias("lead"))
+
+    return F.transform(F.transform(F.transform(found, scored), named), judged)
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``row`` (a number for each document), ``doc_id`` and, for each line with a licence word, ``place`` and ``grams``; without such a line one row without them."""
-    lines = F.filter(F.transform(F.split(F.lower(F.col("text")), "\n", -1), lambda x, k: F.struct(k.alias("place"), x.alias("line"))), lambda s: s["line"].rlike(ANCHORS))
-    some = F.when(F.lower(F.col("text")).rlike(ANCHORS), lines)
-    out = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col(text).cast("string").alias("text")).select("row", "doc_id", F.explode_outer(some).alias("p"))
-    out = out.select("row", "doc_id", "p.place", F.expr("regexp_extract_all(p.line, '[a-z0-9]+', 0)").alias("words"))
-    pairs = F.expr("transform(sequence(1, size(words) - 1), i -> concat(words[i - 1], ' ', words[i]))")
-    return out.select("row", "doc_id", "place", F.when(F.size("words") > 1, F.array_distinct(F.concat("words", pairs))).otherwise(F.array_distinct("words")).alias("grams"))
+    """``doc_id``, and ``place`` and ``grams`` of each paragraph with a trigger word; a row without them for a document that has none."""
+    return docs.select("doc_id", F.explode_outer(_found(F.col(text).cast("string"))).alias("p")).select("doc_id", "p.place", "p.grams")
 
 
 def scan_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Each line with a licence word: ``row, doc_id, place``, its ``family`` (or unknown or none) and its ``lead``; and a row without place per other document."""
-    spark, m = docs.sparkSession, model()
-    found = _session.materialize(paragraphs(docs, text), "op1")  # one scan, and row numbers that stay
-    weights = F.broadcast(_rows(spark, m["weights"], "gram, class, weight"))
-    templates = F.broadcast(_rows(spark, template_grams(), "family, template, gram, pairs"))
-    each = found.select("row", "doc_id", "place", F.explode_outer("grams").alias("gram"))
-    scored = each.join(weights, "gram", "left").groupBy("row", "doc_id", "place").pivot("class", CLASSES).agg(F.sum("weight"))
-    totals = F.array(*[F.struct((F.coalesce(F.col(f"`{c}`"), F.lit(0)) + m["intercepts"][c]).alias("score"), F.lit(-k).alias("order"), F.lit(c).alias("class")) for k, c in enumerate(CLASSES)])
-    ranked = scored.select("row", "doc_id", "place", F.sort_array(totals, asc=False).alias("ranked"))
-    ranked = ranked.select("row", "doc_id", "place", F.col("ranked")[0]["class"].alias("best"), (F.col("ranked")[0]["score"] - F.col("ranked")[1]["score"]).alias("lead"))
-    held = each.filter("gram is not null").join(templates, "gram").groupBy("row", "place", "family", "template").agg((100 * F.count(F.lit(1)) >= CONFIRM_PERCENT * F.max("pairs")).alias("holds"))
-    held = held.filter("holds").select("row", "place", F.col("family").alias("best")).distinct().withColumn("confirmed", F.lit(True))
-    out = ranked.join(held, ["row", "place", "best"], "left")
-    family = F.when(F.col("place").isNull() | (F.col("best") == "none"), "none").when((F.col("best") != "unknown") & (F.col("lead") >= m["margin"]) & F.col("confirmed"), F.col("best")).otherwise("unknown")
-    return out.select("row", "doc_id", "place", family.alias("family"), F.when(F.col("place").isNotNull(), F.col("lead")).alias("lead"))
+    """``doc_id, place, family, lead`` of each paragraph of licence language, of a known family or ``unknown``."""
+    return docs.select("doc_id", F.explode(_judged(_found(F.col(text).cast("string")))).alias("p")).select("doc_id", "p.*").filter("family <> 'none'")
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: its licence, all families, licence paragraphs and the lead of the chosen one."""
-    rows = scan_paragraphs(docs, text)
-    known, licensed = ~F.col("family").isin("none", "unknown"), F.col("family") != "none"
+    rows = docs.select("doc_id", _found(F.col(text).cast("string")).alias("found")).select("doc_id", _judged(F.col("found")).alias("all"))
+    rows = rows.select("doc_id", F.coalesce(F.filter("all", lambda p: p["family"] != "none"), F.expr("array()").cast("array<struct<place:int,family:string,lead:bigint>>")).alias("some"))
     # Of the best: a known family before unknown, then the larger lead, then the smaller name.
-    rank = F.when(licensed, F.struct(known.cast("int").alias("known"), F.col("lead"), F.lit(0).alias("at")))
-    best = F.min_by("family", F.when(licensed, F.struct((-known.cast("int")).alias("known"), (-F.col("lead")).alias("lead"), F.col("family"))))
-    return rows.groupBy("row", "doc_id").agg(
-        F.coalesce(best, F.lit("none")).alias("license"),
-        F.concat_ws(",", F.sort_array(F.collect_set(F.when(known, F.col("family"))))).alias("families"),
-        F.count(F.when(licensed, 1)).alias("n_paragraphs"),
-        F.count(F.when(known, 1)).alias("n_known"),
-        F.coalesce(F.max(rank)["lead"], F.lit(0)).alias("lead"),
-    ).drop("row")
+    first = F.array_min(F.transform("some", lambda p: F.struct((p["family"] == "unknown").alias("unknown"), (-p["lead"]).alias("behind"), p["family"].alias("family"))))
+    known = F.filter("some", lambda p: p["family"] != "unknown")
+    return rows.select("doc_id", "some", first.alias("first"), known.alias("known")).select(
+        "doc_id",
+        F.coalesce("first.family", F.lit("none")).alias("license"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("known", lambda p: p["family"]))), ",").alias("families"),
+        F.size("some").cast("long").alias("n_paragraphs"),
+        F.size("known").cast("long").alias("n_known"),
+        F.coalesce(-F.col("first.behind"), F.lit(0)).cast("long").alias("lead"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,21 +390,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_session.table(spark, sf_dir, "documents"))
 
 
+def _values(rows: list[tuple]) -> str:
+    """Rows of letters, digits and numbers as SQL."""
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
 def oracle() -> str:
-    """The same scan in DuckDB, with the model as literal rows."""
+    """The same scan in DuckDB, of every paragraph, with the model as literal rows."""
     m = model()
-    weights, templates = _values(m["weights"]), _values(template_grams())
-    classes = _values([(c, k, m["intercepts"][c]) for k, c in enumerate(CLASSES)])
+    weights = _values([(g, CLASSES[k], w) for g, row in sorted(m["weights"].items()) for k, w in enumerate(row) if w])
+    forms = _values([(family, k, g, len(gs)) for family, k, gs in templates() for g in gs])
+    classes = _values([(c, k, m["intercepts"][k]) for k, c in enumerate(CLASSES)])
+    ends = _ENDS.replace("'", "''")
     return f"""
 WITH w(gram, class, weight) AS (VALUES {weights}),
 c(class, rank, intercept) AS (VALUES {classes}),
-t(family, template, gram, pairs) AS (VALUES {templates}),
-d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(lower(text), chr(10)) AS lines FROM documents),
+t(family, template, gram, pairs) AS (VALUES {forms}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(regexp_replace(regexp_replace(lower(text), '{ends}', '\\1' || chr(30), 'g'), '{_BLANK}', chr(30), 'g'), chr(30)) AS lines FROM documents),
 l AS (SELECT rid, unnest(range(len(lines))) AS place, unnest(lines) AS line FROM d),
-p AS (SELECT rid, place, regexp_extract_all(line, '[a-z0-9]+') AS words FROM l WHERE regexp_matches(line, '{ANCHORS}')),
+p AS (SELECT rid, place, regexp_extract_all(line, '[a-z0-9]+') AS words FROM l),
 g AS (SELECT DISTINCT rid, place, gram FROM (SELECT rid, place, unnest(words) AS gram FROM p UNION ALL
       SELECT rid, place, words[i] || ' ' || words[i + 1] FROM (SELECT rid, place, words, unnest(range(1, len(words))) AS i FROM p))),
-s AS (SELECT rid, place, class, rank, intercept + coalesce(sum(weight), 0) AS score FROM p CROSS JOIN c LEFT JOIN (g JOIN w USING (gram)) USING (rid, place, class) GROUP BY rid, place, class, rank, intercept),
+q AS (SELECT DISTINCT rid, place FROM g SEMI JOIN w USING (gram)),
+s AS (SELECT rid, place, class, rank, intercept + coalesce(sum(weight), 0) AS score FROM q CROSS JOIN c LEFT JOIN (g JOIN w USING (gram)) USING (rid, place, class) GROUP BY rid, place, class, rank, intercept),
 r AS (SELECT rid, place, class, score - lead(score) OVER v AS led, row_number() OVER v AS n FROM s WINDOW v AS (PARTITION BY rid, place ORDER BY score DESC, rank)),
 h AS (SELECT DISTINCT rid, place, family AS class FROM (SELECT rid, place, family, template FROM g JOIN t USING (gram) GROUP BY ALL HAVING 100 * count(*) >= {CONFIRM_PERCENT} * max(pairs))),
 f AS (SELECT r.rid, r.place, r.led, CASE WHEN r.class = 'none' THEN 'none' WHEN r.class <> 'unknown' AND led >= {m["margin"]} AND h.class IS NOT NULL THEN r.class ELSE 'unknown' END AS family

@@ -81,3 +81,46 @@ def test_native_plans(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for df in (op10_quality_rules.score(docs), op10_quality_rules.measure(docs), op1_licenses.scan(docs), op1_licenses.paragraphs(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+#: Wrapped, inline and unanchored notices, and text that only sounds like one.
+NOTICES = [
+    ("gpl", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+    ("mit", "Copyright 2020 A. Author\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software\n\nThe above copyright notice and this permission notice shall be included in\nall copies or substantial portions of the Software."),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\");\r\nyou may not use this file except in compliance with the License.\r\nYou may obtain a copy of the License at\r\n\r\n    http://www.apache.org/licenses/LICENSE-2.0\r\n"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Redistributions of source code must retain the above copyright notice, this\nlist of conditions and the following disclaimer."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."),
+    ("lgpl", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("mit", "Distributed under MIT terms."), ("gpl", "This code is GPLv3."), ("cc-by-sa", "Available under CC BY-SA 4.0."), ("gpl", "Distributed under the GNU GPL v3."), ("apache", "Released under Apache 2.0."),
+    ("mit", "The code in this repository is MIT licensed, see the file for details."), ("agpl", "The server is licensed under AGPLv3 for everyone."), ("bsd", "This package is distributed under the BSD 3-Clause License by its authors."),
+    ("public-domain", "The author has placed this text in the public domain."), ("cc-by-nc", "All photos are licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."), ("cc-by", "Except where noted, text on this page is available under CC BY 4.0."),
+    ("none", "Er ging mit dem Hund und mit der Katze in den Wald, und mit allen anderen."), ("none", "All seats at the theatre were reserved by the school."), ("none", "Rights of workers are discussed in this chapter of the book."), ("none", "The Apache lived in the desert, said the general."),
+]
+
+
+def test_wrapped_inline_and_unanchored_licences(spark):
+    prose = "Nothing of the kind was said.\nThe weather stayed as it had been"
+    df = spark.createDataFrame([(k, f"{prose}.\n{x}\n\n{prose}") for k, (_, x) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in op1_licenses.scan(df).collect()}
+    missed = [(x[:60], got[k]) for k, (want, x) in enumerate(NOTICES) if want != "none" and got[k] != want]
+    assert len(missed) <= 0.1 * sum(w != "none" for w, _ in NOTICES), missed
+    assert all(got[k] == "none" for k, (want, _) in enumerate(NOTICES) if want == "none")
+
+
+def test_paragraphs_without_a_trigger_are_none():
+    """The bound behind the trigger words, on the grams that could break it."""
+    import numpy as np
+
+    m = op1_licenses.model()
+    none = op1_licenses.CLASSES.index("none")
+    left = [np.array(w) for g, w in m["weights"].items() if not set(g.split()) & set(m["triggers"])]
+    assert left and 0 < len(m["triggers"]) < 150
+    most = np.array(m["intercepts"]) - m["intercepts"][none] + sum(np.maximum(0, w - w[none]) for w in left)
+    assert all(x < 0 for k, x in enumerate(most) if k != none)
+
+
+def test_scan_of_another_column(spark, odd):
+    df = spark.createDataFrame([(1, "none here", "MIT licensed"), (1, "none here", "MIT licensed"), (None, None, None)], "doc_id long, text string, body string")
+    assert sorted((str(r.doc_id), r.license) for r in op1_licenses.scan(df, "body").collect()) == [("1", "mit"), ("1", "mit"), ("None", "none")]
+    assert [r.family for r in op1_licenses.scan_paragraphs(df, "body").collect()] == ["mit", "mit"] and op1_licenses.paragraphs(df).filter("place is not null").count() == 0
