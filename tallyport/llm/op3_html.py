@@ -6,11 +6,12 @@ these are the capacities of its edges to the two terminals.  Neighbours in page
 the same element, are joined by smoothness edges that weaken with their distance in the tree.  The maximum flow separates
 content from boilerplate at the least total cost.
 
-Pages are independent: there is no shuffle, and a task holds one batch.  Reading is linear in the page, and the graph has
-two smoothness edges per block.
+Pages are independent: there is no shuffle, and a task holds one batch.  Reading is linear in the page, however deep its
+elements are nested, and the graph has two smoothness edges per block.
 
 Edge cases: null and empty html, and pages without text, give an empty text; broken or unclosed markup is read as far as it
-goes; a head ends where HTML says so, also without its end tag; character references are decoded, also without their semicolon where HTML allows that; repeated rows are extracted
+goes; a head ends where HTML says so, also without its end tag; character references are decoded, also without their
+semicolon where HTML allows that; white space is what Unicode calls so, no-break spaces too; repeated rows are extracted
 each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -46,7 +47,7 @@ UNSEEN = frozenset("script style noscript template title svg iframe object canva
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: Start tags that may stand in a head; any other, and text, ends it.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements beyond which an end tag or an implied end does not reach.
 SCOPES = frozenset("table ul ol dl article section nav aside div main body header footer form blockquote".split())
 ENDS_P = BLOCKS - {"body", "html", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "li", "dd", "dt"}
@@ -77,16 +78,25 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*
 _UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PIECES = re.compile(r"[^a-z]+")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 
 
 class Block(NamedTuple):
     text: str
     linked: int  # characters inside links
-    path: tuple[int, ...]  # the elements around it, from the root
+    element: int  # the nearest block-level element around it; 0 is the page
     flags: int
     tag: str
 
 
+class Page(NamedTuple):
+    """A page's blocks in order, and the tree of its block-level elements: parent and depth of each, by number."""
+
+    blocks: list[Block]
+    parents: list[int]
+    depths: list[int]
+
+
 @lru_cache(maxsize=4096)
 def _flags_of(tag: str, attributes: str) -> int:
     """The bits of one element."""
@@ -104,12 +114,19 @@ def _flags_of(tag: str, attributes: str) -> int:
     return bits
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of text of a page, in order."""
+def read(page: str) -> Page:
+    """The blocks of text of a page and the elements around them.
+
+    Every tag costs a constant: where the open elements of a tag are, and where the nearest scope is, is kept in lists, and
+    an element is opened and closed once.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, number, bits
+    parents, depths = [0], [0]
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, block-level element, bits
+    places: dict[str, list[int]] = {}  # where in the stack a tag is open
+    scopes: list[int] = [0]  # where in the stack scopes are open
     parts: list[str] = []
-    linked = links = unseen = number = at = 0
+    linked = unseen = at = 0
 
     def flush() -> None:
         nonlocal linked
@@ -117,28 +134,38 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(references.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                kept = [(t, n) for t, n, _ in stack if t in BLOCKS]
-                found.append(Block(text, min(linked, len(text)), tuple(n for _, n in kept), stack[-1][2], kept[-1][0] if kept else ""))
+                _, element, bits = stack[-1]
+                found.append(Block(text, min(linked, len(text)), element, bits, tags[element]))
             linked = 0
 
     def pop() -> None:
-        nonlocal links, unseen
+        nonlocal unseen
         tag = stack.pop()[0]
-        links -= tag == "a"
+        places[tag].pop()
         unseen -= tag in UNSEEN
+        if scopes[-1] == len(stack):
+            scopes.pop()
+
+    def end(names: tuple[str, ...], through_scopes: bool = False) -> None:
+        """Close the nearest element of these tags, unless a scope lies between."""
+        place = max((places[t][-1] for t in names if places.get(t)), default=0)
+        if place and (through_scopes or scopes[-1] <= place):
+            while len(stack) > place:
+                pop()
 
+    tags = [""]
     if "<!--" not in page[page.rfind(">") + 1 :]:  # a tag that the page breaks off in is no text
         cut = _UNFINISHED.search(page, page.rfind(">") + 1)
         page = page[: cut.start()] if cut else page
-    end = len(page)
-    while at < end:
+    stop_at = len(page)
+    while at < stop_at:
         m = _TAG.search(page, at)
-        stop = m.start() if m else end
+        stop = m.start() if m else stop_at
         if stack[-1][0] == "head" and page[at:stop].strip():
             pop()
         if stop > at and not unseen:
             parts.append(page[at:stop])
-            linked += (stop - at) * bool(links)
+            linked += (stop - at) * bool(places.get("a"))
         if m is None:
             break
         at = m.end()
@@ -148,13 +175,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in SCOPES and tag not in SCOPES:
-                    break
+            end((tag,), tag in SCOPES)
             continue
         if stack[-1][0] == "head" and tag not in IN_HEAD:
             pop()
@@ -162,36 +183,37 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         if tag in BLOCKS:
             flush()
-            if tag in ENDS_P and stack[-1][0] != "" and any(t == "p" for t, _, _ in stack):
-                _close(stack, {"p"}, pop)
+            if tag in ENDS_P:
+                end(("p",))
             if tag in CLOSES:
-                _close(stack, CLOSES[tag], pop)
+                end(CLOSES[tag])
         if tag in VOID:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else end
+            close = _RAW_ENDS[tag].search(page, at)
+            at = close.end() if close else stop_at
             continue
         if unseen and tag == "body":  # something in the head that was never closed
             while len(stack) > 1 and unseen:
                 pop()
-        number += 1
-        stack.append((tag, number, stack[-1][2] | _flags_of(tag, m[3])))
-        links += tag == "a"
+        element = stack[-1][1]
+        if tag in BLOCKS:
+            parents.append(element)
+            depths.append(depths[element] + 1)
+            tags.append(tag)
+            element = len(parents) - 1
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
+        stack.append((tag, element, stack[-1][2] | _flags_of(tag, m[3])))
         unseen += tag in UNSEEN
     flush()
-    return found
+    return Page(found, parents, depths)
 
 
-def _close(stack: list[tuple[str, int, int]], tags: set[str], pop) -> None:
-    """End the nearest element of these tags, unless a scope lies between."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] in tags:
-            while len(stack) > k:
-                pop()
-            return
-        if stack[k][0] in SCOPES:
-            return
+def blocks(page: str) -> list[Block]:
+    """The blocks of text of a page, in order."""
+    return read(page).blocks
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -364,33 +386,37 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
                 break
 
 
-def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between neighbours in page order, and between those next to each other under the same element."""
+def smoothness(page: Page) -> list[tuple[int, int, float]]:
+    """Edges between neighbours in page order, and between those next to each other under the same element.
+
+    The way between neighbours in the tree is walked from both ends; over a page, each element is walked up once and down once.
+    """
     edges, last = [], {}
-    for k, b in enumerate(found):
+    for k, b in enumerate(page.blocks):
         if k:
-            near = found[k - 1].path
-            common = 0
-            for x, y in zip(near, b.path):
-                if x != y:
-                    break
-                common += 1
-            edges.append((k - 1, k, ORDER_WEIGHT * FADE ** max(0, len(near) + len(b.path) - 2 * common - 2)))
-        parent = b.path[:-1]
+            x, y, steps = page.blocks[k - 1].element, b.element, 0
+            while x != y:
+                if page.depths[x] >= page.depths[y]:
+                    x = page.parents[x]
+                else:
+                    y = page.parents[y]
+                steps += 1
+            edges.append((k - 1, k, ORDER_WEIGHT * FADE ** max(0, steps - 2)))
+        parent = page.parents[b.element]
         if parent in last and last[parent] != k - 1:
             edges.append((last[parent], k, SIBLING_WEIGHT))
         last[parent] = k
     return edges
 
 
-def main_text(page: str | None, weights: np.ndarray) -> str:
+def main_text(html: str | None, weights: np.ndarray) -> str:
     """The article's blocks, one a line."""
-    found = blocks(page or "")
-    if not found:
+    page = read(html or "")
+    if not page.blocks:
         return ""
-    gain = np.clip(features(found) @ weights[:-1] + weights[-1], -8, 8)
-    kept = min_cut(gain.tolist(), smoothness(found))
-    return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
+    gain = np.clip(features(page.blocks) @ weights[:-1] + weights[-1], -8, 8)
+    kept = min_cut(gain.tolist(), smoothness(page))
+    return "\n".join(b.text for b, k in zip(page.blocks, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -42,13 +42,35 @@ def test_generated_pages():
     weights = op3_html.classifier()
     for _ in range(150):
         page, truth = op3_html.generated(rng)
-        found = op3_html.blocks(page)
+        read = op3_html.read(page)
+        found = read.blocks
         assert len(found) == len(truth)
-        kept = op3_html.min_cut((op3_html.features(found) @ weights[:-1] + weights[-1]).tolist(), op3_html.smoothness(found))
+        kept = op3_html.min_cut((op3_html.features(found) @ weights[:-1] + weights[-1]).tolist(), op3_html.smoothness(read))
         wrong, total = wrong + sum(a != b for a, b in zip(kept, truth)), total + len(truth)
     assert wrong <= 0.01 * total
 
 
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+    import tracemalloc
+
+    weights = op3_html.classifier()
+    n = 150_000
+    for page in ("<div>x " * n, "<b>" * n + "</i>" * n + "x", "<p><b>" * (n // 2) + "x" + "</div>" * n, "<ul>" * n + "<li>x" * 1000, "<div>x</div>" * 20_000):
+        began = time.process_time()
+        tracemalloc.start()
+        op3_html.main_text(page, weights)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.process_time() - began < 60 and peak < 800e6, page[:20]
+
+
+def test_tree_distance_weakens_smoothness():
+    page = op3_html.read("<div><div><p>a</p><p>b</p></div><ul><li>c</li></ul></div>d")
+    assert [b.text for b in page.blocks] == ["a", "b", "c", "d"]
+    assert op3_html.smoothness(page) == [(0, 1, 1.0), (1, 2, 0.25), (2, 3, 0.5)]
+
+
 def test_head_without_end_tag():
     text = "The article of this page is long enough to be read as one."
     heads = ["<head><title>T</title>", "<head><title>T</title><meta charset=utf-8><script>var x = 1</script>", "<head>", "<head><style>p{}</style></head>", "<head class=ad><title>T</title>\n"]
