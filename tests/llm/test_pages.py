@@ -150,7 +150,8 @@ def test_warc(spark, folder, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view pages as from '{path}/pages.parquet'")
     assert rows(op9_warc.query(spark, path).toPandas()) == rows(con.sql(op9_warc.ORACLE_SQL).df())
-    op9_warc.write(pages, str(tmp_path / "warc"), captures_per_file=2)
+    op9_warc.write(pages, str(tmp_path / "warc"), archive_bytes=300)
+    assert len(list((tmp_path / "warc").glob("*.gz"))) > 2
     records = op9_warc.read(spark, str(tmp_path / "warc"))
     assert records.count() == 3 * len(CAPTURES)
     by_page = {r.metadata.page_id: r for r in op9_warc.transactions(records).collect()}
@@ -166,3 +167,23 @@ def test_warc(spark, folder, tmp_path):
     assert kinds == [("2", "response"), ("2", "revisit"), ("None", "revisit")]
     op9_warc.write(twice.filter("false"), str(tmp_path / "none"))
     assert op9_warc.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_warc_ids_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    pages = spark.createDataFrame([(k % 7, f"u{k % 3}", "x" * 200 if k % 2 else f"{k % 5}") for k in range(90)], "page_id long, url string, html string")
+    seen = []
+    for k, df in enumerate((pages.repartition(2), pages.repartition(5, "url").orderBy("html"))):
+        op9_warc.write(df, str(tmp_path / str(k)), archive_bytes=1000)
+        seen.append(sorted((r.record_id, r.kind, r.refers_to, r.payload_digest) for r in op9_warc.read(spark, str(tmp_path / str(k))).collect() if r.kind != "metadata"))
+    assert seen[0] == seen[1] and len({r[0] for r in seen[0]}) == 180
+
+
+def test_warc_streams_members_and_plain_files():
+    import gzip
+    import io
+
+    records = [f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: {n}\r\n\r\n{'y' * n}\r\n\r\n".encode() for n in (0, 5, 3_000_000, 7)]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        assert [len(b) for _, b in op9_warc.parse(io.BufferedReader(op9_warc.Inflated(memoryview(data))))] == [0, 5, 3_000_000, 7]
+    with pytest.raises(ValueError, match="cut off"):
+        list(op9_warc.parse(io.BytesIO(records[1][:-6])))
