@@ -8,8 +8,9 @@ about its structure (symbols, capitals, line ends, repetition, length) and the d
 so pairwise interactions cost as much time as the inputs are many.  Buckets and sums are numpy over whole batches; scoring
 has no shuffle and keeps one batch.
 
-The machine is fitted by AdaGrad on at most ``2 * _labels.PER_CLASS`` labelled rows, which reach the driver as at most
-``BUCKETS`` numbers each; the classes are weighted as they occur among all labelled rows.
+The machine is fitted by AdaGrad on at most ``2 * _labels.PER_CLASS`` labelled rows, one for each id (the smallest text, if an id
+has many), in the order of ids, which reach the driver as at most ``BUCKETS`` numbers each; the classes are weighted as they
+occur among all labelled rows.
 
 Edge cases: null and empty texts have no buckets and are scored by their statistics (zeros); a null number of characters
 is taken from the text; without labelled rows of both classes every score is the share of good labels (0 if there are
@@ -120,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     taken, totals = _labels.sample(labels.select("doc_id", F.col(label).alias("y")), "y")
     share = totals[1] / max(1, sum(totals.values()))
     known = docs.select("doc_id", F.col(text).cast("string").alias("text"), F.col(n_chars).cast("double").alias("n_chars")).join(F.broadcast(taken), "doc_id")
+    known = known.groupBy("doc_id", "label").agg(F.min(F.struct("text", "n_chars")).alias("least")).select("doc_id", "label", "least.*")  # an id may have many rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _text.chunks(batches, "text"):

@@ -10,7 +10,7 @@ zstandard spends some bytes on any frame, which would drown words of five letter
 bytes that also depend on its place in the word, by which a match means the same letters at the same place.
 
 Equal windows have equal lengths, so each is compressed once per task; the whole text counts, whatever its length.  The
-fit uses at most ``2 * _labels.PER_CLASS`` labelled rows; what reaches the driver is bounded by ``TOXIC_WORDS``,
+fit uses at most ``2 * _labels.PER_CLASS`` labelled rows, one for each id (the smallest text, if an id has many); what reaches the driver is bounded by ``TOXIC_WORDS``,
 ``ORDINARY_WORDS`` and one row of counts per sampled document.  Scoring has no shuffle.
 
 Edge cases: null and empty texts have no windows and get the calibration's base probability; without labelled rows of
@@ -155,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     if not totals[0] or not totals[1]:
         return {"toxic": b"", "ordinary": b"", "beta": None, "share": share}
     known = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(F.broadcast(taken), "doc_id")
+    known = known.groupBy("doc_id", "label", "part").agg(F.min("text").alias("text"))  # an id may have many rows
     known = _session.materialize(known, "op8")
     sides = {r[0]: r[1] for r in known.filter("part != 3").groupBy("label").count().collect()}
     toxic_docs, other_docs = sides.get(1, 0), sides.get(0, 0)

@@ -51,6 +51,15 @@ def test_without_labels(spark, data, folder, module, label, least):
     assert {r.score for r in module.query(spark, path).collect()} == {0.0}
 
 
+@pytest.mark.parametrize(("module", "label", "least"), CASES)
+def test_repeated_ids_count_once(spark, data, module, label, least):
+    """What reaches the driver is one row for each sampled id, and the fit does not depend on the order of rows."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    more = docs.unionByName(docs.withColumn("text", F.concat(F.col("text"), F.lit(" again")))).unionByName(docs)
+    scores = [sorted((r.row.doc_id, r.score) for r in module.score(docs, module.fit(d, labels)).collect()) for d in (docs, more, more.repartition(5, "text"))]
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_filter_keeps_columns(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("score", F.lit("x")).withColumn("row", F.lit(2))
     out = op8_toxicity.filter_documents(docs, spark.read.parquet(f"{data}/labels.parquet"))
