@@ -13,7 +13,7 @@ documents and the block.
 Words are runs of letters, in lower case; marks and digits are dropped.  Items of fewer than ``LEAST_WORDS`` words are
 searched for exactly: all their tokens in a row, which are words and numbers, and single characters of scripts without
 spaces (:class:`Exact`).  Edge cases: null and empty texts have no windows; items of fewer than ``LEAST_TOKENS`` tokens are
-not searched for; without items, nothing leaks; repeated documents and repeated items are reported as often as they occur; other columns pass through
+not searched for; an item without an id is searched for like others and is reported without one; without items, nothing leaks; repeated documents and repeated items are reported as often as they occur; other columns pass through
 :func:`decontaminate` in a struct.
 """
 
@@ -45,6 +45,8 @@ UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1980, 0x19D
 LEAST_SCORE, MATCH, MISMATCH, GAP = 0.6, 2, -1, -1
 #: Words of a passage beyond what the item covers, on either side, at least (see :func:`slack`), and windows of a block of items.
 SLACK, BLOCK_WINDOWS = 10, 1 << 20
+#: Pairs of a seed's place in a text and in an item that are looked at together, about.
+MOST_ENTRIES = 1 << 21
 
 LEAKS = "doc_id long, item_id long, score double, start long, stop long"
 
@@ -229,11 +231,42 @@ class Seeds:
         hit, which = self.lookup.hits(value)
         if not len(hit):
             return
+        text = np.searchsorted(at, place[hit], side="right") - 1
         many = self.stops[which] - self.starts[which]
-        entry = np.repeat(self.starts[which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        place = np.repeat(place[hit], many)
-        text = np.searchsorted(at, place, side="right") - 1
-        item, begin = self.item[entry], place - self.place[entry]
+        edges = np.concatenate(([0], np.cumsum(many)))
+        first = 0
+        while first < len(hit):  # texts together, up to MOST_ENTRIES; of one text with more, ranges of items after each other
+            last = max(first + 1, int(np.searchsorted(edges, edges[first] + MOST_ENTRIES, side="right")) - 1)
+            last = int(np.searchsorted(text, text[last], side="left")) if last < len(hit) else last
+            last = last if last > first else int(np.searchsorted(text, text[first], side="right"))
+            for low, high in self._ranges(which[first:last]):
+                yield from self._aligned(hashes, at, text[first:last], place[hit[first:last]], which[first:last], low, high)
+            first = last
+
+    def _ranges(self, which: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of items so that each has about ``MOST_ENTRIES`` entries below these seeds."""
+        total = int((self.stops[which] - self.starts[which]).sum())
+        if total <= MOST_ENTRIES:
+            return [(0, len(self.items))]
+        times = np.zeros(len(self.items), dtype=np.int64)
+        for seed, n in zip(*np.unique(which, return_counts=True), strict=True):
+            times += n * np.bincount(self.item[self.starts[seed] : self.stops[seed]], minlength=len(times))
+        cuts = np.searchsorted(np.cumsum(times), np.arange(MOST_ENTRIES, total + MOST_ENTRIES, MOST_ENTRIES), side="right") + 1
+        cuts = np.unique(np.concatenate(([0], np.minimum(cuts, len(times)), [len(times)])))
+        return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def _aligned(self, hashes: np.ndarray, at: np.ndarray, text: np.ndarray, place: np.ndarray, which: np.ndarray, low_item: int, high_item: int) -> Iterator[tuple[int, int, float, int, int]]:
+        """The leaks of these texts among a range of items."""
+        starts, stops = self.starts[which], self.stops[which]
+        if high_item - low_item < len(self.items):  # the entries of a seed are in the order of items
+            ends = [self.starts[k] + np.searchsorted(self.item[self.starts[k] : self.stops[k]], (low_item, high_item)) for k in which.tolist()]
+            starts, stops = np.array(ends, dtype=np.int64).reshape(-1, 2).T
+        many = stops - starts
+        entry = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        if not len(entry):
+            return
+        text = np.repeat(text, many)
+        item, begin = self.item[entry], np.repeat(place, many) - self.place[entry]
         order = np.lexsort((begin, item, text))
         text, item, begin = text[order], item[order], begin[order]
         new = np.concatenate(([True], (np.diff(text) != 0) | (np.diff(item) != 0)))
@@ -265,7 +298,8 @@ def blocks(docs: DataFrame, items: DataFrame, text: str) -> Iterator[Seeds]:
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).collect()[0]["n"] // 4
     n = 1 + size // BLOCK_WINDOWS
     for k in range(n):
-        taken = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
+        found = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        taken = sorted(((r["item_id"], r["text"]) for r in found), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         hashes, at = words_of(pa.array([t for _, t in taken], type=pa.string()))
         kept = [(i, hashes[a:b].copy()) for (i, _), a, b in zip(taken, at[:-1], at[1:], strict=True) if b - a >= LEAST_WORDS]
         short = [x for x, n in zip(taken, np.diff(at), strict=True) if n < LEAST_WORDS]

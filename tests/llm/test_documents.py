@@ -128,6 +128,44 @@ def test_leaks(spark, data, odd, empty):
     assert op6_decontamination.leaks(odd, short).count() == 0
 
 
+def test_items_without_ids_and_shared_seeds(spark, monkeypatch):
+    """Items that share all their words but a few, one without an id, in texts that hold them; in few entries at a time, too."""
+    shared = "it is said by all that know the matter well and have seen the place with their own eyes".split()
+    items = [(None if k == 3 else k, " ".join([f"name{chr(97 + k)}", *shared, f"town{chr(97 + k)}"])) for k in range(12)]
+    texts = [(100 + k, " ".join([f"before{chr(97 + j)}" for j in range(20)] + [t] * (1 + k % 3))) for k, (_, t) in enumerate(items)] + [(200, "nothing of that"), (None, items[0][1])]
+    docs, test = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    found = sorted(map(str, op6_decontamination.leaks(docs, test).collect()))
+    words = [t.split() for _, t in texts]
+    want = {(d, i) for (d, _), w in zip(texts, words) for i, t in items if plain_score(t.split(), w) >= 0.6 * 2 * len(t.split())}
+    assert {(r.doc_id, r.item_id) for r in op6_decontamination.leaks(docs, test).collect()} == want and (103, None) in want
+    import pyarrow as pa
+
+    block = next(op6_decontamination.blocks(docs, test, "text"))
+    whole = pa.array([t for _, t in texts])
+    once = sorted(map(str, block.leaks(whole)))
+    for most in (1, 7, 100):
+        monkeypatch.setattr(op6_decontamination, "MOST_ENTRIES", most)
+        assert sorted(map(str, block.leaks(whole))) == once
+    assert len(once) == len(found)
+
+
+def test_leaks_are_those_of_all_alignments(spark, data):
+    """The query's leaks against Smith-Waterman of every item over whole texts."""
+    docs, items = spark.read.parquet(f"{data}/documents.parquet").limit(60), spark.read.parquet(f"{data}/benchmark.parquet")
+    cut = lambda t: [w for w in re.split(r"[^a-z\x80-\U0010ffff]+", t.lower()) if w]
+    texts, tests = {r.doc_id: cut(r.text) for r in docs.collect()}, {r.item_id: cut(r.text) for r in items.collect()}
+    got = {(r.doc_id, r.item_id): r.score for r in op6_decontamination.leaks(docs, items).collect()}
+    numbers = {}
+    coded = {k: np.array([numbers.setdefault(w, len(numbers)) for w in t], dtype=np.uint64) for k, t in [*texts.items(), *((("item", k), t) for k, t in tests.items())]}
+    want = {}
+    for d in texts:
+        for i, t in tests.items():
+            score = op6_decontamination.align(coded["item", i], coded[d])[0] / (2 * len(t))
+            if score >= op6_decontamination.LEAST_SCORE:
+                want[d, i] = score
+    assert got == pytest.approx(want)
+
+
 def test_leaks_with_long_insertions(spark):
     item = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
     foreign = lambda n: [f"x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
