@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyport.functions.workers import reachable
 
 _OWN: dict[str, str] = {}
+#: Paths of the tables that are made while :func:`settled` runs.
+_MADE: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +45,27 @@ def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends there, and any executor may be lost."""
     spark = df.sparkSession
     path = new_path(spark, kind)
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._tallyport_path = path
     return again
 
 
+def settled(make: Callable[[], DataFrame], kind: str) -> DataFrame:
+    """What ``make`` gives, as a table; the tables that it made on the way are deleted when that is written."""
+    _MADE.append([])
+    try:
+        out = make()
+    finally:
+        made = _MADE.pop()
+    out = materialize(out, kind)
+    for path in made:
+        drop_path(out.sparkSession, path)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     for df in tables:
