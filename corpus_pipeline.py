@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyport.llm import _session, op5_packing, op6_decontamination, op7_near_dedup, op8_toxicity, op10_quality_rules
 
+#: Similarity of five-word shingles at which documents count as copies of each other.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base limits, or whose posterior quality is low, go."""
@@ -22,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
-    return op7_near_dedup.deduplicate(docs)
+    """One document of each group of near-duplicates stays, that with the smallest id; near is 80 per cent of five-word shingles."""
+    return op7_near_dedup.deduplicate(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +48,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on all documents; the result is the last stage's."""
     docs = _session.table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = _session.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = _session.settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            _session.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
