@@ -53,8 +53,8 @@ def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     return again
 
 
-def settled(make: Callable[[], DataFrame], kind: str) -> DataFrame:
-    """What ``make`` gives, as a table; the tables that it made on the way are deleted when that is written."""
+def settled(make: Callable[[], DataFrame], kind: str, *more: DataFrame) -> DataFrame:
+    """What ``make`` gives, as a table; the tables that it made on the way, and ``more``, are deleted when that is written."""
     _MADE.append([])
     try:
         out = make()
@@ -63,6 +63,7 @@ def settled(make: Callable[[], DataFrame], kind: str) -> DataFrame:
     out = materialize(out, kind)
     for path in made:
         drop_path(out.sparkSession, path)
+    discard(*more)
     return out
 
 

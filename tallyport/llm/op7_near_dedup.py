@@ -8,9 +8,10 @@
 3.  In each family, links are confirmed on the full sets, made anew from the texts of one document per node.
 
 Neither stage lists pairs.  A bucket or family is walked breadth first: a member is compared, in numpy, with those not yet
-reached, and only the tie between a member and its root is emitted.  Buckets and families beyond a block are split into
-blocks, and each pair of blocks is a task's group, so that no group is unbounded; the ties are then contracted
-(:mod:`._components`).  A pair at the threshold of 85 % shares no band with a probability of 7e-9, one
+reached, and only the tie between a member and its root is emitted.  Of buckets and families beyond a block, all members are
+compared with one of them, in as many tasks as there are blocks; only members that are not tied to it are compared with the
+others, block by block, so that no group is unbounded and copies of one text cost as much as they are many.  The ties are
+then contracted (:mod:`._components`).  A pair at the threshold of 85 % shares no band with a probability of 7e-9, one
 at 80 % with 3e-6.
 
 Edge cases: a text without words, or null, has an empty set, is linked with nothing and is kept; fewer than five words
@@ -45,6 +46,8 @@ _TIMES = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32
 _PLUS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _BAND = _random.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
+Tie = Callable[[list[bytes]], list[tuple[int, int]]]
+
 SIGNATURES = "doc_id long, n_shingles long, node binary, signature binary, bands array<long>"
 TIES = "a binary, b binary"
 
@@ -175,15 +178,12 @@ def tied_by_set(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return _walk(len(sets), near)
 
 
-def _grouped(rows: DataFrame, key: str, value: str, size: str, most: float, tie: Callable[[list[bytes]], list[tuple[int, int]]]) -> DataFrame:
-    """Ties within each group of ``rows (key, node, value, size)``; ``size`` is of the whole group, in the unit of ``most``.
+def _batches(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=names)
 
-    A group is dealt into blocks of about ``most``, and each pair of blocks is walked on its own.
-    """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col(size) / F.lit(most))).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), F.col(key).alias("key"), F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", F.col(value).alias("value"))
+
+def _walked(dealt: DataFrame, tie: Tie) -> DataFrame:
+    """Ties within each group ``key, p, q`` of rows ``node, value``; a group fits a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -203,17 +203,70 @@ def _grouped(rows: DataFrame, key: str, value: str, size: str, most: float, tie:
                     close()
                     held = row[:3]
                 if nodes and nodes[-1] == row[3]:
-                    continue  # the same member by another band of the same key
+                    continue  # the same member by another band of the same key, or on both sides
                 nodes.append(row[3])
                 values.append(row[4])
             if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
+                yield _batches(out, ["a", "b"], [pa.binary()] * 2)
                 out.clear()
         close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
+            yield _batches(out, ["a", "b"], [pa.binary()] * 2)
+
+    rows = dealt.select(F.xxhash64("key", "p", "q").alias("task"), "key", "p", "q", "node", "value")
+    return rows.repartition("task").drop("task").sortWithinPartitions("key", "p", "q", "node").mapInArrow(run, TIES)
+
+
+def _beside_hub(large: DataFrame, tie: Tie) -> DataFrame:
+    """``key, node, value, blocks, hub`` of each member of a large group; ``hub`` is null if it is not tied to the least node.
 
-    return dealt.repartition("task").drop("task").sortWithinPartitions("key", "p", "q", "node").mapInArrow(run, TIES)
+    The hub goes to every block of its group, and a block is streamed past it.
+    """
+    hubs = large.groupBy("key").agg(F.min(F.struct("node", "value")).alias("hub"), F.max("blocks").alias("blocks"))
+    hubs = hubs.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("place"), F.col("hub.node").alias("node"), F.col("hub.value").alias("value"), "blocks")
+    rows = large.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("place"), "node", "value", "blocks").unionByName(hubs)
+    kind = large.schema["key"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub: tuple = (None, None, None)
+        names = ["key", "node", "value", "blocks", "hub"]
+        for batch in batches:
+            keys = batch.column("key")
+            out = []
+            for k, (key, place, node, value, blocks) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("key", "place", "node", "value", "blocks")], strict=True)):
+                if not place:
+                    hub = (key, node, value)
+                else:
+                    out.append((k, node, value, blocks, hub[1] if node == hub[1] or tie([hub[2], value]) else None))
+            if out:
+                arrays = [keys.take(pa.array([r[0] for r in out]))] + [pa.array([r[k] for r in out], type=t) for k, t in ((1, pa.binary()), (2, pa.binary()), (3, pa.int32()), (4, pa.binary()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    schema = T.StructType([T.StructField("key", kind), *(T.StructField(n, t) for n, t in (("node", T.BinaryType()), ("value", T.BinaryType()), ("blocks", T.IntegerType()), ("hub", T.BinaryType())))])
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "place").mapInArrow(run, schema)
+
+
+def _grouped(rows: DataFrame, key: str, value: str, size: str, most: float, tie: Tie, large: bool) -> DataFrame:
+    """Ties within each group of ``rows (key, node, value, size)``; ``size`` is of the whole group, in the unit of ``most``.
+
+    A group of up to ``most`` is walked by one task.  Of a larger one (``large`` says whether there may be any), every member is first
+    compared with the least node; those that are tied to it need not be compared with each other.  The others, in blocks, are
+    compared with all blocks of the group, each pair of blocks by its own task.
+    """
+    rows = rows.select(F.col(key).alias("key"), "node", F.col(value).alias("value"), F.col(size).alias("size"))
+    one = F.lit(0)
+    if not large:
+        return _walked(rows.select("key", one.alias("p"), one.alias("q"), "node", "value"), tie)
+    rows = _session.materialize(rows, "groups")
+    small = rows.filter(F.col("size") <= most).select("key", one.alias("p"), one.alias("q"), "node", "value")
+    beside = _session.materialize(_beside_hub(rows.filter(F.col("size") > most).select("key", "node", "value", F.ceil(F.col("size") / most).cast("int").alias("blocks")), tie), "beside")
+    unit = F.lit(1) if most == BLOCK else F.octet_length("value")
+    far = beside.filter("hub is null").groupBy("key").agg(F.ceil(F.sum(unit) / most).cast("int").alias("far"))
+    both = beside.join(far, "key")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    all_sides = both.select("key", F.explode(F.sequence(F.lit(0), F.col("far") - 1)).alias("p"), block("blocks").alias("q"), "node", "value")
+    far_side = both.filter("hub is null").select("key", block("far").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"), "node", "value")
+    return _walked(small, tie).unionByName(_walked(all_sides.unionByName(far_side), tie)).unionByName(beside.filter("hub is not null and hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
 
 def families(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -223,10 +276,9 @@ def families(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = buckets.filter("members = 2").select("a", "b").distinct().select(F.xxhash64("a", "b").alias("key"), F.lit(2).cast("long").alias("members"), F.explode(F.array("a", "b")).alias("node"))
     many = keys.join(buckets.filter("members > 2").select("key", "members"), "key").select("key", "members", "node")
     members = pairs.unionByName(many).join(nodes.select("node", "signature"), "node")
-    ties = _grouped(members, "key", "signature", "members", BLOCK, lambda values: tied_by_signature(values, percent / 100 - margin(percent)))
-    found = _components.components(ties)
-    _session.discard(buckets)
-    return found
+    least = percent / 100 - margin(percent)
+    large = not buckets.filter(F.col("members") > BLOCK).isEmpty()
+    return _session.settled(lambda: _components.components(_grouped(members, "key", "signature", "members", BLOCK, lambda values: tied_by_signature(values, least), large)), "families", buckets)
 
 
 def _confirmed(docs: DataFrame, nodes: DataFrame, family: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -252,7 +304,8 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, family: DataFrame, percent: in
         unnamed = texts.filter("doc_id is null").select("text").mapInArrow(signed, "node binary, text string").groupBy("node").agg(F.first("text").alias("text"))
         found = found.unionByName(unnamed.join(chosen.filter("doc_id is null").drop("doc_id"), "node").select("family", "node", "text", "bytes"))
     sets = found.mapInArrow(run, "family binary, node binary, shingles binary, bytes long")
-    return _grouped(sets, "family", "shingles", "bytes", BLOCK_BYTES, lambda values: tied_by_set([np.frombuffer(v, dtype=np.uint64) for v in values], percent))
+    large = not whole.filter(F.col("bytes") > BLOCK_BYTES).isEmpty()
+    return _grouped(sets, "family", "shingles", "bytes", BLOCK_BYTES, lambda values: tied_by_set([np.frombuffer(v, dtype=np.uint64) for v in values], percent), large)
 
 
 def _membership(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -262,7 +315,7 @@ def _membership(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFr
         signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.first("bands").alias("bands")), "nodes"
     )
     family = families(nodes, percent)
-    linked = _components.components(_confirmed(docs, nodes, family, percent, doc_id, text))
+    linked = _session.settled(lambda: _components.components(_confirmed(docs, nodes, family, percent, doc_id, text)), "linked")
     least = linked.join(nodes.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("component_id"))
     of_node = nodes.select("node", "first").join(linked, "node", "left").join(least, "label", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("component_id", "first").alias("component_id"))
     of_node = _session.materialize(of_node, "components")
@@ -280,9 +333,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component (the one with the smallest id), and all rows with empty sets; their columns as they came."""
-    members = _membership(docs, percent, doc_id, text).filter("node is not null").withColumn("rank", F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "node"))
+    near = _membership(docs, percent, doc_id, text)
+    members = near.filter("node is not null").withColumn("rank", F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "node"))
     each = members.groupBy("label", "rank").agg(F.count(F.lit(1)).alias("rows"))
     each = _session.materialize(_session.salted_join(each, each.groupBy("label").agg(F.min("rank").alias("best")), "label").select("rank.doc_id", "rank.node", "rows", F.expr("rank = best").alias("stays")), "verdicts")
+    _session.discard(near)
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

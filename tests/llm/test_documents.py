@@ -299,3 +299,17 @@ def test_estimate_is_unbiased():
             low = op7_near_dedup.packed(op7_near_dedup.minima(np.concatenate((a, b)), np.array([0, n, 2 * n])))
             errors.append(op7_near_dedup.estimate((low[0] == low[1]).mean()) - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
     assert abs(np.mean(errors)) < 0.01 and np.max(np.abs(errors)) < op7_near_dedup.MARGIN
+
+
+@pytest.mark.parametrize("edits", [1, 7, 40])
+def test_large_groups_are_compared_with_one_member_first(spark, monkeypatch, edits):
+    """Members near the least node, and some that are only near others."""
+    monkeypatch.setattr(op7_near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(op7_near_dedup, "BLOCK_BYTES", 4000)
+    rng = random.Random(edits)
+    rows = family(rng, 60, 0, edits) + family(rng, 30, 500, 4)
+    words = rows[0][1].split()
+    for k in range(12):  # a chain away from the first text
+        words[9 * k : 9 * k + 9] = [f"step{k}x{j}" for j in range(9)]
+        rows.append((900 + k, " ".join(words)))
+    assert near(spark, rows) == plain_components(rows)
