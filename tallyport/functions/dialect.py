@@ -28,7 +28,7 @@ class Spark:
         return f"cast(octet_length({x}) as bigint)"
 
     def div(self, a: str, b: str) -> str:
-        return f"(({a}) div ({b}))"
+        return f"(({a}) div nullif({b}, 0))"
 
     def rows(self, last: str, name: str) -> str:
         """To follow FROM: a row for each of 0 .. ``last``; none if it is negative."""
@@ -53,13 +53,31 @@ class Spark:
     def listed(self, x: str, order: str) -> str:
         return f"coalesce(listagg(cast({x} as string), ',') WITHIN GROUP (ORDER BY {order}), '')"
 
+    def bytes_part(self, x: str, first: str, size: str) -> str:
+        """Bytes of a text, from place ``first`` (from 0)."""
+        return f"substring(cast({x} as binary), cast({first} + 1 as int), cast({size} as int))"
+
+    def hex_bytes(self, x: str) -> str:
+        return f"lower(hex({x}))"
+
+    def millis(self, ts: str) -> str:
+        return f"unix_millis(cast({ts} as timestamp))"
+
+    @property
+    def anti(self) -> str:
+        return "LEFT ANTI"
+
+    @property
+    def string(self) -> str:
+        return "string"
+
     def issues(self, rel: str, keys: list[str], checks: list[tuple[str, str, str]]) -> str:
         """One row per check that holds: keys, ordinal (from 1), code and path; a path is SQL."""
         each = ", ".join(f"struct({k}L as ordinal, '{code}' as code, {path} as path, {cond} as hit)" for k, (cond, code, path) in enumerate(checks, 1))
         return f"SELECT {', '.join(keys)}, i.ordinal, i.code, i.path FROM {rel} LATERAL VIEW inline(filter(array({each}), s -> s.hit)) i AS ordinal, code, path, hit"
 
     def base64(self, x: str) -> str:
-        return f"base64(encode({x}, 'UTF-8'))"
+        return f"translate(base64(encode({x}, 'UTF-8')), '\\r\\n', '')"
 
     def xor(self, a: str, b: str) -> str:
         return f"({a}) ^ ({b})"
@@ -71,8 +89,10 @@ class Spark:
         return f"get_json_object({x}, '$.{key}')"
 
     def hash33(self, x: str) -> str:
-        """The 33-xor hash of ASCII text, as an unsigned 32-bit number."""
-        return f"aggregate(filter(split({x}, ''), c -> c <> ''), 5381L, (h, c) -> ((h * 33) ^ ascii(c)) & 4294967295L)"
+        """The 33-xor hash of a text's UTF-16 units, as an unsigned 32-bit number."""
+        step = lambda h, unit: f"((({h}) * 33) ^ cast({unit} as bigint)) & 4294967295L"
+        high, low = "55296 + ((ascii(c) - 65536) div 1024)", "56320 + (ascii(c) - 65536) % 1024"
+        return f"aggregate(filter(split({x}, ''), c -> c <> ''), 5381L, (h, c) -> CASE WHEN ascii(c) > 65535 THEN {step(step('h', high), low)} ELSE {step('h', 'ascii(c)')} END)"
 
     def hex8(self, x: str) -> str:
         return f"lower(lpad(hex({x}), 8, '0'))"
@@ -122,7 +142,7 @@ class Duck(Spark):
         return f"strlen({x})::BIGINT"
 
     def div(self, a: str, b: str) -> str:
-        return f"(({a}) // ({b}))"
+        return f"(({a}) // nullif({b}, 0))"
 
     def rows(self, last: str, name: str) -> str:
         return f"CROSS JOIN LATERAL (SELECT unnest(generate_series(0, {last})) AS {name}) AS s_{name}"
@@ -145,6 +165,20 @@ class Duck(Spark):
     def listed(self, x: str, order: str) -> str:
         return f"coalesce(string_agg(CAST({x} AS VARCHAR), ',' ORDER BY {order}), '')"
 
+    def bytes_part(self, x: str, first: str, size: str) -> str:
+        return f"(encode({x})[{first} + 1 : {first} + {size}])"
+
+    def millis(self, ts: str) -> str:
+        return f"(epoch_us({ts}) // 1000)"
+
+    @property
+    def anti(self) -> str:
+        return "ANTI"
+
+    @property
+    def string(self) -> str:
+        return "VARCHAR"
+
     def issues(self, rel: str, keys: list[str], checks: list[tuple[str, str, str]]) -> str:
         each = ", ".join(f"{{'ordinal': {k}::BIGINT, 'code': '{code}', 'path': {path}, 'hit': {cond}}}" for k, (cond, code, path) in enumerate(checks, 1))
         return f"SELECT {', '.join(keys)}, i.ordinal AS ordinal, i.code AS code, i.path AS path FROM (SELECT *, unnest([{each}]) AS i FROM {rel}) WHERE i.hit"
@@ -159,10 +193,11 @@ class Duck(Spark):
         return f"TRY_CAST({x} AS BIGINT)"
 
     def json(self, x: str, key: str) -> str:
-        return f"json_extract_string({x}, '$.{key}')"
+        return f"CASE WHEN json_valid({x}) THEN json_extract_string({x}, '$.{key}') END"
 
     def hash33(self, x: str) -> str:
-        return f"list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: xor(h * 33, c) & 4294967295)"
+        units = f"flatten(list_transform(string_split({x}, ''), lambda c: CASE WHEN c = '' THEN [] WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024]::BIGINT[] ELSE [unicode(c)]::BIGINT[] END))"
+        return f"list_reduce(list_prepend(5381::BIGINT, {units}), lambda h, c: xor(h * 33, c) & 4294967295)"
 
     def hex8(self, x: str) -> str:
         return f"lower(lpad(to_hex({x}), 8, '0'))"

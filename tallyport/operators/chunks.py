@@ -46,15 +46,41 @@ def throughput(d):
     return f"SELECT session_id, bytes, ms, CASE WHEN ms <= 0 THEN 0.0 ELSE round(bytes / 1048576.0 / (ms / 1000.0), 9) END AS mib_per_s FROM (SELECT session_id, CAST(sum(uploaded_bytes) AS DOUBLE) AS bytes, CAST({ms} AS DOUBLE) AS ms FROM {{ingest_events}} GROUP BY session_id) t"
 
 
-@operator("chunk_slice", bind={"plan": "file_plan"})
-def chunk_slice(d):
-    """The content of each chunk of a text file, in characters."""
-    return f"SELECT f.file_id, p.chunk_index, {d.part('f.content', 'p.start_char + 1', 'p.size_chars')} AS body FROM {{files}} f JOIN {{plan}} p ON p.file_id = f.file_id"
+def sliced(d, size: int) -> str:
+    """To follow FROM: each chunk of ``size`` bytes of every file, on the file's own row; an empty file has none."""
+    return f"(SELECT *, {d.octets('content')} AS n_bytes FROM {{files}} WHERE content <> '') f {d.rows(d.div(f'n_bytes + {size - 1}', str(size)) + ' - 1', 'chunk_index')}"
+
+
+@operator("chunk_slice", given={"size": 1000})
+def chunk_slice(d, size):
+    """The bytes of each chunk of a file, in hexadecimal digits."""
+    return f"SELECT file_id, chunk_index, {d.hex_bytes(d.bytes_part('content', f'chunk_index * {size}', str(size)))} AS body_hex FROM {sliced(d, size)}"
+
+
+def _parts(extra: str = "") -> str:
+    """The receipts of each upload in the order of chunks, numbered."""
+    return f"(SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY chunk_index, position) AS place{extra} FROM {{receipts}})"
+
+
+def _completion() -> str:
+    return f"""CASE WHEN count(r.manifest_id) = 0 THEN 'transport.receipt_missing' WHEN max(CASE WHEN r.chunk_index + 1 > {MAX_PARTS} THEN 1 ELSE 0 END) = 1 THEN 'transport.part_rejected'
+    WHEN max(CASE WHEN r.manifest_id IS NOT NULL AND (coalesce(r.part_number, 0) = 0 OR coalesce(r.etag, '') = '') THEN 1 ELSE 0 END) = 1 OR max(CASE WHEN r.part_number <> r.place THEN 1 ELSE 0 END) = 1 THEN 'transport.receipt_invalid' ELSE 'ok' END"""
 
 
 @operator("s3_parts")
 def s3_parts(d):
-    """What completion of each multipart upload would do: the parts, or the first reason against it."""
-    return f"""SELECT m.manifest_id, count(r.part_number) AS n_parts, CASE WHEN count(r.manifest_id) = 0 THEN 'transport.receipt_missing' WHEN max(CASE WHEN r.chunk_index + 1 > {MAX_PARTS} THEN 1 ELSE 0 END) = 1 THEN 'transport.part_rejected'
-    WHEN max(CASE WHEN r.manifest_id IS NOT NULL AND (coalesce(r.part_number, 0) = 0 OR coalesce(r.etag, '') = '') THEN 1 ELSE 0 END) = 1 OR max(CASE WHEN r.part_number <> r.place THEN 1 ELSE 0 END) = 1 THEN 'transport.receipt_invalid' ELSE 'ok' END AS verdict
-    FROM {{manifests}} m LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY chunk_index, position) AS place FROM {{receipts}}) r ON r.manifest_id = m.manifest_id GROUP BY m.manifest_id"""
+    """What completion of each multipart upload would do: the number of parts, or the first reason against it."""
+    return f"SELECT m.manifest_id, count(r.part_number) AS n_parts, {_completion()} AS verdict FROM {{manifests}} m LEFT JOIN {_parts()} r ON r.manifest_id = m.manifest_id GROUP BY m.manifest_id"
+
+
+@operator("s3_completed_parts")
+def s3_completed_parts(d):
+    """The list of parts that completes each multipart upload whose receipts allow it."""
+    return f"""SELECT p.manifest_id, p.part_number, p.etag FROM {_parts()} p JOIN (SELECT manifest_id FROM (SELECT r.manifest_id, {_completion()} AS verdict FROM {_parts()} r GROUP BY r.manifest_id) v WHERE verdict = 'ok') w ON w.manifest_id = p.manifest_id"""
+
+
+@operator("s3_handles", bind={"handles": "s3_handles"})
+def s3_handles(d):
+    """Why a multipart upload's handle, persisted state or part target cannot be used; the first reason counts."""
+    return """SELECT handle_id, CASE WHEN coalesce(upload_id, '') = '' OR coalesce(object_key, '') = '' THEN CASE WHEN persisted THEN 'transport.resume_failed' ELSE 'transport.failed' END
+    WHEN NOT persisted AND (coalesce(url, '') = '' OR coalesce(nullif(method, ''), 'PUT') <> 'PUT') THEN 'transport.failed' ELSE 'ok' END AS verdict FROM {handles}"""

@@ -15,38 +15,60 @@ def unsafe(d, x: str) -> str:
     return d.rlike(x, UNSAFE)
 
 
+_POSITIVE = "BETWEEN 1 AND 9007199254740991"
+
+
 def tile_bad() -> str:
-    return "coalesce(tile_width <= 0, false) OR coalesce(tile_width IS NOT NULL AND status = 'created' AND levels = 0, false)"
+    """SQL: a tile pyramid (``has_tiles``) with sizes or levels that make no sense; ``bad_levels`` counts levels that do not."""
+    return f"has_tiles AND (tile_width IS NOT NULL AND NOT tile_width {_POSITIVE} OR tile_height IS NOT NULL AND NOT tile_height {_POSITIVE} OR status = 'created' AND levels = 0 OR bad_levels > 0)"
+
+
+_LEVEL_OK = f"coalesce(level >= 0, false) AND coalesce(width {_POSITIVE}, false) AND coalesce(height {_POSITIVE}, false) AND coalesce(columns {_POSITIVE}, false) AND coalesce(tile_rows {_POSITIVE}, false) AND coalesce(scale > 0, true)"
+
 
+def mismatched_source() -> str:
+    """SQL: a source identity that is given and is not the manifest's; fields that are not given do not count."""
+    return """source_manifest_id IS NOT NULL AND (source_manifest_id <> manifest_id OR coalesce(source_version, '') <> manifest_version OR coalesce(source_bytes <> manifest_bytes, false) OR coalesce(source_media_type <> manifest_media_type, false)
+    OR coalesce(source_fingerprint <> manifest_fingerprint, false) OR coalesce(source_checksum <> manifest_checksum, false))"""
 
-def checks(d) -> list[tuple[str, str, str]]:
+
+def checks(d, strict_source: bool = False, allow_unsafe_hints: bool = False) -> list[tuple[str, str, str]]:
     """The rules on one derivative, in their order."""
-    return [
+    found = [
         ("coalesce(derivative_id, '') = ''", "derivative.id.missing", "'id'"),
-        (f"NOT kind IN ({KINDS})", "derivative.kind.unsupported", "'kind'"),
-        ("NOT status IN ('planned', 'created', 'failed')", "derivative.status.invalid", "'status'"),
+        (f"NOT coalesce(kind IN ({KINDS}), false)", "derivative.kind.unsupported", "'kind'"),
+        ("NOT coalesce(status IN ('planned', 'created', 'failed'), false)", "derivative.status.invalid", "'status'"),
         ("source IS DISTINCT FROM 'original'", "derivative.source.missing", "'source'"),
-        ("source_manifest_id <> manifest_id OR source_bytes <> manifest_bytes", "derivative.source.mismatch", "'sourceIdentity'"),
-        (unsafe(d, "location_hint"), "derivative.storage.unsafe", "'storage'"),
-        (d.rlike("metadata", PAYLOAD_KEYS), "derivative.payload.embedded", "'storage.metadata'"),
-        (unsafe(d, "failure_message"), "derivative.failure.unsafe", "'failure'"),
+    ]
+    if strict_source:
+        found.append(("source_manifest_id IS NULL", "derivative.source.missing", "'sourceIdentity'"))
+    found.append((mismatched_source(), "derivative.source.mismatch", "'sourceIdentity'"))
+    if not allow_unsafe_hints:
+        found.append((" OR ".join(unsafe(d, x) for x in ("location_hint", "label", "storage_metadata")), "derivative.storage.unsafe", "'storage'"))
+    found += [
+        (f"{d.rlike('storage_metadata', PAYLOAD_KEYS)} OR {d.rlike('metadata', PAYLOAD_KEYS)}", "derivative.payload.embedded", "'storage.metadata'"),
+        (f"{unsafe(d, 'failure_code')} OR {unsafe(d, 'failure_message')}", "derivative.failure.unsafe", "'failure'"),
         (tile_bad(), "derivative.tile.invalid", "'tilePyramid'"),
     ]
+    return [(f"coalesce({c}, false)", code, path) for c, code, path in found]
 
 
-@operator("derivative_validate")
-def derivative_validate(d):
+@operator("derivative_validate", given={"strict_source": True})
+def derivative_validate(d, strict_source=False, allow_unsafe_hints=False):
     """Every issue of every derivative, and whether it forbids to show it."""
-    return f"SELECT manifest_id, ordinal, code, path, code IN ({BLOCKING}) AS blocking FROM ({d.issues('{derivatives}', ['manifest_id'], checks(d))}) t"
+    return f"SELECT manifest_id, ordinal, code, path, code IN ({BLOCKING}) AS blocking FROM ({d.issues('{derivatives}', ['manifest_id'], checks(d, strict_source, allow_unsafe_hints))}) t"
 
 
-@operator("manifest_derivatives")
-def manifest_derivatives(d):
-    """All issues of a group of derivatives: a repeated id is an issue and hides the others of its derivative; then required ones that are missing."""
-    first = "(SELECT *, row_number() OVER (PARTITION BY group_id, derivative_id ORDER BY position) AS place FROM {derivatives}) q"
-    each = d.issues(f"(SELECT * FROM {first} WHERE place = 1) f", ["group_id", "position"], [(c, code, f"concat('derivatives.', position, '.', {path})") for c, code, path in checks(d)])
-    return f"""SELECT group_id, position, ordinal, code, path FROM ({each}) e UNION ALL SELECT group_id, position, CAST(0 AS BIGINT), 'derivative.id.duplicate', concat('derivatives.', position, '.id') FROM {first} WHERE place > 1
-    UNION ALL SELECT g.group_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 'derivative.required.missing', 'derivatives' FROM (SELECT group_id, max(CASE WHEN derivative_id = 'd0' THEN 1 ELSE 0 END) AS has FROM {{derivatives}} GROUP BY group_id) g WHERE has = 0"""
+@operator("manifest_derivatives", given={"required": ("d0",)})
+def manifest_derivatives(d, required=(), strict_source=False, allow_unsafe_hints=False):
+    """All issues of a group of derivatives: a repeated id is an issue and hides the others of its derivative; then required ids that are missing."""
+    first = "(SELECT *, CASE WHEN coalesce(derivative_id, '') = '' THEN 1 ELSE row_number() OVER (PARTITION BY group_id, derivative_id ORDER BY position) END AS place FROM {derivatives}) q"
+    each = d.issues(f"(SELECT * FROM {first} WHERE place = 1) f", ["group_id", "position"], [(c, code, f"concat('derivatives.', position, '.', {path})") for c, code, path in checks(d, strict_source, allow_unsafe_hints)])
+    missing = "".join(
+        f" UNION ALL SELECT g.group_id, CAST({k - len(required)} AS BIGINT), CAST(0 AS BIGINT), 'derivative.required.missing', 'derivatives' FROM (SELECT group_id, max(CASE WHEN derivative_id = {d.text(name)} THEN 1 ELSE 0 END) AS has FROM {{derivatives}} GROUP BY group_id) g WHERE has = 0"
+        for k, name in enumerate(required)
+    )
+    return f"SELECT group_id, position, ordinal, code, path FROM ({each}) e UNION ALL SELECT group_id, position, CAST(0 AS BIGINT), 'derivative.id.duplicate', concat('derivatives.', position, '.id') FROM {first} WHERE place > 1{missing}"
 
 
 @operator("derivative_dups")
@@ -55,31 +77,60 @@ def derivative_dups(d):
     return "SELECT group_id, derivative_id, position FROM (SELECT *, row_number() OVER (PARTITION BY group_id, derivative_id ORDER BY position) AS place FROM {derivatives}) q WHERE place > 1"
 
 
-@operator("required_derivatives")
-def required_derivatives(d):
-    """Documents without a derivative."""
-    anti = "LEFT ANTI" if d.name == "spark" else "ANTI"
-    return f"SELECT f.file_id FROM {{files}} f {anti} JOIN {{derivatives}} x ON x.manifest_id = f.file_id"
+@operator("required_derivatives", given={"kinds": ("preview", "tile")})
+def required_derivatives(d, kinds):
+    """Files without a derivative of a required kind, and the kind."""
+    wanted = " UNION ALL ".join(f"SELECT file_id, {d.text(k)} AS kind FROM {{files}}" for k in kinds)
+    return f"SELECT f.file_id, f.kind FROM ({wanted}) f {d.anti} JOIN {{derivatives}} x ON x.manifest_id = f.file_id AND x.kind = f.kind"
+
+
+_SOURCE = "'original' AS source, f.file_id AS manifest_id, f.size_bytes, coalesce(nullif(f.media_type, ''), 'application/octet-stream') AS media_type"
 
 
 @operator("derivative_build")
 def derivative_build(d):
     """References to originals, with the identity of the source."""
-    return f"SELECT concat('preview-', f.file_id) AS derivative_id, 'preview' AS kind, CASE WHEN x.status = 'failed' THEN 'failed' ELSE 'planned' END AS status, 'original' AS source, f.file_id AS manifest_id, f.size_bytes, coalesce(nullif(f.media_type, ''), 'application/octet-stream') AS media_type, {d.sha('f.content')} AS checksum FROM {{files}} f JOIN {{derivatives}} x ON x.manifest_id = f.file_id"
+    return f"SELECT concat('preview-', f.file_id) AS derivative_id, 'preview' AS kind, CASE WHEN x.status = 'failed' THEN 'failed' ELSE 'planned' END AS status, {_SOURCE}, {d.sha('f.content')} AS checksum FROM {{files}} f JOIN {{derivatives}} x ON x.manifest_id = f.file_id"
+
+
+@operator("metadata_derivative", bind={"inspected": "inspected_files"})
+def metadata_derivative(d):
+    """Derivatives that hold what was inspected of a file: format, size, depth and channels; refused if the tile pyramid among it makes no sense or anything looks unsafe."""
+    bad = f"({tile_bad()}) OR {unsafe(d, 'format')}"
+    return f"SELECT concat('metadata-', f.file_id) AS derivative_id, 'metadata' AS kind, f.status, {_SOURCE}, format, width, height, color_depth, channels, CASE WHEN coalesce({bad}, false) THEN CASE WHEN coalesce({tile_bad()}, false) THEN 'derivative.tile.invalid' ELSE 'derivative.storage.unsafe' END ELSE 'ok' END AS verdict FROM {{inspected}} f"
+
+
+@operator("tile_derivative", bind={"inspected": "inspected_files"})
+def tile_derivative(d):
+    """Derivatives that point to a tile pyramid; refused if its numbers make no sense or its storage looks unsafe."""
+    return f"SELECT concat('tile-', f.file_id) AS derivative_id, 'tile' AS kind, f.status, {_SOURCE}, tile_width, tile_height, levels, CASE WHEN coalesce({tile_bad()}, false) THEN 'derivative.tile.invalid' WHEN {unsafe(d, 'location_hint')} THEN 'derivative.storage.unsafe' ELSE 'ok' END AS verdict FROM {{inspected}} f WHERE has_tiles"
 
 
 @operator("derivative_upsert", bind={"new": "new_derivatives"})
 def derivative_upsert(d):
-    """Derivatives of each group after new ones came: same ids are replaced in place, others are added behind."""
-    new = "(SELECT group_id, derivative_id, max(position) AS position FROM {new} GROUP BY group_id, derivative_id)"
+    """Derivatives of each group after new ones came: same ids are replaced in place, others are added behind; an id that is new more than once is an error."""
+    new = "(SELECT group_id, derivative_id, max(position) AS position, count(*) AS times FROM {new} GROUP BY group_id, derivative_id)"
     old = "(SELECT group_id, derivative_id, min(position) AS position FROM {derivatives} GROUP BY group_id, derivative_id)"
-    return f"SELECT coalesce(o.group_id, n.group_id) AS group_id, coalesce(o.derivative_id, n.derivative_id) AS derivative_id, coalesce(o.position, 100000 + n.position) AS position, n.derivative_id IS NOT NULL AS changed FROM {old} o FULL OUTER JOIN {new} n ON o.group_id = n.group_id AND o.derivative_id = n.derivative_id"
+    return f"""SELECT coalesce(o.group_id, n.group_id) AS group_id, coalesce(o.derivative_id, n.derivative_id) AS derivative_id, coalesce(o.position, 100000 + n.position) AS position, n.derivative_id IS NOT NULL AS changed, CASE WHEN n.times > 1 THEN 'derivative.id.duplicate' END AS error
+    FROM {old} o FULL OUTER JOIN {new} n ON o.group_id = n.group_id AND o.derivative_id = n.derivative_id"""
 
 
 @operator("tile_valid")
 def tile_valid(d):
     """Whether a tile pyramid's numbers make sense; what was created has a level at least."""
-    return f"SELECT manifest_id, status, tile_width, levels, NOT ({tile_bad()}) AS valid FROM {{derivatives}} WHERE tile_width IS NOT NULL"
+    return f"SELECT manifest_id, status, tile_width, levels, NOT coalesce({tile_bad()}, false) AS valid FROM {{derivatives}} WHERE has_tiles"
+
+
+@operator("tile_levels", bind={"pyramid": "tile_levels"})
+def tile_levels(d):
+    """Of each pyramid, how many levels it has and how many make no sense: number, size, columns and rows are whole and positive, a scale is positive."""
+    return f"SELECT manifest_id, count(*) AS levels, count(CASE WHEN NOT ({_LEVEL_OK}) THEN 1 END) AS bad_levels FROM {{pyramid}} GROUP BY manifest_id"
+
+
+@operator("unsafe_value", bind={"fields": "shown_fields"})
+def unsafe_value(d):
+    """Whether any field of an object, or its name, looks as if it gave away a secret or left its folder."""
+    return f"SELECT object_id, max(CASE WHEN {unsafe(d, 'field')} OR {unsafe(d, 'value')} THEN 1 ELSE 0 END) = 1 AS unsafe FROM {{fields}} GROUP BY object_id"
 
 
 @operator("unsafe_hint")

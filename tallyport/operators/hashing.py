@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyport.operators.chunks import sliced
 from tallyport.plans.registry import operator
 
 
@@ -11,10 +12,10 @@ def file_sha256(d):
     return f"SELECT file_id, size_bytes, {d.sha('content')} AS sha256 FROM {{files}}"
 
 
-@operator("chunk_sha256", bind={"plan": "file_plan"})
-def chunk_sha256(d):
-    """The digest of each chunk."""
-    return f"SELECT f.file_id, p.chunk_index, {d.sha(d.part('f.content', 'p.start_char + 1', 'p.size_chars'))} AS sha256 FROM {{files}} f JOIN {{plan}} p ON p.file_id = f.file_id"
+@operator("chunk_sha256", given={"size": 1000})
+def chunk_sha256(d, size):
+    """The digest of each chunk of ``size`` bytes."""
+    return f"SELECT file_id, chunk_index, {d.sha(d.bytes_part('content', f'chunk_index * {size}', str(size)))} AS sha256 FROM {sliced(d, size)}"
 
 
 @operator("fingerprint")
@@ -29,26 +30,32 @@ def _identity() -> str:
 
 @operator("fallback_hash")
 def fallback_hash(d):
-    """The 33-xor fingerprint of ASCII identities, where no digest is available."""
+    """The 33-xor fingerprint of identities, where no digest is available."""
     return f"SELECT file_id, concat('fast-', {d.hex8(d.hash33(_identity()))}) AS fingerprint FROM {{files}}"
 
 
-@operator("verify_checksum")
-def verify_checksum(d):
-    """Checksum policy on each file: missing, unsupported, or differing (letters' case aside) from what is stored."""
-    return f"""SELECT file_id, CASE WHEN algorithm IS NULL THEN 'verification.checksum_missing' WHEN algorithm <> 'sha256' THEN 'verification.checksum_unsupported' WHEN lower(expected) <> lower(actual) THEN 'verification.checksum_mismatch' ELSE 'ok' END AS verdict FROM (
-    SELECT file_id, CASE file_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'md5' ELSE 'sha256' END AS algorithm, CASE WHEN file_id % 4 = 0 THEN upper({d.sha("content")}) WHEN file_id % 7 = 0 THEN 'ff' ELSE {d.sha("content")} END AS expected, {d.sha("content")} AS actual FROM {{files}}) t"""
+def checksum_verdict(policy: str, found: str = "true") -> str:
+    """SQL: the checksum rule of a policy (``required``, ``when-present`` or ``off``) on ``algorithm, expected, actual``; ``found`` says whether there is a file."""
+    if policy == "off":
+        return "'ok'"
+    absent = "verification.checksum_missing" if policy == "required" else "ok"
+    return f"""CASE WHEN algorithm IS NULL OR expected IS NULL THEN '{absent}' WHEN algorithm <> 'sha256' THEN 'verification.checksum_unsupported' WHEN NOT ({found}) THEN 'ok' WHEN lower(expected) <> lower(actual) THEN 'verification.checksum_mismatch' ELSE 'ok' END"""
 
 
-@operator("s3_checksum_pick")
+@operator("verify_checksum", bind={"files": "checked_files"}, given={"policy": "required"})
+def verify_checksum(d, policy="when-present"):
+    """Checksum policy on each file: missing, unsupported, or differing (letters' case aside) from the content, which is null if there is no file."""
+    return f"SELECT file_id, {checksum_verdict(policy, 'content IS NOT NULL')} AS verdict FROM (SELECT file_id, algorithm, expected, content, {d.sha('content')} AS actual FROM {{files}}) t"
+
+
+@operator("s3_checksum_pick", bind={"headers": "part_headers"})
 def s3_checksum_pick(d):
     """The first checksum header that a response carries, in the order of preference."""
-    return """SELECT manifest_id, position, CASE WHEN sha <> '' THEN 'sha256' WHEN crc64 <> '' THEN 'crc64nvme' WHEN crc32c <> '' THEN 'crc32c' WHEN crc32 <> '' THEN 'crc32' END AS algorithm, coalesce(nullif(sha, ''), nullif(crc64, ''), nullif(crc32c, ''), nullif(crc32, '')) AS value FROM (
-    SELECT manifest_id, position, CASE WHEN position % 5 = 0 THEN etag END AS sha, CASE WHEN position % 3 = 0 THEN '' END AS crc64, CASE WHEN chunk_index % 2 = 0 THEN etag END AS crc32c, CASE WHEN chunk_index % 3 = 0 THEN 'c' END AS crc32 FROM {receipts}) t"""
+    return """SELECT response_id, CASE WHEN sha256 <> '' THEN 'sha256' WHEN crc64nvme <> '' THEN 'crc64nvme' WHEN crc32c <> '' THEN 'crc32c' WHEN crc32 <> '' THEN 'crc32' END AS algorithm,
+    coalesce(nullif(sha256, ''), nullif(crc64nvme, ''), nullif(crc32c, ''), nullif(crc32, '')) AS value FROM {headers}"""
 
 
-@operator("checksum_progress", bind={"plan": "file_plan"})
-def checksum_progress(d):
-    """Characters read after each chunk, with the chunk's number and how many there are."""
-    return """SELECT p.file_id, p.chunk_index, count(*) OVER (PARTITION BY p.file_id) AS chunks, CAST(sum(least(p.size_chars, length(f.content) - p.start_char)) OVER (PARTITION BY p.file_id ORDER BY p.chunk_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS loaded
-    FROM {plan} p JOIN {files} f ON f.file_id = p.file_id"""
+@operator("checksum_progress", given={"size": 1000})
+def checksum_progress(d, size):
+    """Bytes read after each chunk, with the chunk's number and how many there are."""
+    return f"SELECT file_id, chunk_index, {d.div(f'n_bytes + {size - 1}', str(size))} AS chunks, least((chunk_index + 1) * {size}, n_bytes) AS loaded FROM {sliced(d, size)}"

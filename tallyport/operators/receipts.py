@@ -10,21 +10,21 @@ FIRST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id,
 @operator("missing_chunks")
 def missing_chunks(d):
     """Planned chunks without a receipt."""
-    return "SELECT p.manifest_id, p.chunk_index FROM {plan} p LEFT ANTI JOIN {receipts} r ON r.manifest_id = p.manifest_id AND r.chunk_index = p.chunk_index".replace("LEFT ANTI", "LEFT ANTI" if d.name == "spark" else "ANTI")
+    return "SELECT p.manifest_id, p.chunk_index FROM {plan} p LEFT ANTI JOIN {receipts} r ON r.manifest_id = p.manifest_id AND r.chunk_index = p.chunk_index".replace("LEFT ANTI", d.anti)
 
 
 @operator("missing_top10")
 def missing_top10(d):
     """How many chunks are missing, and the first ten of them."""
-    anti = "LEFT ANTI" if d.name == "spark" else "ANTI"
+    anti = d.anti
     return f"""SELECT manifest_id, count(*) AS missing, {d.listed("CASE WHEN place <= 10 THEN chunk_index END", "chunk_index")} AS first_missing FROM (SELECT p.manifest_id, p.chunk_index, row_number() OVER (PARTITION BY p.manifest_id ORDER BY p.chunk_index) AS place
     FROM {{plan}} p {anti} JOIN {{receipts}} r ON r.manifest_id = p.manifest_id AND r.chunk_index = p.chunk_index) t GROUP BY manifest_id"""
 
 
 @operator("remaining_chunks")
 def remaining_chunks(d):
-    """What is left to send when an upload is resumed, with its bytes."""
-    anti = "LEFT ANTI" if d.name == "spark" else "ANTI"
+    """What is left to send when an upload that is not finished (status F) is resumed, with its bytes."""
+    anti = d.anti
     return f"SELECT p.manifest_id, p.chunk_index, p.start_byte, p.end_byte FROM (SELECT p.* FROM {{plan}} p JOIN {{manifests}} m ON m.manifest_id = p.manifest_id WHERE m.status <> 'F') p {anti} JOIN {{receipts}} r ON r.manifest_id = p.manifest_id AND r.chunk_index = p.chunk_index"
 
 
@@ -66,10 +66,10 @@ def merge_ranges(d):
     return merged()
 
 
-@operator("range_membership")
+@operator("range_membership", bind={"asked": "asked_chunks"})
 def range_membership(d):
-    """Whether each chunk index is in one of the record's ranges."""
-    return """SELECT q.record_id, q.chunk_index, count(r.record_id) > 0 AS completed FROM (SELECT DISTINCT l_orderkey AS record_id, CAST(l_partkey % 8 AS BIGINT) AS chunk_index FROM {lineitem}) q
+    """Whether each chunk index that is asked for is in one of the record's ranges."""
+    return """SELECT q.record_id, q.chunk_index, count(r.record_id) > 0 AS completed FROM (SELECT DISTINCT record_id, chunk_index FROM {asked}) q
     LEFT JOIN {ranges} r ON r.record_id = q.record_id AND q.chunk_index BETWEEN r.start_index AND r.end_index GROUP BY q.record_id, q.chunk_index"""
 
 
@@ -108,8 +108,18 @@ def hydrate_legacy(d):
 
 @operator("resume_checkpoint")
 def resume_checkpoint(d):
-    """State of a record after each acknowledged chunk: bytes so far and how far it is complete from the start."""
-    return f"""SELECT manifest_id, position, CAST(sum(size_bytes) OVER w AS BIGINT) AS uploaded_bytes, count(*) OVER w AS done FROM {FIRST} r WINDOW w AS (PARTITION BY manifest_id ORDER BY position ROWS UNBOUNDED PRECEDING)"""
+    """State of a record after each acknowledged chunk: planned bytes of the completed ranges, how many ranges, and the first chunk that is missing.
+
+    A chunk opens a range, closes the gap between two, or neither, by which of its neighbours came before it.  The first missing
+    chunk moves when the latest of a run of chunks from the start comes.
+    """
+    first = f"(SELECT r.manifest_id, r.chunk_index, r.position, least(m.chunk_size, m.total_bytes - r.chunk_index * m.chunk_size) AS planned FROM {FIRST} r JOIN {{manifests}} m ON m.manifest_id = r.manifest_id WHERE r.chunk_index BETWEEN 0 AND m.total_chunks - 1)"
+    order = "OVER (PARTITION BY manifest_id ORDER BY chunk_index)"
+    near = f"""(SELECT *, CASE WHEN lag(chunk_index) {order} = chunk_index - 1 AND lag(position) {order} < position THEN 1 ELSE 0 END AS below, CASE WHEN lead(chunk_index) {order} = chunk_index + 1 AND lead(position) {order} < position THEN 1 ELSE 0 END AS above,
+    row_number() {order} - 1 AS nth, max(position) OVER (PARTITION BY manifest_id ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS latest FROM {first} f)"""
+    reach = f"(SELECT manifest_id, latest AS position, max(chunk_index + 1) AS upto FROM {near} n WHERE chunk_index = nth GROUP BY manifest_id, latest)"
+    return f"""SELECT n.manifest_id, n.position, n.chunk_index, CAST(sum(planned) OVER w AS BIGINT) AS uploaded_bytes, CAST(sum(1 - below - above) OVER w AS BIGINT) AS ranges, coalesce(max(upto) OVER w, 0) AS next_index
+    FROM {near} n LEFT JOIN {reach} u ON u.manifest_id = n.manifest_id AND u.position = n.position WINDOW w AS (PARTITION BY n.manifest_id ORDER BY n.position ROWS UNBOUNDED PRECEDING)"""
 
 
 @operator("retransmission")

@@ -3,38 +3,53 @@
 from __future__ import annotations
 
 from tallyport.operators.receipts import FIRST
-from tallyport.operators.validation import SAFE
+from tallyport.operators.chunks import SAFE
+from tallyport.operators.records import is_iso
 from tallyport.plans.registry import operator
-from tallyport.plans.views import CHUNK, NOW, NOW_ISO
+from tallyport.plans.views import NOW, NOW_ISO
 
 RECOVERABLE = "status IN ('active', 'paused', 'failed')"
+STATUSES = "('active', 'paused', 'failed', 'completed', 'canceled', 'expired')"
+_AT = {"now": NOW}
 
 
-def expired(d) -> str:
-    """Expired by status, or at or before now; a time that is none never expires."""
-    return f"(status = 'expired' OR coalesce({d.stamp('expires_at')} <= {NOW}, false))"
+def expired(d, now: str) -> str:
+    """Expired by status, or at or before ``now``; a time that is none never expires."""
+    return f"(status = 'expired' OR coalesce({d.stamp('expires_at')} <= {now}, false))"
 
 
-@operator("recoverable")
-def recoverable(d):
+def mismatched(kind: str, d) -> str:
+    """SQL: a record against the file that is offered for it (``offered_...``), or against the plan for that."""
+    if kind == "file":
+        same = " AND ".join(f"coalesce(file_{x} = offered_{x}, false)" for x in ("name", "bytes", "media_type", "fingerprint"))
+        return f"NOT ({same} AND coalesce(file_last_modified = offered_last_modified, true))"
+    return f"(chunk_size <> offered_chunk OR total_bytes <> offered_bytes OR total_chunks <> {d.div('offered_bytes + offered_chunk - 1', 'offered_chunk')})"
+
+
+def _offered(extra: str = "", joined: str = "") -> str:
+    return f"""(SELECT r.*, c.name AS offered_name, c.size_bytes AS offered_bytes, c.media_type AS offered_media_type, c.fingerprint AS offered_fingerprint, c.last_modified AS offered_last_modified, c.chunk_size AS offered_chunk{extra}
+    FROM {{resume_records}} r JOIN {{candidates}} c ON c.manifest_id = r.manifest_id{joined}) t"""
+
+
+@operator("recoverable", given=_AT)
+def recoverable(d, now):
     """Records that can still be resumed."""
-    return f"SELECT record_id, status, expires_at FROM {{resume_records}} WHERE {RECOVERABLE} AND NOT {expired(d)}"
+    return f"SELECT record_id, status, expires_at FROM {{resume_records}} WHERE {RECOVERABLE} AND NOT {expired(d, now)}"
 
 
-@operator("resume_classify")
-def resume_classify(d):
-    """What stands between a record and the file that is offered for it; the first reason counts."""
-    return f"""SELECT record_id, CASE WHEN {expired(d)} THEN 'expired' WHEN NOT {RECOVERABLE} THEN 'not_recoverable' WHEN file_name <> name OR total_bytes <> size_bytes THEN 'file_mismatch'
-    WHEN chunk_size <> offered_chunk OR total_chunks <> {d.div('size_bytes + offered_chunk - 1', 'offered_chunk')} THEN 'chunking_mismatch' ELSE 'compatible' END AS verdict
-    FROM (SELECT r.*, c.name, c.size_bytes, c.chunk_size AS offered_chunk FROM {{resume_records}} r JOIN {{candidates}} c ON c.manifest_id = r.manifest_id) t"""
+@operator("resume_classify", given=_AT)
+def resume_classify(d, now):
+    """What stands between a record and the file that is offered for it (name, size, media type, fingerprint, and time of change if both have one); the first reason counts."""
+    return f"""SELECT record_id, CASE WHEN {expired(d, now)} THEN 'expired' WHEN NOT {RECOVERABLE} THEN 'not_recoverable' WHEN {mismatched('file', d)} THEN 'file_mismatch'
+    WHEN {mismatched('chunking', d)} THEN 'chunking_mismatch' ELSE 'compatible' END AS verdict FROM {_offered()}"""
 
 
-@operator("resume_gate")
-def resume_gate(d):
+@operator("resume_gate", given=_AT)
+def resume_gate(d, now):
     """The six conflicts that stop a session from resuming, for each transport it may run on, in their own order."""
-    return f"""SELECT record_id, active, CASE WHEN {expired(d)} THEN 'resume.expired' WHEN file_name <> name OR total_bytes <> size_bytes THEN 'resume.file_mismatch' WHEN chunk_size <> offered_chunk OR total_chunks <> {d.div('size_bytes + offered_chunk - 1', 'offered_chunk')} THEN 'resume.chunking_mismatch'
+    return f"""SELECT record_id, active, CASE WHEN {expired(d, now)} THEN 'resume.expired' WHEN {mismatched('file', d)} THEN 'resume.file_mismatch' WHEN {mismatched('chunking', d)} THEN 'resume.chunking_mismatch'
     WHEN persistent IS NOT DISTINCT FROM false THEN 'resume.transport_unsupported' WHEN active <> transport_name THEN 'resume.transport_mismatch' WHEN status IN ('completed', 'canceled') THEN 'resume.record_not_found' ELSE 'ok' END AS verdict
-    FROM (SELECT r.*, c.name, c.size_bytes, c.chunk_size AS offered_chunk, t.name AS active, t.persistent FROM {{resume_records}} r JOIN {{candidates}} c ON c.manifest_id = r.manifest_id CROSS JOIN {{capabilities}} t) x"""
+    FROM {_offered(', t.name AS active, t.persistent', ' CROSS JOIN {capabilities} t')}"""
 
 
 @operator("capability_gate")
@@ -43,25 +58,76 @@ def capability_gate(d):
     return "SELECT name, persistent IS DISTINCT FROM false AS allowed FROM {capabilities}"
 
 
+def _whole(x: str, least: int = 0) -> str:
+    return f"coalesce({x} BETWEEN {least} AND {SAFE}, false)"
+
+
+def _problems(d) -> str:
+    """The first thing that is wrong with each stored record, or null: ``record_id, code, path``.
+
+    Stored ranges and receipts are each reduced to a row per record before they meet it; one window numbers the receipts.
+    """
+    chunks = d.div("total_bytes + chunk_size - 1", "chunk_size")
+    record = [
+        ("coalesce(record_id, '') = ''", "id"),
+        (f"NOT {is_iso(d, 'created_at')} OR NOT {is_iso(d, 'updated_at')}", "createdAt"),
+        (f"manifest_id IS NULL OR coalesce(manifest_version, '') <> 'v1' OR NOT {_whole('manifest_bytes')} OR NOT {_whole('manifest_chunk_size', 1)} OR NOT {_whole('manifest_chunks')}", "manifest"),
+        (f"coalesce(file_name, '') = '' OR NOT {_whole('file_bytes')} OR coalesce(file_media_type, '') = '' OR coalesce(file_fingerprint, '') = ''", "file"),
+        (f"file_last_modified IS NOT NULL AND NOT {_whole('file_last_modified')}", "file.lastModified"),
+        (f"coalesce(strategy, '') <> 'fixed-size' OR NOT {_whole('chunk_size', 1)} OR NOT {_whole('total_bytes')} OR NOT {_whole('total_chunks')}", "chunking"),
+        (f"total_chunks <> {chunks}", "chunking.totalChunks"),
+        ("file_bytes <> total_bytes OR manifest_bytes <> total_bytes OR manifest_chunk_size <> chunk_size OR manifest_chunks <> total_chunks", "chunking"),
+        ("coalesce(upload_id, '') = ''", "transport.uploadId"),
+        (f"expires_at IS NOT NULL AND NOT {is_iso(d, 'expires_at')}", "transport.expiresAt"),
+        (f"NOT coalesce(status IN {STATUSES}, false) OR NOT {_whole('uploaded_bytes')} OR NOT {_whole('next_index')}", "progress"),
+        ("uploaded_bytes > total_bytes OR next_index > total_chunks", "progress"),
+        ("coalesce(n_ranges, 0) > total_chunks", "progress.completedChunkRanges"),
+    ]
+    steps = "".join(f" WHEN {c} THEN '{p}'" for c, p in record)
+    receipt = [
+        f"NOT ({_whole('r.chunk_index')} AND r.chunk_index < x.total_chunks AND {_whole('r.size_bytes')} AND {is_iso(d, 'r.completed_at')} AND coalesce(r.transport, '') <> '')",
+        "r.size_bytes <> least(x.chunk_size, x.total_bytes - r.chunk_index * x.chunk_size)",
+        "x.transport_name <> '' AND r.transport <> x.transport_name",
+        f"r.part_number IS NOT NULL AND NOT {_whole('r.part_number')}",
+        "r.nth > 1",
+    ]
+    fault = "CASE" + "".join(f" WHEN coalesce({c}, false) THEN {k}" for k, c in enumerate(receipt)) + " END"
+    # The first bad receipt, and of it the first rule, as one number.
+    first = f"min(r.position * 8 + {fault})"
+    suffix = "CASE fault % 8 WHEN 1 THEN '.sizeBytes' WHEN 2 THEN '.transport.name' WHEN 3 THEN '.transport.partNumber' WHEN 4 THEN '.chunkIndex' ELSE '' END"
+    known = "(SELECT DISTINCT manifest_id, chunk_index FROM {receipts})"
+    islands = f"(SELECT manifest_id, {d.listed('concat(first_index, ' + repr('-') + ', last_index)', 'first_index')} AS shown FROM (SELECT manifest_id, min(chunk_index) AS first_index, max(chunk_index) AS last_index FROM (SELECT manifest_id, chunk_index, chunk_index - row_number() OVER (PARTITION BY manifest_id ORDER BY chunk_index) AS island FROM {known} k) i GROUP BY manifest_id, island) j GROUP BY manifest_id)"
+    ranges = f"""(SELECT record_id, count(*) AS n_ranges, min(CASE WHEN bad THEN place END) AS bad_range, CAST(sum((end_index - start_index + 1) * chunk_size - CASE WHEN end_index = total_chunks - 1 THEN chunk_size - (total_bytes - end_index * chunk_size) ELSE 0 END) AS BIGINT) AS range_bytes,
+      least(max(total_chunks), coalesce(max(CASE WHEN place = 0 AND start_index = 0 THEN end_index + 1 END), 0)) AS range_next, {d.listed('concat(start_index, ' + repr('-') + ', end_index)', 'place')} AS shown
+      FROM (SELECT g.record_id, g.place, g.start_index, g.end_index, x.total_chunks, x.chunk_size, x.total_bytes, NOT ({_whole('g.start_index')} AND {_whole('g.end_index')} AND g.start_index <= g.end_index AND g.end_index < x.total_chunks AND g.start_index > coalesce(lag(g.end_index) OVER (PARTITION BY g.record_id ORDER BY g.place), -2) + 1) AS bad
+        FROM {{stored_ranges}} g JOIN {{resume_records}} x ON x.record_id = g.record_id) h GROUP BY record_id)"""
+    receipts = f"""(SELECT r.manifest_id, count(*) AS n_receipts, CAST(sum(r.size_bytes) AS BIGINT) AS receipt_bytes, {first} AS fault FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, chunk_index ORDER BY position) AS nth FROM {{receipts}}) r
+      JOIN {{resume_records}} x ON x.manifest_id = r.manifest_id GROUP BY r.manifest_id)"""
+    old, new = "schema_version = 'v0.1'", "schema_version = 'v0.2'"
+    return f"""SELECT record_id, CASE WHEN path = 'schemaVersion' THEN 'resume.schema_unsupported' WHEN path IS NULL THEN NULL WHEN of_receipts THEN 'resume.receipt_invalid' ELSE 'resume.record_invalid' END AS code, path FROM (SELECT record_id, CASE WHEN path IS NOT NULL THEN path
+    WHEN {new} AND coalesce(n_receipts, 0) > total_chunks THEN 'receipts' WHEN {new} AND fault IS NOT NULL THEN concat('receipts[', {d.div('fault', '8')}, ']', {suffix}) WHEN {new} AND coalesce(range_text, '') <> coalesce(island_text, '') THEN 'progress.completedChunkRanges'
+    WHEN {new} AND uploaded_bytes <> coalesce(receipt_bytes, 0) THEN 'progress.uploadedBytes' END AS path, path IS NULL AS of_receipts FROM (SELECT *, CASE WHEN NOT coalesce(schema_version IN ('v0.1', 'v0.2'), false) THEN 'schemaVersion'{steps}
+    WHEN bad_range IS NOT NULL THEN concat('progress.completedChunkRanges[', bad_range, ']') WHEN next_index <> coalesce(range_next, 0) THEN 'progress.nextChunkIndex' WHEN {old} AND uploaded_bytes <> coalesce(range_bytes, 0) THEN 'progress.uploadedBytes' END AS path
+    FROM (SELECT x.*, g.n_ranges, g.bad_range, g.range_bytes, g.range_next, g.shown AS range_text, q.n_receipts, q.receipt_bytes, q.fault, l.shown AS island_text FROM {{resume_records}} x LEFT JOIN {ranges} g ON g.record_id = x.record_id
+    LEFT JOIN {receipts} q ON q.manifest_id = x.manifest_id LEFT JOIN {islands} l ON l.manifest_id = x.manifest_id) t) u) v"""
+
+
 @operator("resume_validate")
 def resume_validate(d):
     """The first thing that is wrong with each stored record; no row if nothing is."""
-    chunks = d.div("total_bytes + chunk_size - 1", "chunk_size")
-    return f"""SELECT record_id, code, path FROM (SELECT record_id, CASE WHEN schema_version NOT IN ('v0.1', 'v0.2') THEN 'resume.schema_unsupported' WHEN broken IS NOT NULL THEN 'resume.record_invalid' WHEN receipt IS NOT NULL THEN 'resume.receipt_invalid' END AS code,
-    CASE WHEN schema_version NOT IN ('v0.1', 'v0.2') THEN 'schemaVersion' ELSE coalesce(broken, receipt) END AS path FROM (SELECT record_id, schema_version,
-    CASE WHEN NOT coalesce({d.iso(d.stamp('created_at'))} = created_at, false) THEN 'createdAt' WHEN NOT coalesce(total_bytes BETWEEN 0 AND {SAFE} AND chunk_size BETWEEN 1 AND {SAFE}, false) THEN 'chunking' WHEN total_chunks <> {chunks} THEN 'chunking.totalChunks' WHEN upload_id = '' THEN 'transport.uploadId'
-    WHEN expires_at IS NOT NULL AND NOT coalesce({d.iso(d.stamp('expires_at'))} = expires_at, false) THEN 'transport.expiresAt' WHEN uploaded_bytes > total_bytes OR next_index > total_chunks THEN 'progress' WHEN schema_version = 'v0.1' AND uploaded_bytes <> range_bytes THEN 'progress.uploadedBytes' END AS broken,
-    CASE WHEN schema_version = 'v0.2' THEN CASE WHEN duplicate IS NOT NULL AND (wrong IS NULL OR duplicate < wrong) THEN concat('receipts[', duplicate, '].chunkIndex') WHEN wrong IS NOT NULL THEN concat('receipts[', wrong, '].sizeBytes') WHEN uploaded_bytes <> receipt_bytes THEN 'progress.uploadedBytes' END END AS receipt
-    FROM (SELECT r.*, coalesce(g.bytes, 0) AS range_bytes, coalesce(q.bytes, 0) AS receipt_bytes, q.duplicate, q.wrong FROM {{resume_records}} r
-    LEFT JOIN (SELECT b.manifest_id, sum(least((b.end_index + 1) * m.chunk_size, m.total_bytes) - b.start_index * m.chunk_size) AS bytes FROM {{record_ranges}} b JOIN {{manifests}} m ON m.manifest_id = b.manifest_id GROUP BY b.manifest_id) g ON g.manifest_id = r.manifest_id
-    LEFT JOIN (SELECT c.manifest_id, sum(c.size_bytes) AS bytes, min(CASE WHEN c.place > 1 THEN c.position END) AS duplicate, min(CASE WHEN c.size_bytes <> least(m.chunk_size, m.total_bytes - c.chunk_index * m.chunk_size) THEN c.position END) AS wrong
-      FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, chunk_index ORDER BY position) AS place FROM {{receipts}}) c JOIN {{manifests}} m ON m.manifest_id = c.manifest_id WHERE c.chunk_index < m.total_chunks GROUP BY c.manifest_id) q ON q.manifest_id = r.manifest_id) t) u) v WHERE code IS NOT NULL"""
-
-
-@operator("resume_record")
-def resume_record(d):
+    return f"SELECT record_id, code, path FROM ({_problems(d)}) p WHERE code IS NOT NULL"
+
+
+@operator("resume_parse")
+def resume_parse(d):
+    """Every stored record with the issue that refuses it, or none: what a caller goes on with, and what it must raise."""
+    return f"SELECT record_id, code IS NULL AS accepted, code, path FROM ({_problems(d)}) p"
+
+
+@operator("resume_record", given={"now": NOW_ISO})
+def resume_record(d, now):
     """A new record for each open upload."""
-    return f"""SELECT concat('resume_', manifest_id) AS record_id, manifest_id, 'v0.2' AS schema_version, concat('up-', manifest_id) AS upload_id, 'active' AS status, CAST(0 AS BIGINT) AS uploaded_bytes, CAST(0 AS BIGINT) AS next_index, total_bytes, chunk_size, total_chunks, {NOW_ISO} AS created_at FROM {{manifests}} WHERE status = 'O'"""
+    return f"""SELECT concat('resume_', manifest_id) AS record_id, manifest_id, 'v0.2' AS schema_version, concat('up-', manifest_id) AS upload_id, 'active' AS status, CAST(0 AS BIGINT) AS uploaded_bytes, CAST(0 AS BIGINT) AS next_index, total_bytes, chunk_size, total_chunks, {now} AS created_at, {now} AS updated_at FROM {{manifests}} WHERE status = 'O'"""
 
 
 @operator("snapshot_record")
@@ -71,33 +137,34 @@ def snapshot_record(d):
     FROM {{manifests}} m LEFT JOIN (SELECT manifest_id, chunk_index, size_bytes, row_number() OVER (PARTITION BY manifest_id ORDER BY chunk_index) - 1 AS nth FROM {FIRST} q) r ON r.manifest_id = m.manifest_id AND r.chunk_index < m.total_chunks GROUP BY m.manifest_id"""
 
 
-@operator("resume_get")
-def resume_get(d):
+@operator("resume_get", given={"key": "resume_7"})
+def resume_get(d, key):
     """One record by its key."""
-    return "SELECT record_id, status, total_bytes, uploaded_bytes FROM {resume_records} WHERE record_id = 'resume_7'"
+    return f"SELECT record_id, status, total_bytes, uploaded_bytes FROM {{resume_records}} WHERE record_id = {d.text(key)}"
 
 
-@operator("resume_list", bind={"events": "events"})
-def resume_list(d):
-    """The stored values under a prefix: parsed, or marked as no record."""
-    key = "CASE WHEN event_id % 4 = 0 THEN concat('other:', event_id) ELSE concat('resume:', event_id) END"
-    stored = "CASE WHEN event_id % 10 = 1 THEN NULL ELSE props END"
-    return f"SELECT entry, k, CASE WHEN k IS NULL THEN 'resume.record_invalid' ELSE 'ok' END AS verdict FROM (SELECT {key} AS entry, {d.try_long(d.json(stored, 'k'))} AS k FROM {{events}}) t WHERE entry LIKE 'resume:%'"
+@operator("resume_list", bind={"store": "stored_entries"}, given={"prefix": "resume:"})
+def resume_list(d, prefix):
+    """The stored values under a prefix: a JSON object with an id and a status, or marked as no record."""
+    return f"""SELECT entry, id, status, CASE WHEN id IS NULL OR NOT coalesce(status IN {STATUSES}, false) THEN 'resume.record_invalid' ELSE 'ok' END AS verdict
+    FROM (SELECT entry, {d.json('stored', 'id')} AS id, {d.json('stored', 'status')} AS status FROM {{store}} WHERE substring(entry, 1, {len(prefix)}) = {d.text(prefix)}) t"""
 
 
 @operator("resume_upsert", bind={"changes": "resume_changes"})
 def resume_upsert(d):
     """The store after a batch of puts and deletes: the last change of a key wins, other records stay."""
     last = "(SELECT record_id, status FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY position DESC) AS place FROM {changes} c) q WHERE place = 1)"
-    anti = "LEFT ANTI" if d.name == "spark" else "ANTI"
+    anti = d.anti
     return f"SELECT r.record_id, r.status FROM {{resume_records}} r {anti} JOIN {last} l ON l.record_id = r.record_id UNION ALL SELECT record_id, status FROM {last} l WHERE status IS NOT NULL"
 
 
-@operator("transport_merge", bind={"log": "receipts"})
+@operator("transport_merge", bind={"current": "transport_states", "log": "transport_results"})
 def transport_merge(d):
-    """Transport state of each manifest after a log of partial updates: of every field the newest that is given."""
+    """Transport state of each record after a log of results: of token, expiry and data the newest that is given, of the upload id the newest of results that open a session; the name never changes."""
     last = lambda x: f"max_by({x}, CASE WHEN {x} IS NOT NULL THEN position END)" if d.name == "spark" else f"arg_max({x}, position) FILTER ({x} IS NOT NULL)"
-    return f"SELECT manifest_id, {last('etag')} AS etag, {last('name')} AS name, max(position) AS version FROM (SELECT manifest_id, position, etag, nullif(transport, '') AS name FROM {{log}}) t GROUP BY manifest_id"
+    fields = ("upload_id", "resume_token", "expires_at", "data")
+    newest = ", ".join(f"{last(x)} AS {x}" for x in fields)
+    return f"SELECT c.manifest_id, c.name, {', '.join(f'coalesce(n.{x}, c.{x}) AS {x}' for x in fields)} FROM {{current}} c LEFT JOIN (SELECT manifest_id, {newest} FROM {{log}} GROUP BY manifest_id) n ON n.manifest_id = c.manifest_id"
 
 
 @operator("legacy_s3")
@@ -108,18 +175,27 @@ def legacy_s3(d):
 
 @operator("redact_resume")
 def redact_resume(d):
-    """A record that is safe to show, and the names of what was taken out."""
-    return """SELECT record_id, manifest_id, schema_version, status, transport_name, concat_ws(',', 'resume.manifest', CASE WHEN upload_id IS NOT NULL THEN 'resume.transport.uploadId' END, CASE WHEN resume_token IS NOT NULL THEN 'resume.transport.resumeToken' END, CASE WHEN schema_version = 'v0.2' AND uploaded_bytes > 0 THEN 'resume.receipts' END) AS redactions FROM {resume_records}"""
+    """A record that is safe to show: without manifest, receipts, and the transport's id, token and data; and the names of what was taken out."""
+    return """SELECT record_id, manifest_id, schema_version, file_name, file_bytes, file_media_type, file_fingerprint, file_last_modified, strategy, chunk_size, total_bytes, total_chunks, transport_name, status, uploaded_bytes, next_index, created_at, updated_at,
+    concat_ws(',', 'resume.manifest', CASE WHEN upload_id IS NOT NULL THEN 'resume.transport.uploadId' END, CASE WHEN resume_token IS NOT NULL THEN 'resume.transport.resumeToken' END, CASE WHEN transport_data IS NOT NULL THEN 'resume.transport.data' END, CASE WHEN schema_version = 'v0.2' AND n_receipts > 0 THEN 'resume.receipts' END) AS redactions
+    FROM (SELECT r.*, coalesce(q.n, 0) AS n_receipts FROM {resume_records} r LEFT JOIN (SELECT manifest_id, count(*) AS n FROM {receipts} GROUP BY manifest_id) q ON q.manifest_id = r.manifest_id) t"""
 
 
 @operator("tus_reconcile", bind={"remote": "remote_states"})
 def tus_reconcile(d):
-    """What to do with a chunk, given what the server holds: gone, unreadable, skip, send, or a conflict."""
-    return f"""SELECT manifest_id, chunk_index, offset_text, CASE WHEN http_status IN (403, 404, 410) THEN 'resume.expired' WHEN held IS NULL OR held < 0 OR held > {SAFE} THEN 'transport.receipt_invalid' WHEN held = (chunk_index + 1) * {CHUNK} THEN 'skip' WHEN held = chunk_index * {CHUNK} THEN 'send' ELSE 'transport.offset_mismatch' END AS verdict
+    """What to do with a chunk of ``start_byte`` to ``end_byte``, given what the server holds: gone, unreadable, skip, send, or a conflict."""
+    return f"""SELECT manifest_id, chunk_index, offset_text, CASE WHEN http_status IN (403, 404, 410) THEN 'resume.expired' WHEN held IS NULL OR held < 0 OR held > {SAFE} THEN 'transport.receipt_invalid' WHEN held = end_byte THEN 'skip' WHEN held = start_byte THEN 'send' ELSE 'transport.offset_mismatch' END AS verdict
     FROM (SELECT *, {d.try_long("offset_text")} AS held FROM {{remote}}) t"""
 
 
-@operator("missing_extensions")
-def missing_extensions(d):
+@operator("tus_resume", bind={"remote": "remote_offsets"})
+def tus_resume(d):
+    """Whether a record can be resumed where the server stands: it needs a token, and the remote offset must be what the record says was sent."""
+    return f"""SELECT r.record_id, held AS remote_offset, r.uploaded_bytes, CASE WHEN coalesce(r.resume_token, '') = '' THEN 'transport.resume_failed' WHEN o.http_status IN (403, 404, 410) THEN 'resume.expired' WHEN held IS NULL OR held < 0 OR held > {SAFE} THEN 'transport.receipt_invalid'
+    WHEN held <> r.uploaded_bytes THEN 'transport.offset_mismatch' ELSE 'ok' END AS verdict FROM {{resume_records}} r LEFT JOIN (SELECT record_id, http_status, {d.try_long("offset_text")} AS held FROM {{remote}}) o ON o.record_id = r.record_id"""
+
+
+@operator("missing_extensions", bind={"offers": "extension_offers"}, given={"needed": ("creation", "expiration", "termination")})
+def missing_extensions(d, needed):
     """Protocol extensions that are needed and not offered."""
-    return f"SELECT page_id, {d.join(d.except_(['creation', 'expiration', 'termination'], 'offered'))} AS missing FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'creation, expiration' WHEN 1 THEN ' termination ,creation,expiration' ELSE '' END AS offered FROM {{pages}}) t"
+    return f"SELECT offer_id, {d.join(d.except_(list(needed), 'offered'))} AS missing FROM {{offers}}"

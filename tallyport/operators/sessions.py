@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyport.operators.validation import SAFE
+from tallyport.operators.chunks import SAFE
 from tallyport.plans.registry import operator
 from tallyport.plans.views import NOW
 
@@ -34,13 +34,34 @@ def safe_events(d):
     CASE WHEN type IN ('validated', 'started', 'completed') THEN 'manifest' END AS redactions FROM {{ingest_events}}"""
 
 
-@operator("redact_snapshot", bind={"state": "resume_records"})
+def _redacted(prefix: str) -> str:
+    """SQL: which secrets a session has, by the names that a caller shows."""
+    return f"concat_ws(',', CASE WHEN s.resume_token IS NOT NULL THEN '{prefix}resumeToken' END, CASE WHEN s.secrets_ref IS NOT NULL THEN '{prefix}secretsRef' END, CASE WHEN s.remote IS NOT NULL THEN '{prefix}remote' END)"
+
+
+_RECEIPT_SECRETS = ("etag", "location", "opaque")
+
+
+@operator("redact_snapshot", bind={"state": "snapshots"})
 def redact_snapshot(d):
-    """Snapshots without secrets of the session or of receipts, and the names of what was taken out, as both callers name it."""
-    has = "SELECT manifest_id, max(CASE WHEN etag IS NOT NULL THEN 1 ELSE 0 END) AS tagged FROM {receipts} GROUP BY manifest_id"
-    names = lambda prefix: f"concat_ws(',', CASE WHEN s.resume_token IS NOT NULL THEN '{prefix}resumeToken' END, CASE WHEN s.transport_name = 's3' THEN '{prefix}remote' END)"
-    return f"""SELECT s.manifest_id, s.status, s.uploaded_bytes, {names('snapshot.transportSession.')} AS shown_fields, {names('')} AS session_fields, CASE WHEN h.tagged = 1 THEN 'snapshot.completedChunks.transport.etag' ELSE '' END AS receipt_fields
-    FROM {{state}} s LEFT JOIN ({has}) h ON h.manifest_id = s.manifest_id"""
+    """Snapshots without the session's token, secret reference and remote state, and the names of what was taken out of session and receipts."""
+    tagged = ", ".join(f"max(CASE WHEN {x} IS NOT NULL THEN 1 ELSE 0 END) AS has_{x}" for x in _RECEIPT_SECRETS)
+    fields = ", ".join(f"CASE WHEN h.has_{x} = 1 THEN 'snapshot.completedChunks.transport.{x}' END" for x in _RECEIPT_SECRETS)
+    return f"""SELECT s.manifest_id, s.status, s.uploaded_bytes, s.upload_id, s.transport_name, s.expires_at, {_redacted('snapshot.transportSession.')} AS session_fields, concat_ws(',', {fields}) AS receipt_fields
+    FROM {{state}} s LEFT JOIN (SELECT manifest_id, {tagged} FROM {{receipts}} GROUP BY manifest_id) h ON h.manifest_id = s.manifest_id"""
+
+
+@operator("redact_receipts")
+def redact_receipts(d):
+    """Receipts without what their transport keeps to itself, and the names of what was taken out."""
+    fields = ", ".join(f"CASE WHEN {x} IS NOT NULL THEN 'transport.{x}' END" for x in _RECEIPT_SECRETS)
+    return f"SELECT manifest_id, chunk_index, position, size_bytes, transport, part_number, concat_ws(',', {fields}) AS redactions FROM {{receipts}}"
+
+
+@operator("redact_session", bind={"state": "snapshots"})
+def redact_session(d):
+    """Transport sessions without secrets, and the names of what was taken out, as a session names them."""
+    return f"SELECT s.manifest_id, s.upload_id, s.transport_name, s.expires_at, {_redacted('')} AS redactions FROM {{state}} s"
 
 
 @operator("session_status")
@@ -51,10 +72,10 @@ def session_status(d):
     FROM {{ingest_events}} WHERE type NOT IN ('resume:cleanup-failed', 'validated', 'resume:conflict')) t WHERE place = 1"""
 
 
-@operator("retry_stats")
-def retry_stats(d):
-    """Retries of each session, and how many went beyond the default number of attempts."""
-    return "SELECT session_id, count(*) AS retries, max(attempt) AS most, count(CASE WHEN attempt >= 3 THEN 1 END) AS exhausted FROM {ingest_events} WHERE type = 'retry' GROUP BY session_id"
+@operator("retry_stats", given={"max_attempts": 3})
+def retry_stats(d, max_attempts=3):
+    """Retries of each session, and how many went beyond the number of attempts."""
+    return f"SELECT session_id, count(*) AS retries, max(attempt) AS most, count(CASE WHEN attempt >= {max_attempts} THEN 1 END) AS exhausted FROM {{ingest_events}} WHERE type = 'retry' GROUP BY session_id"
 
 
 @operator("cleanup_failures")
@@ -69,13 +90,6 @@ def latest_chunk(d):
     return "SELECT session_id, chunk_index, generation, path, size_bytes FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_index ORDER BY generation DESC) AS place FROM {staged}) t WHERE place = 1"
 
 
-@operator("concat_chunks")
-def concat_chunks(d):
-    """The digest and size of each session's chunks, one after the other."""
-    whole = "listagg(body, '') WITHIN GROUP (ORDER BY chunk_index)" if d.name == "spark" else "string_agg(body, '' ORDER BY chunk_index)"
-    return f"SELECT session_id, chunks, {d.sha('whole')} AS sha256, {d.octets('whole')} AS size_bytes FROM (SELECT session_id, count(*) AS chunks, {whole} AS whole FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_index ORDER BY generation DESC) AS place FROM {{staged}}) q WHERE place = 1) c GROUP BY session_id) t"
-
-
 @operator("nas_sessions", bind={"raw": "nas_sessions_raw"})
 def nas_sessions(d):
     """Session documents in the supported version; others count as absent."""
@@ -94,35 +108,49 @@ def nas_expiry(d):
     return f"SELECT session_id, {d.iso('coalesce(CAST(expires_at AS TIMESTAMP), ' + d.plus_ms('created_at', '86400000') + ')')} AS expires_at FROM {{raw}}"
 
 
-@operator("nas_gate", bind={"raw": "nas_sessions_raw"})
-def nas_gate(d):
+@operator("nas_gate", bind={"raw": "nas_sessions_raw"}, given={"now": NOW})
+def nas_gate(d, now):
     """Why a session takes no chunk: shape, id, closed, or expired; the first reason counts."""
-    return f"SELECT session_id, CASE WHEN expected_chunks <= 0 OR total_bytes NOT BETWEEN 0 AND {SAFE} THEN 'nas.invalid_session' WHEN NOT {d.rlike('folder', SESSION_ID)} THEN 'nas.invalid_session' WHEN status <> 'staging' THEN 'nas.session_closed' WHEN coalesce(expires_at <= {NOW}, false) THEN 'nas.session_expired' ELSE 'ok' END AS verdict FROM {{raw}}"
+    return f"SELECT session_id, CASE WHEN expected_chunks <= 0 OR total_bytes NOT BETWEEN 0 AND {SAFE} THEN 'nas.invalid_session' WHEN NOT {d.rlike('folder', SESSION_ID)} THEN 'nas.invalid_session' WHEN status <> 'staging' THEN 'nas.session_closed' WHEN coalesce(expires_at <= {now}, false) THEN 'nas.session_expired' ELSE 'ok' END AS verdict FROM {{raw}}"
 
 
-@operator("nas_sweep", bind={"raw": "nas_sessions_raw"})
-def nas_sweep(d):
+@operator("nas_sweep", bind={"raw": "nas_sessions_raw"}, given={"now": NOW})
+def nas_sweep(d, now):
     """Sessions to remove: canceled or expired, finalized ones too."""
-    return f"SELECT session_id, folder, status FROM {{raw}} WHERE schema_version = 'nas.v0.1' AND {d.rlike('folder', SESSION_ID)} AND (status = 'canceled' OR coalesce(expires_at <= {NOW}, false))"
+    return f"SELECT session_id, folder, status FROM {{raw}} WHERE schema_version = 'nas.v0.1' AND {d.rlike('folder', SESSION_ID)} AND (status = 'canceled' OR coalesce(expires_at <= {now}, false))"
+
+
+@operator("nas_create", bind={"requests": "nas_requests", "raw": "nas_sessions_raw"}, given={"now": NOW, "lives_ms": 86400000})
+def nas_create(d, now, lives_ms):
+    """New session documents, or why a request for one is refused: shape, id, target, or an id that is taken."""
+    safe = f"target <> '' AND NOT (target LIKE '/%') AND {d.depth_ok('target')}"
+    return f"""SELECT q.folder, CASE WHEN verdict = 'ok' THEN 'staging' END AS status, CASE WHEN verdict = 'ok' THEN {d.iso(now)} END AS created_at, CASE WHEN verdict = 'ok' THEN {d.iso(f"coalesce(CAST(expires_at AS TIMESTAMP), {d.plus_ms(now, str(lives_ms))})")} END AS expires_at, verdict
+    FROM (SELECT r.*, CASE WHEN NOT coalesce(expected_chunks BETWEEN 1 AND {SAFE} AND total_bytes BETWEEN 0 AND {SAFE}, false) THEN 'nas.invalid_session' WHEN NOT {d.rlike('r.folder', SESSION_ID)} THEN 'nas.invalid_session' WHEN NOT ({safe}) THEN 'nas.unsafe_path' WHEN k.folder IS NOT NULL THEN 'nas.invalid_session' ELSE 'ok' END AS verdict
+    FROM {{requests}} r LEFT JOIN (SELECT DISTINCT folder FROM {{raw}}) k ON k.folder = r.folder) q"""
+
+
+@operator("nas_cancel", bind={"raw": "nas_sessions_raw"}, given={"now": NOW})
+def nas_cancel(d, now):
+    """Session documents after they are asked to be canceled: an open one is canceled now, any other stays and says why."""
+    return f"""SELECT session_id, CASE WHEN verdict = 'ok' THEN 'canceled' ELSE status END AS status, CASE WHEN verdict = 'ok' THEN {d.iso(now)} END AS canceled_at, verdict
+    FROM (SELECT *, CASE WHEN status <> 'staging' THEN 'nas.session_closed' WHEN coalesce(expires_at <= {now}, false) THEN 'nas.session_expired' ELSE 'ok' END AS verdict FROM {{raw}} WHERE schema_version = 'nas.v0.1') t"""
 
 
 @operator("nas_finalize_check", bind={"raw": "nas_sessions_raw"})
 def nas_finalize_check(d):
-    """Whether the staged chunks of a session are all there and add up; the first reason against it."""
-    return """SELECT s.session_id, s.chunks, s.bytes, CASE WHEN s.chunks <> r.expected_chunks THEN 'nas.chunk_missing' WHEN s.highest <> s.chunks - 1 THEN 'nas.chunk_missing' WHEN s.bytes <> r.total_bytes THEN 'nas.invalid_chunk' ELSE 'ok' END AS verdict
-    FROM (SELECT session_id, count(*) AS chunks, max(chunk_index) AS highest, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_index ORDER BY generation DESC) AS place FROM {staged}) q WHERE place = 1 GROUP BY session_id) s JOIN {raw} r ON r.session_id = s.session_id"""
+    """Whether the staged chunks of a session are all there, are still what was recorded, and add up; the first reason against it."""
+    last = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_index ORDER BY generation DESC) AS place FROM {staged}) q WHERE place = 1)"
+    return f"""SELECT s.session_id, s.chunks, s.bytes, CASE WHEN s.chunks <> r.expected_chunks THEN 'nas.chunk_missing' WHEN s.highest <> s.chunks - 1 THEN 'nas.chunk_missing' WHEN s.resized > 0 THEN 'nas.invalid_chunk' WHEN s.changed > 0 THEN 'nas.checksum_mismatch' WHEN s.bytes <> r.total_bytes THEN 'nas.invalid_chunk' ELSE 'ok' END AS verdict
+    FROM (SELECT session_id, count(*) AS chunks, max(chunk_index) AS highest, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(CASE WHEN size_bytes <> {d.octets('body')} THEN 1 END) AS resized, count(CASE WHEN sha256 <> {d.sha('body')} THEN 1 END) AS changed FROM {last} l GROUP BY session_id) s JOIN {{raw}} r ON r.session_id = s.session_id"""
 
 
-@operator("orphan_chunks")
+@operator("orphan_chunks", bind={"listing": "staged_listing", "recorded": "staged_recorded"})
 def orphan_chunks(d):
-    """Files that the gateway wrote and that no record refers to."""
-    anti = "LEFT ANTI" if d.name == "spark" else "ANTI"
-    return f"""SELECT f.session_id, f.path FROM (SELECT session_id, CASE WHEN generation % 2 = 1 AND chunk_index % 5 = 1 THEN concat(path, '.ab-1.tmp') WHEN chunk_index % 5 = 2 THEN 'notes.txt' ELSE path END AS path FROM {{staged}}) f
-    {anti} JOIN (SELECT session_id, path FROM {{staged}} WHERE chunk_index % 3 <> 0) k ON k.session_id = f.session_id AND k.path = f.path WHERE {d.rlike('f.path', MANAGED)}"""
+    """Files that the gateway wrote, by their names, and that no record refers to."""
+    return f"SELECT f.session_id, f.path FROM {{listing}} f {d.anti} JOIN {{recorded}} k ON k.session_id = f.session_id AND k.path = f.path WHERE {d.rlike('f.path', MANAGED)}"
 
 
-@operator("lock_stale", bind={"raw": "nas_sessions_raw"})
-def lock_stale(d):
-    """Locks that are at least ten days old."""
-    age = f"(unix_millis({NOW}) - unix_millis(CAST(created_at AS timestamp)))" if d.name == "spark" else f"(epoch_us({NOW}) // 1000 - epoch_us(created_at) // 1000)"
-    return f"SELECT session_id, {age} >= 864000000 + session_id * 20000000 AS stale FROM {{raw}}"
+@operator("lock_stale", bind={"locks": "locks"}, given={"now": NOW, "stale_ms": 864000000})
+def lock_stale(d, now, stale_ms):
+    """Locks that are at least as old as ``stale_ms``."""
+    return f"SELECT lock_id, {d.millis(now)} - {d.millis('acquired_at')} >= {stale_ms} AS stale FROM {{locks}}"

@@ -1,62 +1,29 @@
-"""Rules on files, manifests, identities and paths; an issue is a row, and the order of issues is a column."""
+"""Rules on files, manifests, identities, receipts and paths; an issue is a row, and the order of issues is a column."""
 
 from __future__ import annotations
 
 from tallyport.operators.chunks import LEAST_CHUNK, SAFE
-from tallyport.operators.records import extension_of
+from tallyport.operators.hashing import checksum_verdict
+from tallyport.operators.rules import RULES, dimension_checks, file_checks
 from tallyport.plans.registry import operator
 
-# The rules that the queries apply; an empty list of types or extensions is no rule.
-MAX_BYTES, MIN_BYTES = 6000, 600
-TYPES, EXTENSIONS = ["image/tiff", "image/png"], ["tif", "tiff", "png"]
-
-
-def _in(x: str, values: list[str]) -> str:
-    return f"{x} IN ({', '.join(repr(v) for v in values)})" if values else "true"
-
-
-def file_checks(d) -> list[tuple[str, str, str]]:
-    """The rules on a file, in their fixed order."""
-    return [
-        ("size_bytes = 0", "file.empty", "'file.size'"),
-        (f"size_bytes > {MAX_BYTES}", "file.too_large", "'file.size'"),
-        (f"size_bytes < {MIN_BYTES}", "file.too_small", "'file.size'"),
-        (f"NOT coalesce({_in('media_type', TYPES)}, false)", "file.mime_not_allowed", "'file.type'"),
-        (f"NOT coalesce({_in(extension_of(d), EXTENSIONS)}, false)", "file.extension_not_allowed", "'file.name'"),
-        ("coalesce(lot_id, '') = ''", "metadata.required_missing", "'metadata.lot'"),
-        ("width IS NULL OR height IS NULL", "image.dimensions_unavailable", "'image'"),
-        ("coalesce(width < 100 AND height IS NOT NULL, false)", "image.width_too_small", "'image.width'"),
-        ("coalesce(width > 4000 AND height IS NOT NULL, false)", "image.width_too_large", "'image.width'"),
-        ("coalesce(height < 200 AND width IS NOT NULL, false)", "image.height_too_small", "'image.height'"),
-        ("coalesce(height > 2500 AND width IS NOT NULL, false)", "image.height_too_large", "'image.height'"),
-    ]
-
 
-@operator("validate_files")
-def validate_files(d):
+@operator("validate_files", given={"rules": RULES})
+def validate_files(d, rules):
     """Every issue of every file, in rule order."""
-    return d.issues("{files}", ["file_id"], file_checks(d))
+    return d.issues("{files}", ["file_id"], file_checks(d, rules))
 
 
-@operator("validate_dimensions")
-def validate_dimensions(d):
+@operator("validate_dimensions", given={"rules": RULES})
+def validate_dimensions(d, rules):
     """The rules on image size alone; where the size is unknown, the other four do not apply."""
-    return d.issues("{files}", ["file_id"], file_checks(d)[6:])
+    return d.issues("{files}", ["file_id"], dimension_checks(rules))
 
 
-@operator("result_ok")
-def result_ok(d):
+@operator("result_ok", given={"rules": RULES})
+def result_ok(d, rules):
     """A file is valid if it has no issue; and how many it has."""
-    return f"SELECT f.file_id, count(i.ordinal) AS issues, count(i.ordinal) = 0 AS ok FROM {{files}} f LEFT JOIN ({d.issues('{files}', ['file_id'], file_checks(d))}) i ON i.file_id = f.file_id GROUP BY f.file_id"
-
-
-def _stored(d) -> str:
-    """Manifests as they may have been stored, some of them damaged."""
-    return f"""(SELECT manifest_id, CASE WHEN manifest_id % 50 = 1 THEN 'v2' ELSE 'v1' END AS version, CASE WHEN manifest_id % 60 = 2 THEN NULL WHEN manifest_id % 60 = 3 THEN 'copy' ELSE 'original' END AS kind,
-    CASE WHEN manifest_id % 70 = 4 THEN '' ELSE concat('file-', manifest_id, '.tif') END AS name, CASE WHEN manifest_id % 80 = 5 THEN -1 ELSE total_bytes END AS size_bytes, CASE WHEN manifest_id % 90 = 6 THEN NULL ELSE 'image/tiff' END AS media_type,
-    manifest_id % 100 <> 7 AS preserved, CASE WHEN manifest_id % 110 = 8 THEN 'partial' WHEN manifest_id % 3 = 0 THEN NULL ELSE 'whole-file' END AS scope, CASE WHEN manifest_id % 120 = 9 THEN NULL WHEN manifest_id % 120 = 10 THEN 'varied' ELSE 'fixed-size' END AS strategy,
-    manifest_id % 130 = 11 AS inlined, total_bytes + CASE WHEN manifest_id % 140 = 12 THEN 1 ELSE 0 END AS chunk_total, CASE WHEN manifest_id % 150 = 13 THEN 1024 ELSE chunk_size END AS chunk_size, total_chunks + CASE WHEN manifest_id % 160 = 14 THEN 1 ELSE 0 END AS total_chunks,
-    manifest_id % 170 <> 15 AS valid FROM {{manifests}}) t"""
+    return f"SELECT f.file_id, count(i.ordinal) AS issues, count(i.ordinal) = 0 AS ok FROM {{files}} f LEFT JOIN ({d.issues('{files}', ['file_id'], file_checks(d, rules))}) i ON i.file_id = f.file_id GROUP BY f.file_id"
 
 
 def manifest_checks(d) -> list[tuple[str, str, str]]:
@@ -64,8 +31,8 @@ def manifest_checks(d) -> list[tuple[str, str, str]]:
     bad = "verification.manifest_invalid"
     there, both = "kind IS NOT NULL", "kind IS NOT NULL AND strategy IS NOT NULL"
     plannable = f"{both} AND size_bytes BETWEEN 0 AND {SAFE} AND chunk_size BETWEEN 1 AND {SAFE}"
-    return [
-        ("version <> 'v1'", "verification.manifest_schema_unsupported", "'schemaVersion'"),
+    found = [
+        ("version IS DISTINCT FROM 'v1'", "verification.manifest_schema_unsupported", "'schemaVersion'"),
         ("kind IS NULL", bad, "'original'"),
         (f"{there} AND kind <> 'original'", bad, "'original.kind'"),
         (f"{there} AND coalesce(name, '') = ''", bad, "'original.name'"),
@@ -81,87 +48,130 @@ def manifest_checks(d) -> list[tuple[str, str, str]]:
         (f"{plannable} AND chunk_size < {LEAST_CHUNK}", bad, "'chunking'"),
         (f"{both} AND NOT valid", bad, "'validation.ok'"),
     ]
+    return [(f"coalesce({c}, false)", code, path) for c, code, path in found]
 
 
-@operator("verify_manifest")
-def verify_manifest(d):
-    """Every structural issue of every stored manifest."""
-    return d.issues(_stored(d), ["manifest_id"], [(f"coalesce({c}, false)", code, path) for c, code, path in manifest_checks(d)])
-
-
-def identity_checks() -> list[tuple[str, str, str]]:
+def identity_checks(when: str = "true") -> list[tuple[str, str, str]]:
+    """Where a file (``actual_...``) differs from what its manifest says."""
     code = "verification.original_mismatch"
-    return [
+    found = [
         ("coalesce(name <> actual_name, true)", code, "'original.name'"),
         ("coalesce(size_bytes <> actual_bytes, true)", code, "'original.sizeBytes'"),
-        ("CASE media_type WHEN '' THEN 'application/octet-stream' ELSE media_type END <> coalesce(nullif(actual_type, ''), 'application/octet-stream')", code, "'original.mediaType'"),
+        ("CASE media_type WHEN '' THEN 'application/octet-stream' ELSE media_type END IS DISTINCT FROM coalesce(nullif(actual_type, ''), 'application/octet-stream')", code, "'original.mediaType'"),
         ("coalesce(modified <> actual_modified, false)", code, "'original.lastModifiedAt'"),
     ]
+    return [(f"{when} AND {c}", code, path) for c, code, path in found]
+
 
+def checksum_checks(policy: str, when: str, found: str) -> list[tuple[str, str, str]]:
+    """The checksum policy as issues."""
+    verdict = checksum_verdict(policy, found)
+    paths = [("verification.checksum_missing", "original.checksum"), ("verification.checksum_unsupported", "original.checksum.algorithm"), ("verification.checksum_mismatch", "original.checksum.value")]
+    return [(f"{when} AND {verdict} = '{code}'", code, f"'{path}'") for code, path in paths]
 
-def _pairs(d) -> str:
-    """Each file beside what its manifest says of it; some have changed since."""
-    return f"""(SELECT file_id, name, size_bytes, media_type, CASE WHEN last_modified IS NOT NULL THEN {d.iso(d.from_ms('last_modified'))} END AS modified, CASE WHEN file_id % 13 = 0 THEN 'x' ELSE name END AS actual_name, size_bytes + CASE WHEN file_id % 17 = 0 THEN 1 ELSE 0 END AS actual_bytes,
-    CASE WHEN file_id % 19 = 0 THEN 'text/plain' ELSE media_type END AS actual_type, CASE WHEN file_id % 23 = 0 THEN NULL ELSE {d.iso(d.from_ms('coalesce(last_modified, 0) + CASE WHEN file_id % 29 = 0 THEN 1 ELSE 0 END'))} END AS actual_modified,
-    content, CASE WHEN file_id % 37 = 0 THEN 'ff' ELSE {d.sha("content")} END AS expected FROM {{files}}) t"""
+
+@operator("verify_manifest", bind={"stored": "stored_manifests"})
+def verify_manifest(d):
+    """Every structural issue of every stored manifest."""
+    return d.issues("{stored}", ["manifest_id"], manifest_checks(d))
 
 
-@operator("verify_identity")
+@operator("verify_identity", bind={"pairs": "file_pairs"})
 def verify_identity(d):
     """Where a file differs from its manifest: name, size, media type (unknown is octet-stream) and time of change."""
-    return d.issues(_pairs(d), ["file_id"], identity_checks())
+    return d.issues("{pairs}", ["file_id"], identity_checks())
 
 
-@operator("verify_stored")
+@operator("verify_manifest_file", bind={"stored": "stored_manifests"}, given={"policy": "required"})
+def verify_manifest_file(d, policy="when-present"):
+    """A stored manifest and its file, if there is one: structure, then identity, then the checksum policy."""
+    return d.issues("{stored}", ["manifest_id"], _manifest_stages(d, policy))
+
+
+def _manifest_stages(d, policy: str) -> list[tuple[str, str, str]]:
+    there, usable = "kind IS NOT NULL", "has_file"
+    return [*manifest_checks(d), *identity_checks(f"{there} AND {usable}"), *checksum_checks(policy, f"{there} AND coalesce(scope, 'whole-file') = 'whole-file'", usable)]
+
+
+@operator("verify_stored", bind={"pairs": "file_pairs"})
 def verify_stored(d):
     """A stored file against its manifest: not found, then size, and only for equal sizes the checksum."""
-    return f"""SELECT file_id, CASE WHEN file_id % 47 = 0 THEN 'verification.file_not_found' WHEN size_bytes <> actual_bytes THEN 'verification.original_mismatch' WHEN lower(expected) <> {d.sha("content")} THEN 'verification.checksum_mismatch' ELSE 'ok' END AS verdict FROM {_pairs(d)}"""
+    return f"""SELECT file_id, CASE WHEN NOT found THEN 'verification.file_not_found' WHEN size_bytes <> actual_bytes THEN 'verification.original_mismatch' WHEN lower(expected) <> {d.sha("content")} THEN 'verification.checksum_mismatch' ELSE 'ok' END AS verdict FROM {{pairs}}"""
+
+
+#: A receipt whose numbers can be used, of a chunk of the plan.
+_INDEX, _SIZE = f"coalesce(r.chunk_index BETWEEN 0 AND {SAFE}, false)", f"coalesce(r.size_bytes BETWEEN 0 AND {SAFE}, false)"
+
+
+def _numbered(of: str, wanted: str) -> str:
+    """Receipts beside their manifest; ``counted`` marks, of each chunk, the first in position with a size that can be used."""
+    fine = f"{_INDEX} AND r.chunk_index < m.total_chunks"
+    return f"""(SELECT *, coalesce(inside AND whole AND position = first_whole, false) AS counted, coalesce(inside AND position > first_whole, false) AS again FROM (SELECT r.*, m.total_chunks, {wanted} AS wanted, m.total_bytes, {fine} AS inside, {_SIZE} AS whole,
+    least(m.chunk_size, m.total_bytes - r.chunk_index * m.chunk_size) AS expected, min(CASE WHEN {_SIZE} THEN r.position END) OVER (PARTITION BY r.manifest_id, r.chunk_index) AS first_whole FROM {{receipts}} r JOIN {of} m ON m.manifest_id = r.manifest_id) n)"""
 
 
 @operator("verify_receipts")
-def verify_receipts(d):
+def verify_receipts(d, require_chunk_checksums=False, allow_partial=False):
     """Receipts against plans: one row per manifest with what is wrong, and whether anything is.
 
     Of several receipts for a chunk the first in position counts.  Receipts outside the plan and duplicates do not add to the
     bytes; receipts of the wrong size do.
     """
-    return """SELECT m.manifest_id, count(r.position) AS receipts, count(CASE WHEN r.chunk_index >= m.total_chunks THEN 1 END) AS outside, count(CASE WHEN r.chunk_index < m.total_chunks AND r.place > 1 THEN 1 END) AS duplicates,
-    count(CASE WHEN r.counted AND r.size_bytes <> least(m.chunk_size, m.total_bytes - r.chunk_index * m.chunk_size) THEN 1 END) AS wrong_size, count(CASE WHEN r.counted AND r.transport = '' THEN 1 END) AS no_transport, count(CASE WHEN r.counted AND r.transport NOT IN ('', m.transport) THEN 1 END) AS other_transport,
-    m.total_chunks - count(CASE WHEN r.counted THEN 1 END) AS missing, CAST(coalesce(sum(CASE WHEN r.counted THEN r.size_bytes END), 0) AS BIGINT) AS uploaded_bytes, m.total_bytes,
-    count(r.position) = m.total_chunks AND count(CASE WHEN r.counted AND r.size_bytes = least(m.chunk_size, m.total_bytes - r.chunk_index * m.chunk_size) AND r.transport = m.transport THEN 1 END) = m.total_chunks AS ok
-    FROM {manifests} m LEFT JOIN (SELECT r.*, r.place = 1 AND r.chunk_index < n.total_chunks AS counted FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, chunk_index ORDER BY position) AS place FROM {receipts}) r JOIN {manifests} n ON n.manifest_id = r.manifest_id) r
-    ON r.manifest_id = m.manifest_id GROUP BY m.manifest_id, m.total_chunks, m.total_bytes, m.chunk_size, m.transport"""
-
-
-def _receipt_issues(d) -> str:
-    """Receipt issues by position, then those of the whole set."""
-    rel = "(SELECT r.*, m.total_chunks, m.transport AS wanted, least(m.chunk_size, m.total_bytes - r.chunk_index * m.chunk_size) AS expected FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, chunk_index ORDER BY position) AS place FROM {receipts}) r JOIN {manifests} m ON m.manifest_id = r.manifest_id) t"
-    fine = "chunk_index < total_chunks AND place = 1"
+    unproven = "count(CASE WHEN r.counted AND r.checksum IS NULL THEN 1 END)" if require_chunk_checksums else "CAST(0 AS BIGINT)"
+    good = "count(CASE WHEN r.counted AND r.size_bytes = r.expected AND coalesce(r.transport, '') <> '' AND coalesce(r.transport = r.wanted, true) THEN 1 END)"
+    whole = "count(r.position)" if allow_partial else "m.total_chunks"
+    bytes_ = "coalesce(sum(CASE WHEN r.counted THEN r.size_bytes END), 0)"
+    return f"""SELECT m.manifest_id, count(r.position) AS receipts, count(CASE WHEN NOT r.inside THEN 1 END) AS outside, count(CASE WHEN r.again THEN 1 END) AS duplicates,
+    count(CASE WHEN r.inside AND NOT r.again AND (NOT r.whole OR r.size_bytes <> r.expected) THEN 1 END) AS wrong_size, count(CASE WHEN r.counted AND coalesce(r.transport, '') = '' THEN 1 END) AS no_transport, count(CASE WHEN r.counted AND r.transport <> '' AND r.transport <> r.wanted THEN 1 END) AS other_transport,
+    {unproven} AS no_checksum, m.total_chunks - count(CASE WHEN r.counted THEN 1 END) AS missing, CAST({bytes_} AS BIGINT) AS uploaded_bytes, m.total_bytes, count(r.position) = {whole} AND {good} = {whole} AND {unproven} = 0{'' if allow_partial else f' AND {bytes_} = m.total_bytes'} AS ok
+    FROM {{manifests}} m LEFT JOIN {_numbered('{manifests}', 'm.transport')} r ON r.manifest_id = m.manifest_id GROUP BY m.manifest_id, m.total_chunks, m.total_bytes"""
+
+
+def _receipt_issues(d, require_chunk_checksums: bool, allow_partial: bool) -> str:
+    """Receipt issues by position, then those of the whole set; a manifest that cannot be planned with has one issue instead."""
+    code = "verification.receipt_invalid"
     at = lambda what: f"concat('receipts[', position, '].{what}')"
-    each = d.issues(rel, ["manifest_id", "position"], [
-        ("chunk_index >= total_chunks", "verification.receipt_invalid", at("chunkIndex")),
-        ("chunk_index < total_chunks AND place > 1", "verification.receipt_duplicate", at("chunkIndex")),
-        (f"{fine} AND size_bytes <> expected", "verification.receipt_invalid", at("sizeBytes")),
-        (f"{fine} AND transport = ''", "verification.receipt_invalid", at("transport.name")),
-        (f"{fine} AND transport <> '' AND transport <> wanted", "verification.transport_mismatch", at("transport.name")),
+    usable = "SELECT * FROM {stored} WHERE kind IS NOT NULL AND strategy IS NOT NULL"
+    planned = f"({usable} AND coalesce(total_bytes BETWEEN 0 AND {SAFE} AND chunk_size BETWEEN 1 AND {SAFE} AND total_chunks BETWEEN 0 AND {SAFE}, false))"
+    numbered = _numbered(planned, "m.transport")
+    each = d.issues(f"{numbered} t", ["manifest_id", "position"], [
+        ("NOT inside", code, at("chunkIndex")),
+        ("again", "verification.receipt_duplicate", at("chunkIndex")),
+        ("inside AND NOT again AND NOT whole", code, at("sizeBytes")),
+        ("counted AND size_bytes <> expected", code, at("sizeBytes")),
+        ("counted AND coalesce(transport, '') = ''", code, at("transport.name")),
+        ("coalesce(counted AND transport <> '' AND transport <> wanted, false)", "verification.transport_mismatch", at("transport.name")),
+        *([("counted AND checksum IS NULL", "verification.checksum_missing", at("checksum"))] if require_chunk_checksums else []),
     ])
-    whole = "(SELECT m.manifest_id, CAST(9007199254740991 AS BIGINT) AS position, m.total_chunks, m.total_bytes, count(r.chunk_index) AS seen, coalesce(sum(r.size_bytes), 0) AS bytes FROM {manifests} m LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, chunk_index ORDER BY position) AS place FROM {receipts}) q WHERE place = 1) r ON r.manifest_id = m.manifest_id AND r.chunk_index < m.total_chunks GROUP BY m.manifest_id, m.total_chunks, m.total_bytes) w"
-    rest = d.issues(whole, ["manifest_id", "position"], [("seen < total_chunks", "verification.receipt_missing", "'receipts'"), ("bytes <> total_bytes", "verification.receipt_incomplete", "'receipts'")])
-    return f"{each} UNION ALL {rest}"
+    last = f"CAST({SAFE} AS BIGINT) AS position"
+    parts = [each]
+    if not allow_partial:
+        rel = f"(SELECT m.manifest_id, {last}, m.total_chunks, m.total_bytes, count(CASE WHEN r.counted THEN 1 END) AS seen, coalesce(sum(CASE WHEN r.counted THEN r.size_bytes END), 0) AS bytes FROM {planned} m LEFT JOIN {numbered} r ON r.manifest_id = m.manifest_id GROUP BY m.manifest_id, m.total_chunks, m.total_bytes) w"
+        parts.append(d.issues(rel, ["manifest_id", "position"], [("seen < total_chunks", "verification.receipt_missing", "'receipts'"), ("bytes <> total_bytes", "verification.receipt_incomplete", "'receipts'")]))
+    none = f"(SELECT manifest_id, {last}, kind IS NULL OR strategy IS NULL AS bare, NOT coalesce(total_bytes BETWEEN 0 AND {SAFE} AND chunk_size BETWEEN 1 AND {SAFE} AND total_chunks BETWEEN 0 AND {SAFE}, false) AS odd FROM {{stored}}) z"
+    parts.append(d.issues(none, ["manifest_id", "position"], [("bare", "verification.manifest_invalid", "'manifest'"), ("odd AND NOT bare", "verification.manifest_invalid", "'chunking'")]))
+    return " UNION ALL ".join(parts)
+
+
+def _integrity(d, policy: str, require_chunk_checksums: bool, allow_partial: bool) -> str:
+    structure = d.issues("{stored}", ["manifest_id"], _manifest_stages(d, policy))
+    return f"""SELECT manifest_id, CAST(row_number() OVER (PARTITION BY manifest_id ORDER BY stage, position, ordinal) AS BIGINT) AS place, code, path FROM (SELECT manifest_id, 1 AS stage, CAST(0 AS BIGINT) AS position, ordinal, code, path FROM ({structure}) s
+    UNION ALL SELECT manifest_id, 2, position, ordinal, code, path FROM ({_receipt_issues(d, require_chunk_checksums, allow_partial)}) r) u"""
 
 
-@operator("verify_integrity")
-def verify_integrity(d):
-    """All issues of an upload as one list: structure of the manifest, then its receipts, in order."""
-    structure = d.issues(_stored(d), ["manifest_id"], [(f"coalesce({c}, false)", code, path) for c, code, path in manifest_checks(d)])
-    return f"""SELECT manifest_id, CAST(row_number() OVER (PARTITION BY manifest_id ORDER BY stage, position, ordinal) AS BIGINT) AS place, code, path FROM (SELECT manifest_id, 1 AS stage, CAST(0 AS BIGINT) AS position, ordinal, code, path FROM ({structure}) s
-    UNION ALL SELECT manifest_id, 2, position, ordinal, code, path FROM ({_receipt_issues(d)}) r) u"""
+_FULL = {"policy": "required", "require_chunk_checksums": True, "allow_partial": False}
+
+
+@operator("verify_integrity", bind={"stored": "stored_manifests"}, given=_FULL)
+def verify_integrity(d, policy="when-present", require_chunk_checksums=False, allow_partial=False):
+    """All issues of an upload as one list: structure of the manifest, identity of its file, checksum, then its receipts, in order."""
+    return _integrity(d, policy, require_chunk_checksums, allow_partial)
 
 
-@operator("safe_verification")
-def safe_verification(d):
-    """The part of a verification that is safe to show: code, path and severity, and how often."""
-    return f"SELECT code, path, 'error' AS severity, count(*) AS n FROM ({_receipt_issues(d)}) i WHERE path = 'receipts' OR code <> 'verification.receipt_invalid' GROUP BY code, path"
+@operator("safe_verification", bind={"stored": "stored_manifests"}, given=_FULL)
+def safe_verification(d, policy="when-present", require_chunk_checksums=False, allow_partial=False):
+    """The part of a verification that is safe to show: of every issue, in order, its code, path and severity."""
+    return f"SELECT manifest_id, place, code, path, 'error' AS severity FROM ({_integrity(d, policy, require_chunk_checksums, allow_partial)}) i"
 
 
 @operator("safe_path", bind={"sessions": "nas_sessions_raw"})

@@ -1,8 +1,9 @@
 """Operators as SQL over named relations, views that bind them to tables, and the registry of queries with their oracles.
 
-An operator is a function of a dialect that returns SQL in which ``{name}`` stands for an input relation.  :func:`run`
-applies one to DataFrames of any origin.  A query binds each relation to a view of the tables; the views are SQL too, so the
-whole query is one logical plan for Catalyst, and its DuckDB spelling is the oracle.
+An operator is a function of a dialect, and of its own parameters, that returns SQL in which ``{name}`` stands for an input
+relation.  :func:`run` applies one to DataFrames of any origin.  A query binds each relation to a view of the tables and gives the
+parameters; the views are SQL too, so the whole query is one logical plan for Catalyst, and its DuckDB spelling is the oracle.
+Operators hold rules alone: whatever a query makes up for want of such tables is in the views.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from tallyport.functions.dialect import DUCK, SPARK, Spark
 from tallyport.functions.workers import reachable
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-Sql = Callable[[Spark], str]
+Sql = Callable[..., str]
 
 
 class Operator(NamedTuple):
@@ -35,14 +36,14 @@ _ORACLES: dict[str, Callable[[], str]] = {}
 _NAME = re.compile(r"\{([a-z_][a-z_0-9]*)\}")
 
 
-def operator(name: str, bind: dict[str, str] | None = None) -> Callable[[Sql], Sql]:
-    """Registers an operator and its query; ``bind`` gives the view of a relation whose name is not that of the view."""
+def operator(name: str, bind: dict[str, str] | None = None, given: dict | None = None) -> Callable[[Sql], Sql]:
+    """Registers an operator and its query; ``bind`` gives the view of a relation whose name is not that of the view, ``given`` the query's parameters."""
 
     def register(sql: Sql) -> Sql:
         OPERATORS[name] = Operator(name, sql, (sql.__doc__ or "").strip())
-        names = bind or {}
-        QUERIES[name] = lambda spark, sf_dir: _query(spark, sf_dir, sql(SPARK), names)
-        _ORACLES[name] = lambda: oracle(sql(DUCK), names)
+        names, parameters = bind or {}, given or {}
+        QUERIES[name] = lambda spark, sf_dir: _query(spark, sf_dir, sql(SPARK, **parameters), names)
+        _ORACLES[name] = lambda: oracle(sql(DUCK, **parameters), names)
         return sql
 
     return register
@@ -63,9 +64,9 @@ def view(name: str) -> Callable[[Sql], Sql]:
     return register
 
 
-def run(name: str, spark: SparkSession, **relations: DataFrame) -> DataFrame:
-    """The operator ``name`` applied to DataFrames, one for each relation that it reads."""
-    return _run(spark, OPERATORS[name].sql(SPARK), relations)
+def run(name: str, spark: SparkSession, parameters: dict | None = None, **relations: DataFrame) -> DataFrame:
+    """The operator ``name``, with its parameters, applied to DataFrames, one for each relation that it reads."""
+    return _run(spark, OPERATORS[name].sql(SPARK, **(parameters or {})), relations)
 
 
 def _run(spark: SparkSession, sql: str, relations: dict[str, DataFrame]) -> DataFrame:

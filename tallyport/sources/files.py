@@ -7,12 +7,12 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyport.functions.workers import reachable
-from tallyport.plans.registry import _ORACLES, QUERIES, frame
+from tallyport.plans.registry import _ORACLES, QUERIES, frame, oracle
 
 CHUNK = 8 << 20
 
@@ -100,11 +100,24 @@ def chunked_sha256(chunks: DataFrame, key: str, index: str, body: str) -> DataFr
 
 
 def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    staged = frame(spark, sf_dir, "file_plan").join(frame(spark, sf_dir, "files").select("file_id", "content"), "file_id")
-    body = F.expr("substring(content, cast(start_char + 1 as int), cast(size_chars as int))")
-    return chunked_sha256(staged.withColumn("body", body), "file_id", "chunk_index", "body").select(F.col("file").cast("long").alias("file_id"), "sha256", "size_bytes")
+    """Files in chunks of 1000 bytes, each made on the file's own row."""
+    files = frame(spark, sf_dir, "files").filter("content <> ''").select("file_id", F.col("content").cast("binary").alias("content"))
+    chunks = files.select("file_id", "content", F.explode(F.expr("sequence(0L, (octet_length(content) - 1) div 1000)")).alias("chunk_index"))
+    body = F.expr("substring(content, cast(chunk_index * 1000 + 1 as int), 1000)")
+    return chunked_sha256(chunks.select("file_id", "chunk_index", body.alias("body")), "file_id", "chunk_index", "body").select(F.col("file").cast("long").alias("file_id"), "sha256", "size_bytes")
+
+
+def concat_chunks(staged: DataFrame) -> DataFrame:
+    """Digest and size of each session's chunks, the last generation of each, one after the other; no session is held whole."""
+    place = Window.partitionBy("session_id", "chunk_index").orderBy(F.desc("generation"))
+    last = staged.withColumn("place", F.row_number().over(place)).filter("place = 1")
+    return chunked_sha256(last, "session_id", "chunk_index", "body").select(F.col("file").cast("long").alias("session_id"), "sha256", "size_bytes")
 
 
 QUERIES["chunked_sha256"] = _chunked
 _ORACLES["chunked_sha256"] = lambda: "SELECT doc_id AS file_id, sha256(text) AS sha256, strlen(text)::BIGINT AS size_bytes FROM documents WHERE text <> ''"
+QUERIES["concat_chunks"] = lambda spark, sf_dir: concat_chunks(frame(reachable(spark), sf_dir, "staged"))
+_ORACLES["concat_chunks"] = lambda: oracle(
+    "SELECT session_id, sha256(whole) AS sha256, strlen(whole)::BIGINT AS size_bytes FROM (SELECT session_id, string_agg(body, '' ORDER BY chunk_index) AS whole FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_index ORDER BY generation DESC) AS place FROM {staged}) q WHERE place = 1 GROUP BY session_id) t", {}
+)
 QUERIES["scan_files"] = lambda spark, sf_dir: scan_files(reachable(spark), sf_dir)

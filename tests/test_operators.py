@@ -88,8 +88,8 @@ def test_legacy_receipts_follow_the_schema_version(spark):
 
 
 def test_header_list_reads_the_whole_text(spark):
-    pages = spark.createDataFrame([(1, "a-text-of-more-than-20-characters , second")], "page_id long, url string")
-    assert run("header_list", spark, pages=pages).collect()[0].entries == "creation|a-text-of-more-than-20-characters|second|termination"
+    headers = spark.createDataFrame([(1, " creation, ,a-text-of-more-than-20-characters , second ,termination,")], "header_id long, header string")
+    assert run("header_list", spark, headers=headers).collect()[0].entries == "creation|a-text-of-more-than-20-characters|second|termination"
 
 
 def test_digests(spark):
