@@ -66,7 +66,7 @@ def view(name: str) -> Callable[[Sql], Sql]:
 
 def run(name: str, spark: SparkSession, parameters: dict | None = None, **relations: DataFrame) -> DataFrame:
     """The operator ``name``, with its parameters, applied to DataFrames, one for each relation that it reads."""
-    return _run(spark, OPERATORS[name].sql(SPARK, **(parameters or {})), relations)
+    return _run(reachable(spark), OPERATORS[name].sql(SPARK, **(parameters or {})), relations)
 
 
 def _run(spark: SparkSession, sql: str, relations: dict[str, DataFrame]) -> DataFrame:

@@ -1,29 +1,33 @@
-"""Writing uploads: parts are staged by tasks and become visible at commit, all or none."""
+"""Writing uploads: each is put together by one task and becomes visible at commit, all or none."""
 
 from __future__ import annotations
 
 import os
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from tallyport.functions.workers import reachable
+
 
 @dataclass
-class StagedPart(WriterCommitMessage):
-    """What a task has staged: (session, chunk index, path)."""
+class StagedUploads(WriterCommitMessage):
+    """What a task has staged: (session, path)."""
 
-    files: list[tuple[str, int, str]]
+    files: list[tuple[str, str]]
 
 
 class StagedFileSink(DataSource):
-    """``df.write.format("staged_files").mode("append").save(folder)`` of rows ``session string, chunk_index long, body binary``.
+    """``staged_files``: rows ``session string, chunk_index long, body binary``, each session in one task and in order.
 
-    The folder is a share that driver and executors mount.  A task writes each chunk to a temporary name of its own attempt and
-    renames it; the driver joins the chunks of each session, in order, when all tasks have ended, and removes the staged files.
+    The folder is a share that driver and executors mount.  A task appends the chunks of a session to a file of its own attempt;
+    the driver only renames, when all tasks have ended.  :func:`save_uploads` deals the rows as this needs.
     """
 
     @classmethod
@@ -37,38 +41,50 @@ class StagedFileSink(DataSource):
         return StagedFileWriter(self.options["path"])
 
 
+def save_uploads(chunks: DataFrame, folder: str) -> None:
+    """Writes every session's chunks, in order, as one file of ``folder``; fails, and leaves nothing, if any chunk is missing."""
+    reachable(chunks.sparkSession).dataSource.register(StagedFileSink)
+    rows = chunks.select("session", "chunk_index", "body").repartition("session").sortWithinPartitions("session", "chunk_index")
+    rows.write.format("staged_files").mode("append").save(folder)
+
+
 class StagedFileWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
         self.path, self.staging = path, os.path.join(path, f"_staging-{uuid.uuid4().hex}")
+        os.makedirs(self.staging)  # by the driver alone: a task that outlives an abort cannot bring it back
 
-    def write(self, rows: Iterator) -> StagedPart:
+    def write(self, rows: Iterator) -> StagedUploads:
         attempt, files = TaskContext.get().taskAttemptId(), []
-        os.makedirs(self.staging, exist_ok=True)
-        for row in rows:
-            name = os.path.join(self.staging, f"{uuid.uuid5(uuid.NAMESPACE_URL, row.session).hex}-{row.chunk_index:08d}-{attempt}.part")
-            with open(f"{name}.tmp", "wb") as f:
-                f.write(row.body or b"")
-            os.rename(f"{name}.tmp", name)
-            files.append((row.session, row.chunk_index, name))
-        return StagedPart(files)
-
-    def commit(self, messages: list[StagedPart | None]) -> None:
-        sessions: dict[str, dict[int, str]] = {}
-        for message in messages:
-            for session, index, name in message.files if message else ():
-                sessions.setdefault(session, {})[index] = name
-        for session, chunks in sessions.items():
-            if sorted(chunks) != list(range(len(chunks))):
-                self.abort(messages)
-                raise ValueError(f"chunks of {session} are missing")
-        for session, chunks in sessions.items():
-            target = os.path.join(self.path, session)
-            with open(f"{target}.tmp", "wb") as out:
-                for index in sorted(chunks):
-                    with open(chunks[index], "rb") as part:
-                        shutil.copyfileobj(part, out)
-            os.rename(f"{target}.tmp", target)
-        shutil.rmtree(self.staging, ignore_errors=True)
-
-    def abort(self, messages: list[StagedPart | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        session, upcoming, out = None, 0, None
+        try:
+            for row in rows:
+                if out is None or row.session != session:
+                    if out:
+                        out.close()
+                    session, upcoming = row.session, 0
+                    files.append((session, os.path.join(self.staging, f"{uuid.uuid5(uuid.NAMESPACE_URL, session).hex}-{attempt}.part")))
+                    out = open(files[-1][1], "wb")  # noqa: SIM115
+                if row.chunk_index != upcoming:
+                    raise ValueError(f"chunks of {session} are missing or out of order: {row.chunk_index} came for {upcoming}")
+                upcoming += 1
+                out.write(row.body or b"")
+        finally:
+            if out:
+                out.close()
+        return StagedUploads(files)
+
+    def commit(self, messages: list[StagedUploads | None]) -> None:
+        files = [f for message in messages if message for f in message.files]
+        if len({session for session, _ in files}) < len(files):
+            self.abort(messages)
+            raise ValueError("chunks of a session are spread over tasks")
+        for session, staged in files:
+            os.rename(staged, os.path.join(self.path, session))
+        self.abort(messages)
+
+    def abort(self, messages: list[StagedUploads | None]) -> None:
+        for _ in range(10):  # tasks may still be writing
+            shutil.rmtree(self.staging, ignore_errors=True)
+            if not os.path.exists(self.staging):
+                return
+            time.sleep(0.2)

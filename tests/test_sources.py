@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tallyport.plans import load, registry  # noqa: F401
 from tallyport.sources.files import FileChunkSource, chunked_sha256, scan_files
-from tallyport.sources.sinks import StagedFileSink
+from tallyport.sources.fixtures import fixture_chunks
+from tallyport.sources.sinks import save_uploads
+from tallyport.sources.stores import JsonStore
 from tallyport.streaming.sessions import session_status
 
 
@@ -32,15 +34,41 @@ def test_scan_query_reads_the_whole_folder(spark, data):
 
 
 def test_staged_sink(spark, tmp_path):
-    spark.dataSource.register(StagedFileSink)
     rows = spark.createDataFrame([("s1", 1, b"world"), ("s1", 0, b"hello "), ("s2", 0, b"x")], "session string, chunk_index long, body binary")
-    rows.repartition(3).write.format("staged_files").mode("append").save(str(tmp_path))
+    save_uploads(rows.repartition(3), str(tmp_path))
     assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == {"s1": b"hello world", "s2": b"x"}
     with pytest.raises(Exception, match="missing"):
-        rows.filter("chunk_index = 1").write.format("staged_files").mode("append").save(str(tmp_path))
+        save_uploads(rows.filter("chunk_index = 1"), str(tmp_path))
+    with pytest.raises(Exception, match="missing|spread"):  # not dealt by session
+        rows.repartition(3, "chunk_index").write.format("staged_files").mode("append").save(str(tmp_path))
     assert {p.name for p in tmp_path.iterdir()} == {"s1", "s2"}
 
 
+def test_fixtures_round_trip(spark, tmp_path):
+    sizes = {"a": 100_000, "b": 31, "c": 64, "none": 0}
+    chunks = fixture_chunks(spark, sizes, chunk=4096)
+    save_uploads(chunks, str(tmp_path))
+    want = {n: b"".join(hashlib.sha256(f"fixture:{n}:{k}".encode()).digest() for k in range(-(-size // 32)))[:size] for n, size in sizes.items() if size}
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == want
+    got = {r.file: (r.sha256, r.size_bytes) for r in chunked_sha256(chunks, "session", "chunk_index", "body").collect()}
+    assert got == {n: (hashlib.sha256(d).hexdigest(), len(d)) for n, d in want.items()}
+
+
+def test_json_store(spark, tmp_path):
+    store = JsonStore(spark, f"file://{tmp_path}/store")
+    assert store.read().count() == 0 and store.version() is None
+    changes = lambda *rows: spark.createDataFrame(rows, "entry string, position long, stored string")
+    store.apply(changes(("resume:1", 0, '{"id": 1}'), ("resume:2", 0, '{"id": 2}'), ("other:3", 0, '{"x": "\\n\u00fc"}')))
+    first = store.version()
+    held = store.read()
+    store.apply(changes(("resume:1", 0, "{}"), ("resume:1", 1, None), ("resume:4", 0, '{"id": 4}')))
+    assert sorted(tuple(r) for r in store.read().collect()) == [("other:3", '{"x": "\\n\u00fc"}'), ("resume:2", '{"id": 2}'), ("resume:4", '{"id": 4}')]
+    assert held.count() == 3 and store.version() != first  # readers of the version before are not disturbed
+    assert [r.entry for r in store.get("resume:2").collect()] == ["resume:2"] and sorted(r.entry for r in store.scan("resume:").collect()) == ["resume:2", "resume:4"]
+    store.replace(store.read().filter("false"))
+    assert store.read().count() == 0 and first not in {p.name for p in (tmp_path / "store").iterdir()}
+
+
 def test_session_stream(spark, data, tmp_path):
     events = registry.frame(spark, data, "ingest_events").select("session_id", "event_id", F.col("event_time").cast("timestamp").alias("event_time"), "type")
     for k in range(3):  # three batches, and the last one again
@@ -58,3 +86,25 @@ def test_session_stream(spark, data, tmp_path):
     terminal = [k for k, v in batch.items() if v in ("completed", "canceled")]
     assert all(seen[k][0] in ("completed", "canceled") for k in terminal)
     assert all(seen[k][0] == v for k, v in batch.items() if k not in terminal)
+
+
+def test_silent_sessions_are_forgotten(spark, tmp_path):
+    """State goes once a session has been silent for long enough behind the watermark."""
+    days = lambda d: f"2026-01-{d:02d} 00:00:00"
+    batches = [[(1, 1, days(1), "started"), (2, 2, days(1), "completed")], [(3, 3, days(20), "started")], [(3, 4, days(21), "upload:paused")], [(3, 5, days(22), "resume:started"), (1, 6, days(22), "upload:paused")]]
+    schema = "session_id long, event_id long, event_time timestamp, type string"
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "session_id long, event_id long, event_time string, type string").withColumn("event_time", F.col("event_time").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+    (tmp_path / "in").mkdir()
+    stream = session_status(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "1 hour", idle_ms=5 * 86_400_000)
+    query = stream.writeStream.outputMode("update").format("memory").queryName("forgotten").option("checkpointLocation", str(tmp_path / "check")).start()
+    try:
+        for k in range(len(batches)):
+            part = next((tmp_path / f"in{k}").glob("part-*"))
+            part.rename(tmp_path / "in" / f"{k}.parquet")
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = [tuple(r) for r in spark.sql("select * from forgotten").collect()]
+    assert (1, "paused", 1) in rows and (1, "uploading", 1) in rows and (3, "resuming", 3) in rows
