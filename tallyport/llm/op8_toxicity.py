@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text: one from what toxic documents say and others do not, one from
-ordinary text.  A window is a word in lower case (marks and digits end it); a run of more than ``LONGEST`` bytes, as in scripts
+Two zstandard dictionaries are made from labelled text: one from what toxic documents say significantly more often than others,
+one from ordinary text.  Their content is given, not chosen by zstandard's own trainer, which fills a dictionary with what is
+frequent in either text and so tells them apart less well (figures in README).  A window is a word in lower case (marks and digits end it); a run of more than ``LONGEST`` bytes, as in scripts
 without spaces, is cut into windows that cover all of it.  A window is compressed with either dictionary, and
 the ratio of the two lengths says whose language it is.  A document's windows below each of several ratios are counted,
 and a logistic calibration on labelled rows that the dictionaries have not seen turns the counts into a probability.
@@ -36,8 +37,9 @@ NAME = "op8_toxicity"
 ORACLE_SQL = None
 
 PREDICT_AT = 0.3
-#: Words of either dictionary at most; documents that must hold a word of the toxic one; how much more often they must do so.
-TOXIC_WORDS, ORDINARY_WORDS, LEAST_DOCS, LEAST_RATIO = 1500, 4000, 3, 20.0
+#: Words of either dictionary at most; of a word of the toxic one: documents that hold it, how much more often they do so, and
+#: the log-likelihood ratio of that at least, since of many rare words some are in toxic documents alone by chance.
+TOXIC_WORDS, ORDINARY_WORDS, LEAST_DOCS, LEAST_RATIO, LEAST_LIKELIHOOD = 1500, 24_000, 3, 5.0, 10.0
 #: Ratios of lengths below which windows are counted.
 CUTS = (0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6)
 STRETCH, LONGEST, KNOWN = 4, 64, 400_000
@@ -75,7 +77,8 @@ class Distance:
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        parameters = zstandard.ZstdCompressionParameters.from_level(3, strategy=zstandard.STRATEGY_LAZY, min_match=6, write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        # The search goes deep enough to find the longest match among words that begin alike.
+        parameters = zstandard.ZstdCompressionParameters.from_level(3, strategy=zstandard.STRATEGY_LAZY2, min_match=6, search_log=9, chain_log=20, hash_log=20, write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         if len(content) < 8:
             return zstandard.ZstdCompressor(compression_params=parameters)
         trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -107,9 +110,9 @@ class Distance:
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """What the calibration sees of the counts: how many windows, and what share, are below each ratio."""
+    """What the calibration sees of the counts: how many windows, what share, and whether any, are below each ratio."""
     total = counts[:, -1:]
-    return np.hstack((np.log1p(counts[:, :-1]), np.minimum(1, counts[:, :-1] / np.maximum(total, 10)) * 10, np.log1p(total)))
+    return np.hstack((np.log1p(counts[:, :-1]), np.minimum(1, counts[:, :-1] / np.maximum(total, 10)) * 10, np.log1p(total), counts[:, :-1] > 0))
 
 
 def _word_documents(docs: DataFrame) -> DataFrame:
@@ -161,7 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     toxic_docs, other_docs = sides.get(1, 0), sides.get(0, 0)
     words = _word_documents(known.filter("part != 3")).groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o"))
     words = words.withColumn("ratio", ((F.col("t") + 0.5) / (toxic_docs + 1)) / ((F.col("o") + 0.5) / (other_docs + 1)))
-    toxic = words.filter((F.col("t") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc(F.col("t") * F.log("ratio")), "word").limit(TOXIC_WORDS).collect()
+    both = (F.col("t") + F.col("o")) / F.lit(max(1, toxic_docs + other_docs))
+    part = lambda n, docs: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (docs * both))).otherwise(0.0)
+    likely = 2 * (part("t", toxic_docs) + part("o", other_docs)) >= LEAST_LIKELIHOOD
+    toxic = words.filter((F.col("t") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO) & likely).orderBy(F.desc(F.col("t") * F.log("ratio")), "word").limit(TOXIC_WORDS).collect()
     ordinary = words.filter((F.col("o") > 0) & (F.col("ratio") < LEAST_RATIO)).orderBy(F.desc("o"), "word").limit(ORDINARY_WORDS).collect()
     model = {"toxic": dictionary([r["word"] for r in reversed(toxic)]), "ordinary": dictionary([r["word"] for r in reversed(ordinary)]), "share": share}
     rows = _document_counts(known.filter("part = 3").select("doc_id", "label", "text"), model, "doc_id long, label int").orderBy("doc_id").collect()

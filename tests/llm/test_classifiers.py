@@ -86,6 +86,80 @@ def test_long_runs_are_scored_to_their_end():
     assert alone[-2] == 1 and (behind == alone + without).all() and np.array_equal(without[-1:], [1.0])
 
 
+def test_toxicity_counts_are_those_of_single_windows(spark, data):
+    """The query's scores from windows that are cut, stretched, compressed and counted one by one."""
+    import math
+
+    import numpy as np
+    import zstandard
+
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet").filter("n_chars < 3000"), spark.read.parquet(f"{data}/labels.parquet")
+    model = op8_toxicity.fit(docs, labels)
+    compressors = op8_toxicity.Distance(model).compressors
+
+    def windows(text):
+        word = b""
+        for byte in (text or "").encode() + b" ":
+            byte = byte + 32 if 65 <= byte <= 90 else byte
+            if byte >= 128 or 97 <= byte <= 122:
+                word += bytes([byte])
+            elif word:
+                assert len(word) <= op8_toxicity.LONGEST
+                yield word + b" "
+                word = b""
+
+    def ratio(window):
+        stretched = bytes((b * a + k * p + q) & 255 for k, b in enumerate(window) for a, p, q in ((1, 37, 0), (5, 91, 17), (11, 53, 99), (7, 29, 151)))
+        toxic, ordinary = (len(c.compress(stretched)) for c in compressors)
+        return np.float32(toxic) / np.float32(ordinary)
+
+    assert all(isinstance(c, zstandard.ZstdCompressor) for c in compressors)
+    known, rows = {}, op8_toxicity.score(docs, model).collect()
+    for r in rows[:60]:
+        found = list(windows(r.row.text))
+        ratios = [known.setdefault(w, ratio(w)) for w in found]
+        below = [sum(x <= cut for x in ratios) for cut in op8_toxicity.CUTS]
+        seen = [*(math.log1p(n) for n in below), *(10 * min(1, n / max(len(found), 10)) for n in below), math.log1p(len(found)), *(float(n > 0) for n in below)]
+        scaled = (np.array(seen) - model["middle"]) / model["scale"]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(scaled @ model["beta"][:-1] + model["beta"][-1]))), abs=1e-6)
+
+
+def test_words_that_begin_like_toxic_ones_are_told_apart():
+    """Of many dictionary words with the same stem, the whole word is found."""
+    import pyarrow as pa
+
+    stems = [f"lowei{a}{b}" for a in "abcdefghijklm" for b in ("nung", "schaft", "ent", "ei", "tum")]
+    plain = [f"hau{a}{b}" for a in "abcdefghijklm" for b in ("nung", "schaft", "ent", "ei", "tum")]
+    distance = op8_toxicity.Distance({"toxic": op8_toxicity.dictionary(stems), "ordinary": op8_toxicity.dictionary(plain)})
+    counts = distance.counts(pa.array([*stems, *plain, "unrelated"]))
+    assert (counts[: len(stems), 3] == 1).all() and (counts[len(stems) :, :-1] == 0).all()
+
+
+def test_quality_inputs_of_single_words(spark):
+    """Buckets and statistics of texts, word by word."""
+    import math
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyport.llm import _text
+
+    texts = ["The the cat, the CAT! 12 #x# %%\nnext line. é", "", None, "a " * 60 + "$$", "one two three"]
+    of, bucket, value, statistics = op2_quality.inputs(pa.array(texts), pa.array([None, None, None, 7, 13], type=pa.float64()))
+    for k, text in enumerate(texts):
+        words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        counts = {}
+        for w in words:
+            b = int(_text.words(*_text.raw(pa.array([w])), lower=True)[2][0] >> np.uint64(51))
+            counts[b] = counts.get(b, 0) + 1
+        norm = math.sqrt(sum((1 + math.log(n)) ** 2 for n in counts.values())) or 1
+        assert {int(b): v for b, v in zip(bucket[of == k], value[of == k])} == pytest.approx({b: (1 + math.log(n)) / norm for b, n in counts.items()})
+        assert statistics[k][0] == pytest.approx(math.log1p(len(words))) and statistics[k][-1] == (not words)
+        assert statistics[k][3] == pytest.approx(math.sqrt(sum(c in "#*$%&|<>~^@" for c in text or "") / max(1, len((text or "").encode()))))
+    assert statistics[3][1] == pytest.approx(math.log1p(7)) and statistics[0][1] == pytest.approx(math.log1p(len(texts[0])))
+
+
 def test_machine_is_the_pairwise_sum():
     import numpy as np
 
