@@ -39,7 +39,7 @@ ORACLE_SQL = None
 PREDICT_AT = 0.3
 #: Words of either dictionary at most; of a word of the toxic one: documents that hold it, how much more often they do so, and
 #: the log-likelihood ratio of that at least, since of many rare words some are in toxic documents alone by chance.
-TOXIC_WORDS, ORDINARY_WORDS, LEAST_DOCS, LEAST_RATIO, LEAST_LIKELIHOOD = 1500, 24_000, 3, 5.0, 10.0
+TOXIC_WORDS, ORDINARY_WORDS, LEAST_DOCS, LEAST_RATIO, LEAST_LIKELIHOOD = 1500, 48_000, 3, 5.0, 12.0
 #: Ratios of lengths below which windows are counted.
 CUTS = (0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6)
 STRETCH, LONGEST, KNOWN = 4, 64, 400_000
@@ -78,7 +78,7 @@ class Distance:
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         # The search goes deep enough to find the longest match among words that begin alike.
-        parameters = zstandard.ZstdCompressionParameters.from_level(3, strategy=zstandard.STRATEGY_LAZY2, min_match=6, search_log=9, chain_log=20, hash_log=20, write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        parameters = zstandard.ZstdCompressionParameters.from_level(3, strategy=zstandard.STRATEGY_LAZY2, min_match=6, search_log=9, chain_log=21, hash_log=20, write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         if len(content) < 8:
             return zstandard.ZstdCompressor(compression_params=parameters)
         trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
