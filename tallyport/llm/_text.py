@@ -52,14 +52,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about ``CHUNK`` bytes of text each."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold about ``size`` bytes of text each."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             done = int(sizes[start - 1]) if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, done + CHUNK, side="right")))
+            end = max(start + 1, int(np.searchsorted(sizes, done + size, side="right")))
             yield batch.slice(start, end - start)
             start = end
     release()

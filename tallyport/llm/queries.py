@@ -13,9 +13,12 @@ from tallyport.llm import (
     op8_toxicity,
     op9_warc,
     op10_quality_rules,
+    op11_spelling,
+    op12_topk,
+    op13_collocations,
 )
 
-MODULES = (op1_licenses, op2_quality, op3_html, op4_chat, op5_packing, op6_decontamination, op7_near_dedup, op8_toxicity, op9_warc, op10_quality_rules)
+MODULES = (op1_licenses, op2_quality, op3_html, op4_chat, op5_packing, op6_decontamination, op7_near_dedup, op8_toxicity, op9_warc, op10_quality_rules, op11_spelling, op12_topk, op13_collocations)
 QUERIES: dict = {m.NAME: m.query for m in MODULES}
 
 
