@@ -48,39 +48,39 @@ def _power(letter: Column) -> Column:
 
 
 def _listed(words: DataFrame) -> DataFrame:
-    """Where each word is listed: ``kind``, ``key``, ``len`` and the hash of a half; ``side`` 0 is the first half.
+    """Where each word is listed: under its ``key`` (``less`` 0) and under that less each different ``letter`` (``less`` 1).
 
-    Kind 0: as the shorter of two; 1: as the longer, less ``letter``; 2: as one of two of the same length, less ``letter``.
+    ``half`` is a hash of what is left of the word before (``side`` 0) or from (1) its middle, without the letter in the middle for
+    ``less`` 1, and of the number of its letters; words that are one edit apart share a key and one half at least.
     """
     letters = F.filter(F.split("word", ""), lambda c: c != "")
     total = F.aggregate(letters, F.lit(0).cast("long"), lambda s, c: F.pmod(s + _power(c), F.lit(MODULUS)))
     keyed = words.select("word", "n", total.alias("total"), F.length("word").alias("size"), F.array_distinct(letters).alias("letters"))
-    none = F.lit("")
     kinds = F.concat(
-        F.array(F.struct(F.lit(0).alias("kind"), F.col("total").alias("key"), none.alias("letter"))),
-        F.flatten(F.transform("letters", lambda c: F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.struct(k.alias("kind"), F.pmod(F.col("total") - _power(c), F.lit(MODULUS)).alias("key"), c.alias("letter"))))),
+        F.array(F.struct(F.lit(0).alias("less"), F.col("total").alias("key"), F.lit("").alias("letter"))),
+        F.transform("letters", lambda c: F.struct(F.lit(1).alias("less"), F.pmod(F.col("total") - _power(c), F.lit(MODULUS)).alias("key"), c.alias("letter"))),
     )
-    rows = keyed.select("word", "n", "size", F.explode(kinds).alias("as")).select("word", "n", "as.*", (F.col("size") - (F.col("as.kind") == 1).cast("int")).alias("len"))
-    half = F.floor(F.col("len") / 2).cast("int")
-    skipped = half + F.when(F.col("kind") == 1, 2).otherwise(1)  # the longer word's letter between the halves belongs to neither
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.xxhash64(F.substr("word", F.lit(1), half)).alias("half")), F.struct(F.lit(1).alias("side"), F.xxhash64(F.substr("word", skipped)).alias("half")))
-    return rows.select("word", "n", "kind", "key", "letter", "len", F.explode(sides).alias("of")).select("word", "n", "kind", "key", "letter", "len", "of.*")
+    rows = keyed.select("word", "n", "size", F.explode(kinds).alias("as")).select("word", "n", "as.*", (F.col("size") - F.col("as.less")).alias("len"))
+    middle = _middle(F.col("len"))
+    sides = [F.struct(F.lit(k).alias("side"), F.xxhash64("len", F.lit(k), part).alias("half")) for k, part in enumerate((F.substr("word", F.lit(1), middle), F.substr("word", middle + F.col("less") + 1)))]
+    return rows.select("word", "n", "less", "key", "letter", "len", F.explode(F.array(*sides)).alias("of")).select("word", "n", "less", "key", "letter", "len", "of.*")
+
+
+def _middle(size: Column) -> Column:
+    return F.floor(size / 2).cast("int")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """``word, n, near, near_n`` for each ordered pair of ``words (word, n)`` that differ by one inserted, deleted or replaced letter."""
     listed = _listed(words)
-    left = listed.filter("kind <> 1").select(*[F.col(c).alias(f"a_{c}") for c in ("word", "n", "kind", "letter", "len")], "key", "side", "half")
-    right = listed.filter("kind <> 0").select(*[F.col(c).alias(f"b_{c}") for c in ("word", "n", "kind", "letter", "len")], "key", "side", "half")
-    #: the shorter meets the longer, and of two of the same length the smaller the larger
-    left = left.withColumn("meets", F.when(F.col("a_kind") == 0, 1).otherwise(2)).withColumnRenamed("a_len", "len")
-    right = right.withColumnRenamed("b_kind", "meets").withColumnRenamed("b_len", "len")
-    met = left.join(right, ["key", "side", "half", "len", "meets"])
-    half = F.floor(F.col("len") / 2).cast("int")
-    met = met.filter((F.col("meets") == 1) | (F.col("a_letter") != F.col("b_letter")) & (F.col("a_word") < F.col("b_word")))
-    met = met.filter((F.col("side") == 0) | (F.substr("a_word", F.lit(1), half) != F.substr("b_word", F.lit(1), half)))  # a pair counts once
-    pairs = met.filter(F.levenshtein("a_word", "b_word", 1) == 1)
-    ways = [F.struct(F.col(f"{a}_word").alias("word"), F.col(f"{a}_n").alias("n"), F.col(f"{b}_word").alias("near"), F.col(f"{b}_n").alias("near_n")) for a, b in ("ab", "ba")]
+    left, right = listed.alias("a"), listed.alias("b")
+    a, b = (lambda c, side=side: F.col(f"{side}.{c}") for side in "ab")
+    # A word meets one that has a letter more, or (the smaller first) one with another letter; both sides are one shuffle.
+    wanted = (a("less") < b("less")) | (a("less") + b("less") == 2) & (a("letter") != b("letter")) & (a("word") < b("word"))
+    once = (a("side") + b("side") == 0) | (F.substr(a("word"), F.lit(1), _middle(a("len"))) != F.substr(b("word"), F.lit(1), _middle(b("len"))))
+    met = left.join(right, (a("key") == b("key")) & (a("half") == b("half")) & wanted & once)
+    pairs = met.filter(F.levenshtein(a("word"), b("word"), 1) == 1)
+    ways = [F.struct(x("word").alias("word"), x("n").alias("n"), y("word").alias("near"), y("n").alias("near_n")) for x, y in ((a, b), (b, a))]
     return pairs.select(F.explode(F.array(*ways)).alias("pair")).select("pair.*")
 
 
