@@ -35,7 +35,7 @@ NAME = "op13_collocations"
 #: Occurrences of a candidate at least; per cent of a candidate's count from which a longer one takes its place; phrases of each language.
 LEAST_COUNT, COVERED_PERCENT, TOP = 10, 50, 2000
 #: Bytes of text of a shard, bits of a filter (as a power of two), bitmap bytes that are extended at once.
-SHARD, FILTER_BITS, BATCH = 4 << 20, 26, 200_000
+SHARD, FILTER_BITS, BATCH = 3 << 19, 26, 60_000
 _BUCKET = 8 * 4096  # bits of one row of Spark's bitmap functions
 
 _PIECE = np.zeros(256, dtype=bool)
@@ -163,6 +163,7 @@ def _pass(docs: DataFrame, size: int, word_bits=None, pair_bits=None, shard: int
             found = [words.counts()] if size == 1 else words.phrases(size, word_bits.value, pair_bits.value if pair_bits else None)
             for langs, phrases, count in found:
                 yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(count, type=pa.int64())], names=["lang", "phrase", "n"])
+            _text.release()
 
     counted = docs.mapInArrow(run, "lang string, phrase string, n long")
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
