@@ -20,6 +20,16 @@ def test_held_out_accuracy(spark, sf, module, label, least):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+@pytest.mark.parametrize(("scale", "caught"), [("sf0.001", 0.85), ("sf0.01", 0.72), ("sf0.1", 0.9)])
+def test_toxic_rows_are_caught(spark, data, scale, caught):
+    """By recall, with few labels too; at sf0.01 seven of 51 toxic rows hold no toxic word or one of a language with four such rows."""
+    path = data.replace("sf0.001", scale)
+    rows = op8_toxicity.query(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").collect()
+    toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
+    assert len(toxic) >= 10 and sum(r.predicted for r in toxic) >= caught * len(toxic)
+    assert sum(1 - r.predicted for r in clean) >= 0.98 * len(clean)
+
+
 @pytest.mark.parametrize(("module", "label", "least"), CASES)
 def test_held_out_labels_are_not_used(spark, data, folder, module, label, least):
     labels = spark.read.parquet(f"{data}/labels.parquet")
