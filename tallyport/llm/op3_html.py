@@ -11,7 +11,7 @@ elements are nested, and the graph has two smoothness edges per block.
 
 Edge cases: null and empty html, and pages without text, give an empty text; broken or unclosed markup is read as far as it
 goes; a head ends where HTML says so, also without its end tag; character references are decoded, also without their
-semicolon where HTML allows that; white space is what Unicode calls so, no-break spaces too; repeated rows are extracted
+semicolon where HTML allows that; classes of html, body and of an element around the whole page do not decide about its text; white space is what Unicode calls so, no-break spaces too; repeated rows are extracted
 each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -43,7 +43,7 @@ ORDER_WEIGHT, SIBLING_WEIGHT, FADE = 1.0, 0.8, 0.5
 # Fixed names of HTML elements and of common classes.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template title svg iframe object canvas select textarea button datalist audio video map".split())
+UNSEEN = frozenset("script style noscript template title svg iframe object canvas select textarea datalist audio video map".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: Start tags that may stand in a head; any other, and text, ends it.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
@@ -71,6 +71,8 @@ BY_WORD = {
     "related": "related recommended recommendations share sharing social more popular trending teaser links",
     "hidden": "hidden sr-only visually-hidden",
 }
+#: Pieces of a class name that tell the state of a page, not what the element is, as in ``no-sidebar`` or ``menu-open``.
+STATES = frozenset("no not non has have with without is are on off open opened closed enabled disabled ready active loaded layout template theme".split())
 _WORDS = {word: _BIT[flag] for flag, words in BY_WORD.items() for word in words.split()}
 
 # Possessive, so that broken markup is never tried in more than one way.
@@ -106,8 +108,9 @@ def _flags_of(tag: str, attributes: str) -> int:
         if name in ("class", "id", "role"):
             for word in value.split():
                 bits |= _WORDS.get(word, 0)
-                if word not in _WORDS:
-                    for piece in _PIECES.split(word):
+                pieces = _PIECES.split(word)
+                if word not in _WORDS and STATES.isdisjoint(pieces):
+                    for piece in pieces:
                         bits |= _WORDS.get(piece, 0)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             bits |= _BIT["hidden"]
@@ -118,11 +121,11 @@ def read(page: str) -> Page:
     """The blocks of text of a page and the elements around them.
 
     Every tag costs a constant: where the open elements of a tag are, and where the nearest scope is, is kept in lists, and
-    an element is opened and closed once.
+    an element is opened and closed once.  Words of a button count inside a paragraph only.
     """
     found: list[Block] = []
-    parents, depths = [0], [0]
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, block-level element, bits
+    parents, depths, own = [0], [0], [0]
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, block-level element, bits of the inline elements in it
     places: dict[str, list[int]] = {}  # where in the stack a tag is open
     scopes: list[int] = [0]  # where in the stack scopes are open
     parts: list[str] = []
@@ -142,7 +145,7 @@ def read(page: str) -> Page:
         nonlocal unseen
         tag = stack.pop()[0]
         places[tag].pop()
-        unseen -= tag in UNSEEN
+        unseen -= tag in UNSEEN or tag == "button" and hidden_buttons.pop()
         if scopes[-1] == len(stack):
             scopes.pop()
 
@@ -154,6 +157,7 @@ def read(page: str) -> Page:
                 pop()
 
     tags = [""]
+    hidden_buttons: list[bool] = []
     if "<!--" not in page[page.rfind(">") + 1 :]:  # a tag that the page breaks off in is no text
         cut = _UNFINISHED.search(page, page.rfind(">") + 1)
         page = page[: cut.start()] if cut else page
@@ -196,19 +200,47 @@ def read(page: str) -> Page:
         if unseen and tag == "body":  # something in the head that was never closed
             while len(stack) > 1 and unseen:
                 pop()
-        element = stack[-1][1]
+        element, inline, bits = stack[-1][1], stack[-1][2], _flags_of(tag, m[3])
         if tag in BLOCKS:
             parents.append(element)
             depths.append(depths[element] + 1)
             tags.append(tag)
-            element = len(parents) - 1
+            own.append(0 if tag in ("html", "body") else bits)
+            element, bits = len(parents) - 1, inline
         places.setdefault(tag, []).append(len(stack))
         if tag in SCOPES:
             scopes.append(len(stack))
-        stack.append((tag, element, stack[-1][2] | _flags_of(tag, m[3])))
-        unseen += tag in UNSEEN
+        stack.append((tag, element, inline | bits))
+        if tag == "button":
+            hidden_buttons.append(not places.get("p"))
+        unseen += tag in UNSEEN or tag == "button" and hidden_buttons[-1]
     flush()
-    return Page(found, parents, depths)
+    around = _around(found, parents, tags, own)
+    return Page([b._replace(flags=b.flags | around[b.element]) for b in found], parents, depths)
+
+
+def _around(found: list[Block], parents: list[int], tags: list[str], own: list[int]) -> list[int]:
+    """The bits of each element and those around it.
+
+    What an element's name says against its text does not count if the element is the frame of the page: it holds the first main element (or
+    else first heading, or article) and at least half of the text, or, on a page without any of these, nearly all of it.
+    """
+    size = [0] * len(parents)
+    for b in found:
+        size[b.element] += len(b.text)
+    for k in range(len(parents) - 1, 0, -1):  # an element comes after its parent
+        size[parents[k]] += size[k]
+    core = next((k for tag in ("main", "h1", "article") for k in [tags.index(tag) if tag in tags else 0] if k), 0)
+    frames = {0}
+    k = parents[core]
+    while k:
+        frames.add(k)
+        k = parents[k]
+    around = [0]
+    for k in range(1, len(parents)):
+        framing = k in frames and 2 * size[k] >= size[0] or not core and 10 * size[k] >= 9 * size[0] and tags[k] not in BY_TAG
+        around.append(around[parents[k]] | (own[k] & ~_AGAINST if framing else own[k]))
+    return around
 
 
 def blocks(page: str) -> list[Block]:
@@ -232,6 +264,7 @@ def features(found: list[Block]) -> np.ndarray:
 
 
 _OFF = sum(_BIT[n] for n in ("nav", "footer", "aside", "advert", "comment", "form", "notice", "related", "hidden"))
+_AGAINST = _OFF | _BIT["header"]
 N_FEATURES = len(FLAGS) + 14
 
 
@@ -286,6 +319,8 @@ def generated(rng: random.Random) -> tuple[str, list[bool]]:
                 inner += f"<blockquote>{plain(True)}</blockquote>"
             elif kind < 0.88:
                 inner += "<table><tr>" + "".join(say(f"<td>{words(1, 5)}</td>", True) for _ in range(3)) + "</tr></table>"
+            elif kind < 0.89:
+                inner += say(f"<p>{prose(1, 1)}</p>", True) + items(True, True)
             elif kind < 0.92:
                 inner += say(f'<p>{prose(1, 2)} <a href="/y">{words(1, 3)}</a> {sentence()}</p>', True)
             elif kind < 0.96:
