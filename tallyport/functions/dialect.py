@@ -6,6 +6,10 @@ Operators are written once as declarative SQL over named relations.  Spark runs
 from __future__ import annotations
 
 
+#: A string of a canonical JSON text, with its colon if it is a key.
+_JSON_STRING = r'"(?:[^"\\]|\\.)*+":?'
+
+
 class Spark:
     """Spark SQL."""
 
@@ -88,6 +92,21 @@ class Spark:
     def json(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 
+    def _json_tokens(self, x: str) -> str:
+        """The strings of a JSON text, in its one canonical spelling: keys with their colon, and values, at any depth; null if it is none."""
+        canonical = f"coalesce(to_json(try_parse_json({x})), CASE WHEN left(ltrim({x}), 1) IN ('{{', '[') THEN get_json_object({x}, '$') END)"
+        return f"regexp_extract_all({canonical}, {self.text(_JSON_STRING)}, 0)"
+
+    def json_has_key(self, x: str, names: list[str]) -> str:
+        """Whether a JSON text has one of these keys (lower case) at any depth; escapes are decoded."""
+        keys = f"filter({self._json_tokens(x)}, t -> t LIKE '%\":')"
+        return f"coalesce(exists({keys}, t -> lower(cast(try_parse_json(rtrim(':', t)) as string)) IN ({', '.join(repr(n) for n in names)})), false)"
+
+    def json_any(self, x: str, pattern: str) -> str:
+        """Whether any key or string of a JSON text, at any depth, matches; a text that is not JSON is one string."""
+        strings = f"coalesce(transform({self._json_tokens(x)}, t -> cast(try_parse_json(rtrim(':', t)) as string)), array({x}))"
+        return f"coalesce(exists({strings}, t -> t rlike {self.text(pattern)}), false)"
+
     def hash33(self, x: str) -> str:
         """The 33-xor hash of a text's UTF-16 units, as an unsigned 32-bit number."""
         step = lambda h, unit: f"((({h}) * 33) ^ cast({unit} as bigint)) & 4294967295L"
@@ -195,6 +214,16 @@ class Duck(Spark):
     def json(self, x: str, key: str) -> str:
         return f"CASE WHEN json_valid({x}) THEN json_extract_string({x}, '$.{key}') END"
 
+    def json_has_key(self, x: str, names: list[str]) -> str:
+        tree = f"json_tree(CASE WHEN json_valid({x}) THEN {x} END)"
+        return f"coalesce((SELECT bool_or(lower(t.key) IN ({', '.join(repr(n) for n in names)})) FROM {tree} t), false)"
+
+    def json_any(self, x: str, pattern: str) -> str:
+        like = lambda y: f"regexp_matches({y}, {self.text(pattern)})"
+        tree, atom = f"json_tree(CASE WHEN json_valid({x}) THEN {x} END)", "t.atom->>'$'"
+        inside = f"(SELECT bool_or(coalesce({like('t.key')}, false) OR t.type = 'VARCHAR' AND coalesce({like(atom)}, false)) FROM {tree} t)"
+        return f"coalesce(CASE WHEN json_valid({x}) THEN {inside} ELSE {like(x)} END, false)"
+
     def hash33(self, x: str) -> str:
         units = f"flatten(list_transform(string_split({x}, ''), lambda c: CASE WHEN c = '' THEN [] WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024]::BIGINT[] ELSE [unicode(c)]::BIGINT[] END))"
         return f"list_reduce(list_prepend(5381::BIGINT, {units}), lambda h, c: xor(h * 33, c) & 4294967295)"

@@ -24,11 +24,21 @@ def chunk_identity(d):
 
 @operator("plan_limits")
 def plan_limits(d):
-    """The first breach of each transport's limits by each plan: too many chunks, then by chunk too small or too large."""
-    return """SELECT manifest_id, transport, reason, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, transport ORDER BY chunk_index, reason DESC) AS place FROM (
-    SELECT m.manifest_id, c.name AS transport, 'count' AS reason, CAST(-1 AS BIGINT) AS chunk_index FROM {manifests} m CROSS JOIN {capabilities} c WHERE m.total_chunks > c.max_chunks
-    UNION ALL SELECT p.manifest_id, c.name, CASE WHEN p.end_byte - p.start_byte < CASE WHEN p.chunk_index = p.total_chunks - 1 THEN coalesce(c.min_final, c.min_chunk) ELSE c.min_chunk END THEN 'small' ELSE 'large' END, p.chunk_index FROM {plan} p CROSS JOIN {capabilities} c
-    WHERE p.end_byte - p.start_byte < CASE WHEN p.chunk_index = p.total_chunks - 1 THEN coalesce(c.min_final, c.min_chunk) ELSE c.min_chunk END OR p.end_byte - p.start_byte > c.max_chunk) u) v WHERE place = 1"""
+    """The first breach of each transport's limits by each plan: too many chunks, then by chunk too small or too large.
+
+    Of chunks of a fixed size only the first and the last can differ, so no plan is spread out.
+    """
+    first, last = "least(m.chunk_size, m.total_bytes)", "least(m.total_chunks * m.chunk_size, m.total_bytes) - (m.total_chunks - 1) * m.chunk_size"
+    breaches = [
+        ("m.total_chunks > c.max_chunks", "count", "-1"),
+        (f"m.total_chunks > 1 AND {first} < c.min_chunk", "small", "0"),
+        (f"m.total_chunks > 1 AND {first} > c.max_chunk", "large", "0"),
+        (f"m.total_chunks > 0 AND {last} < coalesce(c.min_final, c.min_chunk)", "small", "m.total_chunks - 1"),
+        (f"m.total_chunks > 0 AND {last} > c.max_chunk", "large", "m.total_chunks - 1"),
+    ]
+    reason, place = (" ".join(f"WHEN {b[0]} THEN {x}" for b in breaches for x in [f"'{b[1]}'" if k else b[2]]) for k in (1, 0))
+    return f"""SELECT manifest_id, transport, reason, chunk_index FROM (SELECT m.manifest_id, c.name AS transport, CASE {reason} END AS reason, CAST(CASE {place} END AS BIGINT) AS chunk_index
+    FROM {{manifests}} m CROSS JOIN {{capabilities}} c) t WHERE reason IS NOT NULL"""
 
 
 @operator("plan_diff")

@@ -6,7 +6,7 @@ from tallyport.plans.registry import operator
 
 # Fixed patterns: text that looks like a secret or leaves its folder; keys that hold a payload.
 UNSAFE = r"(?i)x-amz-|awsaccesskeyid|signature=|sig=|token=|access_token=|secret|credential=|password=|authorization|\.\.[\\/]|^[a-z]:\\"
-PAYLOAD_KEYS = r'(?i)"(base64|blob|body|buffer|bytes|data|file|payload)"\s*:'
+PAYLOAD_KEYS = ["base64", "blob", "body", "buffer", "bytes", "data", "file", "payload"]
 KINDS = "'preview', 'thumbnail', 'tile', 'metadata', 'custom'"
 BLOCKING = "'derivative.payload.embedded', 'derivative.storage.unsafe', 'derivative.failure.unsafe', 'derivative.tile.invalid'"
 
@@ -15,6 +15,16 @@ def unsafe(d, x: str) -> str:
     return d.rlike(x, UNSAFE)
 
 
+def unsafe_tree(d, x: str) -> str:
+    """SQL: whether any key or string of a JSON text looks like that, at any depth; other text counts as one string."""
+    return d.json_any(x, UNSAFE)
+
+
+def embedded(d, x: str) -> str:
+    """SQL: whether a JSON text has a key that holds a payload, at any depth."""
+    return d.json_has_key(x, PAYLOAD_KEYS)
+
+
 _POSITIVE = "BETWEEN 1 AND 9007199254740991"
 
 
@@ -32,6 +42,10 @@ def mismatched_source() -> str:
     OR coalesce(source_fingerprint <> manifest_fingerprint, false) OR coalesce(source_checksum <> manifest_checksum, false))"""
 
 
+def _storage(d) -> str:
+    return " OR ".join([unsafe(d, "location_hint"), unsafe(d, "label"), unsafe_tree(d, "storage_metadata")])
+
+
 def checks(d, strict_source: bool = False, allow_unsafe_hints: bool = False) -> list[tuple[str, str, str]]:
     """The rules on one derivative, in their order."""
     found = [
@@ -44,9 +58,9 @@ def checks(d, strict_source: bool = False, allow_unsafe_hints: bool = False) ->
         found.append(("source_manifest_id IS NULL", "derivative.source.missing", "'sourceIdentity'"))
     found.append((mismatched_source(), "derivative.source.mismatch", "'sourceIdentity'"))
     if not allow_unsafe_hints:
-        found.append((" OR ".join(unsafe(d, x) for x in ("location_hint", "label", "storage_metadata")), "derivative.storage.unsafe", "'storage'"))
+        found.append((_storage(d), "derivative.storage.unsafe", "'storage'"))
     found += [
-        (f"{d.rlike('storage_metadata', PAYLOAD_KEYS)} OR {d.rlike('metadata', PAYLOAD_KEYS)}", "derivative.payload.embedded", "'storage.metadata'"),
+        (f"{embedded(d, 'storage_metadata')} OR {embedded(d, 'metadata')}", "derivative.payload.embedded", "'storage.metadata'"),
         (f"{unsafe(d, 'failure_code')} OR {unsafe(d, 'failure_message')}", "derivative.failure.unsafe", "'failure'"),
         (tile_bad(), "derivative.tile.invalid", "'tilePyramid'"),
     ]
@@ -84,35 +98,53 @@ def required_derivatives(d, kinds):
     return f"SELECT f.file_id, f.kind FROM ({wanted}) f {d.anti} JOIN {{derivatives}} x ON x.manifest_id = f.file_id AND x.kind = f.kind"
 
 
-_SOURCE = "'original' AS source, f.file_id AS manifest_id, f.size_bytes, coalesce(nullif(f.media_type, ''), 'application/octet-stream') AS media_type"
+#: The identity of an original that every derivative carries; ``checksum`` is absent where none is known.
+_SOURCE = """'original' AS source, f.file_id AS manifest_id, f.manifest_version, f.size_bytes, coalesce(nullif(f.media_type, ''), 'application/octet-stream') AS media_type, f.fingerprint, f.checksum"""
 
 
-@operator("derivative_build")
+def _refusal(d, *tiles: tuple[str, str]) -> str:
+    """SQL: the first rule that forbids to show a derivative: storage, payload, failure, then tiles; 'ok' if none does."""
+    rules = [
+        (_storage(d), "derivative.storage.unsafe"),
+        (f"{embedded(d, 'storage_metadata')} OR {embedded(d, 'metadata')}", "derivative.payload.embedded"),
+        (f"{unsafe(d, 'failure_code')} OR {unsafe(d, 'failure_message')}", "derivative.failure.unsafe"),
+    ]
+    return "CASE " + " ".join(f"WHEN coalesce({c}, false) THEN '{code}'" for c, code in (*tiles[:1], *rules, *tiles[1:])) + " ELSE 'ok' END"
+
+
+@operator("derivative_build", bind={"inspected": "inspected_files"})
 def derivative_build(d):
-    """References to originals, with the identity of the source."""
-    return f"SELECT concat('preview-', f.file_id) AS derivative_id, 'preview' AS kind, CASE WHEN x.status = 'failed' THEN 'failed' ELSE 'planned' END AS status, {_SOURCE}, {d.sha('f.content')} AS checksum FROM {{files}} f JOIN {{derivatives}} x ON x.manifest_id = f.file_id"
+    """Previews as references to originals, with the whole identity of the source; refused if anything that they show looks unsafe or holds a payload."""
+    return f"SELECT concat('preview-', f.file_id) AS derivative_id, 'preview' AS kind, f.status, {_SOURCE}, {_refusal(d)} AS verdict FROM {{inspected}} f"
 
 
 @operator("metadata_derivative", bind={"inspected": "inspected_files"})
 def metadata_derivative(d):
-    """Derivatives that hold what was inspected of a file: format, size, depth and channels; refused if the tile pyramid among it makes no sense or anything looks unsafe."""
-    bad = f"({tile_bad()}) OR {unsafe(d, 'format')}"
-    return f"SELECT concat('metadata-', f.file_id) AS derivative_id, 'metadata' AS kind, f.status, {_SOURCE}, format, width, height, color_depth, channels, CASE WHEN coalesce({bad}, false) THEN CASE WHEN coalesce({tile_bad()}, false) THEN 'derivative.tile.invalid' ELSE 'derivative.storage.unsafe' END ELSE 'ok' END AS verdict FROM {{inspected}} f"
+    """Derivatives that hold what was inspected of a file: format, size, depth and channels; refused if the tile pyramid among it makes no sense, or as previews are."""
+    return f"SELECT concat('metadata-', f.file_id) AS derivative_id, 'metadata' AS kind, f.status, {_SOURCE}, format, width, height, color_depth, channels, {_refusal(d, (tile_bad(), 'derivative.tile.invalid'))} AS verdict FROM {{inspected}} f"
 
 
 @operator("tile_derivative", bind={"inspected": "inspected_files"})
 def tile_derivative(d):
-    """Derivatives that point to a tile pyramid; refused if its numbers make no sense or its storage looks unsafe."""
-    return f"SELECT concat('tile-', f.file_id) AS derivative_id, 'tile' AS kind, f.status, {_SOURCE}, tile_width, tile_height, levels, CASE WHEN coalesce({tile_bad()}, false) THEN 'derivative.tile.invalid' WHEN {unsafe(d, 'location_hint')} THEN 'derivative.storage.unsafe' ELSE 'ok' END AS verdict FROM {{inspected}} f WHERE has_tiles"
+    """Derivatives that point to a tile pyramid; refused if its numbers make no sense, or as previews are."""
+    return f"SELECT concat('tile-', f.file_id) AS derivative_id, 'tile' AS kind, f.status, {_SOURCE}, tile_width, tile_height, levels, {_refusal(d, (tile_bad(), 'derivative.tile.invalid'))} AS verdict FROM {{inspected}} f WHERE has_tiles"
 
 
-@operator("derivative_upsert", bind={"new": "new_derivatives"})
-def derivative_upsert(d):
-    """Derivatives of each group after new ones came: same ids are replaced in place, others are added behind; an id that is new more than once is an error."""
-    new = "(SELECT group_id, derivative_id, max(position) AS position, count(*) AS times FROM {new} GROUP BY group_id, derivative_id)"
+def derivative_upsert(d, replace_existing=False):
+    """Derivatives of each group after new ones came, in the order of their positions: ids that are new are added behind the last; ids that the group has are replaced in place,
+    by the last that came, if that is allowed, and an error otherwise, which leaves them as they were.  An id that comes more than once is one that the group has."""
+    new = "(SELECT group_id, derivative_id, min(position) AS position, count(*) AS times FROM {new} GROUP BY group_id, derivative_id)"
     old = "(SELECT group_id, derivative_id, min(position) AS position FROM {derivatives} GROUP BY group_id, derivative_id)"
-    return f"""SELECT coalesce(o.group_id, n.group_id) AS group_id, coalesce(o.derivative_id, n.derivative_id) AS derivative_id, coalesce(o.position, 100000 + n.position) AS position, n.derivative_id IS NOT NULL AS changed, CASE WHEN n.times > 1 THEN 'derivative.id.duplicate' END AS error
-    FROM {old} o FULL OUTER JOIN {new} n ON o.group_id = n.group_id AND o.derivative_id = n.derivative_id"""
+    behind = "(SELECT group_id, max(position) AS last FROM {derivatives} GROUP BY group_id)"
+    error = "CAST(NULL AS VARCHAR(30))" if replace_existing else "CASE WHEN n.times > 1 OR o.derivative_id IS NOT NULL AND n.derivative_id IS NOT NULL THEN 'derivative.id.duplicate' END"
+    changed = "n.derivative_id IS NOT NULL" if replace_existing else "n.derivative_id IS NOT NULL AND o.derivative_id IS NULL"
+    return f"""SELECT t.group_id, t.derivative_id, CASE WHEN added THEN coalesce(l.last, -1) + row_number() OVER (PARTITION BY t.group_id, added ORDER BY t.position, t.derivative_id) ELSE t.position END AS position, t.changed, t.error
+    FROM (SELECT coalesce(o.group_id, n.group_id) AS group_id, coalesce(o.derivative_id, n.derivative_id) AS derivative_id, coalesce(o.position, n.position) AS position, o.derivative_id IS NULL AS added, {changed} AS changed, {error} AS error
+    FROM {old} o FULL OUTER JOIN {new} n ON o.group_id = n.group_id AND o.derivative_id = n.derivative_id) t LEFT JOIN {behind} l ON l.group_id = t.group_id"""
+
+
+operator("derivative_upsert", bind={"new": "new_derivatives"}, given={"replace_existing": True})(derivative_upsert)
+operator("derivative_attach", bind={"new": "new_derivatives"})(derivative_upsert)
 
 
 @operator("tile_valid")
@@ -129,8 +161,8 @@ def tile_levels(d):
 
 @operator("unsafe_value", bind={"fields": "shown_fields"})
 def unsafe_value(d):
-    """Whether any field of an object, or its name, looks as if it gave away a secret or left its folder."""
-    return f"SELECT object_id, max(CASE WHEN {unsafe(d, 'field')} OR {unsafe(d, 'value')} THEN 1 ELSE 0 END) = 1 AS unsafe FROM {{fields}} GROUP BY object_id"
+    """Whether any field of an object, or its name, looks as if it gave away a secret or left its folder; fields that are JSON are looked through at any depth."""
+    return f"SELECT object_id, max(CASE WHEN {unsafe(d, 'field')} OR {unsafe_tree(d, 'value')} THEN 1 ELSE 0 END) = 1 AS unsafe FROM {{fields}} GROUP BY object_id"
 
 
 @operator("unsafe_hint")
@@ -142,4 +174,4 @@ def unsafe_hint(d):
 @operator("embedded_payload")
 def embedded_payload(d):
     """Whether metadata has a key, at any depth, under which payloads are kept."""
-    return f"SELECT manifest_id, metadata, {d.rlike('metadata', PAYLOAD_KEYS)} AS embedded FROM {{derivatives}}"
+    return f"SELECT manifest_id, metadata, {embedded(d, 'metadata')} AS embedded FROM {{derivatives}}"

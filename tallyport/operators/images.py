@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyport.plans.registry import QUERIES, frame, operator
+from tallyport.plans.registry import _ORACLES, QUERIES, frame, operator, oracle
+from tallyport.sources.ranges import Ranges, opened
 
 MAX_DIRECTORIES, SAFE = 256, (1 << 53) - 1
+#: Entries of a directory at most, as many as a classic file can have.
+MAX_ENTRIES = 65535
 PROBE = "image_id long, directory long, width long, height long, bits long, tiled boolean, error string"
+PROBE_FILES = PROBE.replace("image_id long", "path string") + ", fetched long"
 #: Sizes of the field types that hold whole numbers: byte, short, long, long8.
 _NUMBERS = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4), 16: ("Q", 8)}
 _WIDTH, _HEIGHT, _BITS, _TILE = 256, 257, 258, 322
@@ -30,16 +34,25 @@ def tiff_header(d):
     FROM (SELECT image_id, CASE WHEN substring(head, 17, 2) = 'ff' THEN concat(substring(head, 1, 16), '0000000000000000') WHEN substring(head, 1, 4) NOT IN ('4949', '4d4d') THEN concat(substring(head, 1, 4), '0000000000000000000000000000') ELSE head END AS head FROM {{images}}) h) t) u"""
 
 
-def directories(data: bytes) -> Iterator[dict]:
-    """Directories of one TIFF; raises ``ValueError`` where the file is not one."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8:
+def directories(data: bytes | Callable[[int, int], bytes]) -> Iterator[dict]:
+    """Directories of one TIFF, given whole or as a function of place and size; raises ``ValueError`` where the file is not one.
+
+    Only the header, the directories and the values that they point to are read.
+    """
+    read = data if callable(data) else lambda at, n: data[at : at + n]
+    first = read(0, 16)
+    order = {b"II": "<", b"MM": ">"}.get(first[:2])
+    if order is None or len(first) < 8:
         raise ValueError("header")
-    magic = struct.unpack_from(order + "H", data, 2)[0]
+
+    def get(form: str, at: int) -> tuple:
+        return struct.unpack(order + form, read(at, struct.calcsize(order + form)))
+
+    magic = struct.unpack_from(order + "H", first, 2)[0]
     if magic == 42:
-        count_form, entry, field, at = "H", 12, "I", struct.unpack_from(order + "I", data, 4)[0]
-    elif magic == 43 and len(data) >= 16 and struct.unpack_from(order + "HH", data, 4) == (8, 0):
-        count_form, entry, field, at = "Q", 20, "Q", struct.unpack_from(order + "Q", data, 8)[0]
+        count_form, entry, field, at = "H", 12, "I", struct.unpack_from(order + "I", first, 4)[0]
+    elif magic == 43 and len(first) >= 16 and struct.unpack_from(order + "HH", first, 4) == (8, 0):
+        count_form, entry, field, at = "Q", 20, "Q", struct.unpack_from(order + "Q", first, 8)[0]
     else:
         raise ValueError("header")
     inline = struct.calcsize(field)
@@ -49,19 +62,23 @@ def directories(data: bytes) -> Iterator[dict]:
         if at > SAFE:
             raise ValueError("offset")
         try:
-            n = struct.unpack_from(order + count_form, data, at)[0]
+            n = get(count_form, at)[0]
+            if n > MAX_ENTRIES:
+                raise ValueError("entries")
             at += struct.calcsize(count_form)
             found: dict[int, list[int]] = {}
             for k in range(n):
                 place = at + k * entry
-                tag, kind, values = struct.unpack_from(order + "HH" + field, data, place)
+                tag, kind, values = get("HH" + field, place)
                 if kind in _NUMBERS and values and tag in (_WIDTH, _HEIGHT, _BITS, _TILE):
                     form, size = _NUMBERS[kind]
                     start = place + 4 + inline
                     if size * values > inline:
-                        start = struct.unpack_from(order + field, data, start)[0]
-                    found[tag] = list(struct.unpack_from(f"{order}{min(values, 64)}{form}", data, start))
-            at = struct.unpack_from(order + field, data, at + n * entry)[0]
+                        start = get(field, start)[0]
+                    if start > SAFE:
+                        raise ValueError("offset")
+                    found[tag] = list(get(f"{min(values, 64)}{form}", start))
+            at = get(field, at + n * entry)[0]
         except struct.error:
             raise ValueError("truncated") from None
         if _WIDTH not in found or _HEIGHT not in found or not found[_WIDTH][0] or not found[_HEIGHT][0]:
@@ -70,26 +87,50 @@ def directories(data: bytes) -> Iterator[dict]:
     raise ValueError("directories")
 
 
+def _rows(image: object, data: bytes | Callable[[int, int], bytes]) -> list[tuple]:
+    """A row for each directory, and one with the error that ended them, if one did."""
+    rows = []
+    try:
+        for x in directories(data):
+            rows.append((image, len(rows), x["width"], x["height"], x["bits"], x["tiled"], None))
+    except ValueError as error:
+        rows.append((image, len(rows), None, None, None, None, str(error)))
+    return rows
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=kinds[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
 def probe(images: DataFrame) -> DataFrame:
     """A row for each directory of each image (``image_id, content``), or one with the error that ended it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for image, content in zip(batch.column("image_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                k = 0
-                try:
-                    for k, x in enumerate(directories(content or b""), 1):
-                        rows.append((image, k - 1, x["width"], x["height"], x["bits"], x["tiled"], None))
-                except ValueError as error:
-                    rows.append((image, k, None, None, None, None, str(error)))
+            rows = [r for image, content in zip(batch.column("image_id").to_pylist(), batch.column("content").to_pylist(), strict=True) for r in _rows(image, content or b"")]
             if rows:
-                kinds = (pa.int64(),) * 5 + (pa.bool_(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PROBE.split(", ")])
+                yield _batch(rows, PROBE)
 
     return images.select("image_id", "content").mapInArrow(run, PROBE)
 
 
+def probe_files(files: DataFrame) -> DataFrame:
+    """The same of files by ``path``, of any size: a task fetches blocks of 4 KiB around the header, the directories and what they point to; ``fetched`` is how many bytes that were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with opened(path) as file:
+                    ranges = Ranges(file)
+                    rows = _rows(path, ranges)
+                if rows:
+                    yield _batch([(*r, ranges.fetched) for r in rows], PROBE_FILES)
+
+    return files.select("path").mapInArrow(run, PROBE_FILES)
+
+
 def made(width: int, height: int, bits: list[int], order: str = "<", big: bool = False, copies: int = 1, tiled: bool = False) -> bytes:
     """A TIFF without pixels, for tests and for the query."""
     field, count, entry = ("Q", "Q", 20) if big else ("I", "H", 12)
@@ -125,3 +166,9 @@ def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["tiff_probe"] = _query
+#: What the images were made with: every eleventh is cut off within its header or first directory.
+_ORACLES["tiff_probe"] = lambda: oracle(
+    """SELECT image_id, k AS directory, 100 + image_id AS width, 50 + image_id AS height, CAST(bits AS BIGINT) AS bits, image_id % 5 = 0 AS tiled, CAST(NULL AS VARCHAR) AS error
+    FROM (SELECT image_id, bits, unnest(range(1 + image_id % 3)) AS k FROM {samples} WHERE image_id % 11 <> 0) t UNION ALL
+    SELECT image_id, 0, NULL, NULL, NULL, NULL, CASE WHEN image_id % 3 = 0 THEN 'header' ELSE 'truncated' END FROM {samples} WHERE image_id % 11 = 0""", {}
+)

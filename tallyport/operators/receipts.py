@@ -68,9 +68,10 @@ def merge_ranges(d):
 
 @operator("range_membership", bind={"asked": "asked_chunks"})
 def range_membership(d):
-    """Whether each chunk index that is asked for is in one of the record's ranges."""
-    return """SELECT q.record_id, q.chunk_index, count(r.record_id) > 0 AS completed FROM (SELECT DISTINCT record_id, chunk_index FROM {asked}) q
-    LEFT JOIN {ranges} r ON r.record_id = q.record_id AND q.chunk_index BETWEEN r.start_index AND r.end_index GROUP BY q.record_id, q.chunk_index"""
+    """Whether each chunk index that is asked for is in one of the record's ranges: by the farthest end of the ranges that begin at or before it, in one pass over both in order."""
+    return """SELECT record_id, chunk_index, coalesce(reach >= chunk_index, false) AS completed FROM (
+    SELECT record_id, chunk_index, asked, max(end_index) OVER (PARTITION BY record_id ORDER BY chunk_index, asked ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach FROM (
+    SELECT record_id, start_index AS chunk_index, end_index, 0 AS asked FROM {ranges} UNION ALL SELECT DISTINCT record_id, chunk_index, CAST(NULL AS BIGINT), 1 FROM {asked}) u) v WHERE asked = 1"""
 
 
 @operator("ranges_equal")

@@ -173,12 +173,13 @@ def legacy_s3(d):
     return "SELECT record_id, uploaded_bytes FROM {resume_records} WHERE schema_version = 'v0.1' AND transport_name = 's3' AND uploaded_bytes > 0"
 
 
-@operator("redact_resume")
+@operator("redact_resume", bind={"ranges": "record_ranges"})
 def redact_resume(d):
-    """A record that is safe to show: without manifest, receipts, and the transport's id, token and data; and the names of what was taken out."""
-    return """SELECT record_id, manifest_id, schema_version, file_name, file_bytes, file_media_type, file_fingerprint, file_last_modified, strategy, chunk_size, total_bytes, total_chunks, transport_name, status, uploaded_bytes, next_index, created_at, updated_at,
-    concat_ws(',', 'resume.manifest', CASE WHEN upload_id IS NOT NULL THEN 'resume.transport.uploadId' END, CASE WHEN resume_token IS NOT NULL THEN 'resume.transport.resumeToken' END, CASE WHEN transport_data IS NOT NULL THEN 'resume.transport.data' END, CASE WHEN schema_version = 'v0.2' AND n_receipts > 0 THEN 'resume.receipts' END) AS redactions
-    FROM (SELECT r.*, coalesce(q.n, 0) AS n_receipts FROM {resume_records} r LEFT JOIN (SELECT manifest_id, count(*) AS n FROM {receipts} GROUP BY manifest_id) q ON q.manifest_id = r.manifest_id) t"""
+    """A record that is safe to show: without manifest, receipts, and the transport's id, token and data; and the names of what was taken out.  Completed ranges stay."""
+    return f"""SELECT record_id, r.manifest_id, schema_version, file_name, file_bytes, file_media_type, file_fingerprint, file_last_modified, strategy, chunk_size, total_bytes, total_chunks, transport_name, status, uploaded_bytes, next_index, coalesce(c.ranges, '') AS completed_ranges, created_at, updated_at,
+    concat_ws(',', 'resume.manifest', CASE WHEN upload_id IS NOT NULL THEN 'resume.transport.uploadId' END, CASE WHEN resume_token IS NOT NULL THEN 'resume.transport.resumeToken' END, CASE WHEN transport_data IS NOT NULL THEN 'resume.transport.data' END, CASE WHEN schema_version = 'v0.2' AND q.manifest_id IS NOT NULL THEN 'resume.receipts' END) AS redactions
+    FROM {{resume_records}} r LEFT JOIN (SELECT DISTINCT manifest_id FROM {{receipts}}) q ON q.manifest_id = r.manifest_id
+    LEFT JOIN (SELECT manifest_id, {d.listed("concat(start_index, '-', end_index)", 'start_index')} AS ranges FROM {{ranges}} GROUP BY manifest_id) c ON c.manifest_id = r.manifest_id"""
 
 
 @operator("tus_reconcile", bind={"remote": "remote_states"})

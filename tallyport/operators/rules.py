@@ -62,3 +62,8 @@ def file_checks(d, rules: Rules) -> list[tuple[str, str, str]]:
         found.append((f"NOT coalesce({_in(extension_of(d), rules.extensions)}, false)", "file.extension_not_allowed", "'file.name'"))
     found += [(f"coalesce({column}, '') = ''", "metadata.required_missing", f"'{path}'") for column, path in rules.required]
     return found + dimension_checks(rules)
+
+
+def contained(d, x: str) -> str:
+    """SQL: whether a path stays below its root: relative, not empty, without a NUL character, and never above where it starts; null is not."""
+    return f"coalesce({x} <> '' AND NOT ({x} LIKE '/%') AND instr({x}, chr(0)) = 0 AND {d.depth_ok(x)}, false)"

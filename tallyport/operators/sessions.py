@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from tallyport.operators.chunks import SAFE
+from tallyport.operators.rules import contained
 from tallyport.plans.registry import operator
 from tallyport.plans.views import NOW
 
 REDACTED = "Error details redacted."
-# Fixed patterns: messages that may give away a secret; names of files that the gateway itself writes; session ids.
+# Fixed patterns: messages that may give away a secret; names of chunk files that the gateway itself writes, and of candidates for a
+# session document; session ids.
 SECRETS = r"(?i)https?://|credential|authorization|presigned|resume token"
 MANAGED = r"^\d\d\d\d\d\d\d\d(-[A-Za-z0-9-]+)?\.part(\.[A-Za-z0-9-]+\.tmp|\.tmp)?$"
+CANDIDATE = r"^metadata\.json\.candidate-.*\.tmp$"
 SESSION_ID = "^[A-Za-z0-9_-]+$"
 TERMINAL = "('completed', 'upload:canceled')"
 
@@ -102,10 +105,16 @@ def nas_list(d):
     return f"SELECT folder FROM {{raw}} WHERE {d.rlike('folder', SESSION_ID)}"
 
 
+def _expiry(d, given: str, start: str, lives_ms: int | None) -> str:
+    """SQL: when a session expires, as it says or ``lives_ms`` after its start; without either it never does."""
+    said = f"CAST({given} AS TIMESTAMP)"
+    return d.iso(said if lives_ms is None else f"coalesce({said}, {d.plus_ms(start, str(lives_ms))})")
+
+
 @operator("nas_expiry", bind={"raw": "nas_sessions_raw"})
-def nas_expiry(d):
-    """When a session expires: as said, or a day after it was made."""
-    return f"SELECT session_id, {d.iso('coalesce(CAST(expires_at AS TIMESTAMP), ' + d.plus_ms('created_at', '86400000') + ')')} AS expires_at FROM {{raw}}"
+def nas_expiry(d, lives_ms=None):
+    """When a session expires: as said, or else ``lives_ms`` after it was made, if there is such a default."""
+    return f"SELECT session_id, {_expiry(d, 'expires_at', 'created_at', lives_ms)} AS expires_at FROM {{raw}}"
 
 
 @operator("nas_gate", bind={"raw": "nas_sessions_raw"}, given={"now": NOW})
@@ -121,36 +130,47 @@ def nas_sweep(d, now):
 
 
 @operator("nas_create", bind={"requests": "nas_requests", "raw": "nas_sessions_raw"}, given={"now": NOW, "lives_ms": 86400000})
-def nas_create(d, now, lives_ms):
+def nas_create(d, now, lives_ms=None):
     """New session documents, or why a request for one is refused: shape, id, target, or an id that is taken."""
-    safe = f"target <> '' AND NOT (target LIKE '/%') AND {d.depth_ok('target')}"
-    return f"""SELECT q.folder, CASE WHEN verdict = 'ok' THEN 'staging' END AS status, CASE WHEN verdict = 'ok' THEN {d.iso(now)} END AS created_at, CASE WHEN verdict = 'ok' THEN {d.iso(f"coalesce(CAST(expires_at AS TIMESTAMP), {d.plus_ms(now, str(lives_ms))})")} END AS expires_at, verdict
+    safe = contained(d, "target")
+    return f"""SELECT q.folder, CASE WHEN verdict = 'ok' THEN 'staging' END AS status, CASE WHEN verdict = 'ok' THEN {d.iso(now)} END AS created_at, CASE WHEN verdict = 'ok' THEN {_expiry(d, 'expires_at', now, lives_ms)} END AS expires_at, verdict
     FROM (SELECT r.*, CASE WHEN NOT coalesce(expected_chunks BETWEEN 1 AND {SAFE} AND total_bytes BETWEEN 0 AND {SAFE}, false) THEN 'nas.invalid_session' WHEN NOT {d.rlike('r.folder', SESSION_ID)} THEN 'nas.invalid_session' WHEN NOT ({safe}) THEN 'nas.unsafe_path' WHEN k.folder IS NOT NULL THEN 'nas.invalid_session' ELSE 'ok' END AS verdict
     FROM {{requests}} r LEFT JOIN (SELECT DISTINCT folder FROM {{raw}}) k ON k.folder = r.folder) q"""
 
 
 @operator("nas_cancel", bind={"raw": "nas_sessions_raw"}, given={"now": NOW})
 def nas_cancel(d, now):
-    """Session documents after they are asked to be canceled: an open one is canceled now, any other stays and says why."""
+    """Session documents after they are asked to be canceled: an open one is canceled now, expired or not; any other stays and says why."""
     return f"""SELECT session_id, CASE WHEN verdict = 'ok' THEN 'canceled' ELSE status END AS status, CASE WHEN verdict = 'ok' THEN {d.iso(now)} END AS canceled_at, verdict
-    FROM (SELECT *, CASE WHEN status <> 'staging' THEN 'nas.session_closed' WHEN coalesce(expires_at <= {now}, false) THEN 'nas.session_expired' ELSE 'ok' END AS verdict FROM {{raw}} WHERE schema_version = 'nas.v0.1') t"""
+    FROM (SELECT *, CASE WHEN status <> 'staging' THEN 'nas.session_closed' ELSE 'ok' END AS verdict FROM {{raw}} WHERE schema_version = 'nas.v0.1') t"""
 
 
 @operator("nas_finalize_check", bind={"raw": "nas_sessions_raw"})
 def nas_finalize_check(d):
-    """Whether the staged chunks of a session are all there, are still what was recorded, and add up; the first reason against it."""
-    last = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_index ORDER BY generation DESC) AS place FROM {staged}) q WHERE place = 1)"
-    return f"""SELECT s.session_id, s.chunks, s.bytes, CASE WHEN s.chunks <> r.expected_chunks THEN 'nas.chunk_missing' WHEN s.highest <> s.chunks - 1 THEN 'nas.chunk_missing' WHEN s.resized > 0 THEN 'nas.invalid_chunk' WHEN s.changed > 0 THEN 'nas.checksum_mismatch' WHEN s.bytes <> r.total_bytes THEN 'nas.invalid_chunk' ELSE 'ok' END AS verdict
-    FROM (SELECT session_id, count(*) AS chunks, max(chunk_index) AS highest, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(CASE WHEN size_bytes <> {d.octets('body')} THEN 1 END) AS resized, count(CASE WHEN sha256 <> {d.sha('body')} THEN 1 END) AS changed FROM {last} l GROUP BY session_id) s JOIN {{raw}} r ON r.session_id = s.session_id"""
+    """Whether the staged chunks of each session are all there, are still what was recorded (by size, and by digest where one is), and add up.
+
+    The number of chunks counts first, then the first chunk with a fault, then the sum; a session with nothing staged lacks its chunks.
+    """
+    last = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_index ORDER BY generation DESC) AS latest FROM {staged}) q WHERE latest = 1)"
+    placed = f"(SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY chunk_index) - 1 AS place FROM {last} l)"
+    fault = f"CASE WHEN chunk_index <> place THEN 0 WHEN size_bytes <> {d.octets('body')} THEN 1 WHEN sha256 <> {d.sha('body')} THEN 2 END"
+    return f"""SELECT r.session_id, coalesce(s.chunks, 0) AS chunks, coalesce(s.bytes, 0) AS bytes, CASE WHEN coalesce(s.chunks, 0) <> r.expected_chunks OR s.fault % 3 = 0 THEN 'nas.chunk_missing' WHEN s.fault % 3 = 1 THEN 'nas.invalid_chunk' WHEN s.fault % 3 = 2 THEN 'nas.checksum_mismatch' WHEN coalesce(s.bytes, 0) <> r.total_bytes THEN 'nas.invalid_chunk' ELSE 'ok' END AS verdict
+    FROM {{raw}} r LEFT JOIN (SELECT session_id, count(*) AS chunks, CAST(sum(size_bytes) AS BIGINT) AS bytes, min(3 * place + {fault}) AS fault FROM {placed} p GROUP BY session_id) s ON s.session_id = r.session_id"""
 
 
 @operator("orphan_chunks", bind={"listing": "staged_listing", "recorded": "staged_recorded"})
 def orphan_chunks(d):
-    """Files that the gateway wrote, by their names, and that no record refers to."""
-    return f"SELECT f.session_id, f.path FROM {{listing}} f {d.anti} JOIN {{recorded}} k ON k.session_id = f.session_id AND k.path = f.path WHERE {d.rlike('f.path', MANAGED)}"
+    """Files that the gateway wrote, by their names, and that no record refers to: chunks, and candidates for the session's document, which none ever does."""
+    return f"SELECT f.session_id, f.path FROM {{listing}} f {d.anti} JOIN {{recorded}} k ON k.session_id = f.session_id AND k.path = f.path WHERE {d.rlike('f.path', MANAGED)} OR {d.rlike('f.path', CANDIDATE)}"
 
 
 @operator("lock_stale", bind={"locks": "locks"}, given={"now": NOW, "stale_ms": 864000000})
 def lock_stale(d, now, stale_ms):
     """Locks that are at least as old as ``stale_ms``."""
     return f"SELECT lock_id, {d.millis(now)} - {d.millis('acquired_at')} >= {stale_ms} AS stale FROM {{locks}}"
+
+
+@operator("lock_release", bind={"locks": "locks", "releases": "lock_releases"})
+def lock_release(d):
+    """What becomes of each lock that is asked to be released: its owner frees it, another (whose lock was taken over when stale) leaves it held."""
+    return "SELECT r.lock_id, r.owner_id, CASE WHEN k.lock_id IS NULL THEN 'absent' WHEN k.owner_id = r.owner_id THEN 'released' ELSE 'held' END AS outcome FROM {releases} r LEFT JOIN {locks} k ON k.lock_id = r.lock_id"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallyport.operators.chunks import LEAST_CHUNK, SAFE
 from tallyport.operators.hashing import checksum_verdict
-from tallyport.operators.rules import RULES, dimension_checks, file_checks
+from tallyport.operators.rules import RULES, contained, dimension_checks, file_checks
 from tallyport.plans.registry import operator
 
 
@@ -176,5 +176,5 @@ def safe_verification(d, policy="when-present", require_chunk_checksums=False, a
 
 @operator("safe_path", bind={"sessions": "nas_sessions_raw"})
 def safe_path(d):
-    """Whether a target stays below its root: relative, not empty, and never above where it starts."""
-    return f"SELECT session_id, target, target <> '' AND NOT (target LIKE '/%') AND {d.depth_ok('target')} AS safe FROM {{sessions}}"
+    """Whether a target stays below its root: relative, not empty, without a NUL character, and never above where it starts; no target does not."""
+    return f"SELECT session_id, target, {contained(d, 'target')} AS safe FROM {{sessions}}"

@@ -116,9 +116,9 @@ def derivatives(d):
     CASE WHEN l.doc_id % 31 = 0 THEN 'movie' WHEN l.doc_id % 3 = 0 THEN 'tile' ELSE 'preview' END AS kind, CASE WHEN l.doc_id % 29 = 0 THEN 'done' WHEN l.toxic = 1 THEN 'failed' WHEN l.quality = 1 THEN 'created' ELSE 'planned' END AS status,
     CASE WHEN l.doc_id % 37 = 0 THEN NULL ELSE 'original' END AS source, CASE WHEN l.doc_id % 47 = 0 THEN NULL ELSE l.doc_id - CASE WHEN l.doc_id % 41 = 0 THEN 1 ELSE 0 END END AS source_manifest_id, CASE WHEN l.doc_id % 43 = 0 THEN 1 WHEN l.doc_id % 2 = 0 THEN d.n_chars END AS source_bytes, d.n_chars AS manifest_bytes,
     CASE WHEN l.doc_id % 53 = 0 THEN 'v0' ELSE 'v1' END AS source_version, 'v1' AS manifest_version, CASE WHEN l.doc_id % 5 = 0 THEN d.lang END AS source_media_type, CASE WHEN l.doc_id % 35 = 0 THEN 'xx' ELSE d.lang END AS manifest_media_type, CASE WHEN l.doc_id % 4 = 0 THEN concat('fp', l.doc_id) END AS source_fingerprint, concat('fp', l.doc_id) AS manifest_fingerprint,
-    CASE WHEN l.doc_id % 6 = 0 THEN concat('c', l.doc_id) END AS source_checksum, CASE WHEN l.doc_id % 9 = 0 THEN NULL ELSE concat('c', l.doc_id) END AS manifest_checksum, CASE WHEN l.doc_id % 59 = 0 THEN 'my secret' END AS label, CASE WHEN l.doc_id % 67 = 0 THEN '{{"sig=": "x"}}' WHEN l.doc_id % 71 = 0 THEN '{{"a": {{"Blob": 1}}}}' END AS storage_metadata,
+    CASE WHEN l.doc_id % 6 = 0 THEN concat('c', l.doc_id) END AS source_checksum, CASE WHEN l.doc_id % 9 = 0 THEN NULL ELSE concat('c', l.doc_id) END AS manifest_checksum, CASE WHEN l.doc_id % 59 = 0 THEN 'my secret' END AS label, CASE WHEN l.doc_id % 67 = 0 THEN '{{"sig=": "x"}}' WHEN l.doc_id % 71 = 0 THEN '{{"a": {{"Blob": 1}}}}' WHEN l.doc_id % 23 = 0 THEN '{{"a": [{{"l": ["x", "pass{slash}u0077ord=1"]}}]}}' END AS storage_metadata,
     CASE l.doc_id % 8 WHEN 0 THEN concat('s3://b/', l.doc_id, '?X-Amz-Date=1') WHEN 1 THEN concat('c:{slash}dir', l.doc_id) WHEN 2 THEN '../up' WHEN 3 THEN concat('design=', l.doc_id) ELSE concat('nas/', l.doc_id) END AS location_hint,
-    CASE WHEN l.doc_id % 6 = 0 THEN '{{"Bytes": 1}}' WHEN l.doc_id % 6 = 1 THEN '{{"note": "bytes"}}' ELSE '{{}}' END AS metadata, CASE WHEN l.toxic = 1 THEN 'Authorization failed' END AS failure_message, CASE WHEN l.toxic = 1 THEN 'E1' END AS failure_code,
+    CASE WHEN l.doc_id % 6 = 0 THEN '{{"Bytes": 1}}' WHEN l.doc_id % 6 = 1 THEN '{{"note": "bytes"}}' WHEN l.doc_id % 6 = 2 THEN '{{"a": [1, {{"{slash}u0064ata": null}}]}}' WHEN l.doc_id % 6 = 3 THEN '{{"note": "{slash}"data{slash}": 1"}}' ELSE '{{}}' END AS metadata, CASE WHEN l.toxic = 1 THEN 'Authorization failed' END AS failure_message, CASE WHEN l.toxic = 1 THEN 'E1' END AS failure_code,
     l.doc_id % 3 = 0 AS has_tiles, CASE WHEN l.doc_id % 3 = 0 THEN CAST(256 - 256 * (l.doc_id % 2) AS BIGINT) END AS tile_width, CASE WHEN l.doc_id % 12 = 0 THEN CAST(256 AS BIGINT) WHEN l.doc_id % 15 = 0 THEN CAST(-1 AS BIGINT) END AS tile_height, l.doc_id % 4 AS levels, CASE WHEN l.doc_id % 39 = 0 THEN 1 ELSE 0 END AS bad_levels FROM {{labels}} l JOIN {{documents}} d ON d.doc_id = l.doc_id"""
 
 
@@ -264,7 +264,7 @@ def nas_requests(d):
 
 @view("staged_listing")
 def staged_listing(d):
-    return "SELECT session_id, CASE WHEN generation % 2 = 1 AND chunk_index % 5 = 1 THEN concat(path, '.ab-1.tmp') WHEN chunk_index % 5 = 2 THEN 'notes.txt' ELSE path END AS path FROM {staged}"
+    return "SELECT session_id, CASE WHEN generation % 2 = 1 AND chunk_index % 5 = 1 THEN concat(path, '.ab-1.tmp') WHEN chunk_index % 5 = 2 THEN 'notes.txt' WHEN chunk_index % 5 = 4 THEN concat('metadata.json.candidate-', generation, '.tmp') ELSE path END AS path FROM {staged}"
 
 
 @view("staged_recorded")
@@ -274,7 +274,13 @@ def staged_recorded(d):
 
 @view("locks")
 def locks(d):
-    return f"SELECT session_id AS lock_id, {d.plus_ms('created_at', 'session_id * 80000000')} AS acquired_at FROM {{nas_sessions_raw}}"
+    return f"SELECT session_id AS lock_id, {d.plus_ms('created_at', 'session_id * 80000000')} AS acquired_at, concat('o', session_id % 7) AS owner_id FROM {{nas_sessions_raw}}"
+
+
+@view("lock_releases")
+def lock_releases(d):
+    """Releases by those who once had a lock; some have lost it, some locks are gone."""
+    return "SELECT session_id + CASE WHEN session_id % 11 = 0 THEN 1000000 ELSE 0 END AS lock_id, concat('o', session_id % 5) AS owner_id FROM {nas_sessions_raw}"
 
 
 @view("tile_levels")
@@ -286,7 +292,7 @@ def tile_levels(d):
 
 @view("inspected_files")
 def inspected_files(d):
-    return """SELECT f.file_id, f.size_bytes, f.media_type, x.status, CASE f.file_id % 4 WHEN 0 THEN 'tiff' WHEN 1 THEN 'token=x' ELSE NULL END AS format, f.width, f.height, CASE WHEN f.file_id % 2 = 0 THEN 8 ELSE 16 END AS color_depth, CAST(3 AS BIGINT) AS channels, x.has_tiles, x.tile_width, x.tile_height, x.levels, x.bad_levels, x.location_hint FROM {files} f JOIN {derivatives} x ON x.manifest_id = f.file_id"""
+    return """SELECT f.file_id, f.size_bytes, f.media_type, x.status, CASE f.file_id % 4 WHEN 0 THEN 'tiff' WHEN 1 THEN 'token=x' ELSE NULL END AS format, f.width, f.height, CASE WHEN f.file_id % 2 = 0 THEN 8 ELSE 16 END AS color_depth, CAST(3 AS BIGINT) AS channels, x.has_tiles, x.tile_width, x.tile_height, x.levels, x.bad_levels, x.location_hint, x.label, x.storage_metadata, x.metadata, x.failure_code, x.failure_message, x.manifest_version, x.manifest_fingerprint AS fingerprint, x.manifest_checksum AS checksum FROM {files} f JOIN {derivatives} x ON x.manifest_id = f.file_id"""
 
 
 @view("shown_fields")

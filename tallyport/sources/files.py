@@ -13,15 +13,23 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyport.functions.workers import reachable
 from tallyport.plans.registry import _ORACLES, QUERIES, frame, oracle
+from tallyport.sources.ranges import file_ranges, list_files, openable
 
 CHUNK = 8 << 20
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Path, size, time of change and digest of each file that is not empty (Spark lists no empty files); for files that fit one cell (2 GiB)."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("sha256"))
+    """Path, size, time of change and digest of each file, on any file system that Spark lists; empty files have no time of change.
+
+    Files of any size are read in ranges by many tasks; where tasks cannot open the file system, whole by Spark's reader (up to 2 GiB each).
+    """
+    files = list_files(spark, path, glob)
+    if not openable(path):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        whole = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", F.sha2("content", 256).alias("sha256"))
+        return files.join(whole, "path", "left").withColumn("sha256", F.coalesce("sha256", F.sha2(F.lit(b""), 256)))
+    digests = chunked_sha256(file_ranges(files), "path", "chunk_index", "body").select(F.col("file").alias("path"), "sha256")
+    return files.join(digests, "path")
 
 
 class FileRange(InputPartition):

@@ -69,8 +69,8 @@ def test_upserts_take_every_change(spark):
     assert sorted(tuple(r) for r in run("resume_upsert", spark, resume_records=records, changes=changes).collect()) == [("r1", "paused"), ("r2", "active"), ("r3", "active"), ("r9", "paused")]
     old = spark.createDataFrame([(1, "d0", 0), (1, "d1", 1)], "group_id long, derivative_id string, position long")
     new = spark.createDataFrame([(1, "d1", 0), (1, "d4", 1), (2, "d0", 2)], "group_id long, derivative_id string, position long")
-    got = sorted((r.group_id, r.derivative_id, r.position < 100, r.changed) for r in run("derivative_upsert", spark, derivatives=old, new=new).collect())
-    assert got == [(1, "d0", True, False), (1, "d1", True, True), (1, "d4", False, True), (2, "d0", False, True)]
+    got = sorted((r.group_id, r.derivative_id, r.position, r.changed, r.error) for r in registry.run("derivative_upsert", spark, {"replace_existing": True}, derivatives=old, new=new).collect())
+    assert got == [(1, "d0", 0, False, None), (1, "d1", 1, True, None), (1, "d4", 2, True, None), (2, "d0", 0, True, None)]
 
 
 def test_change_feeds_cover_their_tables(spark, data):

@@ -285,7 +285,7 @@ def test_multipart(spark):
 
 
 def test_redaction_takes_columns_out(spark):
-    record = run("redact_resume", spark, resume_records=frame(spark, RECORD, {"resume_token": "secret", "transport_data": "{}"}), receipts=frame(spark, RECEIPTS, *WHOLE))[0]
+    record = run("redact_resume", spark, resume_records=frame(spark, RECORD, {"resume_token": "secret", "transport_data": "{}"}), receipts=frame(spark, RECEIPTS, *WHOLE), ranges=spark.createDataFrame([(1, 4, 4), (1, 0, 2), (2, 0, 0)], "manifest_id long, start_index long, end_index long"))[0]
     assert not {"upload_id", "resume_token", "transport_data"} & set(record.asDict()) and "secret" not in str(record) and (record.file_fingerprint, record.chunk_size, record.next_index) == ("fp", CHUNK, 3)
     assert record.redactions == "resume.manifest,resume.transport.uploadId,resume.transport.resumeToken,resume.transport.data,resume.receipts"
     state = spark.createDataFrame([(1, "active", 5, "up", "nas", None, "tok", "vault", "r"), (2, "active", 5, "up", "nas", None, None, None, None)], "manifest_id long, status string, uploaded_bytes long, upload_id string, transport_name string, expires_at string, resume_token string, secrets_ref string, remote string")
@@ -345,7 +345,7 @@ def test_gateway_sessions(spark):
     got = {r.folder: (r.verdict, r.status, r.expires_at) for r in run("nas_create", spark, {"now": now, "lives_ms": 1000}, requests=requests, raw=raw)}
     assert got.pop("new") == ("ok", "staging", "1998-06-01T00:00:01.000Z")
     assert {k: v[0] for k, v in got.items()} == {"old": "nas.invalid_session", "x/y": "nas.invalid_session", "n2": "nas.unsafe_path", "n3": "nas.invalid_session", "n4": "nas.invalid_session"}
-    assert {r.session_id: (r.status, r.verdict) for r in run("nas_cancel", spark, {"now": now}, raw=raw)} == {1: ("canceled", "ok"), 2: ("finalized", "nas.session_closed"), 3: ("staging", "nas.session_expired")}
+    assert {r.session_id: (r.status, r.verdict) for r in run("nas_cancel", spark, {"now": now}, raw=raw)} == {1: ("canceled", "ok"), 2: ("finalized", "nas.session_closed"), 3: ("canceled", "ok")}
     locks = spark.sql("SELECT 1 AS lock_id, TIMESTAMP '1998-05-31 23:59:59' AS acquired_at UNION ALL SELECT 2, TIMESTAMP '1998-05-31 23:59:59.001'")
     assert {r.lock_id: r.stale for r in run("lock_stale", spark, {"now": now, "stale_ms": 1000}, locks=locks)} == {1: True, 2: False}
     staged = spark.createDataFrame([("s", 0, 1, "x"), ("s", 0, 2, "hello"), ("s", 1, 1, " "), ("s", 2, 1, "world")], "session_id string, chunk_index long, generation long, body string").selectExpr("*", "5L AS size_bytes", "'' AS sha256", "1L AS n")
@@ -360,3 +360,59 @@ def test_finalize_looks_at_each_chunk(spark):
     staged = spark.createDataFrame(rows, "session_id long, chunk_index long, generation long, body string, size_bytes long, sha256 string")
     raw = spark.createDataFrame([(1, 2, 11), (2, 1, 4), (3, 1, 5), (4, 1, 5), (5, 1, 6)], "session_id long, expected_chunks long, total_bytes long")
     assert {r.session_id: r.verdict for r in run("nas_finalize_check", spark, staged=staged, raw=raw)} == {1: "ok", 2: "nas.invalid_chunk", 3: "nas.checksum_mismatch", 4: "nas.chunk_missing", 5: "nas.invalid_chunk"}
+
+
+def test_paths_below_their_root(spark):
+    """NUL characters, no path, and ways that end above or at the root are refused."""
+    targets = ["a/b.tif", "a/../b", "./a", "a//b", "", ".", "..", "../x", "a/../../x", "/abs", "a\0b", "\0", None, "a/..", "x/.."]
+    rows = spark.createDataFrame(list(enumerate(targets)), "session_id long, target string")
+    assert [r.safe for r in sorted(run("safe_path", spark, sessions=rows))] == [True] * 4 + [False] * 11
+
+
+def test_gateway_answers(spark):
+    """A session without chunks, the first faulty chunk, expired sessions that are canceled, and no default of expiry."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(2, 0, 1, "hello", 5, "ff"), (2, 1, 1, "world", 4, None), (3, 0, 1, "hello", 4, None), (3, 1, 1, "world", 5, "ff"), (4, 0, 1, "old", 9, "ff"), (4, 0, 2, "hello", 5, None), (5, 1, 1, "a", 1, None), (5, 2, 1, "b", 1, None), (7, 0, 1, "hello", 5, sha("hello")), (9, 0, 1, "x", 1, None)]
+    staged = spark.createDataFrame(rows, "session_id long, chunk_index long, generation long, body string, size_bytes long, sha256 string")
+    raw = spark.createDataFrame([(1, 3, 11), (2, 2, 10), (3, 2, 10), (4, 1, 5), (5, 2, 2), (6, 0, 0), (7, 1, 6)], "session_id long, expected_chunks long, total_bytes long")
+    got = {r.session_id: (r.chunks, r.bytes, r.verdict) for r in run("nas_finalize_check", spark, staged=staged, raw=raw)}
+    assert got == {1: (0, 0, "nas.chunk_missing"), 2: (2, 9, "nas.checksum_mismatch"), 3: (2, 9, "nas.invalid_chunk"), 4: (1, 5, "ok"), 5: (2, 2, "nas.chunk_missing"), 6: (0, 0, "ok"), 7: (1, 5, "nas.invalid_chunk")}
+    made = spark.sql("SELECT 1 AS session_id, CAST(NULL AS TIMESTAMP) AS expires_at, TIMESTAMP '1998-01-01 00:00:00' AS created_at UNION ALL SELECT 2, TIMESTAMP '1998-02-01 00:00:00', TIMESTAMP '1998-01-01 00:00:00'")
+    for lives, want in ((None, None), (1500, "1998-01-01T00:00:01.500Z")):
+        assert {r.session_id: r.expires_at for r in run("nas_expiry", spark, {"lives_ms": lives}, raw=made)} == {1: want, 2: "1998-02-01T00:00:00.000Z"}
+    requests = spark.sql("SELECT 'n' AS folder, 'a' AS target, CAST(NULL AS TIMESTAMP) AS expires_at, 1L AS expected_chunks, 1L AS total_bytes")
+    assert [r.expires_at for r in run("nas_create", spark, {"now": "TIMESTAMP '1998-06-01 00:00:00'"}, requests=requests, raw=spark.sql("SELECT 'x' AS folder"))] == [None]
+    listing = spark.createDataFrame([(1, p) for p in ("00000000-1.part", "00000001.part", "00000000-1.part.x.tmp", "metadata.json.candidate-1a.tmp", "metadata.json", "notes.txt", "xmetadata.json.candidate-1.tmp")], "session_id long, path string")
+    assert {r.path for r in run("orphan_chunks", spark, listing=listing, recorded=spark.createDataFrame([(1, "00000001.part")], "session_id long, path string"))} == {"00000000-1.part", "00000000-1.part.x.tmp", "metadata.json.candidate-1a.tmp"}
+    locks = spark.createDataFrame([(1, "a"), (2, "b")], "lock_id long, owner_id string")
+    asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "lock_id long, owner_id string")
+    assert {r.lock_id: r.outcome for r in run("lock_release", spark, locks=locks, releases=asked)} == {1: "released", 2: "held", 3: "absent"}
+
+
+def test_derivatives_are_attached(spark):
+    """Without leave to replace, an id that the group has is refused and stays; with it, the derivative is replaced in place."""
+    old = spark.createDataFrame([(1, "d0", 0), (1, "d1", 150_000), (3, "d0", 0)], "group_id long, derivative_id string, position long")
+    new = spark.createDataFrame([(1, "d1", 0), (1, "d5", 1), (1, "d4", 2), (2, "x", 7), (2, "x", 8)], "group_id long, derivative_id string, position long")
+    rows = lambda name, **given: sorted((r.group_id, r.position, r.derivative_id, r.changed, r.error) for r in run(name, spark, given, derivatives=old, new=new))
+    double = "derivative.id.duplicate"
+    assert rows("derivative_attach") == [(1, 0, "d0", False, None), (1, 150_000, "d1", False, double), (1, 150_001, "d5", True, None), (1, 150_002, "d4", True, None), (2, 0, "x", True, double), (3, 0, "d0", False, None)]
+    assert rows("derivative_upsert", replace_existing=True) == [(1, 0, "d0", False, None), (1, 150_000, "d1", True, None), (1, 150_001, "d5", True, None), (1, 150_002, "d4", True, None), (2, 0, "x", True, None), (3, 0, "d0", False, None)]
+
+
+TREES = [
+    ('{"a": {"b": [1, {"Blob": null}]}}', True, False), ('{"\\u0062lob": 1}', True, False), ('{"note": "bytes"}', False, False), ('{"note": "\\"data\\": 1"}', False, False), ('[[{"FILE": {}}]]', True, False), ('{"bytes_read": 1}', False, False),
+    ('{"a": [{"l": ["x", "pass\\u0077ord=1"]}]}', False, True), ('{"x-amz-date": 1}', False, True), ('{"p": "c:\\\\dir"}', False, True), ('{"p": "see c:\\\\dir"}', False, False), ('{"p": "design=1", "q": ["..", "a..b"]}', False, False), ("my secret", False, True), ("plain", False, False),
+    ('"../up"', False, True), ("", False, False), (None, False, False), ('{"k": 1, "k": {"body": 2}}', True, False), ("[1, true, null]", False, False),
+]
+
+
+def test_trees_are_looked_through(spark):
+    """Keys and strings at any depth, escapes decoded; a key's name as a value is none; text that is not JSON is one string."""
+    rows = spark.createDataFrame([(k, x, "f") for k, (x, _, _) in enumerate(TREES)], "manifest_id long, metadata string, field string")
+    assert [r.embedded for r in sorted(run("embedded_payload", spark, derivatives=rows))] == [e for _, e, _ in TREES]
+    assert [r.unsafe for r in sorted(run("unsafe_value", spark, fields=rows.selectExpr("manifest_id AS object_id", "field", "metadata AS value")))] == [u for *_, u in TREES]
+
+
+def test_redacted_records_keep_their_ranges(spark):
+    ranges = spark.createDataFrame([(1, 4, 4), (1, 0, 2), (2, 0, 0)], "manifest_id long, start_index long, end_index long")
+    assert run("redact_resume", spark, resume_records=frame(spark, RECORD, {}), receipts=frame(spark, RECEIPTS), ranges=ranges)[0].completed_ranges == "0-2,4-4"
