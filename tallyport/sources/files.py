@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyport.functions.workers import reachable
 from tallyport.plans.registry import _ORACLES, QUERIES, frame, oracle
-from tallyport.sources.ranges import file_ranges, list_files, openable
+from tallyport.sources.ranges import file_ranges, list_files, names, openable, opened
 
 CHUNK = 8 << 20
 
@@ -42,7 +41,7 @@ class FileRange(InputPartition):
 class FileChunkSource(DataSource):
     """``spark.read.format("file_chunks").load(folder)``: a row for each chunk of each file, whatever its size.
 
-    The folder must be mounted on driver and executors alike; options ``chunk`` (bytes) and ``chunksPerTask``.
+    The folder must be one that driver and executors can open (see :mod:`tallyport.sources.ranges`); options ``chunk`` (bytes) and ``chunksPerTask``.
     """
 
     @classmethod
@@ -61,20 +60,15 @@ class FileChunkReader(DataSourceReader):
         self.path, self.chunk, self.per_task = path, chunk, per_task
 
     def partitions(self) -> list[FileRange]:
-        step, out = self.chunk * self.per_task, []
-        for folder, _, names in os.walk(self.path):
-            for name in sorted(names):
-                full = os.path.join(folder, name)
-                size = os.path.getsize(full)
-                out += [FileRange(full, at, min(at + step, size)) for at in range(0, size, step)]
+        step = self.chunk * self.per_task
+        out = [FileRange(name, at, min(at + step, size)) for name, size in names(self.path) for at in range(0, size, step)]
         return out or [FileRange("", 0, 0)]
 
     def read(self, partition: FileRange) -> Iterator[tuple]:
         if partition.path:
-            with open(partition.path, "rb") as f:
-                f.seek(partition.first)
+            with opened(partition.path) as f:
                 for at in range(partition.first, partition.stop, self.chunk):
-                    yield partition.path, at // self.chunk, at, f.read(min(self.chunk, partition.stop - at))
+                    yield partition.path, at // self.chunk, at, f.read_at(min(self.chunk, partition.stop - at), at)
 
 
 def chunked_sha256(chunks: DataFrame, key: str, index: str, body: str) -> DataFrame:

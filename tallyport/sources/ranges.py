@@ -33,6 +33,17 @@ def opened(path: str) -> pa.NativeFile:
     return system.open_input_file(f"{authority}{name}" if system.type_name in ("s3", "gcs") else name)
 
 
+def names(path: str) -> list[tuple[str, int]]:
+    """Name and size of each file below a folder, in order."""
+    m = _URI.fullmatch(path)
+    head = path[: m.start(3)] if m else ""
+    scheme, authority, name = (_SCHEMES.get(m[1].lower(), m[1].lower()), m[2] or "", m[3]) if m else ("file", "", path)
+    system = _system(scheme, authority)
+    bucket = authority if system.type_name in ("s3", "gcs") else ""
+    found = system.get_file_info(fs.FileSelector(f"{bucket}{name}", recursive=True))
+    return sorted((head + f.path.removeprefix(bucket), f.size) for f in found if f.type == fs.FileType.File)
+
+
 def openable(path: str) -> bool:
     """Whether tasks can read ranges of this path."""
     m = _URI.fullmatch(path)

@@ -1,4 +1,4 @@
-"""Writing uploads: each is put together by one task and becomes visible at commit, all or none."""
+"""Writing uploads: each is put together by one task and becomes visible at commit, or none does."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tallyport.functions.workers import reachable
@@ -24,10 +25,10 @@ class StagedUploads(WriterCommitMessage):
 
 
 class StagedFileSink(DataSource):
-    """``staged_files``: rows ``session string, chunk_index long, body binary``, each session in one task and in order.
+    """``staged_files``: rows ``session string, chunk_index long, body binary, chunks long``, each session in one task and in order.
 
     The folder is a share that driver and executors mount.  A task appends the chunks of a session to a file of its own attempt;
-    the driver only renames, when all tasks have ended.  :func:`save_uploads` deals the rows as this needs.
+    the driver only names them, when all tasks have ended.  :func:`save_uploads` deals the rows as this needs.
     """
 
     @classmethod
@@ -35,17 +36,31 @@ class StagedFileSink(DataSource):
         return "staged_files"
 
     def schema(self) -> str:
-        return "session string, chunk_index long, body binary"
+        return "session string, chunk_index long, body binary, chunks long"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:  # noqa: ANN001
         return StagedFileWriter(self.options["path"])
 
 
-def save_uploads(chunks: DataFrame, folder: str) -> None:
-    """Writes every session's chunks, in order, as one file of ``folder``; fails, and leaves nothing, if any chunk is missing."""
+def save_uploads(chunks: DataFrame, folder: str, expected: DataFrame | None = None) -> None:
+    """Writes every session's chunks, in order, as one file of ``folder`` with the session's name.
+
+    Fails, and leaves nothing, if a chunk is missing, a name is no plain file name, or one is taken.  ``expected (session, chunks)``
+    says how many chunks each session has; without it a missing last chunk cannot be noticed.  Names appear one after the other:
+    a reader may see some before all are there.
+    """
     reachable(chunks.sparkSession).dataSource.register(StagedFileSink)
-    rows = chunks.select("session", "chunk_index", "body").repartition("session").sortWithinPartitions("session", "chunk_index")
-    rows.write.format("staged_files").mode("append").save(folder)
+    rows = chunks.select("session", "chunk_index", "body")
+    if expected is None:
+        rows = rows.withColumn("chunks", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(expected.select("session", F.col("chunks").cast("long").alias("chunks")), "session", "full_outer")
+    rows.repartition("session").sortWithinPartitions("session", "chunk_index").write.format("staged_files").mode("append").save(folder)
+
+
+def plain_name(name: str | None) -> bool:
+    """Whether a session can name a file of its folder: one step, not hidden, and not among those that are staged."""
+    return bool(name) and name[0] not in "._" and not set(name) & {"/", "\\", "\0"}
 
 
 class StagedFileWriter(DataSourceWriter):
@@ -55,19 +70,30 @@ class StagedFileWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> StagedUploads:
         attempt, files = TaskContext.get().taskAttemptId(), []
-        session, upcoming, out = None, 0, None
+        session, upcoming, chunks, out = None, 0, None, None
+
+        def close() -> None:
+            if out:
+                out.close()
+                if chunks is not None and upcoming != chunks:
+                    raise ValueError(f"chunks of {session} are missing: {upcoming} of {chunks}")
+
         try:
             for row in rows:
                 if out is None or row.session != session:
-                    if out:
-                        out.close()
-                    session, upcoming = row.session, 0
+                    close()
+                    if not plain_name(row.session):
+                        raise ValueError(f"not a name for an upload: {row.session!r}")
+                    session, upcoming, chunks = row.session, 0, getattr(row, "chunks", None)
                     files.append((session, os.path.join(self.staging, f"{uuid.uuid5(uuid.NAMESPACE_URL, session).hex}-{attempt}.part")))
                     out = open(files[-1][1], "wb")  # noqa: SIM115
+                if row.chunk_index is None and row.body is None and chunks is not None:
+                    continue  # a session that is expected and has no chunk at all
                 if row.chunk_index != upcoming:
                     raise ValueError(f"chunks of {session} are missing or out of order: {row.chunk_index} came for {upcoming}")
                 upcoming += 1
                 out.write(row.body or b"")
+            close()
         finally:
             if out:
                 out.close()
@@ -78,9 +104,18 @@ class StagedFileWriter(DataSourceWriter):
         if len({session for session, _ in files}) < len(files):
             self.abort(messages)
             raise ValueError("chunks of a session are spread over tasks")
-        for session, staged in files:
-            os.rename(staged, os.path.join(self.path, session))
-        self.abort(messages)
+        named: list[str] = []
+        try:
+            for session, staged in files:
+                target = os.path.join(self.path, session)
+                os.link(staged, target)  # unlike a rename it fails if the name is taken
+                named.append(target)
+        except OSError:
+            for target in named:
+                os.unlink(target)
+            raise
+        finally:
+            self.abort(messages)
 
     def abort(self, messages: list[StagedUploads | None]) -> None:
         for _ in range(10):  # tasks may still be writing

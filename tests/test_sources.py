@@ -10,7 +10,7 @@ from tallyport.plans import load, registry  # noqa: F401
 from tallyport.sources.files import FileChunkSource, chunked_sha256, scan_files
 from tallyport.sources.fixtures import fixture_chunks
 from tallyport.sources.sinks import save_uploads
-from tallyport.sources.stores import JsonStore
+from tallyport.sources.stores import Conflict, JsonStore
 from tallyport.streaming.sessions import session_status
 
 
@@ -44,6 +44,41 @@ def test_staged_sink(spark, tmp_path):
     assert {p.name for p in tmp_path.iterdir()} == {"s1", "s2"}
 
 
+def test_sink_refuses_names_and_gaps(spark, tmp_path):
+    """Names that leave the folder, taken names and missing last chunks: nothing is written, and what was there stays."""
+    folder = tmp_path / "uploads"
+    folder.mkdir()
+    rows = lambda *r: spark.createDataFrame(r, "session string, chunk_index long, body binary")
+    for name in ("../escaped", "e/f", "", "..", ".hidden", "_staging", "a\0b", "a\\b"):
+        with pytest.raises(Exception, match="not a name"):
+            save_uploads(rows(("ok", 0, b"1"), (name, 0, b"2")), str(folder))
+    save_uploads(rows(("b", 0, b"first")), str(folder))
+    with pytest.raises(Exception, match="exists"):
+        save_uploads(rows(("a", 0, b"1"), ("b", 0, b"2"), ("c", 0, b"3")), str(folder))
+    expected = spark.createDataFrame([("x", 2), ("y", 1)], "session string, chunks long")
+    for chunks in ([("x", 0, b"1"), ("y", 0, b"2")], [("x", 0, b"1"), ("x", 1, b"1")], [("x", 0, b"1"), ("x", 1, b"1"), ("x", 2, b"1"), ("y", 0, b"2")]):
+        with pytest.raises(Exception, match="missing"):
+            save_uploads(rows(*chunks), str(folder), expected)
+    assert {p.name: p.read_bytes() for p in folder.iterdir()} == {"b": b"first"} and [p.name for p in tmp_path.iterdir()] == ["uploads"]
+    save_uploads(rows(("x", 0, b"1"), ("x", 1, None), ("y", 0, b"2")), str(folder), expected)
+    assert {p.name: p.read_bytes() for p in folder.iterdir()} == {"b": b"first", "x": b"1", "y": b"2"}
+
+
+def test_store_keeps_what_others_write(spark, tmp_path):
+    store, other = (JsonStore(spark, f"file://{tmp_path}/store") for _ in range(2))
+    put = lambda k: spark.createDataFrame([(k, 0, "{}")], "entry string, position long, stored string")
+    store.apply(put("a"))
+    (tmp_path / "store" / "version-ofanother").mkdir()  # written and not yet named
+    before = other._named()
+    for k in "bcd":
+        store.apply(put(k))
+    assert (tmp_path / "store" / "version-ofanother").exists()
+    with pytest.raises(Conflict):
+        other._replace(put("lost").select("entry", "stored"), before)
+    assert sorted(r.entry for r in other.read().collect()) == ["a", "b", "c", "d"]
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("version-")]) == 3
+
+
 def test_fixtures_round_trip(spark, tmp_path):
     sizes = {"a": 100_000, "b": 31, "c": 64, "none": 0}
     chunks = fixture_chunks(spark, sizes, chunk=4096)
