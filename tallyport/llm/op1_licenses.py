@@ -2,12 +2,13 @@
 
 A paragraph ends at a blank line, and at the end of a line that ends a sentence; other line ends are white space, so a
 notice that is wrapped over lines is one paragraph.  A paragraph's word 1- and 2-grams are scored by a multinomial logistic
-regression, trained on the templates below with words dropped, added and exchanged.  Its classes are the licence families,
+regression, trained on the templates below with words dropped, added and exchanged, and on names of licences in the short notices that :data:`CARRIERS` makes.  Its classes are the licence families,
 ``unknown`` (licence language of no known family) and ``none``.  Small weights are set to zero, and what is left is rounded
-to integers after temperature scaling, so that sums are exact.  The best family counts if it leads by ``margin``, which is
+to integers after temperature scaling, so that sums are exact.  A family counts if it leads ``none`` and ``unknown`` by ``margin``, which is
 calibrated so that held-out paragraphs of no known family rarely reach it, and if the paragraph contains ``CONFIRM_PERCENT``
-of the 2-grams of one of the family's templates (all its grams, if it has fewer than three words); otherwise the paragraph is
-``unknown``.
+of the 2-grams of one of the family's templates or names (all its grams, if it has fewer than three words); a paragraph may name
+several families, but of those that are much alike (:data:`ALIKE`) only the best counts.  With none the paragraph is ``unknown``, if its
+words say that it is about a licence.
 
 Most paragraphs need no scoring: :func:`triggers` derives from the weights a set of words without which no class can reach
 ``none``, whatever else a paragraph holds.  It is a bound, not a rule of thumb: the DuckDB oracle scores every paragraph.
@@ -22,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import random
 from functools import lru_cache
 
@@ -136,6 +138,9 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "proprietary": [
         "All rights reserved.",
+        "Alle Rechte vorbehalten.",
+        "Tous droits reserves.",
+        "Todos los derechos reservados.",
         "Copyright (c) Example Corporation. All rights reserved.",
         "No part of this publication may be reproduced without permission of the publisher; all rights reserved.",
     ],
@@ -148,6 +153,32 @@ TEMPLATES: dict[str, list[str]] = {
         "available under CC0 1.0",
     ],
 }
+#: What the families are called, in the short ways that notices have.
+NAMES: dict[str, list[str]] = {
+    "agpl": ["AGPL", "GNU AGPL", "AGPLv3", "AGPL-3.0", "Affero GPL", "GNU Affero General Public License"],
+    "apache": ["Apache", "Apache-2.0", "Apache License", "Apache 2.0", "Apache License 2.0", "ASL 2.0"],
+    "bsd": ["BSD", "BSD-3-Clause", "BSD-2-Clause", "New BSD", "BSD 3-Clause", "modified BSD"],
+    "cc-by": ["CC BY", "CC-BY-4.0", "CC BY 3.0", "Creative Commons Attribution"],
+    "cc-by-nc": ["CC BY-NC", "CC-BY-NC-4.0", "CC BY-NC-ND", "CC BY-NC-SA", "Creative Commons Attribution-NonCommercial", "Creative Commons NonCommercial"],
+    "cc-by-sa": ["CC BY-SA", "CC-BY-SA-4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike", "Creative Commons ShareAlike"],
+    "gpl": ["GPL", "GPLv2", "GPLv3", "GNU GPL", "GPL-3.0", "GPL-2.0-only", "GNU General Public License"],
+    "lgpl": ["LGPL", "LGPLv3", "LGPL-2.1", "GNU LGPL", "Lesser GPL", "GNU Lesser General Public License"],
+    "mit": ["MIT", "MIT License", "MIT/Expat", "Expat"],
+    "mpl": ["MPL", "MPL-2.0", "MPL 1.1", "Mozilla Public License"],
+    "public-domain": ["CC0", "CC0-1.0", "public domain", "CC0 1.0 Universal", "Unlicense"],
+}
+#: Licences that have a name and none of these families.
+OTHERS = "isc eupl wtfpl zlib epl cddl ofl bsl sspl artistic boost ecl cecill ms-pl odbl pddl elastic fair-source polyform hippocratic".split()
+#: What is around a name, varied by version and punctuation; the name is {0}.
+CARRIERS = [
+    "License: {0}", "Licence {0}", "license = {0}", "licensed under {0}{1}", "licensed under the {0} license{1}", "released under {0}{1}", "released under the terms of the {0}{1}", "distributed under the {0} licence{1}", "under the {0} licence",
+    "available under {0} terms", "is {0} licensed", "the {0} license", "{0}{1} license applies", "SPDX {0}", "published under {0}{1}", "covered by the {0}{1}", "use it under the {0}{1}", "{0} license", "licensed {0}", "the code is {0}", "OSI approved {0} license", "see the {0}{1} for details",
+]
+#: What makes any name doubtful, so that the paragraph is ``unknown``.
+DOUBTS = ["perhaps the {0} license", "{0} license, perhaps", "maybe {0}", "whether it is {0} license is unclear", "{0} license perhaps", "the license may be {0}, maybe", "is it unclear whether {0} applies"]
+_VERSIONS = ["", "", "", " version {2}", " v{2}", ", version {2} or later", " {2}.0"]
+#: Families of which a paragraph names one only: what their names and texts share is the most.
+ALIKE = [("agpl", "gpl", "lgpl"), ("cc-by", "cc-by-nc", "cc-by-sa")]
 UNKNOWN = [
     "Licensed under the {0} {1} Agreement.",
     "This work is licensed under the {0} Community License, version {2}.",
@@ -160,6 +191,7 @@ UNKNOWN = [
     "Released under the {0} license version {2}.",
     "Available under the terms of the {0} Public License.",
     "{0} license, {1}? copyright",
+    "Released under the terms of a license of {0}.",
 ]
 NONE = [
     "The driver showed a license to the {0} at the {1}.",
@@ -179,6 +211,19 @@ NONE = [
     "The Apache {0} lived in {1} for {2} years, said the general.",
     "This is the {0} of the {1} and it is free to use without {0} or {1}.",
     "Students at MIT in {0} wrote a {1} program and a library of {0}.",
+    "His licence to trade in {0} was taken away by {1}.",
+    "License fees of {0} rose, and the licence of {1} ended.",
+    "They reserved the {0} for {1}, and the rights of {1} were kept.",
+    "Seats are reserved for {0} on the right of the {1}.",
+    "The rights to {0} belong to {1}.",
+    "She was licensed to practise {0} under the rules of {1}.",
+    "A paper from MIT says that {0} and {1} are {2} times larger.",
+    "MIT and {0} opened a laboratory in {1}.",
+    "He sat mit {0} und {1} in the {2} boat.",
+    "The Apache tribe of {0} and the {1} helicopter.",
+    "The public spoke of the domain of {0}, and the general of the {1} license office.",
+    "Version {2} of the {0} is fair, and the artistic {1} was elastic.",
+    "The boost to {0} was fair; the expat of {1} was licensed to drive.",
     "It is a work of {0} in the domain of {1}, by the author of the {0}.",
 ]
 FAMILIES = sorted(TEMPLATES)
@@ -201,6 +246,14 @@ def grams(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
 
+def _named(rng: random.Random, name: str) -> str:
+    """A short notice with one of the names of a family (or of ``unknown``), as carriers have it."""
+    if name == "unknown" and rng.random() < 0.4:
+        return rng.choice(DOUBTS).format(rng.choice(NAMES[rng.choice(sorted(NAMES))]))
+    called = rng.choice(NAMES[name] if name in NAMES else OTHERS)
+    return rng.choice(CARRIERS).replace("{1}", rng.choice(_VERSIONS)).format(called, "", rng.choice([1, 2, 3, 4]))
+
+
 def _variants(rng: random.Random, per_class: int) -> list[tuple[list[str], str]]:
     """Training paragraphs of all classes; of ordinary text the most, with common words in any order."""
     word = lambda: "".join(rng.choice("bcdfghlmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
@@ -210,6 +263,8 @@ def _variants(rng: random.Random, per_class: int) -> list[tuple[list[str], str]]
         source = TEMPLATES.get(name) or (UNKNOWN if name == "unknown" else NONE)
         for k in range(per_class * (4 if name == "none" else 2 if name == "unknown" else 1)):
             text = source[k % len(source)].format(word(), word(), rng.randint(1, 9)) if name in ("unknown", "none") else source[k % len(source)]
+            if (name in NAMES or name == "unknown") and (k // len(source)) % 2:  # every other round through the templates
+                text = _named(rng, name)
             words = tokens(text)
             if name == "none" and k % 3 == 0:
                 words = [filler() for _ in range(rng.randint(1, 60))]
@@ -225,8 +280,9 @@ def _variants(rng: random.Random, per_class: int) -> list[tuple[list[str], str]]
 @lru_cache(maxsize=1)
 def model() -> dict:
     """Integer weights (thousandths), intercepts, the calibrated margin and the trigger words."""
-    train, check = _variants(random.Random(21), 120), _variants(random.Random(22), 60)
-    phrases = [tokens(t.format("", "", "")) for t in (*(t for ts in TEMPLATES.values() for t in ts), *UNKNOWN, *NONE)]
+    train, check = _variants(random.Random(21), 300), _variants(random.Random(22), 100)
+    named = [c.replace("{1}", v).format(n, "", k) for n in (*(n for ns in NAMES.values() for n in ns), *OTHERS) for c, v, k in zip(CARRIERS, itertools.cycle(_VERSIONS), itertools.cycle("1234"), strict=False)]
+    phrases = [tokens(t.format("", "", "")) for t in (*(t for ts in TEMPLATES.values() for t in ts), *UNKNOWN, *NONE)] + [tokens(t) for t in (*named, *(x.format(n) for x in DOUBTS for ns in NAMES.values() for n in ns))]
     vocabulary = sorted(g for g in set().union(*map(grams, phrases)) if not set(g.split()) <= set(_COMMON) and len(g) > 1)
     place = {g: k for k, g in enumerate(vocabulary)}
 
@@ -243,15 +299,14 @@ def model() -> dict:
         p = _softmax(x @ w + b)
         slope = (p - target) / len(y)
         w -= 4 * x.T @ slope
-        w = np.sign(w) * np.maximum(np.abs(w) - 4 * 6e-5, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - 4 * 1e-4, 0)
     x, y = matrix(check)
     best = min(np.linspace(0.5, 3, 26), key=lambda t: -sum(np.log(_softmax((x @ w + b) / t)[np.arange(len(y)), y])))
     weights, intercepts = np.round(1000 * w / best).astype(int), np.round(1000 * b / best).astype(int)
     weights[np.abs(weights) < 60] = 0
     s = x @ weights + intercepts
-    order = np.sort(s, axis=1)
-    lead, top = order[:, -1] - order[:, -2], s.argmax(axis=1)
-    wrong = np.sort(lead[(top < len(FAMILIES)) & (y >= len(FAMILIES))])
+    lead = s[:, : len(FAMILIES)].max(axis=1) - s[:, len(FAMILIES) :].max(axis=1)
+    wrong = np.sort(lead[(lead > 0) & (y >= len(FAMILIES))])
     margin = int(max(500, 1 + (wrong[int(0.99 * (len(wrong) - 1))] if len(wrong) else 0)))
     used = np.flatnonzero((weights != 0).any(axis=1))
     rows = {vocabulary[k]: weights[k].tolist() for k in used}
@@ -294,7 +349,7 @@ def templates() -> list[tuple[str, int, list[str]]]:
     """Family, number and compared grams of every template."""
     out = []
     for family in FAMILIES:
-        for k, text in enumerate(TEMPLATES[family]):
+        for k, text in enumerate([*TEMPLATES[family], *NAMES.get(family, [])]):
             words = tokens(text)
             out.append((family, k, sorted(g for g in grams(words) if " " in g or len(words) < 3)))
     return out
@@ -333,29 +388,40 @@ def _found(text: Column) -> Column:
 
 
 def _judged(found: Column) -> Column:
-    """``place, family, lead`` of each paragraph."""
+    """``place, family, lead`` of each paragraph, a row for each family that it names."""
     m = model()
     weights = "map(" + ", ".join(f"'{g}', array({', '.join(map(str, w))})" for g, w in sorted(m["weights"].items())) + ")"
     vocabulary, table = F.expr(_strings(sorted(m["weights"]))), F.expr(weights)
     start = F.expr(f"array({', '.join(map(str, m['intercepts']))})").cast("array<int>")
     forms = F.expr("array(" + ", ".join(f"named_struct('family', '{f}', 'grams', {_strings(g)})" for f, _, g in templates()) + ")")
-    names = F.expr(_strings(CLASSES))
+    families = F.expr("array(" + ", ".join(f"named_struct('family', '{f}', 'at', {k + 1}, 'alike', {_numbers(_alike(f))})" for k, f in enumerate(FAMILIES)) + ")")
+    none, unknown = CLASSES.index("none"), CLASSES.index("unknown")
 
     def scored(p: Column) -> Column:
         sums = F.aggregate(F.array_intersect(p["grams"], vocabulary), start, lambda s, g: F.zip_with(s, F.element_at(table, g), lambda a, b: a + b))
-        ranked = F.sort_array(F.transform(sums, lambda s, k: F.struct(s.alias("score"), (-k).alias("order"))), asc=False)
-        return F.struct(p["place"].alias("place"), p["grams"].alias("grams"), ranked.alias("ranked"))
-
-    def named(p: Column) -> Column:
-        best = F.element_at(names, 1 - p["ranked"][0]["order"])
-        return F.struct(p["place"].alias("place"), p["grams"].alias("grams"), best.alias("best"), (p["ranked"][0]["score"] - p["ranked"][1]["score"]).alias("lead"))
+        return F.struct(p["place"].alias("place"), p["grams"].alias("grams"), sums.alias("sums"))
 
     def judged(p: Column) -> Column:
-        holds = F.exists(forms, lambda t: (t["family"] == p["best"]) & (100 * F.size(F.array_intersect(t["grams"], p["grams"])) >= CONFIRM_PERCENT * F.size(t["grams"])))
-        family = F.when(p["best"].isin("none", "unknown"), p["best"]).when((p["lead"] >= m["margin"]) & holds, p["best"]).otherwise("unknown")
-        return F.struct(p["place"].alias("place"), family.alias("family"), p["lead"].cast("long").alias("lead"))
+        score = lambda f: F.element_at(p["sums"], f["at"])
+        behind = F.greatest(p["sums"][none], p["sums"][unknown])
+        first = lambda f: ~F.exists(f["alike"], lambda g: (F.element_at(p["sums"], g) > score(f)) | (F.element_at(p["sums"], g) == score(f)) & (g < f["at"]))
+        holds = lambda f: F.exists(forms, lambda t: (t["family"] == f["family"]) & (100 * F.size(F.array_intersect(t["grams"], p["grams"])) >= CONFIRM_PERCENT * F.size(t["grams"])))
+        known = F.filter(families, lambda f: (score(f) - behind >= m["margin"]) & first(f) & holds(f))
+        rows = F.transform(known, lambda f: F.struct(p["place"].alias("place"), f["family"].alias("family"), (score(f) - behind).cast("long").alias("lead")))
+        over = F.array_max(p["sums"]) - p["sums"][none]
+        other = F.struct(p["place"].alias("place"), F.when(over > 0, "unknown").otherwise("none").alias("family"), over.cast("long").alias("lead"))
+        return F.when(F.size(rows) > 0, rows).otherwise(F.array(other))
+
+    return F.flatten(F.transform(F.transform(found, scored), judged))
+
+
+def _alike(family: str) -> list[int]:
+    """The numbers (from 1) of the families of which a paragraph names one, with this one."""
+    return [FAMILIES.index(g) + 1 for group in ALIKE if family in group for g in group if g != family]
+
 
-    return F.transform(F.transform(F.transform(found, scored), named), judged)
+def _numbers(values: list[int]) -> str:
+    return f"cast(array({', '.join(map(str, values))}) as array<int>)"
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -379,8 +445,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         "doc_id",
         F.coalesce("first.family", F.lit("none")).alias("license"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("known", lambda p: p["family"]))), ",").alias("families"),
-        F.size("some").cast("long").alias("n_paragraphs"),
-        F.size("known").cast("long").alias("n_known"),
+        F.size(F.array_distinct(F.transform("some", lambda p: p["place"]))).cast("long").alias("n_paragraphs"),
+        F.size(F.array_distinct(F.transform("known", lambda p: p["place"]))).cast("long").alias("n_known"),
         F.coalesce(-F.col("first.behind"), F.lit(0)).cast("long").alias("lead"),
     )
 
@@ -413,12 +479,14 @@ g AS (SELECT DISTINCT rid, place, gram FROM (SELECT rid, place, unnest(words) AS
       SELECT rid, place, words[i] || ' ' || words[i + 1] FROM (SELECT rid, place, words, unnest(range(1, len(words))) AS i FROM p))),
 q AS (SELECT DISTINCT rid, place FROM g SEMI JOIN w USING (gram)),
 s AS (SELECT rid, place, class, rank, intercept + coalesce(sum(weight), 0) AS score FROM q CROSS JOIN c LEFT JOIN (g JOIN w USING (gram)) USING (rid, place, class) GROUP BY rid, place, class, rank, intercept),
-r AS (SELECT rid, place, class, score - lead(score) OVER v AS led, row_number() OVER v AS n FROM s WINDOW v AS (PARTITION BY rid, place ORDER BY score DESC, rank)),
+z AS (SELECT rid, place, max(score) FILTER (class = 'none') AS none, max(score) FILTER (class IN ('none', 'unknown')) AS behind, max(score) AS top FROM s GROUP BY rid, place),
 h AS (SELECT DISTINCT rid, place, family AS class FROM (SELECT rid, place, family, template FROM g JOIN t USING (gram) GROUP BY ALL HAVING 100 * count(*) >= {CONFIRM_PERCENT} * max(pairs))),
-f AS (SELECT r.rid, r.place, r.led, CASE WHEN r.class = 'none' THEN 'none' WHEN r.class <> 'unknown' AND led >= {m["margin"]} AND h.class IS NOT NULL THEN r.class ELSE 'unknown' END AS family
-      FROM r LEFT JOIN h ON r.rid = h.rid AND r.place = h.place AND r.class = h.class WHERE n = 1),
+a(class, kind) AS (VALUES {_values([(f, next((str(k) for k, group in enumerate(ALIKE) if f in group), f)) for f in FAMILIES])}),
+r AS (SELECT rid, place, class, score, row_number() OVER (PARTITION BY rid, place, kind ORDER BY score DESC, rank) AS n FROM s JOIN a USING (class)),
+k AS (SELECT r.rid, r.place, r.class AS family, r.score - z.behind AS led FROM r JOIN z USING (rid, place) JOIN h USING (rid, place, class) WHERE n = 1 AND r.score - z.behind >= {m["margin"]}),
+f AS (SELECT * FROM k UNION ALL SELECT rid, place, CASE WHEN top > none THEN 'unknown' ELSE 'none' END, top - none FROM z ANTI JOIN k USING (rid, place)),
 b AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY family = 'unknown', led DESC, family) AS n FROM f WHERE family <> 'none')
 SELECT doc_id, coalesce(max(family) FILTER (n = 1), 'none') AS license, coalesce(string_agg(DISTINCT family, ',' ORDER BY family) FILTER (family <> 'unknown'), '') AS families,
-       count(family) AS n_paragraphs, count(family) FILTER (family <> 'unknown') AS n_known, coalesce(max(led) FILTER (n = 1), 0)::BIGINT AS lead
+       count(DISTINCT place) AS n_paragraphs, count(DISTINCT place) FILTER (family <> 'unknown') AS n_known, coalesce(max(led) FILTER (n = 1), 0)::BIGINT AS lead
 FROM d LEFT JOIN b USING (rid) GROUP BY rid, doc_id
 """

@@ -124,3 +124,30 @@ def test_scan_of_another_column(spark, odd):
     df = spark.createDataFrame([(1, "none here", "MIT licensed"), (1, "none here", "MIT licensed"), (None, None, None)], "doc_id long, text string, body string")
     assert sorted((str(r.doc_id), r.license) for r in op1_licenses.scan(df, "body").collect()) == [("1", "mit"), ("1", "mit"), ("None", "none")]
     assert [r.family for r in op1_licenses.scan_paragraphs(df, "body").collect()] == ["mit", "mit"] and op1_licenses.paragraphs(df).filter("place is not null").count() == 0
+
+
+#: Written before the names and carriers of the module, and none of them.
+FRESH = [
+    ("License: MIT", "mit"), ("Licence: BSD", "bsd"), ("Code released under GPL-3.0", "gpl"), ("Licensed under CC0", "public-domain"), ("Alle Rechte vorbehalten", "proprietary"), ("dual-licensed under MIT or Apache-2.0", "apache,mit"),
+    ("The tool was written over many years by people of the institute, who met on Fridays. This program is licensed under GPL version 3. Its authors may be asked for help, and are found in the list", "gpl"),
+    ("Distributed under the Apache licence", "apache"), ("This package is BSD licensed (3-clause)", "bsd"), ("(C) 2011 A. Author, licensed CC-BY-SA 3.0", "cc-by-sa"), ("You may use it under the GNU LGPL, version 3 or later", "lgpl"), ('license = "MPL-2.0"', "mpl"),
+    ("SPDX: AGPL-3.0-or-later", "agpl"), ("Published under Creative Commons Attribution 3.0", "cc-by"), ("code: MIT license, docs: CC BY 4.0 license", "cc-by,mit"), ("Available under a BSD license", "bsd"), ("Source is GPL v2+ licensed", "gpl"), ("This font is in the public domain", "public-domain"),
+    ("The Mozilla Public License Version 1.1 applies", "mpl"), ("License :: OSI Approved :: MIT License", "mit"), ("See the GNU Affero GPL for details", "agpl"), ("Tous droits reserves", "proprietary"), ("Photos are CC BY-NC 2.0 licensed", "cc-by-nc"), ("# licensed under the GNU General Public License v2", "gpl"),
+]
+NAMELESS = ["The ISC License", "EUPL v1.2 licence", "WTFPL license", "Released under the Zlib license", "Licensed under the Quux Public Licence 2.0"]
+PLAIN = [
+    "He went mit dem Hund in den Wald.", "Researchers at MIT built a small robot.", "The Apache helicopter landed near the river.", "A fishing licence costs ten pounds.", "She was licensed to practise medicine in Ohio.", "The treaty reserved rights for both of the sides.",
+    "The public library opens at nine.", "Er kam mit der Bahn, und mit ihm kam der Regen.", "My driving license was stolen in May.", "The general gave a public speech about freedom.",
+]
+
+
+def test_fresh_notices(spark):
+    """Notices that no template has: at least nine in ten are found, with all families that they name; other licences are unknown, other text none."""
+    texts = [t for t, _ in FRESH] + NAMELESS + PLAIN
+    got = {r.doc_id: (r.license, r.families) for r in op1_licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    missed = [(t, got[k]) for k, (t, want) in enumerate(FRESH) if got[k][1] != want]
+    assert len(missed) <= len(FRESH) // 10, missed
+    others = [(t, got[len(FRESH) + k]) for k, t in enumerate(NAMELESS) if got[len(FRESH) + k][0] != "unknown"]
+    assert len(others) <= 1, others
+    wrong = [(t, got[len(FRESH) + len(NAMELESS) + k]) for k, t in enumerate(PLAIN) if got[len(FRESH) + len(NAMELESS) + k][0] != "none"]
+    assert len(wrong) <= 1, wrong
