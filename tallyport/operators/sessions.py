@@ -81,6 +81,20 @@ def retry_stats(d, max_attempts=3):
     return f"SELECT session_id, count(*) AS retries, max(attempt) AS most, count(CASE WHEN attempt >= {max_attempts} THEN 1 END) AS exhausted FROM {{ingest_events}} WHERE type = 'retry' GROUP BY session_id"
 
 
+@operator("retry_outcome", given={"max_attempts": 3})
+def retry_outcome(d, max_attempts=3):
+    """How the attempts at each chunk end, in the order they were made, and how many retries that took.
+
+    The first that succeeds ends them, or that fails when the upload was canceled, paused or aborted, with an error that forbids a retry (by itself
+    or by the policy's own test), or as the last that is allowed; with none of these a chunk waits for its next attempt.
+    """
+    ending = f"""CASE WHEN error_code IS NULL THEN 'completed' WHEN lifecycle = 'cancel' THEN 'canceled' WHEN lifecycle = 'pause' THEN 'paused' WHEN lifecycle = 'abort' THEN 'aborted'
+    WHEN NOT coalesce(retryable, true) THEN 'refused' WHEN NOT coalesce(policy_allows, true) THEN 'declined' WHEN attempt >= {max_attempts} THEN 'exhausted' END"""
+    return f"""SELECT manifest_id, chunk_index, outcome, CASE WHEN outcome = 'waiting' THEN attempt ELSE attempt - 1 END AS retries, CASE WHEN outcome <> 'completed' THEN error_code END AS error_code
+    FROM (SELECT *, coalesce(ending, 'waiting') AS outcome, row_number() OVER (PARTITION BY manifest_id, chunk_index ORDER BY CASE WHEN ending IS NULL THEN 1 ELSE 0 END, CASE WHEN ending IS NULL THEN -attempt ELSE attempt END) AS place
+    FROM (SELECT *, {ending} AS ending FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, chunk_index ORDER BY position) AS attempt FROM {{attempts}}) n) e) o WHERE place = 1"""
+
+
 @operator("cleanup_failures")
 def cleanup_failures(d):
     """Completed sessions whose record could not be cleaned up; they stay completed."""

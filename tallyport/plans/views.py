@@ -306,3 +306,11 @@ def tiff_headers(d):
     """First 16 bytes of image files, as hexadecimal digits: both byte orders, classic and big, and damaged ones."""
     return """SELECT p_partkey AS image_id, CASE p_partkey % 7 WHEN 0 THEN '49492a0008000000ffffffffffffffff' WHEN 1 THEN '4d4d002a00000010ffffffffffffffff' WHEN 2 THEN '49492b00080000001000000000000000' WHEN 3 THEN '4d4d002b000800000000000000000100'
     WHEN 4 THEN '49492b00040000001000000000000000' WHEN 5 THEN '4d4d2a0000000010ffffffffffffffff' ELSE '89504e470d0a1a0a0000000d49484452' END AS head FROM {part}"""
+
+
+@view("attempts")
+def attempts(d):
+    """Attempts at chunks: most fail, some while the upload is being stopped, some with errors that forbid a retry."""
+    return """SELECT l_orderkey AS manifest_id, CAST(l_linenumber % 2 AS BIGINT) AS chunk_index, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_returnflag) AS BIGINT) AS position,
+    CASE WHEN l_returnflag <> 'R' OR l_partkey % 3 <> 0 THEN CASE WHEN l_linestatus = 'F' THEN 'transport.failed' ELSE 'transport.timeout' END END AS error_code,
+    CASE l_suppkey % 9 WHEN 0 THEN 'cancel' WHEN 1 THEN 'pause' WHEN 2 THEN 'abort' END AS lifecycle, CASE WHEN l_partkey % 7 = 0 THEN false WHEN l_partkey % 7 = 1 THEN true END AS retryable, CASE WHEN l_partkey % 11 = 0 THEN false END AS policy_allows FROM {lineitem}"""
