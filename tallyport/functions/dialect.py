@@ -92,6 +92,20 @@ class Spark:
     def json(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 
+    def map_of(self, entries: list[tuple[str, str]]) -> str:
+        """A map of SQL keys and values."""
+        return f"map({', '.join(f'{k}, {v}' for k, v in entries)})"
+
+    def map_kept(self, m: str) -> str:
+        """The entries of a map whose value is not null, in order, each with ``key`` and ``value``."""
+        return f"map_entries(map_filter({m}, (k, v) -> v IS NOT NULL))"
+
+    def each(self, xs: str, name: str, of: str) -> str:
+        return f"transform({xs}, {name} -> {of})"
+
+    def some(self, xs: str, name: str, which: str) -> str:
+        return f"exists({xs}, {name} -> {which})"
+
     def _json_tokens(self, x: str) -> str:
         """The strings of a JSON text, in its one canonical spelling: keys with their colon, and values, at any depth; null if it is none."""
         canonical = f"coalesce(to_json(try_parse_json({x})), CASE WHEN left(ltrim({x}), 1) IN ('{{', '[') THEN get_json_object({x}, '$') END)"
@@ -214,6 +228,18 @@ class Duck(Spark):
     def json(self, x: str, key: str) -> str:
         return f"CASE WHEN json_valid({x}) THEN json_extract_string({x}, '$.{key}') END"
 
+    def map_of(self, entries: list[tuple[str, str]]) -> str:
+        return f"MAP([{', '.join(k for k, _ in entries)}], [{', '.join(v for _, v in entries)}])"
+
+    def map_kept(self, m: str) -> str:
+        return f"list_filter(map_entries({m}), lambda e: e.value IS NOT NULL)"
+
+    def each(self, xs: str, name: str, of: str) -> str:
+        return f"list_transform({xs}, lambda {name}: {of})"
+
+    def some(self, xs: str, name: str, which: str) -> str:
+        return f"(len(list_filter({xs}, lambda {name}: {which})) > 0)"
+
     def json_has_key(self, x: str, names: list[str]) -> str:
         tree = f"json_tree(CASE WHEN json_valid({x}) THEN {x} END)"
         return f"coalesce((SELECT bool_or(lower(t.key) IN ({', '.join(repr(n) for n in names)})) FROM {tree} t), false)"

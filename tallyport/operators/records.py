@@ -38,6 +38,15 @@ def tus_metadata(d):
     return f"SELECT file_id, CASE WHEN NOT {bad} THEN nullif({each}, '') END AS header, CASE WHEN {bad} THEN 'transport.failed' END AS error FROM {{entries}} GROUP BY file_id"
 
 
+@operator("tus_metadata_map", bind={"uploads": "upload_maps"})
+def tus_metadata_map(d):
+    """The same header from a map on each row, in the order of its entries; no map, or one with nothing but nulls, gives no header.  A map has each key once."""
+    kept = d.map_kept("metadata")
+    bad = d.some(kept, "e", f"NOT {d.rlike('e.key', '^[A-Za-z0-9_.-]+$')}")
+    shown = d.each(kept, "e", f"concat(e.key, ' ', {d.base64('e.value')})")
+    return f"SELECT file_id, CASE WHEN NOT {bad} THEN nullif({d.join(shown)}, '') END AS header, CASE WHEN {bad} THEN 'transport.failed' END AS error FROM {{uploads}}"
+
+
 @operator("header_list", bind={"headers": "extension_headers"})
 def header_list(d):
     """The trimmed, non-empty entries of a comma-separated header."""

@@ -180,6 +180,13 @@ def upload_metadata(d):
     return """SELECT file_id, CAST(0 AS BIGINT) AS position, 'filename' AS entry, name AS value FROM {files} UNION ALL SELECT file_id, CAST(1 AS BIGINT), CASE WHEN file_id % 11 = 0 THEN 'lot no' ELSE 'lot' END, lot_id FROM {files} UNION ALL SELECT file_id, CAST(2 AS BIGINT), 'scanner', CASE WHEN file_id % 2 = 0 THEN 'Größe 5' END FROM {files}"""
 
 
+@view("upload_maps")
+def upload_maps(d):
+    """The same as a map on the row of each file; some files have none."""
+    entries = [("'filename'", "name"), ("CASE WHEN file_id % 11 = 0 THEN 'lot no' ELSE 'lot' END", "lot_id"), ("'scanner'", "CASE WHEN file_id % 2 = 0 THEN 'Größe 5' END")]
+    return f"SELECT file_id, CASE WHEN file_id % 13 <> 0 THEN {d.map_of(entries)} END AS metadata FROM {{files}}"
+
+
 @view("extension_headers")
 def extension_headers(d):
     return "SELECT page_id AS header_id, concat(' creation, ,', url, ' ,termination,') AS header FROM {pages}"

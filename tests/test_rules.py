@@ -157,6 +157,14 @@ def test_upload_metadata(spark):
     assert got == {1: (f"filename {code('my scan.tif')},scanner {code('Größe')}", None), 2: (None, "transport.failed"), 3: (None, None), 4: (f"long {code('y' * 300)}", None)}
 
 
+def test_upload_metadata_of_maps(spark):
+    maps = ["map('filename', 'my scan.tif', 'lot', NULL, 'scanner', 'Größe')", "map('lot no', 'x')", "map('lot no', CAST(NULL AS STRING))", "CAST(map() AS MAP<STRING, STRING>)", "CAST(NULL AS MAP<STRING, STRING>)", "map('b', '1', 'a', '')"]
+    uploads = spark.sql(" UNION ALL ".join(f"SELECT {k} AS file_id, {m} AS metadata" for k, m in enumerate(maps, 1)))
+    got = {r.file_id: (r.header, r.error) for r in run("tus_metadata_map", spark, uploads=uploads)}
+    code = lambda x: base64.b64encode(x.encode()).decode()
+    assert got == {1: (f"filename {code('my scan.tif')},scanner {code('Größe')}", None), 2: (None, "transport.failed"), 3: (None, None), 4: (None, None), 5: (None, None), 6: (f"b {code('1')},a ", None)}
+
+
 def test_retry_delay_and_policy(spark):
     rows = [(1, 1, 250.0, 2.0, 900.0, "none", 0.5), (2, 3, 250.0, 2.0, 900.0, "none", 0.5), (3, 3, 250.0, 2.0, 900.0, "full", 0.5), (4, 5, None, None, None, None, None)]
     retries = spark.createDataFrame(rows, "event_id long, attempt long, delay_ms double, backoff_factor double, max_delay_ms double, jitter string, draw double")
