@@ -179,3 +179,44 @@ def test_machine_is_the_pairwise_sum():
     got = op2_quality.machine(np.zeros(7, dtype=int), at, x, 1, 0.3, w, v)[0][0]
     want = 0.3 + w[at] @ x + sum(v[at[i]] @ v[at[j]] * x[i] * x[j] for i in range(7) for j in range(i))
     assert got == pytest.approx(want)
+
+
+def test_quality_scores_are_those_of_all_pairs(spark, data):
+    """The query's scores from words, statistics and pairs of inputs that are counted one by one."""
+    import math
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyport.llm import _labels, _text
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = op2_quality.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in op2_quality.query(spark, data).collect()}
+    kinds = ["#*$%&|<>~^@", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".!?", ",;:'\"()-"]
+    checked = 0
+    for r in docs.select("doc_id", "text", "n_chars").collect():
+        raw = (r.text or "").encode()
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate({c: c + 32 for c in range(65, 91)}))]
+        if len(set(words)) > 150:
+            continue
+        counts = {}
+        for w in words:
+            b = int(_text.words(*_text.raw(pa.array([w.decode()])), lower=True)[2][0] >> np.uint64(51))
+            counts[b] = counts.get(b, 0) + 1
+        norm = math.sqrt(sum((1 + math.log(n)) ** 2 for n in counts.values()))
+        inputs = [(b, (1 + math.log(n)) / norm) for b, n in counts.items()]
+        shares = [sum(raw.count(c.encode()) for c in kind) / max(1, len(raw)) for kind in kinds] + [sum(b >= 128 for b in raw) / max(1, len(raw))]
+        n = max(1, len(words))
+        statistics = [
+            math.log1p(len(words)), math.log1p(max(0, r.n_chars if r.n_chars is not None else len(r.text or ""))), math.log1p(raw.count(b"\n")), *map(math.sqrt, shares), sum(map(len, words)) / n, len(counts) / n,
+            math.sqrt(sum(a == b for a, b in zip(words, words[1:])) / n), math.sqrt(sum(chr(w[-1]) in kinds[0] for w in words) / n), float(len(words) < 50), float(not words),
+        ]
+        scaled = [min(4, max(-4, (s - m) / k)) / 4 for s, m, k in zip(statistics, model["middle"], model["scale"])]
+        inputs += [(op2_quality.BUCKETS + k, s) for k, s in enumerate(scaled)]
+        out = model["w0"] + sum(model["w"][i] * x for i, x in inputs) + sum((model["v"][i] @ model["v"][j]) * x * y for a, (i, x) in enumerate(inputs) for j, y in inputs[:a])
+        assert got[r.doc_id][0] == pytest.approx(1 / (1 + math.exp(-out)), abs=1e-6) and got[r.doc_id][1] == (got[r.doc_id][0] >= 0.7)
+        checked += 1
+    held = {r.doc_id for r in docs.filter(_labels.held_out(F.col("doc_id"))).collect()}
+    assert checked > 40 and {i for i, (_, _, h) in got.items() if h} == held

@@ -62,3 +62,42 @@ def test_run_on_odd_rows(spark, odd, data, folder):
 def test_run_on_empty_tables(spark, data, folder):
     tables = {t: spark.read.parquet(f"{data}/{t}.parquet").filter("false") for t in ("documents", "labels", "benchmark")}
     assert corpus_pipeline.run(spark, folder(**tables)).count() == 0
+
+
+def test_first_stages_equal_other_ways(spark, data, folder):
+    """Quality rules by DuckDB's SQL; toxicity by windows that are cut, stretched and compressed one by one."""
+    import math
+
+    import duckdb
+    import numpy as np
+
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{data}/documents.parquet'")
+    want = sorted(r[0] for r in con.sql(f"SELECT doc_id FROM ({op10_quality_rules.ORACLE_SQL}) WHERE kept").fetchall())
+    kept = corpus_pipeline.quality_rules(spark, docs, data)
+    assert sorted(r.doc_id for r in kept.collect()) == want and 0 < len(want) < docs.count()
+    left = {r.doc_id for r in corpus_pipeline.toxicity(spark, kept, data).select("doc_id").collect()}
+    model = op8_toxicity.fit(kept, labels)
+    compressors, known, some = op8_toxicity.Distance(model).compressors, {}, 0
+    for r in kept.select("doc_id", "text").collect():
+        found, word = [], b""
+        for byte in (r.text or "").encode() + b" ":
+            byte = byte + 32 if 65 <= byte <= 90 else byte
+            if byte >= 128 or 97 <= byte <= 122:
+                word += bytes([byte])
+            elif word:
+                found, word = [*found, word + b" "], b""
+        if any(len(w) > op8_toxicity.LONGEST for w in found) or len(found) > 1500:
+            continue
+        for w in set(found) - set(known):
+            stretched = bytes((b * a + k * p + q) & 255 for k, b in enumerate(w) for a, p, q in ((1, 37, 0), (5, 91, 17), (11, 53, 99), (7, 29, 151)))
+            toxic, ordinary = (len(c.compress(stretched)) for c in compressors)
+            known[w] = np.float32(toxic) / np.float32(ordinary)
+        below = [sum(known[w] <= cut for w in found) for cut in op8_toxicity.CUTS]
+        seen = [*(math.log1p(n) for n in below), *(10 * min(1, n / max(len(found), 10)) for n in below), math.log1p(len(found)), *(float(n > 0) for n in below)]
+        score = 1 / (1 + math.exp(-((np.array(seen) - model["middle"]) / model["scale"] @ model["beta"][:-1] + model["beta"][-1])))
+        if abs(score - op8_toxicity.PREDICT_AT) > 1e-5:
+            assert (r.doc_id in left) == (score < op8_toxicity.PREDICT_AT)
+            some += 1
+    assert some > 100 and len(left) < len(want)
