@@ -92,6 +92,10 @@ class Spark:
     def json(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 
+    def json_string(self, x: str) -> str:
+        """A text as a JSON string."""
+        return f"to_json(cast({x} as variant))"
+
     def map_of(self, entries: list[tuple[str, str]]) -> str:
         """A map of SQL keys and values."""
         return f"map({', '.join(f'{k}, {v}' for k, v in entries)})"
@@ -228,6 +232,9 @@ class Duck(Spark):
     def json(self, x: str, key: str) -> str:
         return f"CASE WHEN json_valid({x}) THEN json_extract_string({x}, '$.{key}') END"
 
+    def json_string(self, x: str) -> str:
+        return f"CAST(to_json({x}) AS VARCHAR)"
+
     def map_of(self, entries: list[tuple[str, str]]) -> str:
         return f"MAP([{', '.join(k for k, _ in entries)}], [{', '.join(v for _, v in entries)}])"
 

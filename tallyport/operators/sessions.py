@@ -172,6 +172,22 @@ def nas_finalize_check(d):
     FROM {{raw}} r LEFT JOIN (SELECT session_id, count(*) AS chunks, CAST(sum(size_bytes) AS BIGINT) AS bytes, min(3 * place + {fault}) AS fault FROM {placed} p GROUP BY session_id) s ON s.session_id = r.session_id"""
 
 
+@operator("nas_metadata", bind={"raw": "nas_sessions_raw"}, given={"now": NOW})
+def nas_metadata(d, now):
+    """The document of each session, as it is written: its fields and the latest record of each chunk, absent ones left out, two spaces a level."""
+    string = lambda key, x: f"concat('  \"{key}\": ', {d.json_string(x)})"
+    number = lambda key, x: f"concat('  \"{key}\": ', CAST({x} AS {d.string}))"
+    last = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_index ORDER BY generation DESC) AS latest FROM {staged}) q WHERE latest = 1)"
+    checksum = f"CASE WHEN sha256 IS NOT NULL THEN concat(chr(10), '      \"checksum\": {{{{', chr(10), '        \"algorithm\": \"sha256\",', chr(10), '        \"value\": ', {d.json_string('sha256')}, chr(10), '      }}}}') END"
+    record = f"concat(chr(10), '    {{{{', concat_ws(',', concat(chr(10), '      \"index\": ', CAST(chunk_index AS {d.string})), concat(chr(10), '      \"path\": ', {d.json_string('path')}), concat(chr(10), '      \"sizeBytes\": ', CAST(size_bytes AS {d.string})), {checksum}), chr(10), '    }}}}')".replace("{{", "{").replace("}}", "}")
+    chunks = f"(SELECT session_id, {d.listed(record, 'chunk_index')} AS records FROM {last} l GROUP BY session_id)"
+    fields = [
+        string("schemaVersion", "schema_version"), string("sessionId", "folder"), string("status", "status"), string("createdAt", d.iso("created_at")), string("updatedAt", d.iso(now)), f"CASE WHEN expires_at IS NOT NULL THEN {string('expiresAt', d.iso('expires_at'))} END",
+        string("targetRelativePath", "target"), number("totalBytes", "total_bytes"), number("expectedChunks", "expected_chunks"), "CASE WHEN c.records IS NULL THEN '  \"chunks\": []' ELSE concat('  \"chunks\": [', c.records, chr(10), '  ]') END",
+    ]
+    return f"""SELECT r.session_id, folder, concat('{{', chr(10), concat_ws(concat(',', chr(10)), {', '.join(fields)}), chr(10), '}}', chr(10)) AS document FROM {{raw}} r LEFT JOIN {chunks} c ON c.session_id = r.session_id WHERE schema_version = 'nas.v0.1'"""
+
+
 @operator("orphan_chunks", bind={"listing": "staged_listing", "recorded": "staged_recorded"})
 def orphan_chunks(d):
     """Files that the gateway wrote, by their names, and that no record refers to: chunks, and candidates for the session's document, which none ever does."""

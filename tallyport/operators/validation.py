@@ -93,10 +93,10 @@ def _manifest_stages(d, policy: str) -> list[tuple[str, str, str]]:
     return [*manifest_checks(d), *identity_checks(f"{there} AND {usable}"), *checksum_checks(policy, f"{there} AND coalesce(scope, 'whole-file') = 'whole-file'", usable)]
 
 
-@operator("verify_stored", bind={"pairs": "file_pairs"})
-def verify_stored(d):
-    """A stored file against its manifest: not found, then size, and only for equal sizes the checksum."""
-    return f"""SELECT file_id, CASE WHEN NOT found THEN 'verification.file_not_found' WHEN size_bytes <> actual_bytes THEN 'verification.original_mismatch' WHEN lower(expected) <> {d.sha("content")} THEN 'verification.checksum_mismatch' ELSE 'ok' END AS verdict FROM {{pairs}}"""
+@operator("verify_stored", bind={"pairs": "file_pairs"}, given={"regular": "regular"})
+def verify_stored(d, regular="true"):
+    """A stored file against its manifest: not found, no regular file (by the column ``regular``, if it is given), then size, and only for equal sizes the checksum."""
+    return f"""SELECT file_id, CASE WHEN NOT found THEN 'verification.file_not_found' WHEN NOT coalesce({regular}, false) THEN 'verification.file_unreadable' WHEN size_bytes <> actual_bytes THEN 'verification.original_mismatch' WHEN lower(expected) <> {d.sha("content")} THEN 'verification.checksum_mismatch' ELSE 'ok' END AS verdict FROM {{pairs}}"""
 
 
 #: A receipt whose numbers can be used, of a chunk of the plan.

@@ -161,7 +161,7 @@ def file_pairs(d):
     """Each file beside what its manifest says of it; some have changed since, or are gone."""
     return f"""SELECT file_id, name, size_bytes, media_type, CASE WHEN last_modified IS NOT NULL THEN {d.iso(d.from_ms('last_modified'))} END AS modified, CASE WHEN file_id % 13 = 0 THEN 'x' ELSE name END AS actual_name, size_bytes + CASE WHEN file_id % 17 = 0 THEN 1 ELSE 0 END AS actual_bytes,
     CASE WHEN file_id % 19 = 0 THEN 'text/plain' ELSE media_type END AS actual_type, CASE WHEN file_id % 23 = 0 THEN NULL ELSE {d.iso(d.from_ms('coalesce(last_modified, 0) + CASE WHEN file_id % 29 = 0 THEN 1 ELSE 0 END'))} END AS actual_modified,
-    content, CASE WHEN file_id % 37 = 0 THEN 'ff' ELSE {d.sha("content")} END AS expected, file_id % 47 <> 0 AS found FROM {{files}}"""
+    content, CASE WHEN file_id % 37 = 0 THEN 'ff' ELSE {d.sha("content")} END AS expected, file_id % 47 <> 0 AS found, file_id % 53 <> 0 AS regular FROM {{files}}"""
 
 
 @view("checked_files")

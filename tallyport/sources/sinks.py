@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,33 @@ def plain_name(name: str | None) -> bool:
     return bool(name) and name[0] not in "._" and not set(name) & {"/", "\\", "\0"}
 
 
+def save_documents(documents: DataFrame, root: str) -> DataFrame:
+    """Writes ``documents (folder, document)`` as ``metadata.json`` of each folder below ``root``, a share that executors mount: ``folder, written``.
+
+    A document is written under a name of its own and then takes the place of the one before, so a reader sees either; a task that runs
+    again writes the same.  Nothing is written until the result is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folders, texts = batch.column("folder").to_pylist(), batch.column("document").to_pylist()
+            for folder, text in zip(folders, texts, strict=True):
+                if not plain_name(folder):
+                    raise ValueError(f"not a name for a session: {folder!r}")
+                os.makedirs(os.path.join(root, folder), exist_ok=True)
+                candidate = os.path.join(root, folder, f"metadata.json.candidate-{uuid.uuid4()}.tmp")
+                try:
+                    with open(candidate, "x", encoding="utf-8") as out:
+                        out.write(text)
+                    os.replace(candidate, os.path.join(root, folder, "metadata.json"))
+                finally:
+                    if os.path.exists(candidate):
+                        os.unlink(candidate)
+            yield pa.RecordBatch.from_arrays([pa.array(folders, type=pa.string()), pa.array([len(t.encode()) for t in texts], type=pa.int64())], names=["folder", "written"])
+
+    return documents.select("folder", "document").mapInArrow(run, "folder string, written long")
+
+
 class StagedFileWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
         self.path, self.staging = path, os.path.join(path, f"_staging-{uuid.uuid4().hex}")

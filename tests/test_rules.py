@@ -424,3 +424,24 @@ def test_trees_are_looked_through(spark):
 def test_redacted_records_keep_their_ranges(spark):
     ranges = spark.createDataFrame([(1, 4, 4), (1, 0, 2), (2, 0, 0)], "manifest_id long, start_index long, end_index long")
     assert run("redact_resume", spark, resume_records=frame(spark, RECORD, {}), receipts=frame(spark, RECEIPTS), ranges=ranges)[0].completed_ranges == "0-2,4-4"
+
+
+def test_session_documents(spark):
+    """JSON with the fields that are there, in order and indented; texts are escaped."""
+    import json
+
+    raw = spark.sql("""SELECT 1 AS session_id, 's_1' AS folder, 'nas.v0.1' AS schema_version, 'staging' AS status, TIMESTAMP '1998-01-01 00:00:00' AS created_at, TIMESTAMP '1998-01-02 00:00:00' AS expires_at, 'a "b"/c.tif' AS target, 11L AS total_bytes, 2L AS expected_chunks
+        UNION ALL SELECT 2, 's_2', 'nas.v0.1', 'staging', TIMESTAMP '1998-01-01 00:00:00', NULL, 'é', 0L, 1L UNION ALL SELECT 3, 's_3', 'nas.v9', 'staging', NULL, NULL, 'x', 0L, 1L""")
+    staged = spark.createDataFrame([(1, 1, 1, "00000001-1.part", 6, None), (1, 0, 1, "old", 5, "aa"), (1, 0, 2, "00000000-2.part", 5, "bb")], "session_id long, chunk_index long, generation long, path string, size_bytes long, sha256 string")
+    got = {r.folder: r.document for r in run("nas_metadata", spark, {"now": "TIMESTAMP '1998-06-01 00:00:00'"}, raw=raw, staged=staged)}
+    first = {
+        "schemaVersion": "nas.v0.1", "sessionId": "s_1", "status": "staging", "createdAt": "1998-01-01T00:00:00.000Z", "updatedAt": "1998-06-01T00:00:00.000Z", "expiresAt": "1998-01-02T00:00:00.000Z", "targetRelativePath": 'a "b"/c.tif', "totalBytes": 11, "expectedChunks": 2,
+        "chunks": [{"index": 0, "path": "00000000-2.part", "sizeBytes": 5, "checksum": {"algorithm": "sha256", "value": "bb"}}, {"index": 1, "path": "00000001-1.part", "sizeBytes": 6}],
+    }
+    second = {**{k: v for k, v in first.items() if k != "expiresAt"}, "sessionId": "s_2", "targetRelativePath": "é", "totalBytes": 0, "expectedChunks": 1, "chunks": []}
+    assert got == {x["sessionId"]: json.dumps(x, indent=2, ensure_ascii=False) + "\n" for x in (first, second)}
+
+
+def test_stored_files_must_be_regular(spark):
+    pairs = spark.sql("SELECT 1 AS file_id, true AS found, false AS regular, 1L AS size_bytes, 2L AS actual_bytes, 'x' AS expected, 'c' AS content UNION ALL SELECT 2, false, NULL, 1L, 1L, 'x', 'c' UNION ALL SELECT 3, true, NULL, 1L, 1L, 'x', 'c'")
+    assert {r.file_id: r.verdict for r in run("verify_stored", spark, {"regular": "regular"}, pairs=pairs)} == {1: "verification.file_unreadable", 2: "verification.file_not_found", 3: "verification.file_unreadable"}

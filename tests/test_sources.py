@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyport.plans import load, registry  # noqa: F401
 from tallyport.sources.files import FileChunkSource, chunked_sha256, scan_files
 from tallyport.sources.fixtures import fixture_chunks
-from tallyport.sources.sinks import save_uploads
+from tallyport.sources.sinks import save_documents, save_uploads
 from tallyport.sources.stores import Conflict, JsonStore
 from tallyport.streaming.sessions import session_status
 
@@ -79,6 +79,16 @@ def test_store_keeps_what_others_write(spark, tmp_path):
     assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("version-")]) == 3
 
 
+def test_documents_take_each_others_place(spark, tmp_path):
+    docs = lambda *r: spark.createDataFrame(r, "folder string, document string")
+    assert sorted(tuple(r) for r in save_documents(docs(("s_1", "{}"), ("s_2", "é")), str(tmp_path)).collect()) == [("s_1", 2), ("s_2", 2)]
+    save_documents(docs(("s_1", "new"), ("s_3", "")), str(tmp_path)).collect()
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()} == {"s_1/metadata.json": "new", "s_2/metadata.json": "é", "s_3/metadata.json": ""}
+    with pytest.raises(Exception, match="not a name"):
+        save_documents(docs(("../s", "{}")), str(tmp_path)).collect()
+    assert len(list(tmp_path.parent.glob("s*/metadata.json"))) == 0
+
+
 def test_fixtures_round_trip(spark, tmp_path):
     sizes = {"a": 100_000, "b": 31, "c": 64, "none": 0}
     chunks = fixture_chunks(spark, sizes, chunk=4096)
