@@ -118,9 +118,11 @@ def resume_checkpoint(d):
     order = "OVER (PARTITION BY manifest_id ORDER BY chunk_index)"
     near = f"""(SELECT *, CASE WHEN lag(chunk_index) {order} = chunk_index - 1 AND lag(position) {order} < position THEN 1 ELSE 0 END AS below, CASE WHEN lead(chunk_index) {order} = chunk_index + 1 AND lead(position) {order} < position THEN 1 ELSE 0 END AS above,
     row_number() {order} - 1 AS nth, max(position) OVER (PARTITION BY manifest_id ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS latest FROM {first} f)"""
-    reach = f"(SELECT manifest_id, latest AS position, max(chunk_index + 1) AS upto FROM {near} n WHERE chunk_index = nth GROUP BY manifest_id, latest)"
-    return f"""SELECT n.manifest_id, n.position, n.chunk_index, CAST(sum(planned) OVER w AS BIGINT) AS uploaded_bytes, CAST(sum(1 - below - above) OVER w AS BIGINT) AS ranges, coalesce(max(upto) OVER w, 0) AS next_index
-    FROM {near} n LEFT JOIN {reach} u ON u.manifest_id = n.manifest_id AND u.position = n.position WINDOW w AS (PARTITION BY n.manifest_id ORDER BY n.position ROWS UNBOUNDED PRECEDING)"""
+    # Each chunk tells of itself when it comes, and of the run from the start that it ends when the last of that run has come.
+    told = f"""(SELECT manifest_id, kind, chunk_index, CASE WHEN kind = 0 THEN position ELSE latest END AS at_position, CASE WHEN kind = 0 THEN planned ELSE 0 END AS planned, CASE WHEN kind = 0 THEN 1 - below - above ELSE 0 END AS opened, CASE WHEN kind = 1 THEN chunk_index + 1 END AS upto
+    FROM {near} n CROSS JOIN (SELECT 0 AS kind UNION ALL SELECT 1) k WHERE kind = 0 OR chunk_index = nth)"""
+    return f"""SELECT manifest_id, position, chunk_index, uploaded_bytes, ranges, next_index FROM (SELECT manifest_id, kind, at_position AS position, chunk_index, CAST(sum(planned) OVER w AS BIGINT) AS uploaded_bytes, CAST(sum(opened) OVER w AS BIGINT) AS ranges, coalesce(max(upto) OVER w, 0) AS next_index
+    FROM {told} t WINDOW w AS (PARTITION BY manifest_id ORDER BY at_position RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) u WHERE kind = 0"""
 
 
 @operator("retransmission")
