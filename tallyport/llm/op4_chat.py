@@ -8,7 +8,7 @@ and scatter indices are computed in numpy, and headers, contents and ends are co
 becomes the Arrow string column.  A conversation that is longer than a batch comes out in several parts, in order, so a
 task holds a batch at a time however long a conversation is; the reader consumes parts in the same task, as a stream.
 
-Edge cases: a null text is empty, a null role an empty role; null conversation ids are one conversation; ties of turn are
+Edge cases: a table that has conversation -7 itself keeps it, with the probe's two turns among its own; a null text is empty, a null role an empty role; null conversation ids are one conversation; ties of turn are
 ordered by role and text, null turns come first; an empty table leaves only what is added; other columns are ignored.
 """
 

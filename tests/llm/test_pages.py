@@ -115,6 +115,16 @@ TURNS = [
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
+def test_chat_with_the_probe_in_the_table(spark, folder):
+    """Conversation -7 of a table is not lost: its turns and the probe's are one conversation, as in the SQL."""
+    path = folder(conversations=spark.createDataFrame([(-7, 0, "user", "own ### text"), (-7, 5, "assistant", "own answer"), (1, 0, "user", "q")], SCHEMA))
+    con = duckdb.connect()
+    con.sql(f"create view conversations as from '{path}/conversations.parquet'")
+    got = op4_chat.query(spark, path)
+    assert rows(got.toPandas()) == rows(con.sql(op4_chat.ORACLE_SQL).df())
+    assert {r.conv_id: r.n_turns for r in got.collect()} == {-7: 4, 1: 1}
+
+
 def test_chat_round_trip(spark):
     df = spark.createDataFrame(TURNS, SCHEMA)
     parts = op4_chat.format_conversations(df.withColumnRenamed("turn", "part"), turn="part").collect()
