@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyport.llm import _session
 
+#: Tasks over which the edges of one node, and the nodes of one label, are dealt.
+SALTS = 4
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges (a, b)``; the label is the smallest node of the component.
@@ -24,11 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
         near = _session.materialize(near, "near")
         step = near.alias("x").join(near.alias("y"), F.col("x.to") == F.col("y.from"), "left").select(F.col("x.from").alias("from"), F.coalesce("y.to", "x.to").alias("to"))
         step = _session.materialize(step, "step")
-        moved = labels.join(step, labels["label"] == step["from"], "left").select("node", F.coalesce("to", "label").alias("label"))
+        moved = _session.salted_join(labels, step.withColumnRenamed("from", "label"), "label", "left", SALTS).select("node", F.coalesce("to", "label").alias("label"))
         moved = _session.materialize(moved, "labels")
         left = step.select(F.col("from").alias("a"), F.col("to").alias("new_a"))
         right = step.select(F.col("from").alias("b"), F.col("to").alias("new_b"))
-        fewer = edges.join(left, "a").join(right, "b").select(F.col("new_a").alias("a"), F.col("new_b").alias("b"))
+        fewer = _session.salted_join(_session.salted_join(edges, left, "a", "inner", SALTS), right, "b", "inner", SALTS).select(F.col("new_a").alias("a"), F.col("new_b").alias("b"))
         fewer = _session.materialize(fewer.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         _session.discard(edges, near, step, labels)
         edges, labels = fewer, moved

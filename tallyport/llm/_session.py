@@ -85,6 +85,6 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", s
     is dealt over ``salts`` tasks."""
     from pyspark.sql import functions as F
 
-    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in left.dtypes if kind in ("bigint", "int", "string")]), F.lit(salts)).cast("int"))
+    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in left.dtypes if c != on and "map<" not in kind and "variant" not in kind]), F.lit(salts)).cast("int"))
     copies = right.withColumn("__salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
     return spread.join(copies, [on, "__salt"], how).drop("__salt")

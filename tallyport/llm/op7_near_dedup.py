@@ -9,10 +9,12 @@
 
 Neither stage lists pairs.  A bucket or family is walked breadth first: a member is compared, in numpy, with those not yet
 reached, and only the tie between a member and its root is emitted.  Of buckets and families beyond a block, all members are
-compared with one of them, in as many tasks as there are blocks; only members that are not tied to it are compared with the
-others, block by block, so that no group is unbounded and copies of one text cost as much as they are many.  The ties are
-then contracted (:mod:`._components`).  A pair at the threshold of 85 % shares no band with a probability of 7e-9, one
-at 80 % with 3e-6.
+compared with one of them, their hub, in as many tasks as there are blocks.  Both distances (unequal bytes, and one less the
+similarity of sets) obey the triangle inequality: what is further from the hub than twice the reach of a tie cannot be tied to
+what the hub is tied to.  So only members within that meet the hub's own, block by block, and all that are not tied to it go on to
+another hub of theirs; what is left after ``HUBS`` hubs is compared block by block.  No link is lost, no group is
+unbounded, and copies of one text cost as much as they are many.  The ties are then contracted (:mod:`._components`).  A
+pair at the threshold of 85 % shares no band with a probability of 7e-9, one at 80 % with 3e-6.
 
 Edge cases: a text without words, or null, has an empty set, is linked with nothing and is kept; fewer than five words
 are one shingle; rows that repeat an id are nodes by their sets, and have one component each; ties go to the smallest
@@ -22,10 +24,11 @@ document id; rows without an id are linked like others, and a component of such
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +43,8 @@ PERCENT, BANDS, ROWS = 85, 32, 5
 MARGIN = 0.145
 #: Members of a bucket, and bytes of the sets of a family, that one group of a task holds of either block.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Hubs that a group beyond a block meets one after the other before the rest is compared block by block.
+HUBS = 8
 
 _random = np.random.Generator(np.random.PCG64(77))
 _TIMES = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -48,6 +53,14 @@ _BAND = _random.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 Tie = Callable[[list[bytes]], list[tuple[int, int]]]
 
+
+class Likeness(NamedTuple):
+    """Ties within a list of values; and of two values, whether they are tied, and whether a third may be tied to both."""
+
+    walk: Tie
+    pair: Callable[[bytes, bytes], tuple[bool, bool]]
+
+
 SIGNATURES = "doc_id long, n_shingles long, node binary, signature binary, bands array<long>"
 TIES = "a binary, b binary"
 
@@ -155,6 +168,29 @@ def tied_by_signature(signature: list[bytes], least: float) -> list[tuple[int, i
     return _walk(len(rows), lambda x, others: estimate((rows[others] == rows[x]).mean(axis=1)) >= least)
 
 
+def like_signatures(least: float) -> Likeness:
+    """Values are signatures; their distance is the share of unequal bytes."""
+    reach = 1 - (least * 255 + 1) / 256
+
+    def pair(a: bytes, b: bytes) -> tuple[bool, bool]:
+        equal = (np.frombuffer(a, dtype=np.uint8) == np.frombuffer(b, dtype=np.uint8)).mean()
+        return bool(estimate(equal) >= least), bool(1 - equal <= 2 * reach + 1e-9)
+
+    return Likeness(lambda values: tied_by_signature(values, least), pair)
+
+
+def like_sets(percent: int) -> Likeness:
+    """Values are sets of 64-bit hashes; their distance is one less the similarity."""
+
+    def pair(a: bytes, b: bytes) -> tuple[bool, bool]:
+        x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        union = len(x) + len(y) - common
+        return 100 * common >= percent * union, 100 * (union - common) <= 2 * (100 - percent) * union
+
+    return Likeness(lambda values: tied_by_set([np.frombuffer(v, dtype=np.uint64) for v in values], percent), pair)
+
+
 def tied_by_set(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Ties between sets whose similarity is at least ``percent``, exactly."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -217,56 +253,90 @@ def _walked(dealt: DataFrame, tie: Tie) -> DataFrame:
     return rows.repartition("task").drop("task").sortWithinPartitions("key", "p", "q", "node").mapInArrow(run, TIES)
 
 
-def _beside_hub(large: DataFrame, tie: Tie) -> DataFrame:
-    """``key, node, value, blocks, hub`` of each member of a large group; ``hub`` is null if it is not tied to the least node.
+def _beside_hub(large: DataFrame, alike: Likeness) -> DataFrame:
+    """``key, node, value, tied, close, hub`` of each member of a large group beside the group's least node: whether it is tied to that hub, and whether it may be tied to what the hub is tied to.
 
     The hub goes to every block of its group, and a block is streamed past it.
     """
     hubs = large.groupBy("key").agg(F.min(F.struct("node", "value")).alias("hub"), F.max("blocks").alias("blocks"))
-    hubs = hubs.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("place"), F.col("hub.node").alias("node"), F.col("hub.value").alias("value"), "blocks")
-    rows = large.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("place"), "node", "value", "blocks").unionByName(hubs)
-    kind = large.schema["key"].dataType
+    hubs = hubs.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("place"), F.col("hub.node").alias("node"), F.col("hub.value").alias("value"))
+    rows = large.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("place"), "node", "value").unionByName(hubs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub: tuple = (None, None, None)
-        names = ["key", "node", "value", "blocks", "hub"]
+        hub: tuple = (None, None)
         for batch in batches:
-            keys = batch.column("key")
-            out = []
-            for k, (key, place, node, value, blocks) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("key", "place", "node", "value", "blocks")], strict=True)):
+            nodes, values = batch.column("node").to_pylist(), batch.column("value").to_pylist()
+            at, tied, close, of = [], [], [], []
+            for k, place in enumerate(batch.column("place").to_pylist()):
                 if not place:
-                    hub = (key, node, value)
-                else:
-                    out.append((k, node, value, blocks, hub[1] if node == hub[1] or tie([hub[2], value]) else None))
-            if out:
-                arrays = [keys.take(pa.array([r[0] for r in out]))] + [pa.array([r[k] for r in out], type=t) for k, t in ((1, pa.binary()), (2, pa.binary()), (3, pa.int32()), (4, pa.binary()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = T.StructType([T.StructField("key", kind), *(T.StructField(n, t) for n, t in (("node", T.BinaryType()), ("value", T.BinaryType()), ("blocks", T.IntegerType()), ("hub", T.BinaryType())))])
+                    hub = (nodes[k], values[k])
+                    continue
+                both = (True, True) if nodes[k] == hub[0] else alike.pair(hub[1], values[k])
+                at.append(k)
+                tied.append(both[0])
+                close.append(both[1])
+                of.append(hub[0])
+            if at:
+                kept = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([kept.column("key"), kept.column("node"), kept.column("value"), pa.array(tied), pa.array(close), pa.array(of, type=pa.binary())], names=["key", "node", "value", "tied", "close", "hub"])
+
+    schema = T.StructType([large.schema["key"], large.schema["node"], large.schema["value"], *(T.StructField(n, T.BooleanType()) for n in ("tied", "close")), T.StructField("hub", T.BinaryType())])
     return rows.repartition("key", "block").sortWithinPartitions("key", "block", "place").mapInArrow(run, schema)
 
 
-def _grouped(rows: DataFrame, key: str, value: str, size: str, most: float, tie: Tie, large: bool) -> DataFrame:
-    """Ties within each group of ``rows (key, node, value, size)``; ``size`` is of the whole group, in the unit of ``most``.
+def _blocks(side: DataFrame, unit: Column, most: float) -> DataFrame:
+    return side.groupBy("key").agg(F.ceil(F.sum(unit) / most).cast("int").alias("blocks"))
+
+
+def _dealt(side: DataFrame, blocks: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Members with the ``block`` each is in and, one row each, the ``other`` blocks that it meets; ``names`` says which counts of ``blocks`` these are of."""
+    block = F.pmod(F.xxhash64("node"), F.col(names["block"])).cast("int")
+    return _session.salted_join(side, blocks, "key", "inner").select("key", "node", "value", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col(names["other"]) - 1)).alias("other"))
+
+
+def _between(left: DataFrame, right: DataFrame, alike: Likeness, unit: Column, most: float) -> DataFrame:
+    """Ties between members ``key, node, value`` of the two sides of each group, each pair of blocks by its own task."""
+    blocks = _blocks(left, unit, most).withColumnRenamed("blocks", "lefts").join(_blocks(right, unit, most).withColumnRenamed("blocks", "rights"), "key")
+    a = _dealt(left, blocks, {"block": "lefts", "other": "rights"}).select("key", F.col("block").alias("p"), F.col("other").alias("q"), "node", "value")
+    b = _dealt(right, blocks, {"block": "rights", "other": "lefts"}).select("key", F.col("other").alias("p"), F.col("block").alias("q"), "node", "value")
+    return _walked(a.unionByName(b), alike.walk)
+
+
+def _within(members: DataFrame, alike: Likeness, unit: Column, most: float) -> DataFrame:
+    """Ties between all members ``key, node, value`` of each group, each pair of blocks once and by its own task."""
+    dealt = _dealt(members, _blocks(members, unit, most), {"block": "blocks", "other": "blocks"})
+    return _walked(dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "value"), alike.walk)
+
+
+def _grouped(rows: DataFrame, key: str, value: str, size: str, most: float, unit: Column, alike: Likeness, large: bool) -> DataFrame:
+    """Ties within each group of ``rows (key, node, value, size)``; ``size`` is the sum of ``unit`` over the whole group.
 
-    A group of up to ``most`` is walked by one task.  Of a larger one (``large`` says whether there may be any), every member is first
-    compared with the least node; those that are tied to it need not be compared with each other.  The others, in blocks, are
-    compared with all blocks of the group, each pair of blocks by its own task.
+    A group of up to ``most`` is walked by one task.  A larger one (``large`` says whether there may be any) meets one hub after
+    the other: those tied to it need not be compared with each other, and of the others only the close ones with these.
     """
     rows = rows.select(F.col(key).alias("key"), "node", F.col(value).alias("value"), F.col(size).alias("size"))
     one = F.lit(0)
+    alone = lambda df: _walked(df.select("key", one.alias("p"), one.alias("q"), "node", "value"), alike.walk)
     if not large:
-        return _walked(rows.select("key", one.alias("p"), one.alias("q"), "node", "value"), tie)
+        return alone(rows)
     rows = _session.materialize(rows, "groups")
-    small = rows.filter(F.col("size") <= most).select("key", one.alias("p"), one.alias("q"), "node", "value")
-    beside = _session.materialize(_beside_hub(rows.filter(F.col("size") > most).select("key", "node", "value", F.ceil(F.col("size") / most).cast("int").alias("blocks")), tie), "beside")
-    unit = F.lit(1) if most == BLOCK else F.octet_length("value")
-    far = beside.filter("hub is null").groupBy("key").agg(F.ceil(F.sum(unit) / most).cast("int").alias("far"))
-    both = beside.join(far, "key")
-    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    all_sides = both.select("key", F.explode(F.sequence(F.lit(0), F.col("far") - 1)).alias("p"), block("blocks").alias("q"), "node", "value")
-    far_side = both.filter("hub is null").select("key", block("far").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"), "node", "value")
-    return _walked(small, tie).unionByName(_walked(all_sides.unionByName(far_side), tie)).unionByName(beside.filter("hub is not null and hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    ties = alone(rows.filter(F.col("size") <= most))
+    # A node stands in a bucket once for each of its bands with that key.
+    rest = rows.filter(F.col("size") > most).dropDuplicates(["key", "node"])
+    for _ in range(HUBS):
+        beside = _session.materialize(_beside_hub(rest.select("key", "node", "value", F.ceil(F.col("size") / most).cast("int").alias("blocks")), alike), "beside")
+        near, far = beside.filter("tied"), beside.filter("not tied")
+        ties = ties.unionByName(near.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        if not far.filter("close").isEmpty():
+            ties = ties.unionByName(_between(far.filter("close").select("key", "node", "value"), near.select("key", "node", "value"), alike, unit, most))
+        left = _session.materialize(far.groupBy("key").agg(F.sum(unit).alias("size")), "left")
+        rest = _session.salted_join(far.select("key", "node", "value"), left, "key", "inner")
+        if not left.filter(F.col("size") <= most).isEmpty():
+            ties = ties.unionByName(alone(rest.filter(F.col("size") <= most)))
+        rest = rest.filter(F.col("size") > most)
+        if left.filter(F.col("size") > most).isEmpty():
+            return ties
+    return ties.unionByName(_within(rest.select("key", "node", "value"), alike, unit, most))
 
 
 def families(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -274,18 +344,18 @@ def families(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     keys = nodes.select("node", F.explode("bands").alias("key"))
     buckets = _session.materialize(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("members")).filter("a <> b"), "buckets")
     pairs = buckets.filter("members = 2").select("a", "b").distinct().select(F.xxhash64("a", "b").alias("key"), F.lit(2).cast("long").alias("members"), F.explode(F.array("a", "b")).alias("node"))
-    many = keys.join(buckets.filter("members > 2").select("key", "members"), "key").select("key", "members", "node")
+    many = _session.salted_join(keys, buckets.filter("members > 2").select("key", "members"), "key", "inner").select("key", "members", "node")
     members = pairs.unionByName(many).join(nodes.select("node", "signature"), "node")
     least = percent / 100 - margin(percent)
     large = not buckets.filter(F.col("members") > BLOCK).isEmpty()
-    return _session.settled(lambda: _components.components(_grouped(members, "key", "signature", "members", BLOCK, lambda values: tied_by_signature(values, least), large)), "families", buckets)
+    return _session.settled(lambda: _components.components(_grouped(members, "key", "signature", "members", BLOCK, F.lit(1), like_signatures(least), large)), "families", buckets)
 
 
 def _confirmed(docs: DataFrame, nodes: DataFrame, family: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
     """Ties between nodes of a family whose full sets are similar enough."""
     sizes = family.join(nodes, "node").select("node", F.col("label").alias("family"), "first", "n_shingles")
     whole = sizes.groupBy("family").agg(F.sum(8 * F.col("n_shingles")).alias("bytes"))
-    chosen = sizes.join(whole, "family").select(F.col("first").alias("doc_id"), "node", "family", "bytes")
+    chosen = _session.salted_join(sizes, whole, "family", "inner").select(F.col("first").alias("doc_id"), "node", "family", "bytes")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +375,7 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, family: DataFrame, percent: in
         found = found.unionByName(unnamed.join(chosen.filter("doc_id is null").drop("doc_id"), "node").select("family", "node", "text", "bytes"))
     sets = found.mapInArrow(run, "family binary, node binary, shingles binary, bytes long")
     large = not whole.filter(F.col("bytes") > BLOCK_BYTES).isEmpty()
-    return _grouped(sets, "family", "shingles", "bytes", BLOCK_BYTES, lambda values: tied_by_set([np.frombuffer(v, dtype=np.uint64) for v in values], percent), large)
+    return _grouped(sets, "family", "shingles", "bytes", BLOCK_BYTES, F.octet_length("value"), like_sets(percent), large)
 
 
 def _membership(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:

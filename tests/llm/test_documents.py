@@ -313,3 +313,60 @@ def test_large_groups_are_compared_with_one_member_first(spark, monkeypatch, edi
         words[9 * k : 9 * k + 9] = [f"step{k}x{j}" for j in range(9)]
         rows.append((900 + k, " ".join(words)))
     assert near(spark, rows) == plain_components(rows)
+
+
+@pytest.mark.parametrize("hubs", [0, 2, 12])
+def test_hubs_of_a_large_group_lose_no_link(spark, monkeypatch, hubs):
+    """Ties of one large group of sets, in clusters that lie near and far and are linked by single members, against all pairs."""
+    monkeypatch.setattr(op7_near_dedup, "HUBS", hubs)
+    rng = np.random.default_rng(12)
+    sets = []
+    for _ in range(8):
+        base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        step = int(rng.integers(3, 12))
+        for k in range(16):  # chains: each is near the one before, and soon not near the first
+            base = base.copy()
+            base[rng.integers(0, 100, step)] = rng.integers(0, 1 << 63, step, dtype=np.uint64)
+            sets.append(np.sort(base))
+    alike = op7_near_dedup.like_sets(85)
+    rows = [("g", bytes([k // 256, k % 256]), bytearray(s.tobytes()), 800 * len(sets)) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "family string, node binary, shingles binary, bytes long").repartition(4)
+    ties = op7_near_dedup._grouped(df, "family", "shingles", "bytes", 9600, F.octet_length("value"), alike, True).collect()
+
+    def roots(pairs):
+        root = list(range(len(sets)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return [find(x) for x in root]
+
+    number = lambda node: node[0] * 256 + node[1]
+    every = [(a, b) for a in range(len(sets)) for b in range(a) if alike.pair(sets[a].tobytes(), sets[b].tobytes())[0]]
+    assert 8 < len(set(roots(every))) < 100
+    assert roots((number(r.a), number(r.b)) for r in ties) == roots(every)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_what_a_hub_and_a_third_are_tied_to_is_close(percent):
+    """The triangle inequality on which hubs rest, for sets and signatures."""
+    rng = np.random.default_rng(percent)
+    for alike, make in ((op7_near_dedup.like_sets(percent), lambda x: np.sort(x).tobytes()), (op7_near_dedup.like_signatures(0.7), lambda x: (x % 256).astype(np.uint8).tobytes())):
+        seen = 0
+        for _ in range(3000):
+            hub = rng.integers(0, 1 << 62, 160, dtype=np.uint64)
+            middle, other = hub.copy(), None
+            a, b = rng.integers(0, 40, 2)
+            middle[rng.permutation(160)[:a]] = rng.integers(0, 1 << 62, a, dtype=np.uint64)
+            other = middle.copy()
+            other[rng.permutation(160)[:b]] = rng.integers(0, 1 << 62, b, dtype=np.uint64)
+            h, m, o = make(hub), make(middle), make(other)
+            if alike.pair(h, m)[0] and alike.pair(m, o)[0]:
+                assert alike.pair(h, o)[1]
+                seen += not alike.pair(h, o)[0]
+        assert seen > 50
