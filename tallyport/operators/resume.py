@@ -65,7 +65,7 @@ def _whole(x: str, least: int = 0) -> str:
 def _problems(d) -> str:
     """The first thing that is wrong with each stored record, or null: ``record_id, code, path``.
 
-    Stored ranges and receipts are each reduced to a row per record before they meet it; one window numbers the receipts.
+    Stored ranges and receipts are each reduced to a row per record before they meet it; receipts are read once, for their numbers and their runs.
     """
     chunks = d.div("total_bytes + chunk_size - 1", "chunk_size")
     record = [
@@ -85,9 +85,9 @@ def _problems(d) -> str:
     ]
     steps = "".join(f" WHEN {c} THEN '{p}'" for c, p in record)
     receipt = [
-        f"NOT ({_whole('r.chunk_index')} AND r.chunk_index < x.total_chunks AND {_whole('r.size_bytes')} AND {is_iso(d, 'r.completed_at')} AND coalesce(r.transport, '') <> '')",
-        "r.size_bytes <> least(x.chunk_size, x.total_bytes - r.chunk_index * x.chunk_size)",
-        "x.transport_name <> '' AND r.transport <> x.transport_name",
+        f"NOT ({_whole('r.chunk_index')} AND r.chunk_index < r.total_chunks AND {_whole('r.size_bytes')} AND {is_iso(d, 'r.completed_at')} AND coalesce(r.transport, '') <> '')",
+        "r.size_bytes <> least(r.chunk_size, r.total_bytes - r.chunk_index * r.chunk_size)",
+        "r.transport_name <> '' AND r.transport <> r.transport_name",
         f"r.part_number IS NOT NULL AND NOT {_whole('r.part_number')}",
         "r.nth > 1",
     ]
@@ -95,21 +95,21 @@ def _problems(d) -> str:
     # The first bad receipt, and of it the first rule, as one number.
     first = f"min(r.position * 8 + {fault})"
     suffix = "CASE fault % 8 WHEN 1 THEN '.sizeBytes' WHEN 2 THEN '.transport.name' WHEN 3 THEN '.transport.partNumber' WHEN 4 THEN '.chunkIndex' ELSE '' END"
-    known = "(SELECT DISTINCT manifest_id, chunk_index FROM {receipts})"
-    islands = f"(SELECT manifest_id, {d.listed('concat(first_index, ' + repr('-') + ', last_index)', 'first_index')} AS shown FROM (SELECT manifest_id, min(chunk_index) AS first_index, max(chunk_index) AS last_index FROM (SELECT manifest_id, chunk_index, chunk_index - row_number() OVER (PARTITION BY manifest_id ORDER BY chunk_index) AS island FROM {known} k) i GROUP BY manifest_id, island) j GROUP BY manifest_id)"
     ranges = f"""(SELECT record_id, count(*) AS n_ranges, min(CASE WHEN bad THEN place END) AS bad_range, CAST(sum((end_index - start_index + 1) * chunk_size - CASE WHEN end_index = total_chunks - 1 THEN chunk_size - (total_bytes - end_index * chunk_size) ELSE 0 END) AS BIGINT) AS range_bytes,
       least(max(total_chunks), coalesce(max(CASE WHEN place = 0 AND start_index = 0 THEN end_index + 1 END), 0)) AS range_next, {d.listed('concat(start_index, ' + repr('-') + ', end_index)', 'place')} AS shown
       FROM (SELECT g.record_id, g.place, g.start_index, g.end_index, x.total_chunks, x.chunk_size, x.total_bytes, NOT ({_whole('g.start_index')} AND {_whole('g.end_index')} AND g.start_index <= g.end_index AND g.end_index < x.total_chunks AND g.start_index > coalesce(lag(g.end_index) OVER (PARTITION BY g.record_id ORDER BY g.place), -2) + 1) AS bad
         FROM {{stored_ranges}} g JOIN {{resume_records}} x ON x.record_id = g.record_id) h GROUP BY record_id)"""
-    receipts = f"""(SELECT r.manifest_id, count(*) AS n_receipts, CAST(sum(r.size_bytes) AS BIGINT) AS receipt_bytes, {first} AS fault FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, chunk_index ORDER BY position) AS nth FROM {{receipts}}) r
-      JOIN {{resume_records}} x ON x.manifest_id = r.manifest_id GROUP BY r.manifest_id)"""
+    receipts = f"""(SELECT record_id, CAST(sum(rows_) AS BIGINT) AS n_receipts, CAST(sum(bytes_) AS BIGINT) AS receipt_bytes, min(fault) AS fault, {d.listed('concat(first_index, ' + repr('-') + ', last_index)', 'first_index')} AS shown
+      FROM (SELECT r.record_id, count(*) AS rows_, sum(r.size_bytes) AS bytes_, {first} AS fault, min(r.chunk_index) AS first_index, max(r.chunk_index) AS last_index
+        FROM (SELECT g.*, x.record_id, row_number() OVER (PARTITION BY x.manifest_id, x.record_id, g.chunk_index ORDER BY g.position) AS nth, g.chunk_index - dense_rank() OVER (PARTITION BY x.manifest_id, x.record_id ORDER BY g.chunk_index) AS island, x.total_chunks, x.chunk_size, x.total_bytes, x.transport_name
+          FROM {{receipts}} g JOIN {{resume_records}} x ON x.manifest_id = g.manifest_id) r GROUP BY r.manifest_id, r.record_id, r.island) j GROUP BY record_id)"""
     old, new = "schema_version = 'v0.1'", "schema_version = 'v0.2'"
     return f"""SELECT record_id, CASE WHEN path = 'schemaVersion' THEN 'resume.schema_unsupported' WHEN path IS NULL THEN NULL WHEN of_receipts THEN 'resume.receipt_invalid' ELSE 'resume.record_invalid' END AS code, path FROM (SELECT record_id, CASE WHEN path IS NOT NULL THEN path
     WHEN {new} AND coalesce(n_receipts, 0) > total_chunks THEN 'receipts' WHEN {new} AND fault IS NOT NULL THEN concat('receipts[', {d.div('fault', '8')}, ']', {suffix}) WHEN {new} AND coalesce(range_text, '') <> coalesce(island_text, '') THEN 'progress.completedChunkRanges'
     WHEN {new} AND uploaded_bytes <> coalesce(receipt_bytes, 0) THEN 'progress.uploadedBytes' END AS path, path IS NULL AS of_receipts FROM (SELECT *, CASE WHEN NOT coalesce(schema_version IN ('v0.1', 'v0.2'), false) THEN 'schemaVersion'{steps}
     WHEN bad_range IS NOT NULL THEN concat('progress.completedChunkRanges[', bad_range, ']') WHEN next_index <> coalesce(range_next, 0) THEN 'progress.nextChunkIndex' WHEN {old} AND uploaded_bytes <> coalesce(range_bytes, 0) THEN 'progress.uploadedBytes' END AS path
-    FROM (SELECT x.*, g.n_ranges, g.bad_range, g.range_bytes, g.range_next, g.shown AS range_text, q.n_receipts, q.receipt_bytes, q.fault, l.shown AS island_text FROM {{resume_records}} x LEFT JOIN {ranges} g ON g.record_id = x.record_id
-    LEFT JOIN {receipts} q ON q.manifest_id = x.manifest_id LEFT JOIN {islands} l ON l.manifest_id = x.manifest_id) t) u) v"""
+    FROM (SELECT x.*, g.n_ranges, g.bad_range, g.range_bytes, g.range_next, g.shown AS range_text, q.n_receipts, q.receipt_bytes, q.fault, q.shown AS island_text FROM {{resume_records}} x LEFT JOIN {ranges} g ON g.record_id = x.record_id
+    LEFT JOIN {receipts} q ON q.record_id = x.record_id) t) u) v"""
 
 
 @operator("resume_validate")

@@ -104,10 +104,10 @@ _INDEX, _SIZE = f"coalesce(r.chunk_index BETWEEN 0 AND {SAFE}, false)", f"coales
 
 
 def _numbered(of: str, wanted: str) -> str:
-    """Receipts beside their manifest; ``counted`` marks, of each chunk, the first in position with a size that can be used."""
+    """Manifests (``of_manifest``) beside their receipts, one row without if there is none; ``counted`` marks, of each chunk, the first in position with a size that can be used."""
     fine = f"{_INDEX} AND r.chunk_index < m.total_chunks"
-    return f"""(SELECT *, coalesce(inside AND whole AND position = first_whole, false) AS counted, coalesce(inside AND position > first_whole, false) AS again FROM (SELECT r.*, m.total_chunks, {wanted} AS wanted, m.total_bytes, {fine} AS inside, {_SIZE} AS whole,
-    least(m.chunk_size, m.total_bytes - r.chunk_index * m.chunk_size) AS expected, min(CASE WHEN {_SIZE} THEN r.position END) OVER (PARTITION BY r.manifest_id, r.chunk_index) AS first_whole FROM {{receipts}} r JOIN {of} m ON m.manifest_id = r.manifest_id) n)"""
+    return f"""(SELECT *, manifest_id IS NOT NULL AS there, coalesce(inside AND whole AND position = first_whole, false) AS counted, coalesce(inside AND position > first_whole, false) AS again FROM (SELECT r.*, m.manifest_id AS of_manifest, m.total_chunks, {wanted} AS wanted, m.total_bytes, {fine} AS inside, {_SIZE} AS whole,
+    least(m.chunk_size, m.total_bytes - r.chunk_index * m.chunk_size) AS expected, min(CASE WHEN {_SIZE} THEN r.position END) OVER (PARTITION BY m.manifest_id, r.chunk_index) AS first_whole FROM {of} m LEFT JOIN {{receipts}} r ON r.manifest_id = m.manifest_id) n)"""
 
 
 @operator("verify_receipts")
@@ -119,42 +119,46 @@ def verify_receipts(d, require_chunk_checksums=False, allow_partial=False):
     """
     unproven = "count(CASE WHEN r.counted AND r.checksum IS NULL THEN 1 END)" if require_chunk_checksums else "CAST(0 AS BIGINT)"
     good = "count(CASE WHEN r.counted AND r.size_bytes = r.expected AND coalesce(r.transport, '') <> '' AND coalesce(r.transport = r.wanted, true) THEN 1 END)"
-    whole = "count(r.position)" if allow_partial else "m.total_chunks"
+    whole = "count(r.position)" if allow_partial else "r.total_chunks"
     bytes_ = "coalesce(sum(CASE WHEN r.counted THEN r.size_bytes END), 0)"
-    return f"""SELECT m.manifest_id, count(r.position) AS receipts, count(CASE WHEN NOT r.inside THEN 1 END) AS outside, count(CASE WHEN r.again THEN 1 END) AS duplicates,
+    return f"""SELECT r.of_manifest AS manifest_id, count(r.position) AS receipts, count(CASE WHEN r.there AND NOT r.inside THEN 1 END) AS outside, count(CASE WHEN r.again THEN 1 END) AS duplicates,
     count(CASE WHEN r.inside AND NOT r.again AND (NOT r.whole OR r.size_bytes <> r.expected) THEN 1 END) AS wrong_size, count(CASE WHEN r.counted AND coalesce(r.transport, '') = '' THEN 1 END) AS no_transport, count(CASE WHEN r.counted AND r.transport <> '' AND r.transport <> r.wanted THEN 1 END) AS other_transport,
-    {unproven} AS no_checksum, m.total_chunks - count(CASE WHEN r.counted THEN 1 END) AS missing, CAST({bytes_} AS BIGINT) AS uploaded_bytes, m.total_bytes, count(r.position) = {whole} AND {good} = {whole} AND {unproven} = 0{'' if allow_partial else f' AND {bytes_} = m.total_bytes'} AS ok
-    FROM {{manifests}} m LEFT JOIN {_numbered('{manifests}', 'm.transport')} r ON r.manifest_id = m.manifest_id GROUP BY m.manifest_id, m.total_chunks, m.total_bytes"""
+    {unproven} AS no_checksum, r.total_chunks - count(CASE WHEN r.counted THEN 1 END) AS missing, CAST({bytes_} AS BIGINT) AS uploaded_bytes, r.total_bytes, count(r.position) = {whole} AND {good} = {whole} AND {unproven} = 0{'' if allow_partial else f' AND {bytes_} = r.total_bytes'} AS ok
+    FROM {_numbered('{manifests}', 'm.transport')} r GROUP BY r.of_manifest, r.total_chunks, r.total_bytes"""
+
+
+#: Without either there is no plan; and whether what there is can be planned with.
+_BARE = "kind IS NULL OR strategy IS NULL"
+_PLANNED = f"coalesce(total_bytes BETWEEN 0 AND {SAFE} AND chunk_size BETWEEN 1 AND {SAFE} AND total_chunks BETWEEN 0 AND {SAFE}, false)"
 
 
 def _receipt_issues(d, require_chunk_checksums: bool, allow_partial: bool) -> str:
-    """Receipt issues by position, then those of the whole set; a manifest that cannot be planned with has one issue instead."""
+    """Issues of receipts by position, then, from the first row of each manifest, those of the whole set; manifests that cannot be planned with have none."""
     code = "verification.receipt_invalid"
     at = lambda what: f"concat('receipts[', position, '].{what}')"
-    usable = "SELECT * FROM {stored} WHERE kind IS NOT NULL AND strategy IS NOT NULL"
-    planned = f"({usable} AND coalesce(total_bytes BETWEEN 0 AND {SAFE} AND chunk_size BETWEEN 1 AND {SAFE} AND total_chunks BETWEEN 0 AND {SAFE}, false))"
-    numbered = _numbered(planned, "m.transport")
-    each = d.issues(f"{numbered} t", ["manifest_id", "position"], [
-        ("NOT inside", code, at("chunkIndex")),
+    rows = _numbered(f"(SELECT * FROM {{stored}} WHERE NOT ({_BARE}) AND {_PLANNED})", "m.transport")
+    each = [
+        ("there AND NOT inside", code, at("chunkIndex")),
         ("again", "verification.receipt_duplicate", at("chunkIndex")),
         ("inside AND NOT again AND NOT whole", code, at("sizeBytes")),
         ("counted AND size_bytes <> expected", code, at("sizeBytes")),
         ("counted AND coalesce(transport, '') = ''", code, at("transport.name")),
         ("coalesce(counted AND transport <> '' AND transport <> wanted, false)", "verification.transport_mismatch", at("transport.name")),
         *([("counted AND checksum IS NULL", "verification.checksum_missing", at("checksum"))] if require_chunk_checksums else []),
-    ])
-    last = f"CAST({SAFE} AS BIGINT) AS position"
-    parts = [each]
+    ]
+    total = []
     if not allow_partial:
-        rel = f"(SELECT m.manifest_id, {last}, m.total_chunks, m.total_bytes, count(CASE WHEN r.counted THEN 1 END) AS seen, coalesce(sum(CASE WHEN r.counted THEN r.size_bytes END), 0) AS bytes FROM {planned} m LEFT JOIN {numbered} r ON r.manifest_id = m.manifest_id GROUP BY m.manifest_id, m.total_chunks, m.total_bytes) w"
-        parts.append(d.issues(rel, ["manifest_id", "position"], [("seen < total_chunks", "verification.receipt_missing", "'receipts'"), ("bytes <> total_bytes", "verification.receipt_incomplete", "'receipts'")]))
-    none = f"(SELECT manifest_id, {last}, kind IS NULL OR strategy IS NULL AS bare, NOT coalesce(total_bytes BETWEEN 0 AND {SAFE} AND chunk_size BETWEEN 1 AND {SAFE} AND total_chunks BETWEEN 0 AND {SAFE}, false) AS odd FROM {{stored}}) z"
-    parts.append(d.issues(none, ["manifest_id", "position"], [("bare", "verification.manifest_invalid", "'manifest'"), ("odd AND NOT bare", "verification.manifest_invalid", "'chunking'")]))
-    return " UNION ALL ".join(parts)
+        over = "OVER (PARTITION BY of_manifest)"
+        rows = f"(SELECT *, count(CASE WHEN counted THEN 1 END) {over} AS seen, coalesce(sum(CASE WHEN counted THEN size_bytes END) {over}, 0) AS bytes, row_number() OVER (PARTITION BY of_manifest ORDER BY position) AS nth FROM {rows} o)"
+        total = [("nth = 1 AND seen < total_chunks", "verification.receipt_missing", "'receipts'"), ("nth = 1 AND bytes <> total_bytes", "verification.receipt_incomplete", "'receipts'")]
+    found = d.issues(f"{rows} t", ["of_manifest", "position"], each + total)
+    return f"SELECT of_manifest AS manifest_id, CASE WHEN ordinal > {len(each)} THEN CAST({SAFE} AS BIGINT) ELSE position END AS position, ordinal, code, path FROM ({found}) f"
 
 
 def _integrity(d, policy: str, require_chunk_checksums: bool, allow_partial: bool) -> str:
-    structure = d.issues("{stored}", ["manifest_id"], _manifest_stages(d, policy))
+    """A manifest that cannot be planned with has one issue in place of those of its receipts."""
+    bad = "verification.manifest_invalid"
+    structure = d.issues("{stored}", ["manifest_id"], [*_manifest_stages(d, policy), (_BARE, bad, "'manifest'"), (f"NOT ({_BARE}) AND NOT {_PLANNED}", bad, "'chunking'")])
     return f"""SELECT manifest_id, CAST(row_number() OVER (PARTITION BY manifest_id ORDER BY stage, position, ordinal) AS BIGINT) AS place, code, path FROM (SELECT manifest_id, 1 AS stage, CAST(0 AS BIGINT) AS position, ordinal, code, path FROM ({structure}) s
     UNION ALL SELECT manifest_id, 2, position, ordinal, code, path FROM ({_receipt_issues(d, require_chunk_checksums, allow_partial)}) r) u"""
 

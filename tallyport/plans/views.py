@@ -20,7 +20,7 @@ def files(d):
 @view("manifests")
 def manifests(d):
     return f"""SELECT o_orderkey AS manifest_id, CAST(floor(o_totalprice * 4) AS BIGINT) AS total_bytes, CAST({CHUNK} AS BIGINT) AS chunk_size,
-    {d.div(f"CAST(floor(o_totalprice * 4) AS BIGINT) + {CHUNK - 1}", str(CHUNK))} AS total_chunks, o_orderstatus AS status, o_orderdate AS created_at, 'A' AS transport FROM {{orders}}"""
+    {d.div(f"CAST(floor(o_totalprice * 4) AS BIGINT) + {CHUNK - 1}", str(CHUNK))} AS total_chunks, o_orderstatus AS status, o_orderpriority AS priority, o_orderdate AS created_at, 'A' AS transport FROM {{orders}}"""
 
 
 @view("receipts")
@@ -44,22 +44,22 @@ def ranges(d):
 
 @view("record_ranges")
 def record_ranges(d):
-    """Normalised ranges of each record, from its receipts."""
-    return """SELECT manifest_id, min(chunk_index) AS start_index, max(chunk_index) AS end_index FROM (SELECT manifest_id, chunk_index, chunk_index - row_number() OVER (PARTITION BY manifest_id ORDER BY chunk_index) AS island
-    FROM (SELECT DISTINCT r.manifest_id, r.chunk_index FROM {receipts} r JOIN {manifests} m ON r.manifest_id = m.manifest_id WHERE r.chunk_index < m.total_chunks) u) v GROUP BY manifest_id, island"""
+    """Normalised ranges of each record, from its receipts, with the sizes they are counted by."""
+    return """SELECT manifest_id, min(chunk_index) AS start_index, max(chunk_index) AS end_index, chunk_size, total_bytes FROM (SELECT *, chunk_index - row_number() OVER (PARTITION BY manifest_id ORDER BY chunk_index) AS island
+    FROM (SELECT DISTINCT r.manifest_id, r.chunk_index, m.chunk_size, m.total_bytes FROM {receipts} r JOIN {manifests} m ON r.manifest_id = m.manifest_id WHERE r.chunk_index < m.total_chunks) u) v GROUP BY manifest_id, island, chunk_size, total_bytes"""
 
 
 @view("resume_records")
 def resume_records(d):
     return f"""SELECT concat('resume_', m.manifest_id) AS record_id, m.manifest_id, CASE WHEN m.manifest_id % 97 = 0 THEN 'v9' WHEN m.manifest_id % 4 = 0 THEN 'v0.1' ELSE 'v0.2' END AS schema_version,
-    CASE o.o_orderpriority WHEN '1-URGENT' THEN 'active' WHEN '2-HIGH' THEN 'paused' WHEN '3-MEDIUM' THEN 'failed' WHEN '4-NOT SPECIFIED' THEN CASE WHEN m.manifest_id % 2 = 0 THEN 'completed' ELSE 'expired' END ELSE 'canceled' END AS status,
+    CASE m.priority WHEN '1-URGENT' THEN 'active' WHEN '2-HIGH' THEN 'paused' WHEN '3-MEDIUM' THEN 'failed' WHEN '4-NOT SPECIFIED' THEN CASE WHEN m.manifest_id % 2 = 0 THEN 'completed' ELSE 'expired' END ELSE 'canceled' END AS status,
     CASE WHEN m.manifest_id % 3 = 0 THEN NULL WHEN m.manifest_id % 101 = 0 THEN 'soon' ELSE {d.iso("m.created_at")} END AS expires_at, CASE WHEN m.manifest_id % 11 = 0 THEN '' ELSE concat('up-', m.manifest_id) END AS upload_id,
     CASE m.manifest_id % 3 WHEN 0 THEN 's3' WHEN 1 THEN 'tus' END AS transport_name, {d.iso("m.created_at")} AS created_at, m.total_bytes, m.chunk_size,
     m.total_chunks + CASE WHEN m.manifest_id % 89 = 0 THEN 1 ELSE 0 END AS total_chunks, coalesce(p.bytes, 0) + CASE WHEN m.manifest_id % 13 = 0 THEN 1 ELSE 0 END AS uploaded_bytes,
     coalesce(p.next_index, 0) AS next_index, CASE WHEN m.manifest_id % 5 = 0 THEN concat('tok', m.manifest_id) END AS resume_token, CASE WHEN m.manifest_id % 7 = 0 THEN '{{"key": 1}}' END AS transport_data, CASE WHEN m.manifest_id % 103 = 0 THEN '1998' ELSE {d.iso("m.created_at")} END AS updated_at,
     concat('file-', m.manifest_id, '.tif') AS file_name, m.total_bytes + CASE WHEN m.manifest_id % 107 = 0 THEN 1 ELSE 0 END AS file_bytes, CASE WHEN m.manifest_id % 109 = 0 THEN '' ELSE 'image/tiff' END AS file_media_type, concat('fp', m.manifest_id) AS file_fingerprint, CASE WHEN m.manifest_id % 2 = 0 THEN m.manifest_id * 1000 END AS file_last_modified,
-    CASE WHEN m.manifest_id % 113 = 0 THEN 'sliding' ELSE 'fixed-size' END AS strategy, CASE WHEN m.manifest_id % 127 = 0 THEN 'v2' ELSE 'v1' END AS manifest_version, m.total_bytes AS manifest_bytes, m.chunk_size AS manifest_chunk_size, m.total_chunks AS manifest_chunks FROM {{manifests}} m JOIN {{orders}} o ON o.o_orderkey = m.manifest_id
-    LEFT JOIN (SELECT r.manifest_id, CAST(sum(least((r.end_index + 1) * m.chunk_size, m.total_bytes) - r.start_index * m.chunk_size) AS BIGINT) AS bytes, coalesce(max(CASE WHEN r.start_index = 0 THEN r.end_index + 1 END), 0) AS next_index FROM {{record_ranges}} r JOIN {{manifests}} m ON r.manifest_id = m.manifest_id GROUP BY r.manifest_id) p ON p.manifest_id = m.manifest_id"""
+    CASE WHEN m.manifest_id % 113 = 0 THEN 'sliding' ELSE 'fixed-size' END AS strategy, CASE WHEN m.manifest_id % 127 = 0 THEN 'v2' ELSE 'v1' END AS manifest_version, m.total_bytes AS manifest_bytes, m.chunk_size AS manifest_chunk_size, m.total_chunks AS manifest_chunks FROM {{manifests}} m
+    LEFT JOIN (SELECT r.manifest_id, CAST(sum(least((r.end_index + 1) * r.chunk_size, r.total_bytes) - r.start_index * r.chunk_size) AS BIGINT) AS bytes, coalesce(max(CASE WHEN r.start_index = 0 THEN r.end_index + 1 END), 0) AS next_index FROM {{record_ranges}} r GROUP BY r.manifest_id) p ON p.manifest_id = m.manifest_id"""
 
 
 @view("resume_changes")
