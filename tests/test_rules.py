@@ -243,6 +243,13 @@ def test_record_validation(spark, record, ranges, receipts, want):
     assert r.code == (kind and f"resume.{kind}")
 
 
+def test_records_of_one_manifest_have_their_own_sums(spark):
+    both = frame(spark, RECORD, {}, {"record_id": "resume_2"}, {"record_id": "resume_3", "transport_name": "s3"})
+    ranges = frame(spark, RANGES, *[{"record_id": f"resume_{k}"} for k in (1, 2, 3)])
+    found = {r.record_id: r.path for r in run("resume_parse", spark, resume_records=both, stored_ranges=ranges, receipts=frame(spark, RECEIPTS, *WHOLE))}
+    assert found == {"resume_1": None, "resume_2": None, "resume_3": "receipts[0].transport.name"}
+
+
 OFFER = [("manifest_id", "long", 1), ("name", "string", "a.tif"), ("size_bytes", "long", 600 * KB), ("chunk_size", "long", CHUNK), ("media_type", "string", "image/tiff"), ("fingerprint", "string", "fp"), ("last_modified", "long", 5)]
 NOW = "TIMESTAMP '2026-06-01 00:00:00'"
 
