@@ -404,6 +404,12 @@ def test_gateway_answers(spark):
     assert {r.lock_id: r.outcome for r in run("lock_release", spark, locks=locks, releases=asked)} == {1: "released", 2: "held", 3: "absent"}
 
 
+def test_expiry_query_has_its_default(spark, data):
+    """Sessions that name no expiry have a day from when they were made; the others keep what they say."""
+    got = {r.session_id: r.expires_at for r in registry.QUERIES["nas_expiry"](spark, data).collect()}
+    assert None not in got.values() and {k: got[k] for k in (4, 5)} == {4: "1998-01-02T00:00:04.000Z", 5: "1998-05-01T10:00:00.000Z"}
+
+
 def test_derivatives_are_attached(spark):
     """Without leave to replace, an id that the group has is refused and stays; with it, the derivative is replaced in place."""
     old = spark.createDataFrame([(1, "d0", 0), (1, "d1", 150_000), (3, "d0", 0)], "group_id long, derivative_id string, position long")
